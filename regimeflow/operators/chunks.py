@@ -15,11 +15,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regimeflow.operators.ordering import partition_offsets, range_sorted
+from regimeflow.operators.ordering import partition_offsets, range_sorted, with_offset
 from regimeflow.scratch import materialize
 
 CHUNK_ROWS = 65_536
@@ -84,11 +85,10 @@ def _one_chunk(held: list[pa.RecordBatch], local: int, columns: list[str]) -> pa
 
 
 def _number_chunks(table: DataFrame, chunk_rows: int) -> ChunkedSeries:
-    rows, n_rows = partition_offsets(table, F.sum("n"))
-    chunks, n_chunks = partition_offsets(table, F.count("*"))
+    counts = partition_offsets(table, rows=F.sum("n"), chunks=F.count("*"))
+    (rows, n_rows), (chunks, n_chunks) = counts["rows"], counts["chunks"]
     numbered = (
-        table.join(F.broadcast(rows.withColumnRenamed("part_offset", "_rows")), "part")  # one row per partition
-        .join(F.broadcast(chunks.withColumnRenamed("part_offset", "_chunks")), "part")
+        with_offset(with_offset(table, rows, "_rows"), chunks, "_chunks")
         .withColumn("chunk", F.col("_chunks") + F.col("local"))
         .withColumn("first_seq", F.col("_rows") + F.col("local") * F.lit(chunk_rows))
         .drop("part", "local", "_rows", "_chunks")
@@ -122,20 +122,67 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def carries(pairs: DataFrame, n_chunks: int, start: list[float], fanout: int = FANOUT) -> DataFrame:
-    """``(chunk, carry)``: what enters each chunk, given one ``(chunk, p, q)`` per chunk, chunks running 0..n-1.
+@dataclass
+class LocalCarry:
+    """Carries of few chunks, shared with the tasks as one small array."""
+
+    values: np.ndarray
+    shared: Broadcast
+
+    def attach(self, table: DataFrame, column: str) -> DataFrame:
+        return table.withColumn(column, F.lit(None).cast("array<double>"))
+
+    def value(self, chunk: dict, column: str) -> np.ndarray:
+        return self.shared.value[chunk["chunk"]]
+
+    def mirrored(self, n_chunks: int) -> LocalCarry:
+        return local_carry(self.shared._sc, self.values[::-1])
+
+
+@dataclass
+class TableCarry:
+    """Carries of many chunks, joined: by broadcast while they are small, by a shuffle beyond that."""
+
+    table: DataFrame  # chunk, carry
+    bytes: int
+
+    def attach(self, table: DataFrame, column: str) -> DataFrame:
+        carry = self.table.withColumnRenamed("carry", column)
+        return table.join(F.broadcast(carry) if self.bytes <= BROADCAST_BYTES else carry, "chunk")
+
+    def value(self, chunk: dict, column: str) -> np.ndarray:
+        return np.asarray(chunk[column])
+
+    def mirrored(self, n_chunks: int) -> TableCarry:
+        return TableCarry(reversed_pairs(self.table, n_chunks), self.bytes)
+
+
+def local_carry(sc, values: np.ndarray) -> LocalCarry:
+    return LocalCarry(values, sc.broadcast(values))
+
+
+def carries(pairs: DataFrame, n_chunks: int, start: list[float], fanout: int = FANOUT) -> LocalCarry | TableCarry:
+    """What enters each chunk, given one ``(chunk, p, q)`` per chunk, chunks running 0..n-1.
 
     Up to ``fanout`` pairs are composed at once.  More are composed per group of ``fanout``, the groups' own
     carries are found the same way, and each group then unrolls from its carry.
     """
     if n_chunks <= fanout:
-        rows = sorted(pairs.collect(), key=lambda r: r["chunk"])  # bounded by fanout
-        entering, _, _ = compose(np.array([r["p"] for r in rows]), np.array([r["q"] for r in rows]), np.array(start))
-        data = [(r["chunk"], e.tolist()) for r, e in zip(rows, entering)]
-        return pairs.sparkSession.createDataFrame(data, CARRY_SCHEMA)
+        return local_carry(pairs.sparkSession.sparkContext, _compose_local(pairs, start))
+    return TableCarry(_carry_table(pairs, n_chunks, start, fanout), n_chunks * (len(start) * 8 + 16))
+
 
-    pairs = materialize(pairs, "pairs")
-    grouped = pairs.withColumn("grp", F.floor(F.col("chunk") / fanout))
+def _compose_local(pairs: DataFrame, start: list[float]) -> np.ndarray:
+    rows = pairs.toArrow().combine_chunks().sort_by("chunk")  # bounded by fanout
+    p, q = (matrix(rows.column(c).combine_chunks(), len(start)) for c in ("p", "q"))
+    return compose(p, q, np.array(start, dtype=np.float64))[0]
+
+
+def _carry_table(pairs: DataFrame, n_chunks: int, start: list[float], fanout: int) -> DataFrame:
+    if n_chunks <= fanout:
+        entering = _compose_local(pairs, start)
+        return pairs.sparkSession.createDataFrame(list(enumerate(entering.tolist())), CARRY_SCHEMA)
+    grouped = materialize(pairs, "pairs").withColumn("grp", F.floor(F.col("chunk") / fanout))
 
     def reduce_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
@@ -150,25 +197,16 @@ def carries(pairs: DataFrame, n_chunks: int, start: list[float], fanout: int = F
         return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "carry": list(entering)})
 
     upper = grouped.groupBy("grp").applyInPandas(reduce_group, PAIR_SCHEMA)
-    n_groups = -(-n_chunks // fanout)
-    upper_carries = carries(upper, n_groups, start, fanout).select(
+    upper_carries = _carry_table(upper, -(-n_chunks // fanout), start, fanout).select(
         F.col("chunk").alias("grp"), F.col("carry").alias("group_carry"))
     return grouped.join(upper_carries, "grp").groupBy("grp").applyInPandas(unroll_group, CARRY_SCHEMA)
 
 
 def reversed_pairs(pairs: DataFrame, n_chunks: int) -> DataFrame:
-    """The same pairs numbered from the end, for recurrences that run backwards; its own inverse."""
+    """The same chunks numbered from the end, for recurrences that run backwards; its own inverse."""
     return pairs.withColumn("chunk", F.lit(n_chunks - 1) - F.col("chunk"))
 
 
-def attach_carries(table: DataFrame, carry: DataFrame, n_chunks: int, width: int, into: str = "carry") -> DataFrame:
-    """Joins carries onto chunks: broadcast while they are small, by a shuffle join beyond that."""
-    carry = carry.select("chunk", F.col("carry").alias(into))
-    if n_chunks * (width * 8 + 16) <= BROADCAST_BYTES:
-        carry = F.broadcast(carry)
-    return table.join(carry, "chunk")
-
-
 # -------------------------------------------------------------------------------------------- in-chunk recurrence
 
 def scan_rows(a: np.ndarray, u: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,14 +255,14 @@ def affine_scan(df: DataFrame, order_cols: list[str], a: str, u: str, into: str
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in each_chunk(batches):
-            z, _, _ = scan_rows(matrix(chunk[a]), matrix(chunk[u]), np.asarray(chunk["carry"]))
+            z, _, _ = scan_rows(matrix(chunk[a]), matrix(chunk[u]), entering.value(chunk, "carry"))
             yield row_batch(chunk, keys, {into: vectors(z)})
 
     pairs = series.table.select("chunk", a, u).mapInArrow(summarise, PAIR_SCHEMA)
     entering = carries(pairs, series.n_chunks, start, fanout)
     out = [T.StructField("seq", T.LongType()), *[df.schema[k] for k in keys],
            T.StructField(into, T.ArrayType(T.DoubleType()))]
-    return attach_carries(series.table, entering, series.n_chunks, width).mapInArrow(finish, T.StructType(out))
+    return entering.attach(series.table, "carry").mapInArrow(finish, T.StructType(out))
 
 
 # ------------------------------------------------------------------------------------------------- Arrow helpers
@@ -236,7 +274,7 @@ def each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             chunk = {}
             for name, column in zip(batch.schema.names, batch.columns):
                 is_list = pa.types.is_list(column.type) or pa.types.is_large_list(column.type)
-                chunk[name] = column[i].values if is_list else column[i].as_py()
+                chunk[name] = column[i].values if is_list else column[i].as_py()  # values of a null list: None
             yield chunk
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from regimeflow.scratch import materialize
 
 BLOCK_ROWS = 8192
+LITERAL_PARTS = 2048
 _ROW_BITS = (1 << 33) - 1  # low bits of monotonically_increasing_id: the row's position in its partition
 
 
@@ -29,14 +30,30 @@ def require_unique(df: DataFrame, order_cols: list[str]) -> None:
         raise ValueError(f"{order_cols} do not identify a row: {repeated.first()}")
 
 
-def partition_offsets(table: DataFrame, rows: Column) -> tuple[DataFrame, int]:
-    """Exclusive running row count per ``part``.  One driver row per shuffle partition, whatever the data size."""
-    counts = sorted((r["part"], r["rows"]) for r in table.groupBy("part").agg(rows.alias("rows")).collect())
-    offsets, total = [], 0
-    for part, n in counts:
-        offsets.append((part, total))
-        total += n
-    return table.sparkSession.createDataFrame(offsets, "part int, part_offset long"), total
+def partition_offsets(table: DataFrame, **rows: Column) -> dict[str, tuple[dict[int, int], int]]:
+    """Per named row count: (exclusive running count per ``part``, total).
+
+    The driver sees one row per shuffle partition, whatever the data size.
+    """
+    counted = table.groupBy("part").agg(*[c.alias(name) for name, c in rows.items()]).collect()
+    counted.sort(key=lambda r: r["part"])
+    out = {}
+    for name in rows:
+        offsets, total = {}, 0
+        for r in counted:
+            offsets[r["part"]] = total
+            total += r[name]
+        out[name] = (offsets, total)
+    return out
+
+
+def with_offset(table: DataFrame, offsets: dict[int, int], into: str) -> DataFrame:
+    """Adds the offset of the row's ``part``: from a literal array, or a join once there are many partitions."""
+    if len(offsets) <= LITERAL_PARTS and max(offsets, default=0) <= LITERAL_PARTS:
+        listed = ",".join(str(offsets.get(i, 0)) for i in range(max(offsets, default=0) + 1))
+        return table.withColumn(into, F.get(F.expr(f"cast(split('{listed}', ',') as array<bigint>)"), F.col("part")))
+    rows = table.sparkSession.createDataFrame(list(offsets.items()), f"part int, {into} long")
+    return table.join(F.broadcast(rows), "part")  # one small row per partition
 
 
 def assign_seq(df: DataFrame, order_cols: list[str], validate: bool = False) -> DataFrame:
@@ -53,12 +70,9 @@ def assign_seq(df: DataFrame, order_cols: list[str], validate: bool = False) ->
         .withColumn("pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
     )
     table = materialize(placed, "ordered")
-    offsets, _ = partition_offsets(table, F.count("*"))
-    return (
-        table.join(F.broadcast(offsets), "part")  # one row per partition
-        .withColumn("seq", F.col("part_offset") + F.col("pos"))
-        .drop("part", "pos", "part_offset")
-    )
+    offsets, _ = partition_offsets(table, n=F.count("*"))["n"]
+    numbered = with_offset(table, offsets, "_offset").withColumn("seq", F.col("_offset") + F.col("pos"))
+    return numbered.drop("part", "pos", "_offset")
 
 
 def sort_by_time(df: DataFrame, order_cols: list[str]) -> DataFrame:

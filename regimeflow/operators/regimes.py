@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimeflow.functions.vectors import distance, distances_to, nearest_index, softmax_of_distance, vector
+from regimeflow.functions.vectors import distances_to, nearest_index, softmax_of_distance
 from regimeflow.operators.chunks import matrix, vectors
 from regimeflow.operators.sampling import sample_key, seeded_sample
 
@@ -31,9 +31,12 @@ def initial_centroids(df: DataFrame, k: int, keys: list[str], vec: str = "z", se
     return np.array([r[vec] for r in rows], dtype=np.float64)
 
 
-def squared_distances(z: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """Row by centroid.  Differences are formed first: exact ties must stay ties."""
-    return np.stack([((z - c) ** 2).sum(axis=1) for c in centroids], axis=1)
+def squared_distances(z: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Row by point, one dimension at a time.  Differences are formed first: exact ties must stay ties."""
+    total = np.zeros((len(z), len(points)))
+    for j in range(points.shape[1]):
+        total += (z[:, j, None] - points[:, j]) ** 2
+    return total
 
 
 def lloyd_step(df: DataFrame, centroids: np.ndarray, vec: str = "z") -> tuple[np.ndarray, np.ndarray]:
@@ -117,60 +120,48 @@ def fit_regimes(df: DataFrame, k: int, keys: list[str], vec: str = "z", max_iter
 
 # ---------------------------------------------------------------------------------------------------- silhouette
 
-def silhouette_sums(sample: DataFrame, labels: list[str], n_labels: int, vec: str = "z") -> DataFrame:
-    """Per sampled row, the summed distance to the members of each cluster, for several labelings at once.
+def row_silhouettes(distances: np.ndarray, member: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Silhouette of some rows in one labeling: distances to every point, who belongs where, the rows' own labels.
 
-    The other side is the sample itself, which its caller bounds; each task measures its own rows against it in
-    slices, and no pair of rows is ever emitted.
+    A singleton scores 0; labels without members do not count as neighbours.
+    """
+    sizes, at = member.sum(axis=0), np.arange(len(own))
+    sums = distances @ member
+    with np.errstate(divide="ignore", invalid="ignore"):
+        within = sums[at, own] / (sizes[own] - 1)
+        others = np.where(sizes > 0, sums / sizes, np.inf)
+        others[at, own] = np.inf
+        nearest = others.min(axis=1)
+        s = (nearest - within) / np.maximum(nearest, within)
+    return np.where(sizes[own] > 1, np.nan_to_num(s), 0.0)
+
+
+def silhouette(sample: DataFrame, labels: list[str], vec: str = "z") -> DataFrame:
+    """``(labeling, score)``: mean silhouette per label column, rounded to 6; -1 when only one cluster is used.
+
+    ``sample`` must be bounded by its caller.  Every task holds it and measures its own rows against it in slices,
+    for all labelings at once; no pair of rows is ever emitted.
     """
     spark = sample.sparkSession
-    rows = sample.select(vec, *labels).toPandas()  # at most the sample size
-    points = np.array(rows[vec].tolist(), dtype=np.float64)
-    member = np.concatenate(
-        [np.equal.outer(rows[c].to_numpy(), np.arange(n_labels)).astype(np.float64) for c in labels], axis=1)
+    rows = sample.select(vec, *labels).toArrow().combine_chunks()  # at most the sample size
+    points = matrix(rows.column(vec).combine_chunks()).astype(np.float64)
+    member = {c: np.equal.outer(rows.column(c).to_numpy(), np.arange(max(rows.column(c).to_pylist()) + 1)).astype(np.float64)
+              for c in labels}
     shared = spark.sparkContext.broadcast((points, member))
-    passed = [f for f in sample.schema.fields if f.name != vec]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pts, groups = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                z = matrix(part.column(vec)).astype(np.float64)
-                d2 = np.zeros((len(z), len(pts)))
-                for j in range(pts.shape[1]):
-                    d2 += (z[:, j, None] - pts[:, j]) ** 2
-                sums = vectors(np.sqrt(d2) @ groups)
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in passed], sums],
-                                                 [*[f.name for f in passed], "sums"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed) + ", sums array<double>"
-    return sample.mapInArrow(measure, schema)
-
-
-def row_silhouette(sums, sizes, label):
-    """Silhouette of one row from its summed distances and the cluster sizes; a singleton scores 0."""
-    own_size = F.get(sizes, label)
-    within = F.get(sums, label) / (own_size - 1)
-    others = F.transform(sums, lambda s, j: F.when((j != label) & (F.get(sizes, j) > 0), s / F.get(sizes, j)))
-    nearest = F.array_min(others)
-    return F.when(own_size > 1, (nearest - within) / F.greatest(nearest, within)).otherwise(F.lit(0.0))
-
-
-def silhouette(sample: DataFrame, labels: list[str], n_labels: int, vec: str = "z") -> DataFrame:
-    """``(labeling, score)``: mean silhouette per label column, rounded to 6; -1 when only one cluster is used."""
-    spread = max(1, sample.sparkSession.sparkContext.defaultParallelism)
-    sums = silhouette_sums(sample.repartition(spread), labels, n_labels, vec)
-    sizes = sample.agg(F.struct(*[F.array(*[F.count_if(F.col(c) == j).cast("double") for j in range(n_labels)]).alias(c)
-                                  for c in labels])).scalar()
-    parts = []
-    for i, c in enumerate(labels):
-        own = F.slice("sums", i * n_labels + 1, n_labels)
-        parts.append(F.struct(F.lit(c).alias("labeling"), F.col(c).alias("label"),
-                              row_silhouette(own, sizes[c], F.col(c)).alias("s")))
-    scored = sums.select(F.inline(F.array(*parts)))
-    return scored.groupBy("labeling").agg(
-        F.when(F.min("label") == F.max("label"), F.lit(-1.0)).otherwise(F.round(F.avg("s"), 6)).alias("score"))
+                d2 = squared_distances(matrix(part.column(vec)).astype(np.float64), pts)
+                found = [row_silhouettes(np.sqrt(d2), groups[c], part.column(c).to_numpy()) for c in labels]
+                yield pa.RecordBatch.from_arrays([vectors(np.stack(found, axis=1))], ["s"])
+
+    spread = spark.createDataFrame(rows).repartition(spark.sparkContext.defaultParallelism)
+    means = spread.mapInArrow(measure, "s array<double>").agg(*[F.round(F.avg(F.col("s")[i]), 6) for i in range(len(labels))]).first()
+    scores = [(c, -1.0 if (member[c].sum(axis=0) > 0).sum() < 2 else m) for c, m in zip(labels, means)]
+    return spark.createDataFrame(scores, "labeling string, score double")
 
 
 def _cluster_sample(points: np.ndarray, start: np.ndarray, max_iter: int) -> np.ndarray:
@@ -196,8 +187,8 @@ def select_k(df: DataFrame, keys: list[str], vec: str = "z", k_max: int = K_MAX,
     spark = df.sparkSession
     sample = seeded_sample(df.select(vec, *keys), sample_size, keys, seed)
     ordered = sample.orderBy(sample_key(seed, *keys), *keys)
-    rows = ordered.toPandas()  # at most sample_size rows
-    points = np.array(rows[vec].tolist(), dtype=np.float64)
+    rows = ordered.select(vec).toArrow().combine_chunks()  # at most sample_size rows
+    points = matrix(rows.column(vec).combine_chunks()).astype(np.float64)
     ks = list(range(K_MIN, min(k_max, len(points)) + 1))
     if not ks:
         raise ValueError("choosing K needs at least two rows")
@@ -212,10 +203,8 @@ def select_k(df: DataFrame, keys: list[str], vec: str = "z", k_max: int = K_MAX,
     fitted = {r["k"]: r["labels"] for r in
               jobs.groupBy("k").applyInPandas(cluster, "k int, labels array<int>").collect()}
     names = [f"k{k}" for k in ks]
-    labelled = pd.DataFrame({vec: list(points), **{f"k{k}": np.array(fitted[k], dtype=np.int32) for k in ks}})
-    schema = f"{vec} array<double>, " + ", ".join(f"{n} int" for n in names)
-    scores = {r["labeling"]: r["score"] for r in
-              silhouette(spark.createDataFrame(labelled, schema), names, max(ks), vec).collect()}
+    labelled = pa.table({vec: vectors(points), **{f"k{k}": pa.array(fitted[k], pa.int32()) for k in ks}})
+    scores = {r["labeling"]: r["score"] for r in silhouette(spark.createDataFrame(labelled), names, vec).collect()}
     best = max(ks, key=lambda k: scores[f"k{k}"])
     table = [(k, float(scores[f"k{k}"]), k == best) for k in ks]
     return spark.createDataFrame(table, "k int, score double, best boolean"), best

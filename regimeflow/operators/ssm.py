@@ -174,15 +174,14 @@ def state_pairs(series: C.ChunkedSeries, params: Params) -> DataFrame:
     return series.table.select("chunk", FEATURES).mapInArrow(summarise, C.PAIR_SCHEMA)
 
 
-def with_state_carry(series: C.ChunkedSeries, params: Params, z0: np.ndarray | None = None,
-                     fanout: int = C.FANOUT) -> DataFrame:
-    """The chunk table plus ``z_in``, the state entering each chunk."""
+def state_carry(series: C.ChunkedSeries, params: Params, z0: np.ndarray | None = None,
+                fanout: int = C.FANOUT) -> C.LocalCarry | C.TableCarry:
+    """The state entering each chunk."""
     width = len(params["A_log"])
-    start = (np.zeros(width) if z0 is None else np.asarray(z0, dtype=np.float64)).tolist()
+    start = np.zeros(width) if z0 is None else np.asarray(z0, dtype=np.float64)
     if series.n_chunks <= 1:
-        return series.table.withColumn("z_in", F.array(*[F.lit(v) for v in start]))
-    entering = C.carries(state_pairs(series, params), series.n_chunks, start, fanout)
-    return C.attach_carries(series.table, entering, series.n_chunks, width, "z_in")
+        return C.local_carry(series.table.sparkSession.sparkContext, start[None, :])
+    return C.carries(state_pairs(series, params), series.n_chunks, start.tolist(), fanout)
 
 
 def predict(series: C.ChunkedSeries, params: Params, keep: list[str] | tuple[str, ...] = (),
@@ -192,13 +191,13 @@ def predict(series: C.ChunkedSeries, params: Params, keep: list[str] | tuple[str
     The carry into a chunk is the state before its first row, so velocity needs no lookback across chunks.
     """
     keep = list(keep)
-    spark = series.table.sparkSession
-    shared = spark.sparkContext.broadcast(params)
+    shared = series.table.sparkSession.sparkContext.broadcast(params)
+    entering = state_carry(series, params, z0, fanout)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in C.each_chunk(batches):
             x, p = _inputs(chunk), shared.value
-            z_in = np.asarray(chunk["z_in"])
+            z_in = entering.value(chunk, "z_in")
             f = project(p, x)
             z, _, _ = C.scan_rows(f["a"], f["u"], z_in)
             velocity = np.linalg.norm(z - _shifted(z, z_in), axis=1)
@@ -217,8 +216,9 @@ def predict(series: C.ChunkedSeries, params: Params, keep: list[str] | tuple[str
     fields += [T.StructField(c, T.DoubleType()) for c in ("delta", "velocity", "recon_error")]
     if with_recon:
         fields.append(T.StructField("recon", T.ArrayType(T.DoubleType())))
-    chunks = with_state_carry(series, params, z0, fanout)
-    return chunks.select("chunk", "first_seq", "n", FEATURES, *keep, "z_in").mapInArrow(rows, T.StructType(fields))
+    chunks = entering.attach(series.table, "z_in")
+    read = list(dict.fromkeys(["chunk", "first_seq", "n", FEATURES, *keep, "z_in"]))
+    return chunks.select(*read).mapInArrow(rows, T.StructType(fields))
 
 
 def gate_projection(series: C.ChunkedSeries, params: Params, keep: list[str]) -> DataFrame:
@@ -265,17 +265,17 @@ def gradient(series: C.ChunkedSeries, params: Params, exact: bool = False,
     Three narrow passes: forward pairs; states and backward pairs; gradients with both carries.  A series of one
     chunk needs only the last.
     """
-    spark = series.table.sparkSession
-    shared = spark.sparkContext.broadcast(params)
+    sc = series.table.sparkSession.sparkContext
+    shared = sc.broadcast(params)
     n_rows, width = series.n_rows, len(params["A_log"])
-    chunks = with_state_carry(series, params, fanout=fanout)
-    needed = ["chunk", FEATURES, "z_in"]
+    entering = state_carry(series, params, fanout=fanout)
+    chunks = entering.attach(series.table, "z_in").select("chunk", FEATURES, "z_in")
 
     def backward_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in C.each_chunk(batches):
             x, p = _inputs(chunk), shared.value
             f = project(p, x)
-            z, _, _ = C.scan_rows(f["a"], f["u"], np.asarray(chunk["z_in"]))
+            z, _, _ = C.scan_rows(f["a"], f["u"], entering.value(chunk, "z_in"))
             _, product, alone = backward_rows(f["a"], emission_error(p, x, z, n_rows)["e"])
             yield C.pair_batch(chunk["chunk"], product, alone)
 
@@ -283,11 +283,11 @@ def gradient(series: C.ChunkedSeries, params: Params, exact: bool = False,
         squares, rows, total = 0.0, 0, None
         for chunk in C.each_chunk(batches):
             x, p = _inputs(chunk), shared.value
-            z_in = np.asarray(chunk["z_in"])
+            z_in = entering.value(chunk, "z_in")
             f = project(p, x)
             z, _, _ = C.scan_rows(f["a"], f["u"], z_in)
             g = emission_error(p, x, z, n_rows)
-            dz, _, _ = backward_rows(f["a"], g["e"], np.asarray(chunk["y_in"]))
+            dz, _, _ = backward_rows(f["a"], g["e"], leaving.value(chunk, "y_in"))
             flat = flatten_params(parameter_gradient(p, x, f, g, z, _shifted(z, z_in), dz, exact))
             total = flat if total is None else total + flat
             squares, rows = squares + g["squares"], rows + len(x)
@@ -295,12 +295,11 @@ def gradient(series: C.ChunkedSeries, params: Params, exact: bool = False,
             yield gradient_batch(squares, rows, total)
 
     if series.n_chunks <= 1:
-        chunks = chunks.withColumn("y_in", F.array(*[F.lit(0.0)] * width))
+        leaving = C.local_carry(sc, np.zeros((1, width)))
     else:
-        pairs = chunks.select(*needed).mapInArrow(backward_pairs, C.PAIR_SCHEMA)
-        entering = C.carries(C.reversed_pairs(pairs, series.n_chunks), series.n_chunks, [0.0] * width, fanout)
-        chunks = C.attach_carries(chunks, C.reversed_pairs(entering, series.n_chunks), series.n_chunks, width, "y_in")
-    partials = number_tasks(chunks.select(*needed, "y_in").mapInArrow(chunk_gradients, GRADIENT_SCHEMA))
+        pairs = C.reversed_pairs(chunks.mapInArrow(backward_pairs, C.PAIR_SCHEMA), series.n_chunks)
+        leaving = C.carries(pairs, series.n_chunks, [0.0] * width, fanout).mirrored(series.n_chunks)
+    partials = number_tasks(leaving.attach(chunks, "y_in").mapInArrow(chunk_gradients, GRADIENT_SCHEMA))
     squares, rows, flat = sum_gradients(partials, series.n_chunks)
     return squares / (rows * params["b_out"].size), unflatten_params(flat, params)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from regimeflow.operators.filters import is_high
 from regimeflow.operators.timeline import timeline
 from regimeflow.plans.detector import ShockModel
+from regimeflow.sources import write_delimited
 
 MAX_COMPONENTS, TOP_N = 10, 20  # fixed values
 
@@ -53,7 +54,7 @@ def write_report(model: ShockModel, scored: DataFrame, out: str, include_silhoue
 
     def write(name: str, table: DataFrame, single: bool = True) -> None:
         paths[name] = f"{out}/{name}"
-        (table.coalesce(1) if single else table).write.mode("overwrite").option("header", True).csv(paths[name])
+        write_delimited(table.coalesce(1) if single else table, paths[name])
 
     write("report", scored, single=False)
     write("top_shocks", model.top_shocks(scored, TOP_N))
