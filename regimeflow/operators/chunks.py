@@ -9,7 +9,7 @@ enters each chunk follows from the pairs before it.  Pairs are composed in bound
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -132,8 +132,9 @@ class LocalCarry:
     def attach(self, table: DataFrame, column: str) -> DataFrame:
         return table.withColumn(column, F.lit(None).cast("array<double>"))
 
-    def value(self, chunk: dict, column: str) -> np.ndarray:
-        return self.shared.value[chunk["chunk"]]
+    def reader(self, column: str) -> Callable[[dict], np.ndarray]:
+        shared = self.shared
+        return lambda chunk: shared.value[chunk["chunk"]]
 
     def mirrored(self, n_chunks: int) -> LocalCarry:
         return local_carry(self.shared._sc, self.values[::-1])
@@ -150,8 +151,8 @@ class TableCarry:
         carry = self.table.withColumnRenamed("carry", column)
         return table.join(F.broadcast(carry) if self.bytes <= BROADCAST_BYTES else carry, "chunk")
 
-    def value(self, chunk: dict, column: str) -> np.ndarray:
-        return np.asarray(chunk[column])
+    def reader(self, column: str) -> Callable[[dict], np.ndarray]:
+        return lambda chunk: np.asarray(chunk[column])
 
     def mirrored(self, n_chunks: int) -> TableCarry:
         return TableCarry(reversed_pairs(self.table, n_chunks), self.bytes)
@@ -253,13 +254,15 @@ def affine_scan(df: DataFrame, order_cols: list[str], a: str, u: str, into: str
             _, p, q = scan_rows(matrix(chunk[a]), matrix(chunk[u]))
             yield pair_batch(chunk["chunk"], p, q)
 
+    pairs = series.table.select("chunk", a, u).mapInArrow(summarise, PAIR_SCHEMA)
+    entering = carries(pairs, series.n_chunks, start, fanout)
+    carry_of = entering.reader("carry")
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in each_chunk(batches):
-            z, _, _ = scan_rows(matrix(chunk[a]), matrix(chunk[u]), entering.value(chunk, "carry"))
+            z, _, _ = scan_rows(matrix(chunk[a]), matrix(chunk[u]), carry_of(chunk))
             yield row_batch(chunk, keys, {into: vectors(z)})
 
-    pairs = series.table.select("chunk", a, u).mapInArrow(summarise, PAIR_SCHEMA)
-    entering = carries(pairs, series.n_chunks, start, fanout)
     out = [T.StructField("seq", T.LongType()), *[df.schema[k] for k in keys],
            T.StructField(into, T.ArrayType(T.DoubleType()))]
     return entering.attach(series.table, "carry").mapInArrow(finish, T.StructType(out))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from regimeflow.functions import dates as D
 from regimeflow.functions.vectors import none_if_nan
 from regimeflow.operators.ordering import assign_seq, forward_fill
-from regimeflow.operators.stats import as_category, fit_scalers, frequent_values, medians, top_categories
+from regimeflow.operators.stats import as_category, frequent_values, medians, moment_aggregates, scalers_from, top_categories
 
 # Rows looked at to recognise dates, the share that must parse, and the two text thresholds.
 SNIFF_ROWS, PARSE_SHARE = 30, 0.8
@@ -134,12 +134,17 @@ class ColumnEncoder:
             if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.DayTimeIntervalType,
                                        T.YearMonthIntervalType, T.BinaryType)):
                 raise ValueError(f"column {f.name!r} is {f.dataType.simpleString()}: project it to plain columns first")
-        n_rows = df.count()
         plans = {f.name: self._kind(f, i) for i, f in enumerate(fields)}
         self._recognise_dates(df, fields, plans)
-        self._fit_numbers(df, plans)
-        self._fit_text(df, plans, n_rows)
-        self._fit_years(df, plans)
+        numeric = [p.column for p in plans.values() if p.decision == "numeric"]
+        dated = [p for p in plans.values() if p.decision == "datetime"]
+        # One pass gives the row count, the moments of every number and the years of every date.
+        profile = df.agg(F.count("*").alias("n_rows"), *moment_aggregates(numeric), *_year_aggregates(dated, self.order_cols)).first()
+        for c, s in scalers_from(df, numeric, profile["n_rows"], profile).items():
+            plans[c].mean, plans[c].scale, plans[c].fill = s["mean"], s["scale"], s["fill"]
+        for p in dated:
+            p.year_min, p.year_max = _year_range(profile[f"years_{p.column}"])
+        self._fit_text(df, plans, profile["n_rows"])
         return EncoderModel(df.sparkSession, list(plans.values()), self.order_cols, self.batch_stats)
 
     def _kind(self, f: T.StructField, position: int) -> ColumnPlan:
@@ -182,11 +187,6 @@ class ColumnEncoder:
                 if not rate or rate <= PARSE_SHARE:
                     p.date_format = _fallback_format(df, p.column)
 
-    def _fit_numbers(self, df: DataFrame, plans: dict[str, ColumnPlan]) -> None:
-        fitted = fit_scalers(df, [p.column for p in plans.values() if p.decision == "numeric"])
-        for c, s in fitted.items():
-            plans[c].mean, plans[c].scale, plans[c].fill = s["mean"], s["scale"], s["fill"]
-
     def _fit_text(self, df: DataFrame, plans: dict[str, ColumnPlan], n_rows: int) -> None:
         text = [p.column for p in plans.values() if p.decision == "ohe"]
         if not text:
@@ -199,11 +199,6 @@ class ColumnEncoder:
             if selective and not (rows and rows[0]["frequency"] > self.ohe_threshold):
                 plans[c].decision, plans[c].categories = "drop", []
 
-    def _fit_years(self, df: DataFrame, plans: dict[str, ColumnPlan]) -> None:
-        for p, (lo, hi) in _year_ranges(df, [p for p in plans.values() if p.decision == "datetime"],
-                                        self.order_cols).items():
-            plans[p].year_min, plans[p].year_max = lo, hi
-
 
 def _compact_rates(plans: list[ColumnPlan]) -> list[Column]:
     return [F.avg(D.parse_compact(F.col(p.column)).isNotNull().cast("double")).alias(p.column) for p in plans]
@@ -213,27 +208,23 @@ def _fallback_format(df: DataFrame, column: str) -> str:
     return D.GENERIC if isinstance(df.schema[column].dataType, T.StringType) else D.EPOCH_NANOS
 
 
-def _year_ranges(df: DataFrame, plans: list[ColumnPlan], order_cols: list[str]) -> dict[str, tuple[float, float]]:
-    """Lowest and highest year per date column.  A leading gap takes the fallback date, so its year counts too."""
-    if not plans:
-        return {}
+def _year_aggregates(plans: list[ColumnPlan], order_cols: list[str]) -> list[Column]:
     aggs = []
     for p in plans:
         date = D.parse_date(F.col(p.column), p.date_format)
         aggs.append(F.struct(
             F.min(F.year(date)).alias("lo"), F.max(F.year(date)).alias("hi"),
             F.min_by(date.isNull(), F.struct(*order_cols)).alias("leading_gap"),
-        ).alias(p.column))
-    row = df.agg(*aggs).first()
-    fallback = int(D.FALLBACK_DATE[:4])
-    ranges = {}
-    for p in plans:
-        s = row[p.column]
-        years = [y for y in (s["lo"], s["hi"]) if y is not None]
-        if s["leading_gap"] or not years:
-            years.append(fallback)
-        ranges[p.column] = (float(min(years)), float(max(years)))
-    return ranges
+        ).alias(f"years_{p.column}"))
+    return aggs
+
+
+def _year_range(stats) -> tuple[float, float]:
+    """Lowest and highest year.  A leading gap takes the fallback date, so its year counts too."""
+    years = [y for y in (stats["lo"], stats["hi"]) if y is not None]
+    if stats["leading_gap"] or not years:
+        years.append(int(D.FALLBACK_DATE[:4]))
+    return float(min(years)), float(max(years))
 
 
 class EncoderModel:
@@ -311,10 +302,10 @@ class EncoderModel:
         if loose:
             for p, rate in zip(loose, df.agg(*_compact_rates(loose)).first()):
                 p.date_format = D.COMPACT if rate and rate > PARSE_SHARE else _fallback_format(df, p.column)
-        years = _year_ranges(df, dated, self.order_cols)
+        years = df.agg(*_year_aggregates(dated, self.order_cols)).first() if dated else {}
         for p in plans:
             if p.decision == "numeric":
                 p.fill = fills[p.column]
             elif p.decision == "datetime":
-                p.year_min, p.year_max = years[p.column]
+                p.year_min, p.year_max = _year_range(years[f"years_{p.column}"])
         return plans

@@ -20,7 +20,7 @@ MAX_ITER, SHIFT_TOL, TEMPERATURE = 200, 1e-7, 3.0
 K_MIN, K_MAX, SILHOUETTE_SAMPLE = 2, 10, 10_000
 DEFAULT_REGIMES = 3
 
-PARTIAL_SCHEMA = "regime int, n long, total array<double>"
+MERGE_TASKS = 256
 
 
 def initial_centroids(df: DataFrame, k: int, keys: list[str], vec: str = "z", seed: int = 42) -> np.ndarray:
@@ -39,34 +39,30 @@ def squared_distances(z: np.ndarray, points: np.ndarray) -> np.ndarray:
     return total
 
 
-def lloyd_step(df: DataFrame, centroids: np.ndarray, vec: str = "z") -> tuple[np.ndarray, np.ndarray]:
-    """(new centroids, sizes).  Tasks add up their rows first, so K rows per task reach the merge.
+def lloyd_step(df: DataFrame, centroids: np.ndarray, vec: str = "z", tasks: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(new centroids, sizes).  An empty regime keeps its centroid.
 
-    An empty regime keeps its centroid.
+    Tasks add up their rows first, so one row per task is left to merge: on the driver when there are few tasks,
+    by a shuffle otherwise.
     """
-    k = len(centroids)
+    k, dims = centroids.shape
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, totals = np.zeros(k, dtype=np.int64), np.zeros(centroids.shape)
+        sums = np.zeros((k, dims + 1))  # totals per dimension, then the size
         for batch in batches:
             z = matrix(batch.column(0)).astype(np.float64)
             if len(z):
                 label = squared_distances(z, centroids).argmin(axis=1)
-                member = np.equal.outer(np.arange(k), label)
-                sizes += member.sum(axis=1)
-                totals += member @ z
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(sizes), vectors(totals)],
-                                         ["regime", "n", "total"])
-
-    dims = centroids.shape[1]
-    partials = df.select(vec).mapInArrow(partial, PARTIAL_SCHEMA)
-    sums = partials.groupBy("regime").agg(
-        F.sum("n").alias("n"), F.array(*[F.sum(F.col("total")[i]) for i in range(dims)]).alias("total"))
-    updated, sizes = centroids.copy(), np.zeros(k, dtype=np.int64)
-    for r in sums.collect():  # K rows
-        sizes[r["regime"]] = r["n"]
-        if r["n"]:
-            updated[r["regime"]] = np.array(r["total"]) / r["n"]
+                member = np.equal.outer(np.arange(k), label).astype(np.float64)
+                sums += np.column_stack([member @ z, member.sum(axis=1)])
+        yield pa.RecordBatch.from_arrays([vectors(sums.reshape(1, -1))], ["sums"])
+
+    partials = df.select(vec).mapInArrow(partial, "sums array<double>")
+    if (tasks or df.rdd.getNumPartitions()) > MERGE_TASKS:
+        partials = partials.agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(k * (dims + 1))]).alias("sums"))
+    merged = np.sum([r["sums"] for r in partials.collect()], axis=0).reshape(k, dims + 1)
+    sizes = merged[:, -1].astype(np.int64)
+    updated = np.where(sizes[:, None] > 0, merged[:, :-1] / np.maximum(sizes, 1)[:, None], centroids)
     return updated, sizes
 
 
@@ -109,9 +105,9 @@ def fit_regimes(df: DataFrame, k: int, keys: list[str], vec: str = "z", max_iter
                 temperature: float = TEMPERATURE, start: np.ndarray | None = None) -> Regimes:
     """Lloyd iterations as Spark jobs over all rows, until the centroids stop moving."""
     centroids = initial_centroids(df, k, keys, vec, seed) if start is None else np.array(start, dtype=np.float64)
-    done = 0
+    done, tasks = 0, df.rdd.getNumPartitions()
     for done in range(1, max_iter + 1):
-        updated, _ = lloyd_step(df, centroids, vec)
+        updated, _ = lloyd_step(df, centroids, vec, tasks)
         if np.linalg.norm(updated - centroids) < SHIFT_TOL:
             break
         centroids = updated
@@ -164,8 +160,8 @@ def silhouette(sample: DataFrame, labels: list[str], vec: str = "z") -> DataFram
     return spark.createDataFrame(scores, "labeling string, score double")
 
 
-def _cluster_sample(points: np.ndarray, start: np.ndarray, max_iter: int) -> np.ndarray:
-    """Labels of the bounded sample after Lloyd iterations from ``start``."""
+def _cluster_sample(points: np.ndarray, start: np.ndarray, max_iter: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, labels) of the bounded sample after Lloyd iterations from ``start``."""
     centroids = start.copy()
     for _ in range(max_iter):
         label = squared_distances(points, centroids).argmin(axis=1)
@@ -174,20 +170,27 @@ def _cluster_sample(points: np.ndarray, start: np.ndarray, max_iter: int) -> np.
         if np.linalg.norm(updated - centroids) < SHIFT_TOL:
             break
         centroids = updated
-    return squared_distances(points, centroids).argmin(axis=1)
+    return centroids, squared_distances(points, centroids).argmin(axis=1)
+
+
+@dataclass
+class KSelection:
+    table: DataFrame  # k, score, best
+    best_k: int
+    centroids: np.ndarray  # of the best K, fitted on the sample
 
 
 def select_k(df: DataFrame, keys: list[str], vec: str = "z", k_max: int = K_MAX, sample_size: int = SILHOUETTE_SAMPLE,
-             seed: int = 42, max_iter: int = MAX_ITER) -> tuple[DataFrame, int]:
-    """``(k, score, best)`` for K = 2..k_max, and the best K (the smallest on ties).
+             seed: int = 42, max_iter: int = MAX_ITER, n_rows: int | None = None) -> KSelection:
+    """Silhouette of K = 2..k_max, and the best K (the smallest on ties).
 
     Candidates are fitted and scored on a sample of at most ``sample_size`` rows: one task per K clusters it, one
     job scores all K together.
     """
     spark = df.sparkSession
-    sample = seeded_sample(df.select(vec, *keys), sample_size, keys, seed)
-    ordered = sample.orderBy(sample_key(seed, *keys), *keys)
-    rows = ordered.select(vec).toArrow().combine_chunks()  # at most sample_size rows
+    sample = seeded_sample(df.select(vec, *keys), sample_size, keys, seed, n_rows)
+    rows = sample.select(sample_key(seed, *keys).alias("_h"), vec, *keys).toArrow()  # at most sample_size rows
+    rows = rows.combine_chunks().sort_by([(c, "ascending") for c in ("_h", *keys)])
     points = matrix(rows.column(vec).combine_chunks()).astype(np.float64)
     ks = list(range(K_MIN, min(k_max, len(points)) + 1))
     if not ks:
@@ -196,15 +199,15 @@ def select_k(df: DataFrame, keys: list[str], vec: str = "z", k_max: int = K_MAX,
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         k = int(pdf["k"].iloc[0])
-        labels = _cluster_sample(shared.value, shared.value[:k], max_iter)
-        return pd.DataFrame({"k": [k], "labels": [labels.astype(np.int32)]})
-
-    jobs = spark.createDataFrame([(k,) for k in ks], "k int").repartition(len(ks), "k")
-    fitted = {r["k"]: r["labels"] for r in
-              jobs.groupBy("k").applyInPandas(cluster, "k int, labels array<int>").collect()}
-    names = [f"k{k}" for k in ks]
-    labelled = pa.table({vec: vectors(points), **{f"k{k}": pa.array(fitted[k], pa.int32()) for k in ks}})
-    scores = {r["labeling"]: r["score"] for r in silhouette(spark.createDataFrame(labelled), names, vec).collect()}
+        centroids, labels = _cluster_sample(shared.value, shared.value[:k], max_iter)
+        return pd.DataFrame({"k": [k], "centroids": [centroids.ravel()], "labels": [labels.astype(np.int32)]})
+
+    jobs = spark.createDataFrame(pa.table({"k": pa.array(ks, pa.int32())})).repartition(len(ks), "k")
+    fitted = jobs.groupBy("k").applyInPandas(cluster, "k int, centroids array<double>, labels array<int>").toArrow()
+    fitted = {r["k"]: r for r in fitted.to_pylist()}
+    labelled = {f"k{k}": pa.array(fitted[k]["labels"], pa.int32()) for k in ks}
+    sample = spark.createDataFrame(pa.table({vec: vectors(points), **labelled}))
+    scores = {r["labeling"]: float(r["score"]) for r in silhouette(sample, list(labelled), vec).collect()}
     best = max(ks, key=lambda k: scores[f"k{k}"])
-    table = [(k, float(scores[f"k{k}"]), k == best) for k in ks]
-    return spark.createDataFrame(table, "k int, score double, best boolean"), best
+    table = spark.createDataFrame([(k, scores[f"k{k}"], k == best) for k in ks], "k int, score double, best boolean")
+    return KSelection(table, best, np.array(fitted[best]["centroids"]).reshape(best, -1))

@@ -193,11 +193,12 @@ def predict(series: C.ChunkedSeries, params: Params, keep: list[str] | tuple[str
     keep = list(keep)
     shared = series.table.sparkSession.sparkContext.broadcast(params)
     entering = state_carry(series, params, z0, fanout)
+    z_in_of = entering.reader("z_in")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in C.each_chunk(batches):
             x, p = _inputs(chunk), shared.value
-            z_in = entering.value(chunk, "z_in")
+            z_in = z_in_of(chunk)
             f = project(p, x)
             z, _, _ = C.scan_rows(f["a"], f["u"], z_in)
             velocity = np.linalg.norm(z - _shifted(z, z_in), axis=1)
@@ -269,36 +270,39 @@ def gradient(series: C.ChunkedSeries, params: Params, exact: bool = False,
     shared = sc.broadcast(params)
     n_rows, width = series.n_rows, len(params["A_log"])
     entering = state_carry(series, params, fanout=fanout)
+    z_in_of = entering.reader("z_in")
     chunks = entering.attach(series.table, "z_in").select("chunk", FEATURES, "z_in")
 
     def backward_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in C.each_chunk(batches):
             x, p = _inputs(chunk), shared.value
             f = project(p, x)
-            z, _, _ = C.scan_rows(f["a"], f["u"], entering.value(chunk, "z_in"))
+            z, _, _ = C.scan_rows(f["a"], f["u"], z_in_of(chunk))
             _, product, alone = backward_rows(f["a"], emission_error(p, x, z, n_rows)["e"])
             yield C.pair_batch(chunk["chunk"], product, alone)
 
+    if series.n_chunks <= 1:
+        leaving = C.local_carry(sc, np.zeros((1, width)))
+    else:
+        pairs = C.reversed_pairs(chunks.mapInArrow(backward_pairs, C.PAIR_SCHEMA), series.n_chunks)
+        leaving = C.carries(pairs, series.n_chunks, [0.0] * width, fanout).mirrored(series.n_chunks)
+    y_in_of = leaving.reader("y_in")
+
     def chunk_gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squares, rows, total = 0.0, 0, None
         for chunk in C.each_chunk(batches):
             x, p = _inputs(chunk), shared.value
-            z_in = entering.value(chunk, "z_in")
+            z_in = z_in_of(chunk)
             f = project(p, x)
             z, _, _ = C.scan_rows(f["a"], f["u"], z_in)
             g = emission_error(p, x, z, n_rows)
-            dz, _, _ = backward_rows(f["a"], g["e"], leaving.value(chunk, "y_in"))
+            dz, _, _ = backward_rows(f["a"], g["e"], y_in_of(chunk))
             flat = flatten_params(parameter_gradient(p, x, f, g, z, _shifted(z, z_in), dz, exact))
             total = flat if total is None else total + flat
             squares, rows = squares + g["squares"], rows + len(x)
         if rows:
             yield gradient_batch(squares, rows, total)
 
-    if series.n_chunks <= 1:
-        leaving = C.local_carry(sc, np.zeros((1, width)))
-    else:
-        pairs = C.reversed_pairs(chunks.mapInArrow(backward_pairs, C.PAIR_SCHEMA), series.n_chunks)
-        leaving = C.carries(pairs, series.n_chunks, [0.0] * width, fanout).mirrored(series.n_chunks)
     partials = number_tasks(leaving.attach(chunks, "y_in").mapInArrow(chunk_gradients, GRADIENT_SCHEMA))
     squares, rows, flat = sum_gradients(partials, series.n_chunks)
     return squares / (rows * params["b_out"].size), unflatten_params(flat, params)

@@ -99,25 +99,28 @@ def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(none_if_nan(F.col(c).cast("double")), F.lit(fills[c])) for c in columns})
 
 
-def fit_scalers(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
+def moment_aggregates(columns: list[str]) -> list[Column]:
+    """Per column one struct: values present, finite values, their mean and population variance."""
+    aggs = []
+    for c in columns:
+        v = finite(F.col(c))
+        aggs.append(F.struct(F.count(none_if_nan(F.col(c).cast("double"))).alias("present"), F.count(v).alias("n"),
+                             F.avg(v).alias("mean"), F.var_pop(v).alias("var")).alias(f"moments_{c}"))
+    return aggs
+
+
+def scalers_from(df: DataFrame, columns: list[str], n_rows: int, moments: dict) -> dict[str, dict[str, float]]:
     """Mean, population std (1 when constant) and median fill of each median-filled column.
 
     The filled column is never built: its moments follow from those of the valid values and the fill.
     """
-    if not columns:
-        return {}
-    aggs = [F.count("*").alias("n")]
-    for c in columns:
-        v = finite(F.col(c))
-        aggs.append(F.struct(F.count(none_if_nan(F.col(c).cast("double"))).alias("present"), F.count(v).alias("n"),
-                             F.avg(v).alias("mean"), F.var_pop(v).alias("var")).alias(f"_{c}"))
-    row = df.agg(*aggs).first()
-    quantiles = exact_quantiles(df, columns, [0.5], {c: row[f"_{c}"]["present"] for c in columns})
+    counts = {c: moments[f"moments_{c}"]["present"] for c in columns}
+    quantiles = exact_quantiles(df, columns, [0.5], counts)
     fitted = {}
     for c in columns:
-        s, n = row[f"_{c}"], row["n"]
+        s = moments[f"moments_{c}"]
         fill = quantiles[c][0] if quantiles[c][0] is not None else 0.0
-        filled = n - s["present"]
+        filled = n_rows - s["present"]
         total = s["n"] + filled
         mean = ((s["n"] * s["mean"] if s["n"] else 0.0) + filled * fill) / total if total else 0.0
         spread = filled * (fill - mean) ** 2
@@ -128,6 +131,11 @@ def fit_scalers(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]
     return fitted
 
 
+def fit_scalers(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
+    row = df.agg(F.count("*").alias("n_rows"), *moment_aggregates(columns)).first()
+    return scalers_from(df, columns, row["n_rows"], row)
+
+
 def finite(c: Column) -> Column:
     v = c.cast("double")
     return F.when(F.abs(none_if_nan(v)) < F.lit(float("inf")), v)

@@ -514,7 +514,7 @@ def silhouette(spark, sf_dir):
 @query
 def select_k(spark, sf_dir):
     vecs, _ = seed_rows(spark, sf_dir, 1)
-    return regimes.select_k(vecs, ["vec_id"])[0]
+    return regimes.select_k(vecs, ["vec_id"]).table
 
 
 # -------------------------------------------------------------------------------------- training and the full run
