@@ -25,6 +25,7 @@ from regimeflow.scratch import materialize
 
 CHUNK_ROWS = 65_536
 CHUNK_BYTES = 8 << 20
+MIN_PARTITION_ROWS, PARTITION_BYTES = 8192, 256 << 20
 FANOUT = 4096  # chunk pairs composed together
 BROADCAST_BYTES = 64 << 20
 PAIR_SCHEMA = "chunk long, p array<double>, q array<double>"
@@ -40,17 +41,22 @@ class ChunkedSeries:
     n_chunks: int
 
 
+def partitions_for(n_rows: int, row_bytes: int, setting: int) -> int:
+    """The session's shuffle partitions; fewer for a short series, more where a partition would outgrow its bound."""
+    return max(min(setting, n_rows // MIN_PARTITION_ROWS + 1), -(-n_rows * row_bytes // PARTITION_BYTES))
+
+
 def chunk_rows_for(row_bytes: int) -> int:
     return int(max(1024, min(CHUNK_ROWS, CHUNK_BYTES // max(row_bytes, 1))))
 
 
-def pack_rows(df: DataFrame, order_cols: list[str], columns: list[str], chunk_rows: int = CHUNK_ROWS) -> ChunkedSeries:
+def pack_rows(df: DataFrame, order_cols: list[str], columns: list[str], chunk_rows: int = CHUNK_ROWS,
+              partitions: int | None = None) -> ChunkedSeries:
     """Orders ``df`` and packs ``columns`` into chunks of up to ``chunk_rows`` consecutive rows.
 
-    All shuffle partitions are kept, however small: they are the parallel units of every later pass.
+    Partitions are the parallel units of every later pass; without a number, small neighbours merge at run time.
     """
     extra = [c for c in order_cols if c not in columns]
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = range_sorted(df.select(*columns, *extra), order_cols, partitions)
     ordered = ordered.select(F.spark_partition_id().alias("_part"), *columns)
     fields = [T.StructField("part", T.IntegerType()), T.StructField("local", T.LongType()), T.StructField("n", T.LongType())]

@@ -145,7 +145,7 @@ class ColumnEncoder:
         for p in dated:
             p.year_min, p.year_max = _year_range(profile[f"years_{p.column}"])
         self._fit_text(df, plans, profile["n_rows"])
-        return EncoderModel(df.sparkSession, list(plans.values()), self.order_cols, self.batch_stats)
+        return EncoderModel(df.sparkSession, list(plans.values()), self.order_cols, self.batch_stats, profile["n_rows"])
 
     def _kind(self, f: T.StructField, position: int) -> ColumnPlan:
         if D.is_native_date(f.dataType):
@@ -228,11 +228,13 @@ def _year_range(stats) -> tuple[float, float]:
 
 
 class EncoderModel:
-    def __init__(self, spark: SparkSession, plans: list[ColumnPlan], order_cols: list[str], batch_stats: bool = False):
+    def __init__(self, spark: SparkSession, plans: list[ColumnPlan], order_cols: list[str], batch_stats: bool = False,
+                 fitted_rows: int | None = None):
         self.spark = spark
         self.plans = sorted(plans, key=lambda p: p.position)
         self.order_cols = order_cols
         self.batch_stats = batch_stats
+        self.fitted_rows = fitted_rows
 
     @property
     def feature_names(self) -> list[str]:

@@ -1,9 +1,9 @@
 """Exact order statistics of whole columns, without gathering a column in one task.
 
-A percentile sketch brackets each wanted rank between two values of the column, counting confirms the bracket,
-and the search repeats inside it.  Every round reads the column once, merges fixed-size state, and leaves about
-one five-hundredth of the rows, until few enough remain to sort.  Heavy ties end the search early, because the
-bracket values themselves are counted and then left out.
+A quantile sketch brackets each wanted rank between values of the column, counting confirms the bracket, and the
+search repeats inside it.  Every round reads the columns once, merges fixed-size state, and leaves less than one
+per cent of the rows, until few enough remain to sort.  Heavy ties end the search early, because the bracket
+values themselves are counted and then left out.
 """
 
 from __future__ import annotations
@@ -17,22 +17,27 @@ from pyspark.sql import functions as F
 from regimeflow.functions.vectors import none_if_nan
 
 SORT_LIMIT = 50_000  # rows of one column that a single task may sort
-_SLACK = 1e-3
-_ACCURACY = 10_000
+_SKETCH_K = 4096  # rank error around 0.1 %; a miss only costs another round
+_SLACK = 2e-3
+_BATCH = 8  # column searches per job, which keeps generated code compilable
+
+
+def _value(column: str) -> Column:
+    return none_if_nan(F.col(column).cast("double"))
 
 
 @dataclass
 class _Search:
     column: str
-    rank: int  # 0-based among the column's non-null values
-    rows: int  # values still inside the bracket
-    below: int = 0  # values under the bracket
-    low: float | None = None  # exclusive bounds
+    rank: int  # 0-based among the column's values
+    rows: int  # values strictly between the bounds
+    below: int = 0  # values up to and including the lower bound
+    low: float | None = None
     high: float | None = None
     answer: float | None = None
 
     def inside(self) -> Column:
-        value = none_if_nan(F.col(self.column).cast("double"))
+        value = _value(self.column)
         keep = value.isNotNull()
         if self.low is not None:
             keep = keep & (value > self.low)
@@ -42,7 +47,7 @@ class _Search:
 
 
 def valid_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    aggs = [F.count(none_if_nan(F.col(c).cast("double"))).alias(c) for c in columns]
+    aggs = [F.count(_value(c)).alias(c) for c in columns]
     return df.agg(*aggs).first().asDict()
 
 
@@ -70,53 +75,64 @@ def _by_span(searches: list[_Search]) -> list[list[_Search]]:
     return list(spans.values())
 
 
+def _aggregate(df: DataFrame, aggregates: list[Column], finish=lambda c: c) -> list:
+    """The value of each aggregate, in order."""
+    values = []
+    for at in range(0, len(aggregates), _BATCH):
+        names = {f"v{i}": a for i, a in enumerate(aggregates[at: at + _BATCH])}
+        row = df.agg(*[a.alias(n) for n, a in names.items()]).select(*[finish(F.col(n)).alias(n) for n in names]).first()
+        values += list(row)
+    return values
+
+
 def _sort_remaining(df: DataFrame, searches: list[_Search]) -> None:
     groups = _by_span(searches)
-    aggs = []
-    for group in groups:
+
+    def wanted(group: list[_Search]) -> Column:
         ordered = F.array_sort(F.collect_list(group[0].inside()))  # at most sort_limit values, counted before
-        aggs.append(F.transform(F.array(*[F.lit(s.rank - s.below) for s in group]), lambda i: F.get(ordered, i)))
-    row = df.agg(*[a.alias(f"s{i}") for i, a in enumerate(aggs)]).first()
-    for values, group in zip(row, groups):
+        return F.transform(F.array(*[F.lit(s.rank - s.below) for s in group]), lambda i: F.get(ordered, i))
+
+    for group, values in zip(groups, _aggregate(df, [wanted(g) for g in groups])):
         for s, v in zip(group, values):
             s.answer = v
 
 
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
     groups = _by_span(searches)
+    sketches = _aggregate(df, [F.kll_sketch_agg_double(g[0].inside(), F.lit(_SKETCH_K)) for g in groups])
+    marks = [_bracket_values(df, sketch, g) for sketch, g in zip(sketches, groups)]
+
+    def counts(group: list[_Search], values: list[float]) -> Column:
+        value = _value(group[0].column)
+        return F.array(*[c for v in values for c in (F.count_if(value < v), F.count_if(value == v))])
 
-    def brackets(group: list[_Search]) -> Column:
-        at = {(s.rank - s.below) / max(s.rows - 1, 1) for s in group}
-        ends = {max(0.0, a - _SLACK) for a in at} | {min(1.0, a + _SLACK) for a in at}
-        return F.percentile_approx(group[0].inside(), sorted(ends), _ACCURACY)
-
-    found = df.agg(*[brackets(g).alias(f"b{i}") for i, g in enumerate(groups)]).first()
-    ends = [sorted(set(values)) for values in found]
-    aggs = []
-    for group, values in zip(groups, ends):
-        inside = group[0].inside()
-        aggs.append(F.array(*[f(v) for v in values for f in (
-            lambda v: F.count_if(inside < v), lambda v: F.count_if(inside == v))]))
-    counted = df.agg(*[a.alias(f"n{i}") for i, a in enumerate(aggs)]).first()
-    for group, values, numbers in zip(groups, ends, counted):
-        marks = [(v, numbers[2 * j], numbers[2 * j + 1]) for j, v in enumerate(values)]  # value, rows below, rows equal
+    counted = _aggregate(df, [counts(g, v) for g, v in zip(groups, marks)])
+    for group, values, numbers in zip(groups, marks, counted):
+        ranked = [(v, numbers[2 * j], numbers[2 * j + 1]) for j, v in enumerate(values)]
         for s in group:
-            _settle(s, marks)
+            _settle(s, ranked)
+
+
+def _bracket_values(df: DataFrame, sketch: bytes, group: list[_Search]) -> list[float]:
+    """Column values a little under and over each wanted rank."""
+    at = {(s.rank - s.below) / max(s.rows - 1, 1) for s in group}
+    shares = {max(0.0, a - _SLACK) for a in at} | {min(1.0, a + _SLACK) for a in at}
+    quantiles = [F.kll_sketch_get_quantile_double(F.lit(sketch), F.lit(p)) for p in sorted(shares)]
+    return sorted(set(df.sparkSession.range(1).select(F.array(*quantiles)).first()[0]))
 
 
 def _settle(s: _Search, marks: list[tuple[float, int, int]]) -> None:
-    """Answers the search, or keeps the gap between the two marks around its rank."""
-    at = s.rank - s.below
-    under, upper = 0, s.rows
+    """From (value, values below it, values equal to it): answers the search, or closes in on its rank."""
+    high, upper = s.high, s.below + s.rows
     for value, less, equal in marks:
-        if at < less:
-            s.high, upper = value, less
+        if s.rank < less:
+            high, upper = value, less
             break
-        if at < less + equal:
+        if s.rank < less + equal:
             s.answer = value
             return
-        s.low, under = value, less + equal
-    s.below, s.rows = s.below + under, upper - under
+        s.low, s.below = value, less + equal
+    s.high, s.rows = high, upper - s.below
 
 
 def exact_quantiles(
@@ -127,7 +143,9 @@ def exact_quantiles(
     sort_limit: int = SORT_LIMIT,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, nulls and NaN skipped; None for a column without values."""
-    counts = counts or valid_counts(df, columns)
+    if not columns:
+        return {}
+    counts = valid_counts(df, columns) if counts is None else counts
     wanted = set()
     for c in columns:
         for p in probs:

@@ -151,10 +151,16 @@ def backward_rows(a: np.ndarray, e: np.ndarray, entering: np.ndarray | None = No
 FEATURES = "features"
 
 
-def pack_features(df: DataFrame, order_cols: list[str], keep: list[str], width: int,
-                  chunk_rows: int | None = None, features: str = FEATURES) -> C.ChunkedSeries:
-    rows = chunk_rows or C.chunk_rows_for(width * 4)
-    return C.pack_rows(df, order_cols, [features, *[k for k in keep if k != features]], rows)
+def pack_features(df: DataFrame, order_cols: list[str], keep: list[str], width: int, chunk_rows: int | None = None,
+                  n_rows: int | None = None) -> C.ChunkedSeries:
+    """The feature column and kept columns as a chunked series; a known row count sizes the partitions."""
+    row_bytes = width * 4
+    partitions = None
+    if n_rows is not None:
+        setting = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = C.partitions_for(n_rows, row_bytes, setting)
+    rows = chunk_rows or C.chunk_rows_for(row_bytes)
+    return C.pack_rows(df, order_cols, [FEATURES, *[k for k in keep if k != FEATURES]], rows, partitions)
 
 
 def _inputs(chunk: dict) -> np.ndarray:

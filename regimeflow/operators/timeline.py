@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regimeflow.functions.dates import week_ending_sunday
@@ -13,17 +13,20 @@ DAILY_LIMIT = 2000  # fixed value: a longer calendar is shown by week
 
 def timeline_daily(scored: DataFrame, time_col: str) -> DataFrame:
     """Per day the highest score and the most common regime (the lowest one on ties)."""
-    dated = drop_bad_dates(scored, time_col)
-    return dated.groupBy("date").agg(
-        F.max("shock_score").alias("shock_score"), F.mode("regime", deterministic=True).alias("regime")
-    )
+    return _top_and_mode(drop_bad_dates(scored, time_col), F.col("date"))
+
+
+def _top_and_mode(df: DataFrame, period: Column) -> DataFrame:
+    """Counted per period and regime first: a busy day shrinks to one row per regime before it is shuffled."""
+    per_regime = df.groupBy(period.alias("date"), "regime").agg(
+        F.max("shock_score").alias("top"), F.count("regime").alias("n"))
+    return per_regime.groupBy("date").agg(
+        F.max("top").alias("shock_score"), F.max_by("regime", F.struct("n", -F.col("regime"))).alias("regime"))
 
 
 def timeline_weekly(daily: DataFrame) -> DataFrame:
     """Weeks labelled by their Sunday, from the daily table; a week without days has a null score and regime 0."""
-    weeks = daily.groupBy(week_ending_sunday(F.col("date")).alias("date")).agg(
-        F.max("shock_score").alias("shock_score"), F.mode("regime", deterministic=True).alias("regime")
-    )
+    weeks = _top_and_mode(daily, week_ending_sunday(F.col("date")))
     calendar = weeks.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).select(
         F.explode(F.expr("sequence(lo, hi, interval 7 days)")).alias("date")
     )

@@ -520,23 +520,23 @@ def select_k(spark, sf_dir):
 # -------------------------------------------------------------------------------------- training and the full run
 
 @lru_cache(maxsize=4)
-def encoded_events(spark, sf_dir) -> tuple[DataFrame, int]:
+def encoded_events(spark, sf_dir) -> tuple[DataFrame, E.EncoderModel]:
     events = table(spark, sf_dir, "events")
     model = event_encoder().fit(events)
-    return model.transform(events).select(*EVENT_ORDER, S.FEATURES), model.n_features
+    return model.transform(events).select(*EVENT_ORDER, S.FEATURES), model
 
 
 @lru_cache(maxsize=4)
 def trained_full(spark, sf_dir) -> TR.Trained:
-    encoded, width = encoded_events(spark, sf_dir)
-    series = S.pack_features(encoded, EVENT_ORDER, [], width)
-    return TR.train_full(series, S.init_params(width, 4), 5, TR.Adam(lr=1e-2))
+    encoded, model = encoded_events(spark, sf_dir)
+    series = S.pack_features(encoded, EVENT_ORDER, [], model.n_features, n_rows=model.fitted_rows)
+    return TR.train_full(series, S.init_params(model.n_features, 4), 5, TR.Adam(lr=1e-2))
 
 
 @lru_cache(maxsize=4)
 def trained_windowed(spark, sf_dir) -> TR.Trained:
-    encoded, width = encoded_events(spark, sf_dir)
-    return TR.train_windowed(TR.pack_windows(encoded, EVENT_ORDER), S.init_params(width, 4), 2, TR.Adam(lr=1e-2))
+    encoded, model = encoded_events(spark, sf_dir)
+    return TR.train_windowed(TR.pack_windows(encoded, EVENT_ORDER), S.init_params(model.n_features, 4), 2, TR.Adam(lr=1e-2))
 
 
 @query
@@ -564,6 +564,12 @@ def param_norms(spark, sf_dir):
     return stats.param_norms(S.params_table(spark, trained_full(spark, sf_dir).params))
 
 
+def forget() -> None:
+    """Drops fitted models shared between queries, so the next query does its own work."""
+    for memo in (encoded_events, trained_full, trained_windowed, event_model, event_scores):
+        memo.cache_clear()
+
+
 def event_detector() -> ShockDetector:
     return ShockDetector(EVENT_ORDER, "ts", "event_type", latent_dim=4, max_k=6, n_iter=5, lr=1e-2,
                          ohe_threshold=0.15, exclude=("event_id",), windowed=True)

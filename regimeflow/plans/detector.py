@@ -94,7 +94,8 @@ class ShockDetector(Estimator):
     def _fit(self, dataset: DataFrame) -> ShockModel:
         encoder = self.encoder().fit(dataset)
         encoded = encoder.transform(dataset).select(*self.order_cols, S.FEATURES)
-        series = S.pack_features(encoded, self.order_cols, [], encoder.n_features, self.chunk_rows)
+        series = S.pack_features(encoded, self.order_cols, [], encoder.n_features, self.chunk_rows,
+                                 encoder.fitted_rows)
         params = S.init_params(encoder.n_features, self.latent_dim, self.d_inner, self.seed)
         optimizer = TR.Adam(lr=self.lr)
         if self.windowed and series.n_rows > self.window_size:

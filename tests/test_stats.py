@@ -61,7 +61,7 @@ def test_activations_and_their_identity(spark):
     for name, values in want.items():
         np.testing.assert_allclose(got[name], values, atol=1e-12)
     h = 1e-6  # d softplus = sigmoid
-    inner = spark.createDataFrame([(v,) for v in np.linspace(-5, 5, 21)], "x double")
+    inner = spark.createDataFrame([(float(v),) for v in np.linspace(-5, 5, 21)], "x double")
     slope = (act.softplus(F.col("x") + h) - act.softplus(F.col("x") - h)) / (2 * h)
     assert inner.select(F.max(F.abs(slope - act.sigmoid(F.col("x"))))).first()[0] < 1e-6
 
