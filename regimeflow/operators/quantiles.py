@@ -9,6 +9,7 @@ values themselves are counted and then left out.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from regimeflow.functions.vectors import none_if_nan
 
-SORT_LIMIT = 50_000  # rows of one column that a single task may sort
+SORT_LIMIT = 200_000  # rows of one column that a single task may sort
 _SKETCH_K = 4096  # rank error around 0.1 %; a miss only costs another round
 _SLACK = 2e-3
 _BATCH = 8  # column searches per job, which keeps generated code compilable
@@ -75,32 +76,43 @@ def _by_span(searches: list[_Search]) -> list[list[_Search]]:
     return list(spans.values())
 
 
-def _aggregate(df: DataFrame, aggregates: list[Column], finish=lambda c: c) -> list:
-    """The value of each aggregate, in order."""
+def _aggregate(df: DataFrame, aggregates: list[Column], finish: list[Callable[[Column], Column]] | None = None) -> list:
+    """The value of each aggregate, in order, after an optional step on the single aggregated row."""
     values = []
     for at in range(0, len(aggregates), _BATCH):
-        names = {f"v{i}": a for i, a in enumerate(aggregates[at: at + _BATCH])}
-        row = df.agg(*[a.alias(n) for n, a in names.items()]).select(*[finish(F.col(n)).alias(n) for n in names]).first()
-        values += list(row)
+        batch = range(at, min(at + _BATCH, len(aggregates)))
+        row = df.agg(*[aggregates[i].alias(f"v{i}") for i in batch])
+        if finish:
+            row = row.select(*[finish[i](F.col(f"v{i}")).alias(f"v{i}") for i in batch])
+        values += list(row.first())
     return values
 
 
 def _sort_remaining(df: DataFrame, searches: list[_Search]) -> None:
     groups = _by_span(searches)
 
-    def wanted(group: list[_Search]) -> Column:
-        ordered = F.array_sort(F.collect_list(group[0].inside()))  # at most sort_limit values, counted before
-        return F.transform(F.array(*[F.lit(s.rank - s.below) for s in group]), lambda i: F.get(ordered, i))
+    def pick(group: list[_Search]) -> Callable[[Column], Column]:
+        return lambda ordered: F.array(*[F.get(ordered, F.lit(s.rank - s.below)) for s in group])
 
-    for group, values in zip(groups, _aggregate(df, [wanted(g) for g in groups])):
+    # At most sort_limit values per list, counted before.
+    lists = [F.sort_array(F.collect_list(g[0].inside())) for g in groups]
+    for group, values in zip(groups, _aggregate(df, lists, [pick(g) for g in groups])):
         for s, v in zip(group, values):
             s.answer = v
 
 
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
     groups = _by_span(searches)
-    sketches = _aggregate(df, [F.kll_sketch_agg_double(g[0].inside(), F.lit(_SKETCH_K)) for g in groups])
-    marks = [_bracket_values(df, sketch, g) for sketch, g in zip(sketches, groups)]
+
+    def bracket(group: list[_Search]) -> Callable[[Column], Column]:
+        """Column values a little under and over each wanted rank."""
+        at = {(s.rank - s.below) / max(s.rows - 1, 1) for s in group}
+        shares = {max(0.0, a - _SLACK) for a in at} | {min(1.0, a + _SLACK) for a in at}
+        shares = sorted({round(s, 6) for s in shares})
+        return lambda sketch: F.array(*[F.kll_sketch_get_quantile_double(sketch, F.lit(s)) for s in shares])
+
+    sketches = [F.kll_sketch_agg_double(g[0].inside(), F.lit(_SKETCH_K)) for g in groups]
+    marks = [sorted(set(v)) for v in _aggregate(df, sketches, [bracket(g) for g in groups])]
 
     def counts(group: list[_Search], values: list[float]) -> Column:
         value = _value(group[0].column)
@@ -113,14 +125,6 @@ def _narrow(df: DataFrame, searches: list[_Search]) -> None:
             _settle(s, ranked)
 
 
-def _bracket_values(df: DataFrame, sketch: bytes, group: list[_Search]) -> list[float]:
-    """Column values a little under and over each wanted rank."""
-    at = {(s.rank - s.below) / max(s.rows - 1, 1) for s in group}
-    shares = {max(0.0, a - _SLACK) for a in at} | {min(1.0, a + _SLACK) for a in at}
-    quantiles = [F.kll_sketch_get_quantile_double(F.lit(sketch), F.lit(p)) for p in sorted(shares)]
-    return sorted(set(df.sparkSession.range(1).select(F.array(*quantiles)).first()[0]))
-
-
 def _settle(s: _Search, marks: list[tuple[float, int, int]]) -> None:
     """From (value, values below it, values equal to it): answers the search, or closes in on its rank."""
     high, upper = s.high, s.below + s.rows

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+ROW_GROUP_CHECK = 4  # rows between size checks: packed rows are large, so row groups must be closed early
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -34,7 +35,7 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     """Write ``df`` to scratch and return the written table."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    writer = df.write
+    writer = df.write.option("parquet.page.size.row.check.min", ROW_GROUP_CHECK)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import csv
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -54,12 +57,14 @@ def _suffix(path: str) -> str:
     return os.path.splitext(path.rstrip("/"))[1].lower()
 
 
-def _require_path(spark: SparkSession, path: str) -> None:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    matches = fs.globStatus(hadoop_path)
-    if not matches:
-        raise FileNotFoundError(f"no such path: {path}")
+@contextmanager
+def _missing_as_file_not_found(path: str) -> Iterator[None]:
+    try:
+        yield
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no such path: {path}") from None
+        raise
 
 
 def detect_header(spark: SparkSession, path: str, sep: str) -> tuple[bool, int]:
@@ -86,22 +91,21 @@ def read_events(
     suffix = _suffix(path)
     if suffix not in (".parquet", ".csv", ".tsv"):
         raise ValueError(f"unsupported file type {suffix!r}: use .parquet, .csv or .tsv")
-    _require_path(spark, path)
-    if suffix == ".parquet":
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        return reader.parquet(path)
-
-    sep = sep or ("\t" if suffix == ".tsv" else ",")
-    if header is None:
-        header, _ = detect_header(spark, path, sep)
-    reader = spark.read.option("sep", sep).option("header", header)
-    if schema is not None:
-        reader = reader.schema(schema)
-    elif not header:
-        reader = reader.schema(event_schema())
-    else:
-        reader = reader.option("inferSchema", True)
-    return reader.csv(path)
+    with _missing_as_file_not_found(path):
+        if suffix == ".parquet":
+            reader = spark.read if schema is None else spark.read.schema(schema)
+            return reader.parquet(path)
+        sep = sep or ("\t" if suffix == ".tsv" else ",")
+        if header is None:
+            header, _ = detect_header(spark, path, sep)
+        reader = spark.read.option("sep", sep).option("header", header)
+        if schema is not None:
+            reader = reader.schema(schema)
+        elif not header:
+            reader = reader.schema(event_schema())
+        else:
+            reader = reader.option("inferSchema", True)
+        return reader.csv(path)
 
 
 def assign_names(df: DataFrame, names: list[str] = EVENT_COLUMNS) -> DataFrame:
