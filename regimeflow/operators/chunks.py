@@ -24,10 +24,10 @@ from regimeflow.operators.ordering import partition_offsets, range_sorted, with_
 from regimeflow.scratch import materialize
 
 CHUNK_ROWS = 65_536
-CHUNK_BYTES = 8 << 20
+PACKED_ROWS, PACKED_BYTES = 1 << 20, 32 << 20  # bounds of a chunk that is worked through in slices
 MIN_PARTITION_ROWS, PARTITION_BYTES = 8192, 256 << 20
 FANOUT = 4096  # chunk pairs composed together
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 128 << 20
 PAIR_SCHEMA = "chunk long, p array<double>, q array<double>"
 CARRY_SCHEMA = "chunk long, carry array<double>"
 
@@ -47,7 +47,7 @@ def partitions_for(n_rows: int, row_bytes: int, setting: int) -> int:
 
 
 def chunk_rows_for(row_bytes: int) -> int:
-    return int(max(1024, min(CHUNK_ROWS, CHUNK_BYTES // max(row_bytes, 1))))
+    return int(max(1024, min(PACKED_ROWS, PACKED_BYTES // max(row_bytes, 1))))
 
 
 def pack_rows(df: DataFrame, order_cols: list[str], columns: list[str], chunk_rows: int = CHUNK_ROWS,
@@ -299,8 +299,9 @@ def vectors(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(m, dtype=np.float64).reshape(-1)))
 
 
-def row_batch(chunk: dict, keys: list[str], computed: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The chunk's rows again: seq, passed-through keys, computed columns."""
-    seq = pa.array(np.arange(chunk["n"], dtype=np.int64) + chunk["first_seq"])
-    return pa.RecordBatch.from_arrays([seq, *[chunk[k] for k in keys], *computed.values()],
+def row_batch(chunk: dict, keys: list[str], computed: dict[str, pa.Array], at: int = 0, n: int | None = None) -> pa.RecordBatch:
+    """Rows ``at`` .. ``at + n`` of the chunk again: seq, passed-through keys, computed columns."""
+    n = chunk["n"] if n is None else n
+    seq = pa.array(np.arange(n, dtype=np.int64) + chunk["first_seq"] + at)
+    return pa.RecordBatch.from_arrays([seq, *[chunk[k].slice(at, n) for k in keys], *computed.values()],
                                       ["seq", *keys, *computed])

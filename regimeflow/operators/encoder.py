@@ -147,6 +147,9 @@ class ColumnEncoder:
         self._fit_text(df, plans, profile["n_rows"])
         return EncoderModel(df.sparkSession, list(plans.values()), self.order_cols, self.batch_stats, profile["n_rows"])
 
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        return self.fit(df).transform(df)
+
     def _kind(self, f: T.StructField, position: int) -> ColumnPlan:
         if D.is_native_date(f.dataType):
             return ColumnPlan(f.name, position, "datetime", D.NATIVE)

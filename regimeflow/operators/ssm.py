@@ -25,6 +25,7 @@ from regimeflow.operators import chunks as C
 PARAM_NAMES = ["A_log", "W_in", "b_in", "W_dt", "b_dt", "W_B", "W_C", "W_out", "b_out"]
 WEIGHT_STD, A_LOG_RANGE, GATE_BIAS, A_EPS = 0.1, (-1.0, -0.1), 0.5, 1e-8
 D_STATE, MIN_INNER = 16, 32
+SLICE_ROWS = 32_768  # rows of a chunk held in wide form at a time
 
 PARAM_SCHEMA = "name string, shape array<int>, data array<double>, m array<double>, v array<double>, t int"
 Params = dict[str, np.ndarray]
@@ -164,18 +165,45 @@ def pack_features(df: DataFrame, order_cols: list[str], keep: list[str], width:
 
 
 def _inputs(chunk: dict) -> np.ndarray:
-    return C.matrix(chunk[FEATURES]).astype(np.float64)
+    return C.matrix(chunk[FEATURES])
+
+
+def forward_slices(p: Params, x: np.ndarray, z_in: np.ndarray, size: int):
+    """Works through a chunk in slices, so its wide intermediates never exist as a whole.
+
+    Yields (first row, inputs, projections, states, state entering the slice).
+    """
+    for at in range(0, len(x), size):
+        part = x[at: at + size].astype(np.float64)
+        f = project(p, part)
+        z, _, _ = C.scan_rows(f["a"], f["u"], z_in)
+        yield at, part, f, z, z_in
+        z_in = z[-1]
+
+
+def backward_slices(p: Params, x: np.ndarray, z_in: np.ndarray, size: int):
+    """The same from the last slice to the first.  Only the states entering the slices are kept in between."""
+    last = (len(x) - 1) // size * size
+    entering = {0: z_in}
+    for at, _, _, z, _ in forward_slices(p, x[:last], z_in, size):
+        entering[at + size] = z[-1]
+    for at in range(last, -1, -size):
+        yield from forward_slices(p, x[at: at + size], entering[at], size)
 
 
 def state_pairs(series: C.ChunkedSeries, params: Params) -> DataFrame:
     """The forward ``(p, q)`` of every chunk."""
     shared = series.table.sparkSession.sparkContext.broadcast(params)
 
+    size = SLICE_ROWS
+
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in C.each_chunk(batches):
-            f = project(shared.value, _inputs(chunk))
-            _, p, q = C.scan_rows(f["a"], f["u"])
-            yield C.pair_batch(chunk["chunk"], p, q)
+            width = len(shared.value["A_log"])
+            product, z = np.ones(width), np.zeros(width)
+            for _, _, f, states, _ in forward_slices(shared.value, _inputs(chunk), z, size):
+                product, z = product * f["a"].prod(axis=0), states[-1]
+            yield C.pair_batch(chunk["chunk"], product, z)
 
     return series.table.select("chunk", FEATURES).mapInArrow(summarise, C.PAIR_SCHEMA)
 
@@ -201,21 +229,21 @@ def predict(series: C.ChunkedSeries, params: Params, keep: list[str] | tuple[str
     entering = state_carry(series, params, z0, fanout)
     z_in_of = entering.reader("z_in")
 
+    size = SLICE_ROWS
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in C.each_chunk(batches):
-            x, p = _inputs(chunk), shared.value
-            z_in = z_in_of(chunk)
-            f = project(p, x)
-            z, _, _ = C.scan_rows(f["a"], f["u"], z_in)
-            velocity = np.linalg.norm(z - _shifted(z, z_in), axis=1)
-            if chunk["first_seq"] == 0:
-                velocity[0] = 0.0
-            _, recon = emit(p, z)
-            out = {"z": C.vectors(z), "delta": pa.array(f["dt"]), "velocity": pa.array(velocity),
-                   "recon_error": pa.array(((x - recon) ** 2).mean(axis=1))}
-            if with_recon:
-                out["recon"] = C.vectors(recon)
-            yield C.row_batch(chunk, keep, out)
+            p = shared.value
+            for at, x, f, z, before in forward_slices(p, _inputs(chunk), z_in_of(chunk), size):
+                velocity = np.linalg.norm(z - _shifted(z, before), axis=1)
+                if chunk["first_seq"] + at == 0:
+                    velocity[0] = 0.0
+                _, recon = emit(p, z)
+                out = {"z": C.vectors(z), "delta": pa.array(f["dt"]), "velocity": pa.array(velocity),
+                       "recon_error": pa.array(((x - recon) ** 2).mean(axis=1))}
+                if with_recon:
+                    out["recon"] = C.vectors(recon)
+                yield C.row_batch(chunk, keep, out, at, len(x))
 
     fields = [T.StructField("seq", T.LongType())]
     fields += [T.StructField(k, series.table.schema[k].dataType.elementType) for k in keep]
@@ -231,11 +259,15 @@ def predict(series: C.ChunkedSeries, params: Params, keep: list[str] | tuple[str
 def gate_projection(series: C.ChunkedSeries, params: Params, keep: list[str]) -> DataFrame:
     """Per row the gate ``delta``, the decay ``a`` and the injection ``u``."""
     shared = series.table.sparkSession.sparkContext.broadcast(params)
+    size = SLICE_ROWS
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in C.each_chunk(batches):
-            f = project(shared.value, _inputs(chunk))
-            yield C.row_batch(chunk, keep, {"delta": pa.array(f["dt"]), "a": C.vectors(f["a"]), "u": C.vectors(f["u"])})
+            x = _inputs(chunk)
+            for at in range(0, len(x), size):
+                f = project(shared.value, x[at: at + size].astype(np.float64))
+                out = {"delta": pa.array(f["dt"]), "a": C.vectors(f["a"]), "u": C.vectors(f["u"])}
+                yield C.row_batch(chunk, keep, out, at, len(f["dt"]))
 
     fields = [T.StructField("seq", T.LongType())]
     fields += [T.StructField(k, series.table.schema[k].dataType.elementType) for k in keep]
@@ -279,13 +311,15 @@ def gradient(series: C.ChunkedSeries, params: Params, exact: bool = False,
     z_in_of = entering.reader("z_in")
     chunks = entering.attach(series.table, "z_in").select("chunk", FEATURES, "z_in")
 
+    size = SLICE_ROWS
+
     def backward_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in C.each_chunk(batches):
-            x, p = _inputs(chunk), shared.value
-            f = project(p, x)
-            z, _, _ = C.scan_rows(f["a"], f["u"], z_in_of(chunk))
-            _, product, alone = backward_rows(f["a"], emission_error(p, x, z, n_rows)["e"])
-            yield C.pair_batch(chunk["chunk"], product, alone)
+            p, product, y = shared.value, np.ones(width), np.zeros(width)
+            for _, x, f, z, _ in backward_slices(p, _inputs(chunk), z_in_of(chunk), size):
+                _, decay, alone = backward_rows(f["a"], emission_error(p, x, z, n_rows)["e"])
+                product, y = product * decay, decay * y + alone
+            yield C.pair_batch(chunk["chunk"], product, y)
 
     if series.n_chunks <= 1:
         leaving = C.local_carry(sc, np.zeros((1, width)))
@@ -297,15 +331,14 @@ def gradient(series: C.ChunkedSeries, params: Params, exact: bool = False,
     def chunk_gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squares, rows, total = 0.0, 0, None
         for chunk in C.each_chunk(batches):
-            x, p = _inputs(chunk), shared.value
-            z_in = z_in_of(chunk)
-            f = project(p, x)
-            z, _, _ = C.scan_rows(f["a"], f["u"], z_in)
-            g = emission_error(p, x, z, n_rows)
-            dz, _, _ = backward_rows(f["a"], g["e"], y_in_of(chunk))
-            flat = flatten_params(parameter_gradient(p, x, f, g, z, _shifted(z, z_in), dz, exact))
-            total = flat if total is None else total + flat
-            squares, rows = squares + g["squares"], rows + len(x)
+            p, y = shared.value, y_in_of(chunk)
+            for _, x, f, z, before in backward_slices(p, _inputs(chunk), z_in_of(chunk), size):
+                g = emission_error(p, x, z, n_rows)
+                dz, decay, alone = backward_rows(f["a"], g["e"], y)
+                y = decay * y + alone
+                flat = flatten_params(parameter_gradient(p, x, f, g, z, _shifted(z, before), dz, exact))
+                total = flat if total is None else total + flat
+                squares, rows = squares + g["squares"], rows + len(x)
         if rows:
             yield gradient_batch(squares, rows, total)
 

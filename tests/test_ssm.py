@@ -26,8 +26,9 @@ def test_init_shapes_and_ranges():
     assert list(p) == S.PARAM_NAMES and (p["A_log"] >= -1).all() and (p["A_log"] <= -0.1).all() and p["b_dt"] == [0.5]
 
 
-@pytest.mark.parametrize("chunk_rows,fanout", [(1000, 4096), (7, 4096), (7, 4), (1, 6)])
-def test_predict_equals_the_row_loop(spark, case, chunk_rows, fanout):
+@pytest.mark.parametrize("chunk_rows,fanout,slice_rows", [(1000, 4096, 1000), (7, 4096, 1000), (7, 4, 1000), (1, 6, 1000), (30, 4096, 4)])
+def test_predict_equals_the_row_loop(spark, case, monkeypatch, chunk_rows, fanout, slice_rows):
+    monkeypatch.setattr(S, "SLICE_ROWS", slice_rows)
     x, p = case
     want = brute.forward(p, x)
     got = S.predict(series_of(spark, x, chunk_rows), p, ["row"], with_recon=True, fanout=fanout).orderBy("seq").toPandas()
@@ -49,8 +50,9 @@ def test_state_can_be_carried_in(spark, case):
     np.testing.assert_allclose(np.array(tail.z.tolist()), whole[70:], atol=1e-12)
 
 
-@pytest.mark.parametrize("chunk_rows,fanout", [(1000, 4096), (16, 4096), (7, 4)])
-def test_gradient(spark, case, chunk_rows, fanout):
+@pytest.mark.parametrize("chunk_rows,fanout,slice_rows", [(1000, 4096, 1000), (16, 4096, 1000), (7, 4, 1000), (1000, 4096, 7), (30, 4096, 8)])
+def test_gradient(spark, case, monkeypatch, chunk_rows, fanout, slice_rows):
+    monkeypatch.setattr(S, "SLICE_ROWS", slice_rows)
     x, p = case
     loss, grads = S.gradient(series_of(spark, x, chunk_rows), p, fanout=fanout)
     assert loss == pytest.approx(brute.loss(p, x) / x.shape[1], abs=1e-12)
@@ -128,6 +130,7 @@ def test_gate_projection(spark, case):
     x, p = case
     got = S.gate_projection(series_of(spark, x, 16), p, ["row"]).orderBy("row").toPandas()
     want = brute.forward(p, x)
+    assert len(got) == 120
     np.testing.assert_allclose(np.array(got.a.tolist()), want["a"], atol=1e-12)
     np.testing.assert_allclose(np.array(got.u.tolist()), want["u"], atol=1e-12)
 
