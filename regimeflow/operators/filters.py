@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regimeflow.functions.dates import is_native_date, parse_any
-from regimeflow.operators.ordering import assign_seq
+from regimeflow.operators.ordering import number_rows
 
 HIGH_SHOCK, TIMELINE_SHOCK = 0.8, 0.75  # fixed values
 
@@ -34,8 +34,8 @@ def split_by_date(df: DataFrame, time_col: str, cutoff: str) -> tuple[DataFrame,
 
 def split_by_fraction(df: DataFrame, order_cols: list[str], fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """First ``int(n * fraction)`` rows in time order, and the rest; both keep ``seq``."""
-    ordered = assign_seq(df, order_cols)
-    cut = math.floor(ordered.count() * fraction)
+    ordered, n_rows = number_rows(df, order_cols)
+    cut = math.floor(n_rows * fraction)
     return ordered.where(F.col("seq") < cut), ordered.where(F.col("seq") >= cut)
 
 

@@ -56,8 +56,8 @@ def with_offset(table: DataFrame, offsets: dict[int, int], into: str) -> DataFra
     return table.join(F.broadcast(rows), "part")  # one small row per partition
 
 
-def assign_seq(df: DataFrame, order_cols: list[str], validate: bool = False) -> DataFrame:
-    """Adds ``seq``: dense, 0-based, following ``order_cols``.
+def number_rows(df: DataFrame, order_cols: list[str], validate: bool = False) -> tuple[DataFrame, int]:
+    """(``df`` with ``seq``: dense, 0-based, following ``order_cols``; number of rows).
 
     ``order_cols`` should identify a row; rows that share all of them keep an arbitrary relative order.
     ``validate`` raises when they do not.  One range shuffle, one written table, no global window.
@@ -70,9 +70,13 @@ def assign_seq(df: DataFrame, order_cols: list[str], validate: bool = False) ->
         .withColumn("pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
     )
     table = materialize(placed, "ordered")
-    offsets, _ = partition_offsets(table, n=F.count("*"))["n"]
+    offsets, n_rows = partition_offsets(table, n=F.count("*"))["n"]
     numbered = with_offset(table, offsets, "_offset").withColumn("seq", F.col("_offset") + F.col("pos"))
-    return numbered.drop("part", "pos", "_offset")
+    return numbered.drop("part", "pos", "_offset"), n_rows
+
+
+def assign_seq(df: DataFrame, order_cols: list[str], validate: bool = False) -> DataFrame:
+    return number_rows(df, order_cols, validate)[0]
 
 
 def sort_by_time(df: DataFrame, order_cols: list[str]) -> DataFrame:
@@ -141,11 +145,12 @@ def window_ids(seq: Column, n_rows: int, size: int, stride: int) -> Column:
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
 
-def sliding_windows(df: DataFrame, size: int, stride: int | None = None, seq: str = "seq") -> DataFrame:
+def sliding_windows(df: DataFrame, size: int, stride: int | None = None, seq: str = "seq", n_rows: int | None = None) -> DataFrame:
     """One copy of a row per window that holds it, tagged ``window_id``; the stride defaults to half a window."""
     stride = stride or size // 2
-    top = df.agg(F.max(seq)).first()[0]
-    n_rows = 0 if top is None else top + 1
+    if n_rows is None:
+        top = df.agg(F.max(seq)).first()[0]
+        n_rows = 0 if top is None else top + 1
     return df.withColumn("window_id", F.explode(window_ids(F.col(seq), n_rows, size, stride)))
 
 

@@ -154,8 +154,8 @@ def ffill_dates(spark, sf_dir):
 
 @query
 def sliding_windows(spark, sf_dir):
-    ordered = ordering.assign_seq(table(spark, sf_dir, "events").select(*EVENT_ORDER, "value"), EVENT_ORDER)
-    windows = ordering.sliding_windows(ordered, 512, 200)
+    ordered, n_rows = ordering.number_rows(table(spark, sf_dir, "events").select(*EVENT_ORDER, "value"), EVENT_ORDER)
+    windows = ordering.sliding_windows(ordered, 512, 200, n_rows=n_rows)
     return windows.groupBy("window_id").agg(
         F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
         rounded(F.sum("value"), 4).alias("total"))

@@ -120,7 +120,7 @@ def test_grouped_windows_average_their_gradients(spark):
     x = np.random.default_rng(3).normal(size=(64, 4)).astype(np.float32).astype(float)
     p = S.init_params(4, 3, 5)
     windows = TR.pack_windows(feature_rows(spark, x), ["row"], 16, windows_per_step=100)
-    loss, grads = TR.window_gradient(windows.table, p, 16, windows.n_windows, exact=True)
+    loss, grads = TR.window_gradient(windows.table, p, 16, windows.n_windows, 7, exact=True)
     parts = [x[s:s + 16] for s in range(0, 49, 8)]
     assert loss == pytest.approx(np.mean([brute.loss(p, w) / 4 for w in parts]))
     np.testing.assert_allclose(grads["W_B"], np.mean([brute.finite_difference(p, w, "W_B") for w in parts], axis=0), atol=1e-7)
