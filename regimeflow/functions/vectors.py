@@ -42,12 +42,21 @@ def nearest_index(dists: Column) -> Column:
     return (F.array_position(dists, F.array_min(dists)) - 1).cast("int")
 
 
-def softmax_of_distance(dists: Column, temperature: float) -> Column:
-    """softmax(-temperature * distance), shifted by the smallest distance for stability."""
-    lowest = F.array_min(dists)
-    weights = F.transform(dists, lambda d: F.exp(F.lit(-float(temperature)) * (d - lowest)))
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
-    return F.transform(weights, lambda w: w / total)
+def distance_weights(dists: Column, temperature: float) -> Column:
+    """exp(-temperature * distance), shifted by the smallest distance for stability.
+
+    The minimum is found in the fold and used in its last step, so it is not evaluated per element.
+    """
+    return F.aggregate(
+        dists, F.lit(float("inf")), lambda low, d: F.least(low, d),
+        lambda low: F.transform(dists, lambda d: F.exp(F.lit(-float(temperature)) * (d - low))))
+
+
+def normalised(weights: Column) -> Column:
+    """Weights divided by their sum, which is likewise evaluated once."""
+    return F.aggregate(
+        weights, F.lit(0.0), lambda acc, w: acc + w,
+        lambda total: F.transform(weights, lambda w: w / total))
 
 
 def none_if_nan(x: Column) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimeflow.functions.vectors import distances_to, nearest_index, softmax_of_distance
+from regimeflow.functions.vectors import distance_weights, distances_to, nearest_index, normalised
 from regimeflow.operators.chunks import matrix, vectors
 from regimeflow.operators.sampling import sample_key, seeded_sample
 
@@ -80,11 +80,16 @@ class Regimes:
         return len(self.centroids)
 
     def assign(self, df: DataFrame, vec: str = "z", into: str = "regime") -> DataFrame:
-        return df.withColumn(into, nearest_index(distances_to(F.col(vec), self.centroids.tolist())))
+        return self._measured(df, vec).withColumn(into, nearest_index(F.col("_d"))).drop("_d")
 
     def probabilities(self, df: DataFrame, vec: str = "z", into: str = "probs") -> DataFrame:
-        dists = distances_to(F.col(vec), self.centroids.tolist())
-        return df.withColumn("_d", dists).withColumn(into, softmax_of_distance(F.col("_d"), self.temperature)).drop("_d")
+        """softmax(-temperature * distance) over the regimes."""
+        weighted = self._measured(df, vec).withColumn("_w", distance_weights(F.col("_d"), self.temperature))
+        return weighted.withColumn(into, normalised(F.col("_w"))).drop("_d", "_w")
+
+    def _measured(self, df: DataFrame, vec: str) -> DataFrame:
+        # A column of its own, because everything after it looks at the distances more than once.
+        return df.withColumn("_d", distances_to(F.col(vec), self.centroids.tolist()))
 
     def table(self) -> DataFrame:
         rows = [(i, c.tolist()) for i, c in enumerate(self.centroids)]
