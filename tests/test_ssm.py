@@ -64,6 +64,29 @@ def test_gradient(spark, case, monkeypatch, chunk_rows, fanout, slice_rows):
     np.testing.assert_allclose(exact["A_log"], inexact, atol=1e-7)
 
 
+def test_passes_over_a_packed_series_do_not_shuffle(spark, case):
+    x, p = case
+    series = series_of(spark, x, 16)
+    for df in (S.state_pairs(series, p), S.predict(series, p, ["row"]), S.gate_projection(series, p, ["row"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_large_carry_tables_are_joined_not_broadcast(spark, case, monkeypatch):
+    from regimeflow.operators import chunks as C
+    x, p = case
+    want = brute.forward(p, x)["z"]
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = S.predict(series_of(spark, x, 7), p, fanout=4)
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        got = df.orderBy("seq").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    np.testing.assert_allclose(np.array(got.z.tolist()), want, atol=1e-12)
+
+
 def test_gradient_sum_tree(spark):
     rows = [(i, 1.0, 2, [float(i), 1.0]) for i in range(300)]
     squares, n, grad = S.sum_gradients(spark.createDataFrame(rows, S.GRADIENT_SCHEMA), 300)
