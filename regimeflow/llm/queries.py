@@ -7,9 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimeflow.llm import line_dedup, sharding
+from regimeflow.llm import byte_bpe, line_dedup, sharding
 from regimeflow.llm.common import documents, table, text_or_empty
 
+BYTE_RANKS, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +29,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op6_byte_bpe(spark, sf_dir):
+    out = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file(BYTE_RANKS))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
