@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from regimeflow.llm import pretokens
 from regimeflow.llm.common import text_or_empty
+from regimeflow.llm.rank_map import NO_RANK, RankMap
 
 BLOCK_CHARS, LONG_PIECE = 32 << 20, 128
-NO_RANK = 1 << 30
 Ranks = dict[bytes, int]
 
 
@@ -41,40 +41,15 @@ def read_ranks(path: str) -> Ranks:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class RankMap:
-    """(left token, right token) -> rank of their concatenation, as three arrays that Spark can hold as literals."""
-
-    def __init__(self, ranks: Ranks):
-        rows: dict[int, list[tuple[int, int]]] = {}
-        for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if left is not None and right is not None:
-                    rows.setdefault(left, []).append((right, rank))
-        n = max(ranks.values()) + 1
-        entries_in_all = sum(map(len, rows.values()))
-        owner = np.full(4 * entries_in_all + n, -1, np.int32)
-        rank_at = np.zeros_like(owner)
-        shift = np.zeros(n, np.int32)
-        places = np.random.default_rng(0).integers(0, 4 * entries_in_all + 1, (n, 64))
-        for left, entries in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):  # large rows while there is room
-            columns = np.array([e[0] for e in entries])
-            at = _first_fit(owner, columns, places[left])
-            owner[columns + at], rank_at[columns + at], shift[left] = left, [e[1] for e in entries], at
-        used = int(np.flatnonzero(owner != -1).max(initial=0)) + 1
-        self.owner, self.rank_at, self.shift = owner[:used], rank_at[:used], shift
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-
-
-def _first_fit(owner: np.ndarray, columns: np.ndarray, places: np.ndarray) -> int:
-    """The first of the places (then of all later ones) at which all of a row's columns are free."""
-    for offsets in (places, np.arange(len(owner) - int(columns.max()))):
-        free = offsets[owner[offsets + columns[0]] == -1]
-        for c in columns[1:]:
-            free = free[owner[free + c] == -1]
-        if len(free):
-            return int(free[0])
-    raise ValueError("the rank map is too full")
+def byte_level(ranks: Ranks) -> tuple[RankMap, np.ndarray]:
+    """The map of all pairs whose concatenation has a rank, and the token of every byte."""
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                rows.setdefault(left, []).append((right, rank))
+    return RankMap(rows, max(ranks.values()) + 1), np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
 
 def _literal(values: np.ndarray) -> Column:
@@ -202,11 +177,10 @@ def _assemble(batches: Iterator[pa.RecordBatch], pieces: list[bytes], key_type:
 def encode(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``key``, ``n_tokens``, ``ids`` and ``decoded`` of every text, by the ranks of the file at ``ranks_path``."""
     ranks = read_ranks(ranks_path)
-    table = RankMap(ranks)
+    table, byte_ids = byte_level(ranks)
     key_type = docs.schema[key].dataType
     arrow_key = pa.int64() if key_type.simpleString() == "bigint" else pa.int32() if key_type.simpleString() == "int" else pa.string()
     name = key_type.simpleString() if key_type.simpleString() in ("bigint", "int") else "string"
-    byte_ids = table.byte_ids
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token

@@ -27,14 +27,16 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def piece_starts(code: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+def piece_starts(code: np.ndarray, text_starts: np.ndarray, kind: np.ndarray | None = None, blanks_join: bool = True,
+                 single_numbers: bool = False) -> np.ndarray:
     """Where pieces of the byte-level pattern begin, in the concatenated code points of texts.
 
     A piece is a contraction, a run of letters, of numbers or of other signs with one leading blank, or white space;
-    of white space before such a run, the last character stands apart (a blank joins the run).
+    of white space before such a run, the last character stands apart (a blank joins the run).  Without
+    ``blanks_join`` white space stays by itself; with ``single_numbers`` every number is a piece.
     """
     n = len(code)
-    kind = classes()[code]
+    kind = classes()[code] if kind is None else kind
     first = np.zeros(n + 1, bool)
     first[text_starts] = True
     first = first[:n]
@@ -42,16 +44,17 @@ def piece_starts(code: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     start[:1] = True
     np.not_equal(kind[1:], kind[:-1], out=start[1:])
     start |= first
+    if single_numbers:
+        start |= kind == NUMBER
     last = np.empty(n, bool)  # the next character is of another text or there is none
     last[-1:] = True
     last[:-1] = first[1:]
-    space = kind == SPACE
-    before_run = np.zeros(n, bool)  # last white space in front of something else
-    before_run[:-1] = space[:-1] & ~space[1:] & ~last[:-1]
-    joins = before_run & (code == 32)
-    glued = np.flatnonzero(joins) + 1
-    start |= before_run
-    start[glued] = False
+    if blanks_join:
+        space = kind == SPACE
+        before_run = np.zeros(n, bool)  # last white space in front of something else
+        before_run[:-1] = space[:-1] & ~space[1:] & ~last[:-1]
+        start |= before_run
+        start[np.flatnonzero(before_run & (code == 32)) + 1] = False
     apostrophe = np.flatnonzero((code == 39) & start & ~last)  # a piece of its own: nothing glued in front
     if len(apostrophe):
         apostrophe = apostrophe[kind[apostrophe + 1] == LETTER]
