@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimeflow.llm import byte_bpe, line_dedup, sharding
+from regimeflow.llm import byte_bpe, line_dedup, sharding, token_counts
 from regimeflow.llm.common import documents, table, text_or_empty
 
 BYTE_RANKS, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -65,3 +65,8 @@ FROM marked GROUP BY doc_id
 @query
 def op9_sharding(spark, sf_dir):
     return sharding.assign_shards(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op10_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file(WORD_BPE))
