@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimeflow.llm import byte_bpe, line_dedup, sharding, token_counts
+from regimeflow.llm import byte_bpe, line_dedup, secrets, sharding, token_counts, toxicity
 from regimeflow.llm.common import documents, table, text_or_empty
 
 BYTE_RANKS, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -29,6 +29,29 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op3_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    grammar = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_texts(docs, grammar).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query
+def op5_secrets(spark, sf_dir):
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in secrets.BASE_KINDS]
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
 @query
 def op6_byte_bpe(spark, sf_dir):
     out = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file(BYTE_RANKS))
