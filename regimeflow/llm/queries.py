@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimeflow.llm import byte_bpe, line_dedup, secrets, sharding, token_counts, topk, toxicity
+from regimeflow.llm import byte_bpe, line_dedup, ngram_join, secrets, sharding, token_counts, topk, toxicity
 from regimeflow.llm.common import documents, table, text_or_empty
 
 BYTE_RANKS, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -77,6 +77,11 @@ def op6_byte_bpe(spark, sf_dir):
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op7_ngram_join(spark, sf_dir):
+    return ngram_join.jaccard_components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
