@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimeflow.llm import byte_bpe, line_dedup, ngram_join, secrets, sharding, token_counts, topk, toxicity
+from regimeflow.llm import byte_bpe, decontaminate, line_dedup, ngram_join, secrets, sharding, substring_dedup, token_counts, topk, toxicity
 from regimeflow.llm.common import documents, table, text_or_empty
 
 BYTE_RANKS, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -29,6 +29,17 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_passages(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op2_decontaminate(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 @query
 def op3_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
