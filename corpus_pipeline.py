@@ -71,7 +71,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     keyed = docs.select(F.struct("doc_id", "lang", "source").alias("doc"), "text")
     out = byte_bpe.encode(keyed, tokenizer_file(BYTE_RANKS), key="doc")
-    return out.select("doc.*", F.decode("decoded", F.lit("UTF-8")).alias("text"), "n_tokens", "ids")
+    return out.select("doc.*", F.decode("decoded", "UTF-8").alias("text"), "n_tokens", "ids")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -3,7 +3,8 @@
 A seed is a fixed mask over neighbouring words: the selected positions are hashed, the others may differ.  The hashes
 of all windows of the benchmark are joined with those of every document; a hit fixes an alignment, along which the
 stretch of words best matching (one point a match, ``PENALTY`` off a substitution) is verified: it must
-have ``MIN_WORDS`` words, or the item's own number if smaller, and so at least 80 percent of them equal.
+have ``MIN_WORDS`` words, or the item's own number if smaller, and so at least 80 percent of them equal.  An item
+present from end to end with 80 percent of its words equal is an overlap, too.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words (a checked bound: a larger benchmark takes
 several passes, one per block); a pass over the documents is narrow.
@@ -101,10 +102,13 @@ class Benchmark:
         for d, i, g in meets.T.tolist():
             words_i = self.key[self.at[i]:self.at[i + 1]]
             first, last = max(at[d] - g, 0), min(at[d + 1] - g, len(words_i))
-            stretch = _best_stretch(key[g + first:g + last] == words_i[first:last])
-            if stretch is None:
+            same = key[g + first:g + last] == words_i[first:last]
+            if last - first == len(words_i) and 5 * same.sum() >= 4 * len(words_i):
+                a, b, equal = 0, len(words_i), int(same.sum())  # the whole item, substitutions at its ends included
+            elif (stretch := _best_stretch(same)) is not None:
+                a, b, equal = stretch
+            else:
                 continue
-            a, b, equal = stretch
             if b - a >= min(MIN_WORDS, len(words_i)) and best.get((d, i), (0,))[0] < b - a:
                 best[d, i] = (b - a, g + first + a - at[d], first + a, equal)
         for (d, i), (n, start, begin, equal) in best.items():

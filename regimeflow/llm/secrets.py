@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models for what the patterns miss.
 
 Two first-order Markov models over the characters of tokens are trained from labelled samples: *random* from the
-values that the base patterns find, *ordinary* from identifiers and words outside of them.  A token of at least
+values that the base patterns find, *ordinary* from identifiers and words outside of them (long ones with a digit are left out: they may be
+either).  A token of at least
 ``MIN_LENGTH`` characters outside the base spans becomes a span of kind ``markov`` when the log-likelihood ratio of
 the two models is at least ``MIN_RATIO`` nats in all and ``MIN_MEAN`` per character; it must hold a letter and a digit,
 so that card and telephone numbers are left to other scans.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from regimeflow.llm.common import text_or_empty
 
-SAMPLE_DOCS, MIN_LENGTH, MIN_RATIO, MIN_MEAN = 20_000, 16, 12.0, 0.5
+SAMPLE_DOCS, MIN_LENGTH, MIN_RATIO, MIN_MEAN, BACK_OFF = 20_000, 16, 12.0, 0.5, 20.0
 BASE_KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -54,7 +55,7 @@ def _steps(token: str) -> np.ndarray:
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """The matrix of log-likelihood ratios, random against ordinary, per transition; add-one smoothed."""
+    """The matrix of log-likelihood ratios, random against ordinary, per transition."""
     n = docs.count()
     share = int(min(1.0, sample_docs / max(n, 1)) * (1 << 20))
     some = docs.where(F.pmod(F.xxhash64(F.lit("secrets"), F.col(key).cast("string")), F.lit(1 << 20)) < share + 1).select(text_or_empty(text).alias("text"))
@@ -67,7 +68,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs:
                 values = [m[2] for m in ASSIGN.finditer(t) if len(m[2]) >= MIN_LENGTH]
                 values += [t[a:b] for kind, a, b in spans if kind != "assign"]
                 taken = [(a, b) for _, a, b in spans]
-                words = [m[0] for m in ORDINARY.finditer(t) if not any(a < m.end() and m.start() < b for a, b in taken)]
+                words = [m[0] for m in ORDINARY.finditer(t) if not _doubtful(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken)]
                 for label, tokens in ((1, values), (0, words)):
                     if tokens:
                         total[label] += np.bincount(np.concatenate([_steps(w) for w in tokens]), minlength=N * N)
@@ -79,11 +80,17 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs:
         counts[label, step // N, step % N] = k
     if not counts[1].sum():
         return np.zeros((N, N))
-    smooth = counts + 1.0
-    smooth /= smooth.sum(axis=2, keepdims=True)
+    single = counts.sum(axis=1, keepdims=True) + 0.5  # back off from pairs to single characters
+    single /= single.sum(axis=2, keepdims=True)
+    smooth = (counts + BACK_OFF * single) / (counts.sum(axis=2, keepdims=True) + BACK_OFF)
     return np.log(smooth[1]) - np.log(smooth[0])
 
 
+def _doubtful(token: str) -> bool:
+    """Long and with a digit: it could be random, so it teaches neither model."""
+    return len(token) >= MIN_LENGTH and any(c.isdigit() for c in token)
+
+
 def model_spans(text: str, ratios: np.ndarray, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Tokens outside the taken spans that are likelier random than ordinary."""
     out = []

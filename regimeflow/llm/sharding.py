@@ -130,7 +130,7 @@ def _cuts(placed: DataFrame, total: int, n_shards: int, keep_group: float) -> li
     even = [total * k // n_shards for k in range(1, n_shards)]
     hit = F.lit(False)
     for c in even:
-        hit = hit | ((F.col("_at") < c) & (F.col("_at") + F.col("size") > c))
+        hit = hit | ((F.col("_at") <= c) & (F.col("_at") + F.col("size") > c))
     straddling = placed.where(hit).select("_h", "_at", "size").collect()  # at most a row per cut
     groups = {}
     if straddling:
@@ -139,7 +139,7 @@ def _cuts(placed: DataFrame, total: int, n_shards: int, keep_group: float) -> li
             F.min("_at"), F.max(F.col("_at") + F.col("size"))).collect()}
     out = []
     for c in even:
-        row = next((r for r in straddling if r["_at"] < c < r["_at"] + r["size"]), None)
+        row = next((r for r in straddling if r["_at"] <= c < r["_at"] + r["size"]), None)
         if row is not None:
             a, b = groups[row["_h"]]
             if b - a > keep_group * total / n_shards:
