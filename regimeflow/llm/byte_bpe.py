@@ -10,6 +10,9 @@ No shuffle: pieces are distinct per block (at most ``BLOCK_CHARS`` code points o
 fold costs the sum of the blocks' vocabularies and the plan stays narrow whatever the table's size.  Pieces over
 ``LONG_PIECE`` bytes, where re-scanning all pairs would be quadratic, are merged with a heap instead.
 
+Pieces that most blocks share are folded once beforehand: the ``CACHE_PIECES`` most frequent pieces of about
+``CACHE_DOCS`` documents, drawn by hash.  This is a cache of bounded size; it changes no result.
+
 Edge cases: a null or empty text has no tokens and decodes to nothing.  Order, repeated rows and ties need no rule: the
 result depends on the text alone.  An empty table gives no rows.  Extra columns are ignored; the output has the
 given key column, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit) and ``decoded``.
@@ -31,7 +34,8 @@ from regimeflow.llm import pretokens
 from regimeflow.llm.common import text_or_empty
 from regimeflow.llm.rank_map import NO_RANK, RankMap
 
-BLOCK_CHARS, LONG_PIECE = 32 << 20, 128
+BLOCK_CHARS, LONG_PIECE = 8 << 20, 128
+CACHE_DOCS, CACHE_PIECES = 8192, 200_000
 Ranks = dict[bytes, int]
 
 
@@ -56,6 +60,16 @@ def _literal(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<int>")
 
 
+def _literal_text(values: list[str], at: list[int] | None = None) -> Column:
+    """A constant array of texts; with ``at`` each stands at its place."""
+    if at is not None:
+        spread = [""] * (max(at) + 1)
+        for i, v in zip(at, values, strict=True):
+            spread[i] = v
+        values = spread
+    return F.split(F.lit(",".join(values)), ",")
+
+
 def fold_merges(ids: Column, ranks: RankMap) -> Column:
     """The fold: an array of byte tokens becomes the array of merged tokens."""
     owner, rank_at, shift = map(_literal, (ranks.owner, ranks.rank_at, ranks.shift))
@@ -100,101 +114,136 @@ def merge_long(ids: list[int], ranks: Ranks, pieces: dict[int, bytes]) -> list[i
     return [t for t, live in zip(token, alive, strict=True) if live]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[str]]]:
-    keys, texts, size = [], [], 0
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, list[str]]]:
+    keys, texts, size, kind = [], [], 0, None
     for batch in batches:
+        kind = batch.column(0).type
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if texts and size + len(text) > limit:
-                yield keys, texts
+                yield pa.array(keys, kind), texts
                 keys, texts, size = [], [], 0
             keys.append(key)
             texts.append(text)
             size += len(text)
     if texts:
-        yield keys, texts
+        yield pa.array(keys, kind), texts
+
 
+Cache = tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted keys of pieces; where the ids of each begin; all ids
+NO_CACHE: Cache = (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
 
-def _split_block(keys: list, texts: list[str], byte_ids: np.ndarray, ranks_path: str, key_type: pa.DataType) -> pa.RecordBatch:
+
+def _split_block(keys: pa.Array, texts: list[str], byte_ids: np.ndarray, ranks_path: str, cache: Cache = NO_CACHE) -> pa.RecordBatch:
     code = pretokens.codes("".join(texts))
     sizes = np.array([len(t) for t in texts], np.int64)
     text_starts = np.cumsum(sizes) - sizes
     if len(code):
         begin = pretokens.piece_starts(code, text_starts[sizes > 0])
         end = np.append(begin[1:], len(code))
-        _, where, which = np.unique(pretokens.span_keys(code, begin, end), return_index=True, return_inverse=True)
+        piece_keys, where, which = np.unique(pretokens.span_keys(code, begin, end), return_index=True, return_inverse=True)
         begin_d, end_d = begin[where], end[where]
     else:
         begin = begin_d = end_d = which = np.empty(0, np.int64)
+        piece_keys = np.empty(0, np.uint64)
+    cached_keys, cached_at, cached_ids = cache
+    slot = np.searchsorted(cached_keys, piece_keys)
+    merged = np.zeros(len(piece_keys), bool)
+    inside = slot < len(cached_keys)
+    merged[inside] = cached_keys[slot[inside]] == piece_keys[inside]
+    hit, known = np.flatnonzero(merged), slot[merged]
     whole = "".join(texts)
-    raw = [whole[a:b].encode("utf-8", "surrogatepass") for a, b in zip(begin_d.tolist(), end_d.tolist(), strict=True)]
+    todo = np.flatnonzero(~merged)
+    raw = [whole[a:b].encode("utf-8", "surrogatepass") for a, b in zip(begin_d[todo].tolist(), end_d[todo].tolist(), strict=True)]
     size = np.array([len(w) for w in raw], np.int64)
-    flat = byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-    at = np.concatenate(([0], np.cumsum(size)))
+    start = np.cumsum(size) - size
+    # the ids of every piece lie in one of three stretches: bytes to fold, long pieces merged here, cached pieces
+    pool = [byte_ids[np.frombuffer(b"".join(raw), np.uint8)], np.zeros(0, np.int32), cached_ids]
+    first, count = np.zeros(len(piece_keys), np.int64), np.zeros(len(piece_keys), np.int64)
+    first[todo], count[todo] = start, size
     if (long := np.flatnonzero(size > LONG_PIECE)).size:
         ranks = read_ranks(ranks_path)
         pieces = {r: t for t, r in ranks.items()}
-        done = {int(i): merge_long(flat[at[i]:at[i + 1]].tolist(), ranks, pieces) for i in long}
-        parts = [np.array(done[i], np.int32) if i in done else flat[at[i]:at[i + 1]] for i in range(len(raw))]
-        flat = np.concatenate(parts)
-        at = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        merged = np.isin(np.arange(len(raw)), long)
-    else:
-        merged = np.zeros(len(raw), bool)
+        done = [np.array(merge_long(pool[0][start[i]:start[i] + size[i]].tolist(), ranks, pieces), np.int32) for i in long]
+        lengths = np.array([len(d) for d in done])
+        pool[1] = np.concatenate(done)
+        first[todo[long]], count[todo[long]] = len(pool[0]) + np.cumsum(lengths) - lengths, lengths
+        merged[todo[long]] = True
+    first[hit], count[hit] = cached_at[known] + len(pool[0]) + len(pool[1]), cached_at[known + 1] - cached_at[known]
+    at = np.concatenate(([0], np.cumsum(count)))
+    flat = np.concatenate(pool)[np.repeat(first - at[:-1], count) + np.arange(at[-1])]
     words = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
     per_text = np.searchsorted(begin, np.append(text_starts, len(code)))
-    which = which.astype("<i4")
-    coded = [which[a:b].tobytes() for a, b in zip(per_text[:-1].tolist(), per_text[1:].tolist(), strict=True)]
+    which = which.astype(np.int32)
+    coded = pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), pa.array(which, pa.int32()))
     one = pa.array([0, len(keys)], pa.int32())
-    all_words = pa.array([0, len(raw)], pa.int32())
+    all_words = pa.array([0, len(piece_keys)], pa.int32())
     return pa.RecordBatch.from_arrays([
-        pa.ListArray.from_arrays(one, pa.array(keys, key_type)), pa.ListArray.from_arrays(one, pa.array(coded, pa.binary())),
+        pa.ListArray.from_arrays(one, keys), pa.ListArray.from_arrays(one, coded),
         pa.ListArray.from_arrays(all_words, words), pa.ListArray.from_arrays(all_words, pa.array(merged))], ["keys", "coded", "words", "merged"])
 
 
-def _assemble(batches: Iterator[pa.RecordBatch], pieces: list[bytes], key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Puts the ids of the pieces back in the order of each text; decodes them piece by piece."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            keys, coded, ids = (batch.column(i)[row].values for i in range(3))
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            size = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.cumsum(size) - size
-            plain = [b"".join(map(pieces.__getitem__, flat[a:a + n].tolist())) for a, n in zip(at.tolist(), size.tolist(), strict=True)]
-            for first in range(0, len(keys), 256):
-                out_ids, out_text, out_n = [], [], []
-                for c in coded[first:first + 256].to_pylist():
-                    w = np.frombuffer(c, "<i4")
-                    n = size[w]
-                    total = int(n.sum())
-                    take = np.repeat(at[w] - (np.cumsum(n) - n), n) + np.arange(total)
-                    out_ids.append(flat[take].tobytes())
-                    out_text.append(b"".join(map(plain.__getitem__, w.tolist())))
-                    out_n.append(total)
-                yield pa.RecordBatch.from_arrays([keys[first:first + 256].cast(key_type), pa.array(out_n, pa.int64()), pa.array(out_ids, pa.binary()),
-                                                  pa.array(out_text, pa.binary())], ["key", "n_tokens", "ids", "decoded"])
+def frequent_pieces(docs: DataFrame, ranks_path: str, table: RankMap, byte_ids: np.ndarray, text: str, key: str) -> Cache:
+    """The cache: pieces of sampled documents by the number of those that hold them, folded; at most ``CACHE_PIECES``."""
+    n = docs.count()
+    if n < CACHE_DOCS:
+        return NO_CACHE
+    share = CACHE_DOCS / n
+    some = docs.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+
+    def split(batches):
+        for keys, texts in _blocks(batches, 0):  # every document is a block of its own
+            yield _split_block(keys, texts, byte_ids, ranks_path)
+
+    held = some.select(F.lit("").alias("key"), text_or_empty(text).alias("text")).mapInArrow(
+        split, "keys array<string>, coded array<array<int>>, words array<array<int>>, merged array<boolean>")
+    each = held.select(F.explode(F.arrays_zip("words", "merged")).alias("p")).where(~F.col("p.merged")).select(F.col("p.words").alias("piece"))
+    common = each.groupBy("piece").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "piece").limit(CACHE_PIECES)
+    rows = common.select("piece", fold_merges(F.col("piece"), table).alias("ids")).toArrow()
+    byte_of = np.zeros(int(byte_ids.max()) + 1, np.uint8)
+    byte_of[byte_ids] = np.arange(256)
+    pieces, ids = rows.column("piece").combine_chunks(), rows.column("ids").combine_chunks()
+    raw, size = byte_of[pieces.flatten().to_numpy()].tobytes(), pieces.value_lengths().to_numpy()
+    end = np.cumsum(size)
+    texts = [raw[e - s:e].decode("utf-8", "surrogatepass") for e, s in zip(end.tolist(), size.tolist(), strict=True)]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    code_end = np.cumsum(sizes)
+    keys = pretokens.span_keys(pretokens.codes("".join(texts)), code_end - sizes, code_end)
+    order = np.argsort(keys)
+    lengths = ids.value_lengths().to_numpy().astype(np.int64)
+    begin = np.cumsum(lengths) - lengths
+    flat, at = ids.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lengths[order])))
+    take = np.repeat(begin[order] - at[:-1], lengths[order]) + np.arange(at[-1])
+    return keys[order], at, flat[take].astype(np.int32)
 
 
 def encode(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``key``, ``n_tokens``, ``ids`` and ``decoded`` of every text, by the ranks of the file at ``ranks_path``."""
     ranks = read_ranks(ranks_path)
     table, byte_ids = byte_level(ranks)
-    key_type = docs.schema[key].dataType
-    arrow_key = pa.int64() if key_type.simpleString() == "bigint" else pa.int32() if key_type.simpleString() == "int" else pa.string()
-    name = key_type.simpleString() if key_type.simpleString() in ("bigint", "int") else "string"
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = token
-    held = docs.sparkSession.sparkContext.broadcast(pieces)  # as large as the vocabulary file
+    name = docs.schema[key].dataType.simpleString()
+    cache = frequent_pieces(docs, ranks_path, table, byte_ids, text, key)
+    held = docs.sparkSession.sparkContext.broadcast(cache)  # bounded by CACHE_PIECES
 
     def split(batches):
         for keys, texts in _blocks(batches, block_chars):
-            yield _split_block(keys, texts, byte_ids, ranks_path, arrow_key)
-
-    def assemble(batches):
-        yield from _assemble(batches, held.value, arrow_key)
-
-    blocks = docs.select(F.col(key).cast(name).alias("key"), text_or_empty(text).alias("text")).mapInArrow(
-        split, f"keys array<{name}>, coded array<binary>, words array<array<int>>, merged array<boolean>")
-    folded = blocks.select("keys", "coded", F.zip_with("words", "merged", lambda w, done: F.when(done, w).otherwise(fold_merges(w, table))).alias("ids"))
-    out = folded.mapInArrow(assemble, f"key {name}, n_tokens long, ids binary, decoded binary")
-    return out.select(F.col("key").alias(key), "n_tokens", "ids", "decoded")
+            yield _split_block(keys, texts, byte_ids, ranks_path, held.value)
+
+    blocks = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).mapInArrow(
+        split, f"keys array<{name}>, coded array<array<int>>, words array<array<int>>, merged array<boolean>")
+    id_hex = _literal_text([i.to_bytes(4, "little").hex() for i in range(len(table.shift))])
+    piece_hex = _literal_text([t.hex() for t, _ in sorted(ranks.items(), key=lambda x: x[1])], list(sorted(ranks.values())))
+
+    def joined(of: Column, parts: Column) -> Column:
+        return F.array_join(F.transform(of, lambda i: F.get(parts, i)), "")
+
+    def text_of(block: Column) -> Column:
+        """Ids and bytes of every text: those of its pieces, joined (as hexadecimal, which Spark can join)."""
+        return F.transform(F.arrays_zip("keys", "coded"), lambda d: F.struct(
+            d["keys"].alias("key"), F.unhex(joined(d["coded"], block["ids"])).alias("ids"), F.unhex(joined(d["coded"], block["plain"])).alias("decoded")))
+
+    ids = F.zip_with("words", "merged", lambda w, done: F.when(done, w).otherwise(fold_merges(w, table)))
+    pieces = F.transform(F.array(ids), lambda every: F.struct(
+        F.transform(every, lambda w: joined(w, id_hex)).alias("ids"), F.transform(every, lambda w: joined(w, piece_hex)).alias("plain")))
+    texts = F.flatten(F.transform(pieces, text_of))  # arrays of one: each level is worked out once
+    out = blocks.select(F.explode(texts).alias("t"))
+    return out.select(F.col("t.key").alias(key), (F.octet_length("t.ids") / 4).cast("long").alias("n_tokens"), F.col("t.ids").alias("ids"), F.col("t.decoded").alias("decoded"))
