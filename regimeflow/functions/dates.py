@@ -25,9 +25,20 @@ def parse_compact(c: Column) -> Column:
     return F.try_to_date(c.cast("string"), "yyyyMMdd")
 
 
+#: What text with year, month and day may look like: a pattern it must match as a whole, and how to read it (None: ISO).
+GENERIC_FORMATS = (
+    (r"\d{4}-\d{1,2}-\d{1,2}([T ].*)?", None),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
+    (r"\d{1,2}\.\d{1,2}\.\d{4}", "d.M.yyyy"),
+)
+
+
 def parse_generic(c: Column) -> Column:
-    """ISO date or timestamp text; anything else is null."""
-    return c.cast("string").try_cast("timestamp").cast("date")
+    """ISO dates and timestamps and the formats above; clock times, bare years and anything else are null."""
+    text = F.trim(c.cast("string"))
+    return F.coalesce(*[F.when(text.rlike(f"^({pattern})$"), text.try_cast("timestamp").cast("date") if form is None else F.try_to_date(text, form))
+                        for pattern, form in GENERIC_FORMATS])
 
 
 def parse_epoch_nanos(c: Column) -> Column:

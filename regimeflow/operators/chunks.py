@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,7 +106,14 @@ def _number_chunks(table: DataFrame, chunk_rows: int) -> ChunkedSeries:
 # ------------------------------------------------------------------------------------------------ affine carries
 
 def matrix(values: pa.Array, width_hint: int | None = None) -> np.ndarray:
-    """Rows of equal-length lists (one chunk's packed vector column) as a 2-D array, without copying."""
+    """Rows of equal-length lists (one chunk's packed vector column) as a 2-D array, without copying.
+
+    A null list, a null in a list or lists of different lengths raise: they would shift all later rows.
+    """
+    if isinstance(values, (pa.ListArray, pa.LargeListArray)) and len(values):
+        lengths = values.value_lengths()
+        if values.null_count or values.flatten().null_count or pc.min(lengths) != pc.max(lengths):
+            raise ValueError("vectors must be without nulls and of one length")
     inner = values.flatten() if isinstance(values, (pa.ListArray, pa.LargeListArray)) else values
     flat = np.asarray(inner)
     rows = len(values)

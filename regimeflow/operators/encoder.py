@@ -16,11 +16,12 @@ from pyspark.sql import types as T
 from regimeflow.functions import dates as D
 from regimeflow.functions.vectors import none_if_nan
 from regimeflow.operators.ordering import assign_seq, forward_fill
-from regimeflow.operators.stats import as_category, frequent_values, medians, moment_aggregates, scalers_from, top_categories
+from regimeflow.operators.stats import CATEGORY_CAP, CATEGORY_FLOOR, as_category, frequent_values, medians, moment_aggregates, scalers_from, top_categories
 
-# Rows looked at to recognise dates, the share that must parse, and the two text thresholds.
-SNIFF_ROWS, PARSE_SHARE = 30, 0.8
+# The share that must parse, and the two text thresholds.
+PARSE_SHARE = 0.8
 OHE_THRESHOLD, MIN_ROWS_FOR_STRATEGY = 0.20, 2000
+SELECTIVE, ALL, BY_ROWS = "selective", "all", "by_rows"
 
 METADATA_SCHEMA = (
     "column string, position int, decision string, date_format string, mean double, scale double, fill double, "
@@ -51,31 +52,22 @@ class ColumnPlan:
 
 # ---------------------------------------------------------------------------------------------- date detection
 
-def first_values(df: DataFrame, column: str, order_cols: list[str], n: int = SNIFF_ROWS) -> DataFrame:
-    """The first ``n`` non-null values in time order, as text."""
-    value = none_if_nan(F.col(column)) if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)) else F.col(column)
-    present = df.select(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order_cols)], value.alias("_v"))
-    ordered = present.where("_v is not null").orderBy(*[f"_o{i}" for i in range(len(order_cols))]).limit(n)
-    return ordered.select(F.lit(column).alias("column"), F.col("_v").cast("string").alias("value"))
+def detect_dates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column the share of all its values that reads as ``yyyyMMdd``, as a generic date, and as a bare year.
 
+    One aggregate over the table answers for all columns.
+    """
+    def present(c: str) -> Column:
+        floating = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+        return (none_if_nan(F.col(c)) if floating else F.col(c)).cast("string")
 
-def detect_dates(df: DataFrame, columns: list[str], order_cols: list[str]) -> DataFrame:
-    """Per column the share of its first values that reads as ``yyyyMMdd``, as ISO text, and as a bare year."""
-    sample = None
-    for c in columns:
-        part = first_values(df, c, order_cols)
-        sample = part if sample is None else sample.union(part)
-    value = F.col("value")
-    looks_like_year = value.rlike(r"^(\d{4}(\.\d+)?|\d{14})$")
-
-    def share(test: Column) -> Column:
-        return F.avg(test.cast("double"))
+    def share(c: str, test: Column) -> Column:
+        return F.avg(F.when(present(c).isNotNull(), test.cast("double")))
 
-    return sample.groupBy("column").agg(
-        share(D.parse_compact(value).isNotNull()).alias("compact_rate"),
-        share(D.parse_generic(value).isNotNull()).alias("generic_rate"),
-        share(looks_like_year).alias("year_rate"),
-    )
+    rates = [F.struct(F.lit(c).alias("column"), share(c, D.parse_compact(present(c)).isNotNull()).alias("compact_rate"),
+                      share(c, D.parse_generic(present(c)).isNotNull()).alias("generic_rate"),
+                      share(c, present(c).rlike(r"^(\d{4}(\.\d+)?|\d{14})$")).alias("year_rate")) for c in columns]
+    return df.agg(F.array(*rates).alias("r")).select(F.explode("r").alias("r")).select("r.*").where("compact_rate is not null")
 
 
 # --------------------------------------------------------------------------------------------- feature columns
@@ -105,6 +97,9 @@ class ColumnEncoder:
     """``fit`` decides, ``EncoderModel.transform`` applies.
 
     exclude:       columns kept out of the features (row ids).
+    text_strategy: ``selective`` drops text columns without a value above ``ohe_threshold``, ``all`` keeps them, ``by_rows`` is
+                   selective for tables of more than ``min_rows_for_strategy`` rows only.
+    category_floor, category_cap: share a value must exceed to get a feature of its own, and how many can.
     compat_dates:  also treat bare years and 14-digit numbers as dates.
     batch_stats:   at transform, take the median fill, the year range and the date format from the table given
                    instead of the fitted ones.
@@ -119,7 +114,14 @@ class ColumnEncoder:
         exclude: tuple[str, ...] = (),
         compat_dates: bool = False,
         batch_stats: bool = False,
+        text_strategy: str = SELECTIVE,
+        category_floor: float = CATEGORY_FLOOR,
+        category_cap: int = CATEGORY_CAP,
     ):
+        if text_strategy not in (SELECTIVE, ALL, BY_ROWS):
+            raise ValueError(f"unknown text strategy {text_strategy!r}")
+        self.text_strategy = text_strategy
+        self.category_floor, self.category_cap = category_floor, category_cap
         self.order_cols = order_cols
         self.time_col = time_col
         self.ohe_threshold = ohe_threshold
@@ -166,7 +168,7 @@ class ColumnEncoder:
         open_ = [f for f in fields if plans[f.name].decision in ("numeric", "ohe") and may_hold_dates(f)]
         if not open_:
             return
-        rates = {r["column"]: r for r in detect_dates(df, [f.name for f in open_], self.order_cols).collect()}
+        rates = {r["column"]: r for r in detect_dates(df, [f.name for f in open_]).collect()}
         for f in open_:
             plan, r = plans[f.name], rates.get(f.name)
             is_text = isinstance(f.dataType, T.StringType)
@@ -194,8 +196,8 @@ class ColumnEncoder:
         text = [p.column for p in plans.values() if p.decision == "ohe"]
         if not text:
             return
-        kept = top_categories(frequent_values(df, text, n_rows)).orderBy("column", "rank").collect()
-        selective = n_rows > self.min_rows_for_strategy
+        kept = top_categories(frequent_values(df, text, n_rows, self.category_floor), self.category_floor, self.category_cap).orderBy("column", "rank").collect()
+        selective = self.text_strategy == SELECTIVE or self.text_strategy == BY_ROWS and n_rows > self.min_rows_for_strategy
         for c in text:
             rows = [r for r in kept if r["column"] == c]
             plans[c].categories = [r["value"] for r in rows]

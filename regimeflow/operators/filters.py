@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regimeflow.functions.dates import is_native_date, parse_any
+from regimeflow.functions.dates import is_native_date, parse_any, parse_compact, parse_generic
 from regimeflow.operators.ordering import number_rows
 
 HIGH_SHOCK, TIMELINE_SHOCK = 0.8, 0.75  # fixed values
@@ -19,14 +19,19 @@ def filter_group(df: DataFrame, col: str, value) -> DataFrame:
 
 
 def split_by_date(df: DataFrame, time_col: str, cutoff: str) -> tuple[DataFrame, DataFrame]:
-    """(before ``cutoff``, from ``cutoff`` on).  The literal takes the column's type, so both sides push down."""
+    """(before ``cutoff``, from ``cutoff`` on); ``cutoff`` is ``yyyyMMdd``.
+
+    The literal takes the column's type, so both sides push down.  Text is parsed first (``yyyyMMdd`` or any accepted
+    date format); text that is no date is on neither side, like null.
+    """
     if time_col not in df.columns:
         raise ValueError(f"no column {time_col!r}")
     dtype = df.schema[time_col].dataType
     if is_native_date(dtype):
         limit = F.to_date(F.lit(cutoff), "yyyyMMdd").cast(dtype)
     elif isinstance(dtype, T.StringType):
-        limit = F.lit(cutoff)
+        date, limit = F.coalesce(parse_compact(F.col(time_col)), parse_generic(F.col(time_col))), parse_compact(F.lit(cutoff))
+        return df.where(date < limit), df.where(date >= limit)
     else:
         limit = F.lit(int(cutoff)).cast(dtype)
     return df.where(F.col(time_col) < limit), df.where(F.col(time_col) >= limit)

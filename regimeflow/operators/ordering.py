@@ -154,13 +154,14 @@ def sliding_windows(df: DataFrame, size: int, stride: int | None = None, seq: st
     return df.withColumn("window_id", F.explode(window_ids(F.col(seq), n_rows, size, stride)))
 
 
+TOP_COLUMNS = ("shock_score", "regime", "delta", "recon_error")
+
+
 def top_shocks(
     scored: DataFrame, n: int = 10, time_col: str | None = None, group_col: str | None = None, seq: str = "seq"
 ) -> DataFrame:
     """The ``n`` highest scores, the earlier row first on ties; group and time lead the columns."""
-    columns = ["shock_score", "regime", "delta", "recon_error"]
-    for c in (time_col, group_col):
-        if c and c in scored.columns:
-            columns = [c, *columns]
+    present = set(scored.columns)
+    columns = [*[c for c in (group_col, time_col) if c in present], *TOP_COLUMNS]
     ranked = F.when(~F.isnan("shock_score"), F.col("shock_score"))  # NaN would sort above every score
     return scored.orderBy(ranked.desc_nulls_last(), F.col(seq).asc()).limit(n).select(*columns)

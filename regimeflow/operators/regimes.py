@@ -6,18 +6,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regimeflow.functions.vectors import distance_weights, distances_to, nearest_index, normalised
 from regimeflow.operators.chunks import matrix, vectors
-from regimeflow.operators.sampling import sample_key, seeded_sample
+from regimeflow.operators.sampling import sample_key
+from regimeflow.scratch import materialize
 
 # Iteration cap, convergence threshold, softmax temperature, and the bounds of the K search.
 MAX_ITER, SHIFT_TOL, TEMPERATURE = 200, 1e-7, 3.0
-K_MIN, K_MAX, SILHOUETTE_SAMPLE = 2, 10, 10_000
+K_MIN, K_MAX, MAX_CLUSTERS = 2, 10, 1_000
 DEFAULT_REGIMES = 3
 
 MERGE_TASKS = 256
@@ -39,31 +39,52 @@ def squared_distances(z: np.ndarray, points: np.ndarray) -> np.ndarray:
     return total
 
 
-def lloyd_step(df: DataFrame, centroids: np.ndarray, vec: str = "z", tasks: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(new centroids, sizes).  An empty regime keeps its centroid.
+def _added_up(df: DataFrame, columns: list[str], measure, size: int, tasks: int | None = None) -> np.ndarray:
+    """Sum over all rows of ``measure(batch)``, ``size`` numbers.
 
     Tasks add up their rows first, so one row per task is left to merge: on the driver when there are few tasks,
     by a shuffle otherwise.
     """
-    k, dims = centroids.shape
-
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((k, dims + 1))  # totals per dimension, then the size
+        sums = np.zeros(size)
         for batch in batches:
-            z = matrix(batch.column(0)).astype(np.float64)
-            if len(z):
-                label = squared_distances(z, centroids).argmin(axis=1)
-                member = np.equal.outer(np.arange(k), label).astype(np.float64)
-                sums += np.column_stack([member @ z, member.sum(axis=1)])
+            if batch.num_rows:
+                sums += measure(batch)
         yield pa.RecordBatch.from_arrays([vectors(sums.reshape(1, -1))], ["sums"])
 
-    partials = df.select(vec).mapInArrow(partial, "sums array<double>")
+    partials = df.select(*columns).mapInArrow(partial, "sums array<double>")
     if (tasks or df.rdd.getNumPartitions()) > MERGE_TASKS:
-        partials = partials.agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(k * (dims + 1))]).alias("sums"))
-    merged = np.sum([r["sums"] for r in partials.collect()], axis=0).reshape(k, dims + 1)
-    sizes = merged[:, -1].astype(np.int64)
-    updated = np.where(sizes[:, None] > 0, merged[:, :-1] / np.maximum(sizes, 1)[:, None], centroids)
-    return updated, sizes
+        partials = partials.agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(size)]).alias("sums"))
+    rows = [r["sums"] for r in partials.collect() if r["sums"] is not None]
+    return np.sum(rows, axis=0) if rows else np.zeros(size)
+
+
+def lloyd_steps(df: DataFrame, starts: list[np.ndarray], vec: str = "z", tasks: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One step of several clusterings in one pass: (new centroids, sizes) each.  An empty regime keeps its centroid."""
+    dims = starts[0].shape[1]
+    ends = np.cumsum([len(c) * (dims + 1) for c in starts])
+
+    def measure(batch: pa.RecordBatch) -> np.ndarray:
+        z = matrix(batch.column(0)).astype(np.float64)
+        parts = []
+        for centroids in starts:
+            label = squared_distances(z, centroids).argmin(axis=1)
+            member = np.equal.outer(np.arange(len(centroids)), label).astype(np.float64)
+            parts.append(np.column_stack([member @ z, member.sum(axis=1)]).ravel())  # totals per dimension, then the size
+        return np.concatenate(parts)
+
+    merged = _added_up(df, [vec], measure, int(ends[-1]), tasks)
+    out = []
+    for centroids, part in zip(starts, np.split(merged, ends[:-1])):
+        sums = part.reshape(-1, dims + 1)
+        sizes = sums[:, -1].astype(np.int64)
+        out.append((np.where(sizes[:, None] > 0, sums[:, :-1] / np.maximum(sizes, 1)[:, None], centroids), sizes))
+    return out
+
+
+def lloyd_step(df: DataFrame, centroids: np.ndarray, vec: str = "z", tasks: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(new centroids, sizes)."""
+    return lloyd_steps(df, [centroids], vec, tasks)[0]
 
 
 @dataclass
@@ -121,98 +142,104 @@ def fit_regimes(df: DataFrame, k: int, keys: list[str], vec: str = "z", max_iter
 
 # ---------------------------------------------------------------------------------------------------- silhouette
 
-def row_silhouettes(distances: np.ndarray, member: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Silhouette of some rows in one labeling: distances to every point, who belongs where, the rows' own labels.
+def _mean_silhouettes(df: DataFrame, columns: list[str], labels_of, sizes: list[int], dims: int, tasks: int | None) -> list[float]:
+    """Mean silhouette of several labelings over all rows, with squared Euclidean distances, in two passes.
 
-    A singleton scores 0; labels without members do not count as neighbours.
+    The mean squared distance from a row to a cluster follows from the cluster's size, sum and sum of squared
+    norms, so nothing larger than those is shared.  ``labels_of(batch)`` gives one code array per labeling.
     """
-    sizes, at = member.sum(axis=0), np.arange(len(own))
-    sums = distances @ member
-    with np.errstate(divide="ignore", invalid="ignore"):
-        within = sums[at, own] / (sizes[own] - 1)
-        others = np.where(sizes > 0, sums / sizes, np.inf)
-        others[at, own] = np.inf
-        nearest = others.min(axis=1)
-        s = (nearest - within) / np.maximum(nearest, within)
-    return np.where(sizes[own] > 1, np.nan_to_num(s), 0.0)
-
-
-def silhouette(sample: DataFrame, labels: list[str], vec: str = "z") -> DataFrame:
-    """``(labeling, score)``: mean silhouette per label column, rounded to 6; -1 when only one cluster is used.
-
-    ``sample`` must be bounded by its caller.  Every task holds it and measures its own rows against it in slices,
-    for all labelings at once; no pair of rows is ever emitted.
+    ends = np.cumsum([k * (dims + 2) for k in sizes])
+
+    def moments(batch: pa.RecordBatch) -> np.ndarray:
+        z = matrix(batch.column(0)).astype(np.float64)
+        norm = (z * z).sum(axis=1)
+        parts = []
+        for k, label in zip(sizes, labels_of(batch)):
+            member = np.equal.outer(np.arange(k), label).astype(np.float64)
+            parts.append(np.column_stack([member @ z, member @ norm, member.sum(axis=1)]).ravel())
+        return np.concatenate(parts)
+
+    clusters = [m.reshape(-1, dims + 2) for m in np.split(_added_up(df, columns, moments, int(ends[-1]), tasks), ends[:-1])]
+
+    def scores(batch: pa.RecordBatch) -> np.ndarray:
+        z = matrix(batch.column(0)).astype(np.float64)
+        norm, at = (z * z).sum(axis=1), np.arange(len(z))
+        out = [float(len(z))]
+        for m, own in zip(clusters, labels_of(batch)):
+            n = m[:, -1]
+            total = np.maximum(norm[:, None] * n - 2 * z @ m[:, :-2].T + m[:, -2], 0.0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                within = total[at, own] / (n[own] - 1)
+                others = np.where(n > 0, total / n, np.inf)
+                others[at, own] = np.inf
+                nearest = others.min(axis=1)
+                s = (nearest - within) / np.maximum(nearest, within)
+            out.append(float(np.where(n[own] > 1, np.nan_to_num(s), 0.0).sum()))
+        return np.array(out)
+
+    summed = _added_up(df, columns, scores, 1 + len(sizes), tasks)
+    used = [int((m[:, -1] > 0).sum()) for m in clusters]
+    return [-1.0 if u < 2 else float(np.round(t / max(summed[0], 1), 6)) for u, t in zip(used, summed[1:])]
+
+
+def silhouette(df: DataFrame, labels: list[str], vec: str = "z") -> DataFrame:
+    """``(labeling, score)``: mean silhouette per label column over all rows, rounded to 6; -1 when only one cluster is used.
+
+    Distances are squared Euclidean; a singleton scores 0.  Labels may be any values of one type, at most
+    ``MAX_CLUSTERS`` different ones per column.
     """
-    spark = sample.sparkSession
-    rows = sample.select(vec, *labels).toArrow().combine_chunks()  # at most the sample size
-    points = matrix(rows.column(vec).combine_chunks()).astype(np.float64)
-    member = {c: np.equal.outer(rows.column(c).to_numpy(), np.arange(max(rows.column(c).to_pylist()) + 1)).astype(np.float64)
-              for c in labels}
-    shared = spark.sparkContext.broadcast((points, member))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pts, groups = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                d2 = squared_distances(matrix(part.column(vec)).astype(np.float64), pts)
-                found = [row_silhouettes(np.sqrt(d2), groups[c], part.column(c).to_numpy()) for c in labels]
-                yield pa.RecordBatch.from_arrays([vectors(np.stack(found, axis=1))], ["s"])
-
-    spread = spark.createDataFrame(rows).repartition(spark.sparkContext.defaultParallelism)
-    means = spread.mapInArrow(measure, "s array<double>").agg(*[F.round(F.avg(F.col("s")[i]), 6) for i in range(len(labels))]).first()
-    scores = [(c, -1.0 if (member[c].sum(axis=0) > 0).sum() < 2 else m) for c, m in zip(labels, means)]
-    return spark.createDataFrame(scores, "labeling string, score double")
+    spark = df.sparkSession
+    first = df.select(vec).first()
+    if first is None:
+        return spark.createDataFrame([(c, -1.0) for c in labels], "labeling string, score double")
+    codes = {}
+    for c in labels:
+        values = sorted(r[0] for r in df.select(c).distinct().limit(MAX_CLUSTERS + 1).collect())
+        if len(values) > MAX_CLUSTERS:
+            raise ValueError(f"{c!r} has more than {MAX_CLUSTERS} labels")
+        codes[c] = {v: i for i, v in enumerate(values)}
 
+    def labels_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.array([codes[c][v] for v in batch.column(c).to_pylist()]) for c in labels]
 
-def _cluster_sample(points: np.ndarray, start: np.ndarray, max_iter: int) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids, labels) of the bounded sample after Lloyd iterations from ``start``."""
-    centroids = start.copy()
-    for _ in range(max_iter):
-        label = squared_distances(points, centroids).argmin(axis=1)
-        updated = np.stack([points[label == j].mean(axis=0) if (label == j).any() else centroids[j]
-                            for j in range(len(centroids))])
-        if np.linalg.norm(updated - centroids) < SHIFT_TOL:
-            break
-        centroids = updated
-    return centroids, squared_distances(points, centroids).argmin(axis=1)
+    means = _mean_silhouettes(df, [vec, *labels], labels_of, [len(codes[c]) for c in labels], len(first[0]), None)
+    return spark.createDataFrame(list(zip(labels, means)), "labeling string, score double")
 
 
 @dataclass
 class KSelection:
     table: DataFrame  # k, score, best
     best_k: int
-    centroids: np.ndarray  # of the best K, fitted on the sample
+    centroids: np.ndarray  # of the best K
 
 
-def select_k(df: DataFrame, keys: list[str], vec: str = "z", k_max: int = K_MAX, sample_size: int = SILHOUETTE_SAMPLE,
-             seed: int = 42, max_iter: int = MAX_ITER, n_rows: int | None = None) -> KSelection:
-    """Silhouette of K = 2..k_max, and the best K (the smallest on ties).
+def select_k(df: DataFrame, keys: list[str], vec: str = "z", k_max: int = K_MAX, seed: int = 42, max_iter: int = MAX_ITER) -> KSelection:
+    """Silhouette of K = 2..k_max over all rows, and the best K (the smallest on ties).
 
-    Candidates are fitted and scored on a sample of at most ``sample_size`` rows: one task per K clusters it, one
-    job scores all K together.
+    All K are clustered side by side, one pass per Lloyd step; a K that has converged leaves the following passes.
     """
     spark = df.sparkSession
-    sample = seeded_sample(df.select(vec, *keys), sample_size, keys, seed, n_rows)
-    rows = sample.select(sample_key(seed, *keys).alias("_h"), vec, *keys).toArrow()  # at most sample_size rows
-    rows = rows.combine_chunks().sort_by([(c, "ascending") for c in ("_h", *keys)])
-    points = matrix(rows.column(vec).combine_chunks()).astype(np.float64)
-    ks = list(range(K_MIN, min(k_max, len(points)) + 1))
+    rows = materialize(df.select(vec, *keys), "k-search")  # every step reads it
+    tasks = rows.rdd.getNumPartitions()
+    seeds = np.array([r[vec] for r in rows.orderBy(sample_key(seed, *keys), *keys).limit(k_max).select(vec).collect()], dtype=np.float64)
+    ks = list(range(K_MIN, len(seeds) + 1))
     if not ks:
         raise ValueError("choosing K needs at least two rows")
-    shared = spark.sparkContext.broadcast(points)
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["k"].iloc[0])
-        centroids, labels = _cluster_sample(shared.value, shared.value[:k], max_iter)
-        return pd.DataFrame({"k": [k], "centroids": [centroids.ravel()], "labels": [labels.astype(np.int32)]})
-
-    jobs = spark.createDataFrame(pa.table({"k": pa.array(ks, pa.int32())})).repartition(len(ks), "k")
-    fitted = jobs.groupBy("k").applyInPandas(cluster, "k int, centroids array<double>, labels array<int>").toArrow()
-    fitted = {r["k"]: r for r in fitted.to_pylist()}
-    labelled = {f"k{k}": pa.array(fitted[k]["labels"], pa.int32()) for k in ks}
-    sample = spark.createDataFrame(pa.table({vec: vectors(points), **labelled}))
-    scores = {r["labeling"]: float(r["score"]) for r in silhouette(sample, list(labelled), vec).collect()}
-    best = max(ks, key=lambda k: scores[f"k{k}"])
-    table = spark.createDataFrame([(k, scores[f"k{k}"], k == best) for k in ks], "k int, score double, best boolean")
-    return KSelection(table, best, np.array(fitted[best]["centroids"]).reshape(best, -1))
+    found = {k: seeds[:k] for k in ks}
+    moving = list(ks)
+    for _ in range(max_iter):
+        steps = lloyd_steps(rows, [found[k] for k in moving], vec, tasks)
+        settled = [k for k, (c, _) in zip(moving, steps) if np.linalg.norm(c - found[k]) < SHIFT_TOL]
+        found |= {k: c for k, (c, _) in zip(moving, steps) if k not in settled}
+        moving = [k for k in moving if k not in settled]
+        if not moving:
+            break
+
+    def labels_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        z = matrix(batch.column(0)).astype(np.float64)
+        return [squared_distances(z, found[k]).argmin(axis=1) for k in ks]
+
+    scores = dict(zip(ks, _mean_silhouettes(rows, [vec], labels_of, ks, seeds.shape[1], tasks)))
+    best = max(ks, key=lambda k: (scores[k], -k))
+    table = spark.createDataFrame([(k, scores[k], k == best) for k in ks], "k int, score double, best boolean")
+    return KSelection(table, best, found[best])

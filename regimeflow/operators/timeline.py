@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from regimeflow.functions.dates import week_ending_sunday
 from regimeflow.operators.filters import TIMELINE_SHOCK, drop_bad_dates, is_high
+from regimeflow.scratch import materialize
 
-DAILY_LIMIT = 2000  # fixed value: a longer calendar is shown by week
+DAY, WEEK, AUTO = "day", "week", "auto"
+DAILY_LIMIT = 2000  # fixed value: with ``AUTO`` a longer calendar is shown by week
 
 
 def timeline_daily(scored: DataFrame, time_col: str) -> DataFrame:
@@ -33,8 +35,13 @@ def timeline_weekly(daily: DataFrame) -> DataFrame:
     return calendar.join(weeks, "date", "left").fillna(0, ["regime"])
 
 
-def timeline(scored: DataFrame, time_col: str) -> DataFrame:
-    """Daily, or weekly for a long calendar, with the high-shock flag."""
-    daily = timeline_daily(scored, time_col)
-    rolled = timeline_weekly(daily) if daily.count() > DAILY_LIMIT else daily
+def timeline(scored: DataFrame, time_col: str, grain: str = DAY) -> DataFrame:
+    """Per day or week, with the high-shock flag; the grain follows the calendar's length only where ``AUTO`` is asked for."""
+    if grain not in (DAY, WEEK, AUTO):
+        raise ValueError(f"grain {grain!r} is none of {DAY}, {WEEK}, {AUTO}")
+    rolled = timeline_daily(scored, time_col)
+    if grain != DAY:
+        rolled = materialize(rolled, "daily")  # a row per day: read by the count and twice by the weeks
+        if grain == WEEK or rolled.count() > DAILY_LIMIT:
+            rolled = timeline_weekly(rolled)
     return rolled.withColumn("high_shock", is_high(F.col("shock_score"), TIMELINE_SHOCK)).orderBy("date")

@@ -84,6 +84,39 @@ def detect_header(spark, sf_dir):
     return out
 
 
+@query
+def delimited_dialect(spark, sf_dir):
+    """Texts with quotes, commas and line breaks, through a file and back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    path = scratch_path(spark, "documents") + ".csv"
+    sources.write_delimited(docs, path)
+    return sources.read_events(spark, path, schema=docs.schema, header=True, multi_line=True)
+
+
+@query
+def headerless_values(spark, sf_dir):
+    """Fewer columns than the standard ones, two of them of another type."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    path = scratch_path(spark, "orders") + ".csv"
+    sources.write_delimited(table(spark, sf_dir, "orders").select("o_orderkey", day, "o_orderstatus", F.col("o_orderkey") % 7), path, header=False)
+    return sources.read_events(spark, path)
+
+
+@query
+def split_iso_text(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return filters.split_by_date(orders, "day", "19970101")[0].select("o_orderkey")
+
+
+@query
+def dates_of_formats(spark, sf_dir):
+    def read(form):
+        return D.parse_generic(F.date_format("o_orderdate", form))
+
+    formats = {"iso": "yyyy-MM-dd", "slashes": "yyyy/MM/dd", "american": "M/d/yyyy", "dotted": "d.M.yyyy", "clock": "HH:mm", "code": "MMdd"}
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[read(form).alias(name) for name, form in formats.items()])
+
+
 @query
 def assign_names(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
@@ -245,15 +278,13 @@ def timeline_daily(spark, sf_dir):
 
 @query
 def timeline_weekly(spark, sf_dir):
-    # Two months of the year left out, so whole weeks are empty.
-    sparse = scored_lines(spark, sf_dir).where(~F.month("l_shipdate").isin(3, 4))
-    weekly = timeline.timeline_weekly(timeline.timeline_daily(sparse, "l_shipdate"))
+    weekly = timeline.timeline_weekly(timeline.timeline_daily(scored_lines(spark, sf_dir), "l_shipdate"))
     return weekly.withColumn("shock_score", rounded("shock_score"))
 
 
 @query
 def timeline_report(spark, sf_dir):
-    out = timeline.timeline(scored_lines(spark, sf_dir), "l_shipdate")
+    out = timeline.timeline(scored_lines(spark, sf_dir), "l_shipdate", timeline.AUTO)
     return out.withColumn("shock_score", rounded("shock_score"))
 
 
@@ -307,7 +338,7 @@ def dated_texts(spark, sf_dir) -> DataFrame:
 
 @query
 def detect_dates(spark, sf_dir):
-    rates = E.detect_dates(dated_texts(spark, sf_dir), ["event_type", "compact", "iso"], EVENT_ORDER)
+    rates = E.detect_dates(dated_texts(spark, sf_dir), ["event_type", "compact", "iso"])
     return rates.select("column", *[rounded(c).alias(c) for c in ("compact_rate", "generic_rate", "year_rate")])
 
 
@@ -507,8 +538,7 @@ def centroid_distances(spark, sf_dir):
 @query
 def silhouette(spark, sf_dir):
     vecs, _ = seed_rows(spark, sf_dir, 1)
-    sample = sampling.seeded_sample(vecs, regimes.SILHOUETTE_SAMPLE, ["vec_id"])
-    return regimes.silhouette(sample.select("z", "label"), ["label"])
+    return regimes.silhouette(vecs.select("z", "label"), ["label"])
 
 
 @query
@@ -549,19 +579,27 @@ def train_windowed(spark, sf_dir):
     return trained_windowed(spark, sf_dir).step_losses(spark)
 
 
+def loss_rows(spark, sf_dir):
+    """A loss history of the shape that training writes, from the events: a row per hour (epoch) and user group (step)."""
+    return table(spark, sf_dir, "events").groupBy(F.hour("ts").alias("epoch"), (F.col("user_id") % 5).alias("step")).agg(
+        F.count("*").alias("n_windows"), F.max("value").alias("loss"))
+
+
 @query
 def loss_summary(spark, sf_dir):
-    return stats.loss_summary(trained_full(spark, sf_dir).step_losses(spark))
+    out = stats.loss_summary(loss_rows(spark, sf_dir).groupBy("epoch").agg(F.max("loss").alias("loss")))
+    return out.select(*[rounded(c).alias(c) for c in ("initial", "final", "min", "reduction_pct")], "n_epochs")
 
 
 @query
 def window_losses(spark, sf_dir):
-    return stats.window_losses(trained_windowed(spark, sf_dir).step_losses(spark))
+    return stats.window_losses(loss_rows(spark, sf_dir)).withColumn("loss", rounded("loss"))
 
 
 @query
 def param_norms(spark, sf_dir):
-    return stats.param_norms(S.params_table(spark, trained_full(spark, sf_dir).params))
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("name"), F.col("embedding").cast("array<double>").alias("data"))
+    return stats.param_norms(held).withColumn("norm", rounded("norm"))
 
 
 def forget() -> None:

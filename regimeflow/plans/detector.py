@@ -13,7 +13,7 @@ from regimeflow.operators import ssm as S
 from regimeflow.operators import training as TR
 from regimeflow.operators.encoder import MIN_ROWS_FOR_STRATEGY, OHE_THRESHOLD, ColumnEncoder, EncoderModel
 from regimeflow.operators.ordering import top_shocks
-from regimeflow.operators.regimes import K_MAX, SILHOUETTE_SAMPLE, TEMPERATURE, Regimes, fit_regimes, select_k
+from regimeflow.operators.regimes import K_MAX, TEMPERATURE, Regimes, fit_regimes, select_k
 from regimeflow.operators.scoring import SIGNALS, W_DELTA, W_RECON, W_VELOCITY, signal_breakdown
 from regimeflow.operators.stats import loss_summary, regime_summary, window_losses
 from regimeflow.scratch import materialize
@@ -50,7 +50,6 @@ class ShockDetector(Estimator):
         window_size: int = TR.WINDOW_SIZE,
         stride: int | None = None,
         windows_per_step: int | None = None,
-        silhouette_sample: int = SILHOUETTE_SAMPLE,
         weights: tuple[float, float, float] = (W_DELTA, W_VELOCITY, W_RECON),
         temperature: float = TEMPERATURE,
         exact_grad: bool = False,
@@ -77,7 +76,6 @@ class ShockDetector(Estimator):
         self.window_size = window_size
         self.stride = stride
         self.windows_per_step = windows_per_step
-        self.silhouette_sample = silhouette_sample
         self.weights = weights
         self.temperature = temperature
         self.exact_grad = exact_grad
@@ -104,7 +102,7 @@ class ShockDetector(Estimator):
         else:
             trained = TR.train_full(series, params, self.n_iter, optimizer, self.patience, exact_grad=self.exact_grad)
         states = materialize(S.predict(series, trained.params).select("seq", "z"), "states")
-        chosen = select_k(states, ["seq"], "z", self.max_k, self.silhouette_sample, self.seed, n_rows=series.n_rows)
+        chosen = select_k(states, ["seq"], "z", self.max_k, self.seed)
         # The sample's centroids are a start close to the end: far fewer passes over all rows than from K random rows.
         regimes = fit_regimes(states, chosen.best_k, ["seq"], "z", seed=self.seed, temperature=self.temperature,
                               start=chosen.centroids if self.warm_start else None)

@@ -145,7 +145,7 @@ SELECT cal.date, {r('shock_score')} AS shock_score, coalesce(regime, 0) AS regim
 
 
 ORACLES["timeline_daily"] = f"SELECT date, {r('shock_score')} AS shock_score, regime FROM ({daily(SCORED_LINES)})"
-ORACLES["timeline_weekly"] = weekly(daily(f"SELECT * FROM ({SCORED_LINES}) WHERE month(date) NOT IN (3, 4)"))
+ORACLES["timeline_weekly"] = weekly(daily(SCORED_LINES))
 ORACLES["timeline_report"] = f"""
 WITH days AS ({daily(SCORED_LINES)}), weeks AS ({weekly(daily(SCORED_LINES))}),
 n AS (SELECT count(*) AS n FROM days)
@@ -171,7 +171,7 @@ SELECT coalesce({column}, 'MISSING') AS value, count(*) AS n, count(*) / (SELECT
 
 
 def text_decision(column: str, source: str, threshold: float) -> str:
-    return f"""(SELECT CASE WHEN (SELECT count(*) FROM {source}) <= 2000 OR max(f) > {threshold} THEN 'ohe' ELSE 'drop' END
+    return f"""(SELECT CASE WHEN max(f) > {threshold} THEN 'ohe' ELSE 'drop' END
        FROM ({frequencies(column, source)}))"""
 
 
@@ -219,7 +219,7 @@ def _rates(column: str) -> str:
 SELECT '{column}' AS "column", {rate("try_strptime(v, '%Y%m%d') IS NOT NULL")} AS compact_rate,
        {rate("try_cast(v AS TIMESTAMP) IS NOT NULL")} AS generic_rate,
        {rate("regexp_full_match(v, '[0-9]{4}([.][0-9]+)?|[0-9]{14}')")} AS year_rate
-FROM (SELECT {column} AS v FROM ({DATED_TEXTS}) WHERE {column} IS NOT NULL ORDER BY ts, event_id LIMIT 30)"""
+FROM (SELECT {column} AS v FROM ({DATED_TEXTS}) WHERE {column} IS NOT NULL)"""
 
 
 ORACLES["detect_dates"] = " UNION ALL ".join(_rates(c) for c in ("event_type", "compact", "iso"))
@@ -404,11 +404,31 @@ SELECT vec_id, {', '.join(r(f'sum(w) FILTER (k = {k}) / sum(w)') + f' AS regime_
 ORACLES["centroid_distances"] = f"""
 WITH {seeds(5)} SELECT a.k AS i, b.k AS j, {r('list_distance(a.c, b.c)')} AS distance FROM seeds a, seeds b"""
 ORACLES["silhouette"] = f"""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS z, label FROM embeddings ORDER BY md5('42:' || vec_id), vec_id LIMIT 10000),
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS z, label FROM embeddings),
 size AS (SELECT label, count(*) AS n FROM v GROUP BY label),
-d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.z, b.z)) AS s FROM v a, v b GROUP BY a.vec_id, a.label, b.label),
+d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.z, b.z) ** 2) AS s FROM v a, v b GROUP BY a.vec_id, a.label, b.label),
 m AS (SELECT vec_id, d.label, max(CASE WHEN other = d.label THEN s / nullif(n - 1, 0) END) AS within,
              min(CASE WHEN other <> d.label THEN s / n END) AS nearest, max(CASE WHEN other = d.label THEN n END) AS own
       FROM d JOIN size ON size.label = other GROUP BY vec_id, d.label)
 SELECT 'label' AS labeling,
        {r('avg(CASE WHEN own > 1 THEN (nearest - within) / greatest(nearest, within) ELSE 0 END)')} AS score FROM m"""
+
+ORACLES["column_types"] = """
+SELECT t.name AS "column", t.dtype, (SELECT count(*) FROM events) AS n_rows, 6::INTEGER AS n_columns
+FROM (VALUES ('event_id', 'bigint'), ('ts', 'timestamp_ntz'), ('user_id', 'bigint'), ('event_type', 'string'), ('value', 'double'), ('props', 'string')) t(name, dtype)"""
+
+ORACLES["delimited_dialect"] = "SELECT doc_id, text, lang FROM documents"
+ORACLES["headerless_values"] = """
+SELECT o_orderkey AS "GlobalEventID", strftime(o_orderdate, '%Y-%m-%d') AS "Day", o_orderstatus AS "MonthYear", (o_orderkey % 7)::INTEGER AS "Year" FROM orders"""
+ORACLES["split_iso_text"] = "SELECT o_orderkey FROM orders WHERE o_orderdate < DATE '1997-01-01'"
+ORACLES["dates_of_formats"] = """
+SELECT o_orderkey, o_orderdate::DATE AS iso, o_orderdate::DATE AS slashes, o_orderdate::DATE AS american, o_orderdate::DATE AS dotted, NULL::DATE AS clock, NULL::DATE AS code
+FROM orders"""
+
+LOSS_ROWS = "SELECT hour(ts) AS epoch, user_id % 5 AS step, count(*) AS n_windows, max(value) AS loss FROM events GROUP BY ALL"
+ORACLES["loss_summary"] = f"""
+WITH h AS (SELECT epoch, max(loss) AS loss FROM ({LOSS_ROWS}) GROUP BY epoch),
+x AS (SELECT min_by(loss, epoch) AS a, max_by(loss, epoch) AS b, min(loss) AS low, count(*) AS n FROM h)
+SELECT {r('a')} AS initial, {r('b')} AS final, {r('low')} AS min, {r('(a - b) / (a + 1e-10) * 100')} AS reduction_pct, n AS n_epochs FROM x"""
+ORACLES["window_losses"] = f"SELECT epoch, {r('sum(loss * n_windows) / sum(n_windows)')} AS loss FROM ({LOSS_ROWS}) GROUP BY epoch"
+ORACLES["param_norms"] = f"SELECT vec_id::VARCHAR AS name, {r('sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))')} AS norm FROM embeddings"

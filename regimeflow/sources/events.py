@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import csv
 import os
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The 58 positional columns of a headerless event file, in order.
@@ -32,6 +34,7 @@ EVENT_COLUMNS = [
     "DATEADDED", "SOURCEURL",
 ]
 HEADERLESS_MIN_COLUMNS = 55  # fixed value
+DIALECT = {"quote": '"', "escape": '"'}  # a quote inside a quoted cell is doubled
 
 _LONG = {"GlobalEventID", "DATEADDED"}
 _INT = {"Day", "MonthYear", "Year", "IsRootEvent", "QuadClass", "NumMentions", "NumSources", "NumArticles",
@@ -53,6 +56,11 @@ def event_schema() -> T.StructType:
     return T.StructType([T.StructField(c, dtype(c)) for c in EVENT_COLUMNS])
 
 
+def positional_names(width: int) -> list[str]:
+    """The standard names, then numbered ones for columns beyond them."""
+    return [*EVENT_COLUMNS[:width], *(f"Column{i + 1}" for i in range(len(EVENT_COLUMNS), width))]
+
+
 def _suffix(path: str) -> str:
     return os.path.splitext(path.rstrip("/"))[1].lower()
 
@@ -82,11 +90,14 @@ def read_events(
     schema: T.StructType | str | None = None,
     sep: str | None = None,
     header: bool | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Lazy scan of ``.parquet``, ``.csv`` or ``.tsv``.
+    """Scan of ``.parquet``, ``.csv`` or ``.tsv``.
 
-    ``sep``, ``header`` and ``schema`` are detected only where unset.  A headerless file takes the standard
-    58-column schema; a headed one takes its own names and inferred types.
+    ``sep``, ``header`` and ``schema`` are detected only where unset.  A headerless file keeps all its columns under the
+    standard names, in their standard types where every value fits and as text where one does not (one counting
+    pass); a headed one takes its own names and inferred types.  Quotes inside quoted cells are doubled;
+    ``multi_line`` reads cells that hold line breaks, at the price of one task per file.
     """
     suffix = _suffix(path)
     if suffix not in (".parquet", ".csv", ".tsv"):
@@ -98,19 +109,27 @@ def read_events(
         sep = sep or ("\t" if suffix == ".tsv" else ",")
         if header is None:
             header, _ = detect_header(spark, path, sep)
-        reader = spark.read.option("sep", sep).option("header", header)
+        reader = spark.read.options(sep=sep, header=header, multiLine=multi_line, **DIALECT)
         if schema is not None:
-            reader = reader.schema(schema)
-        elif not header:
-            reader = reader.schema(event_schema())
-        else:
-            reader = reader.option("inferSchema", True)
-        return reader.csv(path)
+            return reader.schema(schema).csv(path)
+        if header:
+            return reader.option("inferSchema", True).csv(path)
+        names = positional_names(detect_header(spark, path, sep)[1])
+        return _typed(reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).csv(path))
+
+
+def _typed(text: DataFrame) -> DataFrame:
+    """Standard types for the columns whose every value fits."""
+    wanted = {f.name: f.dataType for f in event_schema() if f.name in text.columns and not isinstance(f.dataType, T.StringType)}
+    if not wanted:
+        return text
+    misfits = text.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(c) for c, t in wanted.items()]).first()
+    return text.select(*[F.col(c).try_cast(wanted[c]).alias(c) if c in wanted and not misfits[c] else F.col(c) for c in text.columns])
 
 
 def assign_names(df: DataFrame, names: list[str] = EVENT_COLUMNS) -> DataFrame:
     """Positional rename for tables whose first column name is a number; other tables pass through."""
-    if not df.columns[0].lstrip("_c").isdigit():
+    if not re.fullmatch(r"(_c)?\d+", df.columns[0]):
         return df
     if len(df.columns) > len(names):
         raise ValueError(f"{len(df.columns)} columns but only {len(names)} names")

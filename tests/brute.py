@@ -49,7 +49,7 @@ def scores(z, dt, err, weights=(0.4, 0.4, 0.2)):
 
 
 def silhouette(points, labels):
-    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    d = ((points[:, None] - points[None]) ** 2).sum(axis=2)
     out = []
     for i in range(len(points)):
         own = labels == labels[i]

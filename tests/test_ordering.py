@@ -145,3 +145,13 @@ def test_scan_survives_complete_decay():
     a, u = np.zeros((50, 2)), np.ones((50, 2))
     y, product, last = C.scan_rows(a, u)
     assert (y == 1).all() and (product == 0).all() and (last == 1).all()
+
+
+def test_matrix_refuses_rows_that_would_shift_others():
+    import pyarrow as pa
+    import pytest
+    from regimeflow.operators.chunks import matrix
+    for values in ([[1.0, 2.0], None], [[1.0, 2.0], [3.0]], [[1.0, None], [2.0, 3.0]]):
+        with pytest.raises(ValueError):
+            matrix(pa.array(values, pa.list_(pa.float64())))
+    assert matrix(pa.array([[1.0, 2.0], [3.0, 4.0]])).shape == (2, 2)

@@ -94,11 +94,6 @@ def test_select_k_equals_plain_loops(spark, blobs):
     assert again.table.orderBy("k").collect() == table
 
 
-def test_select_k_samples(spark, blobs):
-    picked = R.select_k(vectors_of(spark, blobs), ["seq"], k_max=3, sample_size=40)
-    assert picked.table.count() == 2
-
-
 def signal_rows(spark, z, delta, err):
     rows = [(i, [float(v) for v in z[i]], float(delta[i]), float(err[i])) for i in range(len(z))]
     return spark.createDataFrame(rows, "seq long, z array<double>, delta double, recon_error double").repartition(4)

@@ -61,3 +61,25 @@ def test_parquet_scan_prunes_and_pushes_down(spark, tmp_path):
     spark.range(10).selectExpr("id", "id * 2 AS v", "id * 3 AS w").write.parquet(path)
     plan = sources.read_events(spark, path).where("id > 5").select("v")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,5)" in plan and "w:bigint" not in plan
+
+
+def test_wide_headerless_files_keep_every_column(spark, tmp_path):
+    path = str(tmp_path / "wide.csv")
+    with open(path, "w") as f:
+        f.write(",".join(str(i) for i in range(61)) + "\n")
+    row = sources.read_events(spark, path).first()
+    assert len(row) == 61 and row["Column61"] == "60" and row["GlobalEventID"] == 0 and row["SOURCEURL"] == "57"
+
+
+def test_quoted_cells_survive(spark, tmp_path):
+    rows = [(1, 'a "b", c'), (2, "two\nlines"), (3, "ends with \\"), (4, ""), (5, None), (6, ",")]
+    path = str(tmp_path / "quoted.csv")
+    sources.write_delimited(spark.createDataFrame(rows, "id int, text string"), path)
+    back = sources.read_events(spark, path, schema="id int, text string", header=True, multi_line=True).collect()
+    want = [(i, t or None) for i, t in rows]  # an empty cell is null, quoted or not
+    assert sorted((tuple(r) for r in back), key=lambda r: r[0]) == want
+
+
+def test_names_like_numbers_only_are_positional(spark):
+    assert sources.assign_names(spark.createDataFrame([(1, 2)], ["c1", "c2"])).columns == ["c1", "c2"]
+    assert sources.assign_names(spark.createDataFrame([(1, 2)], ["_c0", "_c1"])).columns == ["GlobalEventID", "Day"]

@@ -126,11 +126,11 @@ def test_sequential_windows_equal_a_loop(spark):
     x = np.random.default_rng(3).normal(size=(75, 4)).astype(np.float32).astype(float)
     p = S.init_params(4, 3, 5)
     windows = TR.pack_windows(feature_rows(spark, x), ["row"], 20, 10, windows_per_step=1)
-    assert (windows.n_windows, windows.untrained_rows) == (6, 5)
+    assert (windows.n_windows, windows.untrained_rows) == (7, 0)
     got = TR.train_windowed(windows, p, 2, TR.Adam(lr=1e-2), exact_grad=True)
     opt, want, losses = TR.Adam(lr=1e-2), p, []
     for _ in range(2):
-        for s in range(0, 56, 10):
+        for s in (*range(0, 56, 10), 55):  # the last window ends at the last row
             w = x[s:s + 20]
             losses.append(brute.loss(want, w) / 4)
             want = opt.step(want, {n: brute.finite_difference(want, w, n) for n in S.PARAM_NAMES})
@@ -139,6 +139,24 @@ def test_sequential_windows_equal_a_loop(spark):
         np.testing.assert_allclose(got.params[n], want[n], atol=1e-5)
 
 
+def test_stretches_of_windows(spark, monkeypatch):
+    """One stretch is the sequential order; several are averaged by their windows, and come close to it."""
+    x = np.random.default_rng(3).normal(size=(75, 4)).astype(np.float32).astype(float)
+    p, rows = S.init_params(4, 3, 5), feature_rows(spark, x)
+    one = TR.train_windowed(TR.pack_windows(rows, ["row"], 20, 10, windows_per_step=1), p, 2, TR.Adam(lr=1e-2))
+    got = TR.train_windowed(TR.pack_windows(rows, ["row"], 20, 10), p, 2, TR.Adam(lr=1e-2))
+    for n in S.PARAM_NAMES:
+        np.testing.assert_allclose(got.params[n], one.params[n], atol=1e-9)
+    assert got.optimizer.t == one.optimizer.t == 14 and got.losses[0][3] == pytest.approx(np.mean([r[3] for r in one.losses[:7]]))
+    monkeypatch.setattr(TR, "STRETCH_ROWS", 40)
+    windows = TR.pack_windows(rows, ["row"], 20, 10)
+    assert windows.n_steps == 4
+    several = TR.train_windowed(windows, p, 12, TR.Adam(lr=1e-2))
+    sequential = TR.train_windowed(TR.pack_windows(rows, ["row"], 20, 10, windows_per_step=1), p, 2, TR.Adam(lr=1e-2))
+    assert several.losses[-1][3] < several.losses[0][3]
+    assert abs(several.losses[-1][3] - sequential.losses[-1][3]) < 0.3 * sequential.losses[0][3]
+
+
 def test_grouped_windows_average_their_gradients(spark):
     x = np.random.default_rng(3).normal(size=(64, 4)).astype(np.float32).astype(float)
     p = S.init_params(4, 3, 5)
