@@ -3,7 +3,8 @@
 Every document is the sorted set of its shingle hashes; the order of the hashes is the global order, the sorted set a
 path in one large prefix tree.  The tree is dealt to tasks by ranges of the order.  Two sets linked at the
 threshold differ in at most ``d`` shingles (``d`` follows from the sizes), so cut into more than ``d`` ranges they agree
-on a whole range: the *pieces* of their paths there are equal.  Equal pieces (and size class) bring documents
+on a whole range: the *pieces* of their paths there are equal.  Shingles that a sample shows to be frequent stand last
+in the order, in a range of their own that is not used.  Equal pieces (and size class) bring documents
 together; the least document of such a meeting leads it.  Each leader's meeting is a prefix tree of the members' sets,
 which the leader's set descends: overlap counted on a shared edge holds for everything below it, and a subtree is left
 as soon as the shingles that remain on either side cannot reach the threshold.  Members without a link to the leader are
@@ -33,8 +34,10 @@ from regimeflow.llm.common import save, text_or_empty
 from regimeflow.llm.components import components
 from regimeflow.llm.shingles import mix, shingles
 
-WIDTH, PERCENT, PART, BATCH_BYTES = 3, 90, 512, 4 << 20
-CLASS_RATIO, SPARE = 1.5, 2  # sizes per class; ranges beyond the differences
+WIDTH, PERCENT, PART, BATCH_BYTES, SLICE = 3, 90, 512, 1 << 20, 64
+CLASS_RATIO = 1.5  # sizes per class
+SAMPLE_DOCS, FREQUENT, MAX_FREQUENT = 16_384, 4, 200_000
+_NONE = np.zeros(0, np.uint64)
 
 
 @lru_cache(maxsize=8)
@@ -49,40 +52,65 @@ def _classes(percent: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def _spare(differ: int) -> int:
+    """Ranges beyond the possible differences: more than are empty by chance, so that empty ones need no key."""
+    return 2 + differ // 6
+
+
 def linked(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
-def pieces(ordered: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the pieces of a sorted set, for every class in which it can have a partner."""
-    n, out = len(ordered), []
+def _cut(ordered: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the contents of m ranges of the order, and which ranges are empty."""
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(ordered ^ np.uint64(0x5DEECE66D)))))
+    edges = np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m)
+    cut = np.concatenate(([0], np.searchsorted(ordered, edges), [len(ordered)]))
+    return sums[cut[1:]] - sums[cut[:-1]], cut[1:] == cut[:-1]
+
+
+def pieces(ordered: np.ndarray, percent: int, frequent: np.ndarray = _NONE) -> np.ndarray:
+    """Keys of the pieces of a sorted set, for every class in which it can have a partner.
+
+    Linked sets agree on at least ``_spare`` of the ranges.  Frequent shingles are left out first; unless as many ranges
+    are empty then, an agreeing one has shingles in it and its key is shared.  Sets with that many empty ranges give
+    the keys of their whole content, too, empty ranges included only where again there are so many.
+    """
+    n, out = len(ordered), []
+    rare = ordered
+    if len(frequent) and n:
+        rare = ordered[frequent[np.minimum(np.searchsorted(frequent, ordered), len(frequent) - 1)] != ordered]
     for k, (low, top, partner, differ) in enumerate(_classes(percent)):
         if low > n:
             break
         if not differ or not (n <= top or n <= partner):
             continue
-        m = differ + SPARE
-        edges = (np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m))
-        cut = np.concatenate(([0], np.searchsorted(ordered, edges), [n]))
-        empty = cut[1:] == cut[:-1]
-        # Sets that agree on all but `differ` ranges agree on SPARE of them: one has shingles unless that many are empty.
-        use = np.flatnonzero(~empty) if empty.sum() < SPARE else np.arange(m)
-        piece = sums[cut[1:]] - sums[cut[:-1]]
-        out.append(mix(piece[use] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k << 40) + use.astype(np.uint64)))
+        spare = _spare(differ)
+        m = differ + spare
+        for way, content in enumerate((rare, ordered)):
+            key, empty = _cut(content, m)
+            many = empty.sum() >= spare
+            use = np.arange(m) if many and way else np.flatnonzero(~empty)
+            out.append(mix(key[use] * np.uint64(0x9E3779B97F4A7C15) + np.uint64((2 * k + way) << 40) + use.astype(np.uint64)))
+            if not many:
+                break
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _batches(keys: list, texts: list, limit: int) -> Iterator[tuple[list, list[bytes]]]:
-    first, size = 0, 0
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    for i, t in enumerate(raw):
-        if i > first and size + len(t) > limit:
-            yield keys[first:i], raw[first:i]
-            first, size = i, 0
-        size += len(t)
-    if first < len(raw):
-        yield keys[first:], raw[first:]
+def _batches(keys: pa.Array, texts: pa.Array, limit: int) -> Iterator[tuple[list, list[bytes]]]:
+    """Keys and encoded texts of a column in slices of about ``limit`` bytes; only one slice is decoded at a time."""
+    held_keys, held, size = [], [], 0
+    for at in range(0, len(texts), SLICE):
+        for k, t in zip(keys.slice(at, SLICE).to_pylist(), texts.slice(at, SLICE).to_pylist(), strict=True):
+            raw = t.encode("utf-8", "surrogatepass")
+            if held and size + len(raw) > limit:
+                yield held_keys, held
+                held_keys, held, size = [], [], 0
+            held_keys.append(k)
+            held.append(raw)
+            size += len(raw)
+    if held:
+        yield held_keys, held
 
 
 def sets_of(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -90,15 +118,37 @@ def sets_of(texts: list[bytes], width: int) -> list[np.ndarray]:
     return [np.unique(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def frequent_shingles(docs: DataFrame, width: int, text: str) -> np.ndarray:
+    """Shingles of at least ``FREQUENT`` among about ``SAMPLE_DOCS`` documents drawn by hash, at most ``MAX_FREQUENT``, sorted.
+
+    They make up the last stretch of the global order, which names no meetings, since documents share them by the
+    hundreds without being alike.  Any such set gives the same links; a better one saves work.
+    """
+    share = int(min(1.0, SAMPLE_DOCS / max(docs.count(), 1)) * (1 << 20)) + 1
+    body = text_or_empty(text)
+    some = docs.where(F.pmod(F.xxhash64(F.lit("shingles"), body), F.lit(1 << 20)) < share).select(F.lit(0).alias("key"), body.alias("text")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in _batches(batch.column(0), batch.column(1), BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s.view(np.int64) for s in sets_of(texts, width)]))], ["shingle"])
+
+    counted = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    found = counted.orderBy(F.desc("n"), "shingle").limit(MAX_FREQUENT).collect()
+    return np.sort(np.array([r["shingle"] for r in found], np.int64).view(np.uint64))
+
+
 def described(docs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
     """doc_id, set size, 128-bit key of the set, keys of its pieces."""
+    held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width, text))  # at most MAX_FREQUENT numbers
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, texts in _batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), BATCH_BYTES):
+            for keys, texts in _batches(batch.column(0), batch.column(1), BATCH_BYTES):
                 sets = sets_of(texts, width)
                 whole = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 key_at = np.frombuffer(b"".join(whole), "<i8").reshape(-1, 2)
-                found = [pieces(s, percent).view(np.int64) for s in sets]
+                found = [pieces(s, percent, held.value).view(np.int64) for s in sets]
                 at = np.concatenate(([0], np.cumsum([len(p) for p in found])))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(key_at[:, 0]), pa.array(key_at[:, 1]),
@@ -181,17 +231,19 @@ def _groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFr
         yield rest
 
 
-def _with_texts(rows: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+def _texts_of(meetings: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """node and text of every document that meets another; the one time that texts are shuffled."""
+    involved = meetings.select("node").union(meetings.select(F.col("leader"))).distinct()
     once = docs.select(F.col(key).cast("long").alias("node"), text_or_empty(text).alias("text"))
-    return rows.join(once, "node")
+    return save(once.join(involved.hint("merge"), "node", "left_semi"), "met-texts")
 
 
-def _against_leader(meetings: DataFrame, docs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
+def _against_leader(meetings: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """leader, node, linked."""
     size = meetings.groupBy("leader").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
     member = meetings.join(size, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node")
     leader = size.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("leader").alias("node"))
-    rows = _with_texts(member.union(leader), docs, text, key).repartition("leader", "part").sortWithinPartitions("leader", "part", "node")
+    rows = member.union(leader).join(texts, "node").repartition("leader", "part").sortWithinPartitions("leader", "part", "node")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _groups(frames, ["leader", "part"]):
@@ -206,12 +258,13 @@ def _against_leader(meetings: DataFrame, docs: DataFrame, width: int, percent: i
     return rows.select("leader", "part", "node", "text").mapInPandas(run, "leader long, node long, linked boolean")
 
 
-def _among_members(tested: DataFrame, docs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
+def _among_members(tested: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (u, v) of members that have none with their leader, to members of the same meeting in other components."""
     comp = components(tested.where("linked"), "leader", "node")
     loose = tested.where(~F.col("linked")).select("leader", "node")
     open_ = loose.groupBy("leader").agg(F.ceil(F.count("*") / PART).cast("long").alias("a_parts"))
     whole = tested.join(open_, "leader").groupBy("leader", "a_parts").agg(F.ceil(F.count("*") / PART).cast("long").alias("b_parts"))
+
     def numbers(c):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
 
@@ -222,7 +275,7 @@ def _among_members(tested: DataFrame, docs: DataFrame, width: int, percent: int,
     told = tested.select("leader", "node").join(whole, "leader").select("leader", numbers("a_parts").alias("a"), part("b_parts").alias("b"), "node", F.lit(False).alias("asks"))
     labelled = asks.union(told).join(comp.select("node", "component"), "node", "left")
     by = ["leader", "a", "b"]
-    rows = _with_texts(labelled, docs, text, key).repartition(*by).sortWithinPartitions(*by, "node")
+    rows = labelled.join(texts, "node").repartition(*by).sortWithinPartitions(*by, "node")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _groups(frames, by):
@@ -263,8 +316,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     piece = nodes.select("node", F.explode("pieces").alias("piece"))
     meeting = piece.groupBy("piece").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where(F.col("leader") < F.col("last"))
     meetings = save(piece.join(meeting.select("piece", "leader"), "piece").where(F.col("node") != F.col("leader")).select("leader", "node").distinct(), "meetings")
-    tested = save(_against_leader(meetings, docs, width, percent, text, key), "tested")
-    more = _among_members(tested, docs, width, percent, text, key)
+    texts = _texts_of(meetings, docs, text, key)
+    tested = save(_against_leader(meetings, texts, width, percent), "tested")
+    more = _among_members(tested, texts, width, percent)
     links = tested.where("linked").select(F.col("leader").alias("u"), F.col("node").alias("v")).union(more)
     comp = components(links, "u", "v")
     named = rows.select("doc", "n", "h1", "h2").join(first, ["h1", "h2"], "left").join(comp, F.col("rep") == F.col("node"), "left")

@@ -178,6 +178,8 @@ def test_pieces_of_linked_sets_meet():
         both = len(np.intersect1d(one, two))
         if len(two) and ngram_join.linked(len(one), len(two), both, 90) and not np.array_equal(one, two):
             assert np.intersect1d(ngram_join.pieces(one, 90), ngram_join.pieces(two, 90)).size
+            often = np.sort(rng.choice(one, len(one) // 2, replace=False))  # whatever shingles are held to be frequent
+            assert np.intersect1d(ngram_join.pieces(one, 90, often), ngram_join.pieces(two, 90, often)).size
 
 
 def test_components_of_a_path_and_a_star(spark):
