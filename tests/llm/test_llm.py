@@ -353,6 +353,25 @@ def test_substring_dedup_finds_planted_passages(spark):
     assert {r["doc_id"] for r in out} <= {d for ids in planted.values() for d in ids[1:]}
 
 
+def test_passages_with_edits_inside():
+    rng = np.random.default_rng(3)
+
+    def shingled(words):
+        return np.array([hash(tuple(words[k:k + 5])) for k in range(len(words) - 4)], np.int64)
+
+    for n, places in ((50, [25]), (70, [35]), (90, [45]), (100, [33, 66]), (200, [40, 80, 120, 160]), (50, [1]), (50, [48]), (60, [])):
+        ours = rng.integers(0, 1 << 40, n).tolist()
+        for edit in ("change", "insert", "delete"):
+            theirs = list(ours)
+            for k in reversed(places):
+                theirs[k:k + (edit != "insert")] = [] if edit == "delete" else [int(rng.integers(0, 1 << 40))]
+            around = [rng.integers(0, 1 << 40, 30).tolist() for _ in range(4)]
+            a, b = shingled(around[0] + ours + around[1]), shingled(around[2] + theirs + around[3])
+            found = substring_dedup.passages(a, b, 0, 0, 46, 0.8)
+            assert len(found) == 1 and found[0][4] >= 0.8, (n, places, edit)
+            assert abs(found[0][0] - 30) <= 6 and abs(found[0][1] - (30 + n - 4)) <= 6, (n, places, edit)
+
+
 def test_empty_tables(spark, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
