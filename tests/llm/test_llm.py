@@ -372,6 +372,25 @@ def test_passages_with_edits_inside():
             assert abs(found[0][0] - 30) <= 6 and abs(found[0][1] - (30 + n - 4)) <= 6, (n, places, edit)
 
 
+def test_substring_dedup_keeps_offsets_apart(spark):
+    ship_package(spark)
+    rng = random.Random(21)
+
+    def fresh(tag, n):
+        return [f"{tag}{rng.randrange(1 << 40)}" for _ in range(n)]
+
+    rows, want = [], set()
+    for d in range(0, 60, 2):  # the lead has its passage's beginning once before, and so for some functions first
+        passage = fresh("p", 70)
+        rows.append((d, " ".join([*fresh("a", 20), *passage[:48], *fresh("b", 300), *passage, *fresh("c", 20)])))
+        rows.append((d + 1, " ".join([*fresh("d", 20), *passage, *fresh("e", 20)])))
+        want.add((d + 1, d, 20, 70, 368))
+    out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {w[0] for w in want} == {r["doc_id"] for r in out}
+    whole = {(r["doc_id"], r["ref_doc_id"], r["start_word"], r["n_words"], r["ref_start_word"]) for r in out if r["n_words"] >= 70}
+    assert whole <= want and len(whole) >= 12
+
+
 def test_empty_tables(spark, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
