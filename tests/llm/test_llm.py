@@ -391,6 +391,24 @@ def test_substring_dedup_keeps_offsets_apart(spark):
     assert whole <= want and len(whole) >= 12
 
 
+def test_substring_dedup_looks_past_a_lead_of_another_context(spark):
+    ship_package(spark)
+    rng = random.Random(22)
+
+    def fresh(tag, n):
+        return [f"{tag}{rng.randrange(1 << 40)}" for _ in range(n)]
+
+    rows, want = [], set()
+    for d in range(1000, 1060, 2):
+        passage = fresh("p", 70)
+        rows += [(d, " ".join([*fresh("a", 20), *passage, *fresh("b", 20)])), (d + 1, " ".join([*fresh("c", 20), *passage, *fresh("d", 20)]))]
+        want.add((d + 1, d))
+        for k in range(66):  # every shingle of the passage stands in an earlier document, among other words
+            rows.append(((d - 1000) * 33 + k - 5000, " ".join([*fresh("e", 60), *passage[k:k + 5], *fresh("f", 60)])))
+    out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert want == {(r["doc_id"], r["ref_doc_id"]) for r in out}
+
+
 def test_empty_tables(spark, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
