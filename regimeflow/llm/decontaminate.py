@@ -2,15 +2,14 @@
 
 A seed is a fixed mask over neighbouring words: the selected positions are hashed, the others may differ.  The hashes
 of all windows of the benchmark are joined with those of every document; a hit fixes an alignment, along which the
-stretch of words best matching (one point a match, ``PENALTY`` off a substitution) is verified: it must
-have ``MIN_WORDS`` words, or the item's own number if smaller, and so at least 80 percent of them equal.  An item
-present from end to end with 80 percent of its words equal is an overlap, too.
+longest stretch with at least 80 percent of its words equal (one point a match, ``PENALTY`` off a substitution, 0 points
+or more in all) is an overlap, if it has ``MIN_WORDS`` words, or the item's own number if smaller.  The masks meet every such stretch.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words (a checked bound: a larger benchmark takes
 several passes, one per block); a pass over the documents is narrow.
 
-Edge cases: items of fewer than ``MIN_ITEM`` words, null and empty ones take no part; items shorter than a mask are
-searched whole; null and empty texts have no leaks; words are cut at ASCII white space, A-Z lower-cased.  Of several
+Edge cases: items of fewer than ``MIN_ITEM`` words, null and empty ones take no part; items of fewer
+than ``MIN_WORDS`` words are searched whole, with masks of weight 4; null and empty texts have no leaks; words are cut at ASCII white space, A-Z lower-cased.  Of several
 overlaps of a document with an item the longest counts (ties: the first).  Repeated documents and items are
 reported each once per pair of ids.  Extra columns are ignored, or pass through in ``drop_leaks``.
 """
@@ -27,7 +26,9 @@ from pyspark.sql import functions as F
 from regimeflow.llm.common import text_or_empty
 from regimeflow.llm.shingles import mix, words
 
-MASKS = ("1010111", "1000011011", "111101", "1010101001")  # weight 5; together they meet 13 words with any 2 substitutions almost always
+# Of words 80 percent equal, 26 or more have 13 to 25 with as many in them; one of these masks meets every pattern of 13 to 25.
+MASKS = ("1010111", "1000011011", "111101", "1010101001")
+SHORT_MASKS = ("11101", "1111", "11011", "10111")  # for items of fewer than MIN_WORDS: every pattern of 5 to 12 words
 MIN_WORDS, MIN_ITEM, PENALTY, BLOCK_WORDS, BATCH = 13, 5, 4, 1 << 20, 2 << 20
 LEAKS = "doc_id {kind}, item_id long, start_word int, item_word int, n_words int, n_equal int"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -44,8 +45,8 @@ def seeds(key: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     return out
 
 
-def _masks() -> list[tuple[int, ...]]:
-    return [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS]
+def _masks(masks: tuple[str, ...]) -> list[tuple[int, ...]]:
+    return [tuple(i for i, c in enumerate(m) if c == "1") for m in masks]
 
 
 class Benchmark:
@@ -57,10 +58,10 @@ class Benchmark:
         self.key, self.at = mix(key), at
         self.masks: list[tuple[int, ...]] = []
         size = np.diff(at)
-        wide = max(map(max, _masks())) + 1
+        short = (size >= MIN_ITEM) & (size < MIN_WORDS)
         found, where, item = [], [], []
-        plans = [(m, size >= wide) for m in _masks()]
-        plans += [(tuple(range(n)), size == n) for n in range(MIN_ITEM, wide) if (size == n).any()]
+        plans = [(m, size >= MIN_WORDS) for m in _masks(MASKS)]
+        plans += [(m, short) for m in _masks(SHORT_MASKS) if short.any()]
         for salt, (mask, use) in enumerate(plans):
             self.masks.append(mask)
             hashes = seeds(self.key, mask, salt)
@@ -105,7 +106,7 @@ class Benchmark:
             same = key[g + first:g + last] == words_i[first:last]
             if last - first == len(words_i) and 5 * same.sum() >= 4 * len(words_i):
                 a, b, equal = 0, len(words_i), int(same.sum())  # the whole item, substitutions at its ends included
-            elif (stretch := _best_stretch(same)) is not None:
+            elif (stretch := _longest_stretch(same, min(MIN_WORDS, len(words_i)))) is not None:
                 a, b, equal = stretch
             else:
                 continue
@@ -115,15 +116,24 @@ class Benchmark:
             yield d, int(self.ids[i]), int(start), int(begin), int(n), int(equal)
 
 
-def _best_stretch(equal: np.ndarray) -> tuple[int, int, int] | None:
-    """Bounds and matches of the stretch with the most points; it begins and ends with a match."""
-    if not equal.any():
+def _longest_stretch(equal: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    """Bounds and matches of the longest stretch of ``least`` words with 5 * equal >= 4 * words.
+
+    It begins and ends with a match, unless only substitutions at its ends make it long enough.
+    """
+    if 5 * equal.sum() < 4 * least:
         return None
     total = np.concatenate(([0], np.cumsum(np.where(equal, 1, -PENALTY))))
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total[1:] - low[:-1])) + 1
-    begin = int(np.argmin(total[:end]))
-    return begin, end, int(equal[begin:end].sum())
+    at = np.flatnonzero(equal)
+    for begins, ends in ((at, at + 1), (np.arange(len(equal)), np.arange(1, len(equal) + 1))):
+        highest = np.maximum.accumulate(total[ends][::-1])  # of the ends from the last on; stretches with a sum of 0 or more are 80 percent equal
+        end = len(ends) - 1 - np.searchsorted(highest, total[begins])
+        size = np.where(end >= 0, ends[end] - begins, 0)
+        best = int(np.argmax(size))
+        if size[best] >= least:
+            begin, stop = int(begins[best]), int(ends[end[best]])
+            return begin, stop, int(equal[begin:stop].sum())
+    return None
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Benchmark]:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, public libraries and round trips, awkward rows included."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -307,6 +308,28 @@ def test_decontaminate(spark):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in planted}
 
 
+def test_decontaminate_finds_every_80_percent():
+    item = [f"w{k}" for k in range(40)]
+    bench = decontaminate.Benchmark([7, *range(105, 113)], [" ".join(item), *(" ".join(f"s{n}x{k}" for k in range(n)) for n in range(5, 13))])
+
+    def document(words, gone):
+        return " ".join(["before"] * 9 + [f"other{k}" if k in gone else w for k, w in enumerate(words)] + ["after"] * 9)
+
+    def found(texts):
+        got = {d: (i, n, e) for d, i, _, _, n, e in bench.overlaps(texts)}
+        return [got.get(k) for k in range(len(texts))]
+
+    assert set(found([document(item[11:24], c) for c in itertools.combinations(range(13), 2)])) <= {(7, 13, 11), (7, 13, 12)}
+    assert found([document(item[5:5 + n], range(4, n, 5)) for n in (15, 20, 30)]) == [(7, n - 1, n - n // 5) for n in (15, 20, 30)]
+    assert not any(found([document(item[11:24], c) for c in itertools.combinations(range(13), 3)]))
+    for n in range(5, 13):
+        words = [f"s{n}x{k}" for k in range(n)]
+        assert set(found([document(words, c) for c in itertools.combinations(range(n), n // 5)])) == {(100 + n, n, n - n // 5)}
+        assert not any(found([document(words, c) for c in itertools.combinations(range(n), n // 5 + 1)]))
+    inserted = document([*item[3:12], "new", *item[12:30]], ())
+    assert found([inserted])[0][1] >= 18
+
+
 def test_decontaminate_in_blocks(spark):
     items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(9)], "item_id long, text string")
     assert [len(b.ids) for b in decontaminate.blocks(items, 60)] == [3, 3, 3]
