@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and character Markov models for what the patterns miss.
 
 Two first-order Markov models over the characters of tokens are trained from labelled samples: *random* from the
-values that the base patterns find, *ordinary* from identifiers and words outside of them (long ones with a digit are left out: they may be
-either).  A token of at least
+values that the base patterns find, *ordinary* from identifiers and words outside of them (long ones with a digit or a run of
+``MIN_LENGTH`` letters are left out: they may be either).  A token of at least
 ``MIN_LENGTH`` characters outside the base spans becomes a span of kind ``markov`` when the log-likelihood ratio of
-the two models is at least ``MIN_RATIO`` nats in all and ``MIN_MEAN`` per character; it must hold a letter and a digit,
+the two models is at least ``MIN_RATIO`` nats in all and ``MIN_MEAN`` per character; it must hold a letter,
 so that card and telephone numbers are left to other scans.
 
 Training reads a sample of at most about ``SAMPLE_DOCS`` documents, drawn by hash (a stated bound); its counts are
@@ -33,7 +33,7 @@ BASE_KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # runs of 24 and more: the leftmost match of a run is the whole run
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}")
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}")
 ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_][A-Za-z0-9_-]{5,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 N = len(ALPHABET) + 1  # and the start of a token
@@ -87,8 +87,8 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs:
 
 
 def _doubtful(token: str) -> bool:
-    """Long and with a digit: it could be random, so it teaches neither model."""
-    return len(token) >= MIN_LENGTH and any(c.isdigit() for c in token)
+    """Long and with a digit or a long run of letters: it could be random, so it teaches neither model."""
+    return len(token) >= MIN_LENGTH and (any(c.isdigit() for c in token) or max(map(len, re.split("[_-]", token))) >= MIN_LENGTH)
 
 
 def model_spans(text: str, ratios: np.ndarray, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

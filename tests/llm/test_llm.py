@@ -229,6 +229,27 @@ def test_secrets_models_tell_random_from_words(spark):
     assert got[2000] == got[2001] == got[2002] == []
 
 
+def test_secrets_of_letters_only(spark):
+    ship_package(spark)
+    rng = random.Random(16)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+    def key(alphabet, n):
+        return "".join(rng.choice(alphabet) for _ in range(n))
+
+    long = ["internationalization", "counterrevolutionary", "misunderstandings", "characteristically"]
+    plain = ("international nationality realization revolution counter evolutionary understanding misunderstood standings character heuristically "
+             "organization characters statistics terminal encounter revolutionary identifier mission rational distinct logically").split()
+    lines = [f"{rng.choice(long)} {' '.join(rng.sample(plain, 8))} identifier_{rng.choice(['alpha', 'beta'])}_count ordinary words secret={key(letters + '0123456789', 32)}" for _ in range(400)]
+    hidden = [key(letters, 24) for _ in range(50)]
+    rows = [(i, t) for i, t in enumerate(lines)] + [(1000 + i, f"some words {k} and words") for i, k in enumerate(hidden)]
+    rows += [(2000 + i, f"some {w} and words") for i, w in enumerate([*long, "counter-characterization", "misinternational_identifier", "4111111111111111"])]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[1000 + i] == [("markov", 11, 35)] for i in range(50)) >= 48
+    assert all(got[2000 + i] == [] for i in range(7))
+    assert all(got[i] == secrets.base_spans(t) for i, t in enumerate(lines))
+
+
 def toxic_rows(n=600):
     rng = random.Random(7)
     docs, labels = [], []
