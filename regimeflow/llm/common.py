@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +43,22 @@ def text_or_empty(column: str = "text") -> Column:
 def text_key(column: Column) -> list[Column]:
     """Two independent 64-bit hashes of a text: equal texts get equal keys, and at 1e10 texts none of the others do."""
     return [F.xxhash64(column), F.xxhash64(F.lit(1), column)]
+
+
+def consecutive(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Consecutive rows of equal (whole-number) keys as one table each, from sorted batches."""
+    at, kept = None, []
+    for batch in batches:
+        key = np.stack([batch.column(k).to_numpy() for k in keys])
+        edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            here = tuple(key[:, a].tolist())
+            if kept and here != at:
+                yield at, pa.Table.from_batches(kept)
+                kept = []
+            at = here
+            kept.append(batch.slice(a, b - a))
+    if kept:
+        yield at, pa.Table.from_batches(kept)

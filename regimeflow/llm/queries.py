@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimeflow.llm import byte_bpe, decontaminate, line_dedup, ngram_join, secrets, sharding, substring_dedup, token_counts, topk, toxicity
+from regimeflow.llm import (
+    byte_bpe, conversation_repair, decontaminate, hard_negatives, line_dedup, ngram_join, packing, secrets, sharding, substring_dedup,
+    token_counts, topk, toxicity)
 from regimeflow.llm.common import documents, table, text_or_empty
 
-BYTE_RANKS, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
+BYTE_RANKS, WORD_BPE, BYTE_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def tokenizer_file(name: str) -> str:
@@ -128,3 +130,45 @@ def op9_sharding(spark, sf_dir):
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file(WORD_BPE))
+
+
+@query
+def op11_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file(BYTE_BPE))
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0, label)
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, a.label AS anchor_label, b.rid AS other, b.vec_id, b.label,
+         list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor, other, vec_id AS positive_id, score AS positive_score
+  FROM scored WHERE label = anchor_label AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, other) <= 5)
+SELECT s.anchor_id, p.positive_id, row_number() OVER (PARTITION BY s.anchor, p.other ORDER BY s.score DESC, s.vec_id, s.other)::INTEGER AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor = p.anchor
+WHERE s.label <> s.anchor_label AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY s.anchor, p.other ORDER BY s.score DESC, s.vec_id, s.other) <= 3
+"""
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = conversation_repair.repair(conversation_repair.damaged(rows))
+    return conversation_repair.with_empty(conversation_repair.report(repaired), rows)
