@@ -89,7 +89,7 @@ def product(a: list[np.ndarray], b: list[np.ndarray], primes: list[int]) -> np.n
             digit = _balanced((digit - d) * pow(q, -1, p), p)
         digits.append(_balanced(digit, p))
     score = digits[-1].astype(np.int64)
-    for d, p in zip(digits[-2::-1], primes[len(primes) - 2::-1], strict=True):
+    for d, p in reversed(list(zip(digits[:-1], primes[:len(digits) - 1], strict=True))):
         score = score * p + d
     return score
 
