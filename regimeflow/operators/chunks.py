@@ -3,17 +3,17 @@
 One range shuffle puts rows in order; each task packs its sorted rows into rows of list columns.  Later passes
 over the series are then narrow scans -- no shuffle, no sort -- and training repeats them every epoch.
 
-Recurrences of the form ``y_t = p_t * y_{t-1} + q_t`` compose: a chunk reduces to one pair ``(p, q)``, and what
-enters each chunk follows from the pairs before it.  Pairs are composed in bounded groups, level by level.
+Recurrences of the form ``y_t = p_t * y_{t-1} + q_t`` compose.  A task reduces every *run*, the consecutive chunks that
+it reads, to one pair ``(p, q)``; the driver sees one pair per run and composes what enters each; the result goes back
+as one broadcast array, and tasks go on from chunk to chunk by themselves.  Nothing is exchanged or joined above the scan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
@@ -27,10 +27,8 @@ from regimeflow.scratch import materialize
 CHUNK_ROWS = 65_536
 PACKED_ROWS, PACKED_BYTES = 1 << 20, 32 << 20  # bounds of a chunk that is worked through in slices
 MIN_PARTITION_ROWS, PARTITION_BYTES = 8192, 256 << 20
-FANOUT = 4096  # chunk pairs composed together
-BROADCAST_BYTES = 128 << 20
-PAIR_SCHEMA = "chunk long, p array<double>, q array<double>"
-CARRY_SCHEMA = "chunk long, carry array<double>"
+RUN_BYTES = 256 << 20  # packed chunks that one task may hold at a time
+PAIR_SCHEMA = "first long, last long, p array<double>, q array<double>"
 
 
 @dataclass
@@ -40,6 +38,7 @@ class ChunkedSeries:
     table: DataFrame
     n_rows: int
     n_chunks: int
+    run_chunks: int = 1  # a run ends at multiples of this
 
 
 def partitions_for(n_rows: int, row_bytes: int, setting: int) -> int:
@@ -48,11 +47,15 @@ def partitions_for(n_rows: int, row_bytes: int, setting: int) -> int:
 
 
 def chunk_rows_for(row_bytes: int) -> int:
-    return int(max(1024, min(PACKED_ROWS, PACKED_BYTES // max(row_bytes, 1))))
+    return int(max(1, min(PACKED_ROWS, PACKED_BYTES // max(row_bytes, 1))))
+
+
+def run_chunks_for(chunk_rows: int, row_bytes: int) -> int:
+    return int(max(1, RUN_BYTES // max(chunk_rows * row_bytes, 1)))
 
 
 def pack_rows(df: DataFrame, order_cols: list[str], columns: list[str], chunk_rows: int = CHUNK_ROWS,
-              partitions: int | None = None) -> ChunkedSeries:
+              partitions: int | None = None, run_chunks: int = 1) -> ChunkedSeries:
     """Orders ``df`` and packs ``columns`` into chunks of up to ``chunk_rows`` consecutive rows.
 
     Partitions are the parallel units of every later pass; without a number, small neighbours merge at run time.
@@ -77,7 +80,7 @@ def pack_rows(df: DataFrame, order_cols: list[str], columns: list[str], chunk_ro
             yield _one_chunk(held, local, columns)
 
     table = materialize(ordered.mapInArrow(pack, T.StructType(fields)), "chunks")
-    return _number_chunks(table, chunk_rows)
+    return _number_chunks(table, chunk_rows, run_chunks)
 
 
 def _one_chunk(held: list[pa.RecordBatch], local: int, columns: list[str]) -> pa.RecordBatch:
@@ -91,7 +94,7 @@ def _one_chunk(held: list[pa.RecordBatch], local: int, columns: list[str]) -> pa
     return pa.RecordBatch.from_arrays(arrays, ["part", "local", "n", *columns])
 
 
-def _number_chunks(table: DataFrame, chunk_rows: int) -> ChunkedSeries:
+def _number_chunks(table: DataFrame, chunk_rows: int, run_chunks: int) -> ChunkedSeries:
     counts = partition_offsets(table, rows=F.sum("n"), chunks=F.count("*"))
     (rows, n_rows), (chunks, n_chunks) = counts["rows"], counts["chunks"]
     numbered = (
@@ -100,7 +103,7 @@ def _number_chunks(table: DataFrame, chunk_rows: int) -> ChunkedSeries:
         .withColumn("first_seq", F.col("_rows") + F.col("local") * F.lit(chunk_rows))
         .drop("part", "local", "_rows", "_chunks")
     )
-    return ChunkedSeries(numbered, n_rows, n_chunks)
+    return ChunkedSeries(numbered, n_rows, n_chunks, run_chunks)
 
 
 # ------------------------------------------------------------------------------------------------ affine carries
@@ -132,94 +135,58 @@ def compose(p: np.ndarray, q: np.ndarray, start: np.ndarray) -> tuple[np.ndarray
     return entering, product, alone
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.float64)
-
-
-@dataclass
-class LocalCarry:
-    """Carries of few chunks, shared with the tasks as one small array."""
-
-    values: np.ndarray
-    shared: Broadcast
-
-    def attach(self, table: DataFrame, column: str) -> DataFrame:
-        return table.withColumn(column, F.lit(None).cast("array<double>"))
+def starts_run(chunk: int, previous: int | None, run_chunks: int) -> bool:
+    """Whether a run begins at ``chunk``: the one before was read by another task, or the run is full."""
+    return previous is None or chunk != previous + 1 or chunk % run_chunks == 0
 
-    def reader(self, column: str) -> Callable[[dict], np.ndarray]:
-        shared = self.shared
-        return lambda chunk: shared.value[chunk["chunk"]]
 
-    def mirrored(self, n_chunks: int) -> LocalCarry:
-        return local_carry(self.shared._sc, self.values[::-1])
+def runs(chunks: Iterator[dict], run_chunks: int) -> Iterator[list[dict]]:
+    """The runs of a task's chunks; at most ``run_chunks`` chunks are held."""
+    held: list[dict] = []
+    for chunk in chunks:
+        if held and starts_run(chunk["chunk"], held[-1]["chunk"], run_chunks):
+            yield held
+            held = []
+        held.append(chunk)
+    if held:
+        yield held
 
 
 @dataclass
-class TableCarry:
-    """Carries of many chunks, joined: by broadcast while they are small, by a shuffle beyond that."""
-
-    table: DataFrame  # chunk, carry
-    bytes: int
-
-    def attach(self, table: DataFrame, column: str) -> DataFrame:
-        carry = self.table.withColumnRenamed("carry", column)
-        return table.join(F.broadcast(carry) if self.bytes <= BROADCAST_BYTES else carry, "chunk")
-
-    def reader(self, column: str) -> Callable[[dict], np.ndarray]:
-        return lambda chunk: np.asarray(chunk[column])
+class Carry:
+    """What enters each run, as one small array that tasks look up by the run's first chunk.
 
-    def mirrored(self, n_chunks: int) -> TableCarry:
-        return TableCarry(reversed_pairs(self.table, n_chunks), self.bytes)
-
-
-def local_carry(sc, values: np.ndarray) -> LocalCarry:
-    return LocalCarry(values, sc.broadcast(values))
-
-
-def carries(pairs: DataFrame, n_chunks: int, start: list[float], fanout: int = FANOUT) -> LocalCarry | TableCarry:
-    """What enters each chunk, given one ``(chunk, p, q)`` per chunk, chunks running 0..n-1.
-
-    Up to ``fanout`` pairs are composed at once.  More are composed per group of ``fanout``, the groups' own
-    carries are found the same way, and each group then unrolls from its carry.
+    A run holds hundreds of megabytes, its entry a few hundred bytes, so the array stays far below what is scanned.
     """
-    if n_chunks <= fanout:
-        return local_carry(pairs.sparkSession.sparkContext, _compose_local(pairs, start))
-    return TableCarry(_carry_table(pairs, n_chunks, start, fanout), n_chunks * (len(start) * 8 + 16))
 
+    shared: Broadcast  # (first chunks, ascending; one row of values each)
 
-def _compose_local(pairs: DataFrame, start: list[float]) -> np.ndarray:
-    rows = pairs.toArrow().combine_chunks().sort_by("chunk")  # bounded by fanout
-    p, q = (matrix(rows.column(c).combine_chunks(), len(start)) for c in ("p", "q"))
-    return compose(p, q, np.array(start, dtype=np.float64))[0]
+    def __call__(self, first: int) -> np.ndarray:
+        firsts, values = self.shared.value
+        at = int(np.searchsorted(firsts, first))
+        if at == len(firsts) or firsts[at] != first:
+            raise RuntimeError(f"no state was computed for chunk {first}: the tasks read other chunks than in the pass before")
+        return values[at]
 
+    def release(self) -> None:
+        self.shared.unpersist()
 
-def _carry_table(pairs: DataFrame, n_chunks: int, start: list[float], fanout: int) -> DataFrame:
-    if n_chunks <= fanout:
-        entering = _compose_local(pairs, start)
-        return pairs.sparkSession.createDataFrame(list(enumerate(entering.tolist())), CARRY_SCHEMA)
-    grouped = materialize(pairs, "pairs").withColumn("grp", F.floor(F.col("chunk") / fanout))
 
-    def reduce_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        p, q = _stack(pdf["p"]), _stack(pdf["q"])
-        _, product, alone = compose(p, q, np.zeros(q.shape[1]))
-        return pd.DataFrame({"chunk": [int(pdf["grp"].iloc[0])], "p": [product.tolist()], "q": [alone.tolist()]})
+def known_carry(sc, start: np.ndarray) -> Carry:
+    """Of a series that is one run."""
+    return Carry(sc.broadcast((np.zeros(1, np.int64), np.asarray(start, dtype=np.float64)[None, :])))
 
-    def unroll_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        start_here = np.array(pdf["group_carry"].iloc[0], dtype=np.float64)
-        entering, _, _ = compose(_stack(pdf["p"]), _stack(pdf["q"]), start_here)
-        return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "carry": list(entering)})
 
-    upper = grouped.groupBy("grp").applyInPandas(reduce_group, PAIR_SCHEMA)
-    upper_carries = _carry_table(upper, -(-n_chunks // fanout), start, fanout).select(
-        F.col("chunk").alias("grp"), F.col("carry").alias("group_carry"))
-    return grouped.join(upper_carries, "grp").groupBy("grp").applyInPandas(unroll_group, CARRY_SCHEMA)
-
-
-def reversed_pairs(pairs: DataFrame, n_chunks: int) -> DataFrame:
-    """The same chunks numbered from the end, for recurrences that run backwards; its own inverse."""
-    return pairs.withColumn("chunk", F.lit(n_chunks - 1) - F.col("chunk"))
+def carries(pairs: DataFrame, n_chunks: int, start: np.ndarray, backward: bool = False) -> Carry:
+    """What enters each run, from one pair per run; ``backward`` recurrences enter at a run's end."""
+    rows = pairs.toArrow().combine_chunks().sort_by("first")
+    first, last = (rows.column(c).to_numpy().astype(np.int64) for c in ("first", "last"))
+    if not np.array_equal(np.append(first, n_chunks), np.append(0, last + 1)):
+        raise RuntimeError("the runs do not follow one another")
+    order = slice(None, None, -1) if backward else slice(None)
+    p, q = (matrix(rows.column(c).combine_chunks(), len(start))[order] for c in ("p", "q"))
+    entering = compose(p, q, np.asarray(start, dtype=np.float64))[0][order]
+    return Carry(pairs.sparkSession.sparkContext.broadcast((first, np.ascontiguousarray(entering))))
 
 
 # -------------------------------------------------------------------------------------------- in-chunk recurrence
@@ -253,33 +220,40 @@ def run_scan(a: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return q, p
 
 
-def affine_scan(df: DataFrame, order_cols: list[str], a: str, u: str, into: str = "z",
-                chunk_rows: int = CHUNK_ROWS, fanout: int = FANOUT, start: list[float] | None = None) -> DataFrame:
+def affine_scan(df: DataFrame, order_cols: list[str], a: str, u: str, into: str = "z", chunk_rows: int = CHUNK_ROWS,
+                start: list[float] | None = None, run_chunks: int | None = None) -> DataFrame:
     """``z_t = a_t * z_{t-1} + u_t`` over the whole ordered table; returns ``seq``, ``order_cols`` and ``z``."""
     keys = [c for c in order_cols if c not in (a, u)]
-    series = pack_rows(df.select(*keys, F.col(a).cast("array<double>"), F.col(u).cast("array<double>")),
-                       order_cols, [a, u, *keys], chunk_rows)
     first = df.select(F.size(u)).first()
     width = first[0] if first else 1
+    run_chunks = run_chunks or run_chunks_for(chunk_rows, 16 * width)
+    series = pack_rows(df.select(*keys, F.col(a).cast("array<double>"), F.col(u).cast("array<double>")),
+                       order_cols, [a, u, *keys], chunk_rows, run_chunks=run_chunks)
     start = start or [0.0] * width
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in each_chunk(batches):
-            _, p, q = scan_rows(matrix(chunk[a]), matrix(chunk[u]))
-            yield pair_batch(chunk["chunk"], p, q)
+        for run in runs(each_chunk(batches), run_chunks):
+            p, q = np.ones(width), np.zeros(width)
+            for chunk in run:
+                _, product, alone = scan_rows(matrix(chunk[a]), matrix(chunk[u]))
+                p, q = product * p, product * q + alone
+            yield pair_batch(run, p, q)
 
     pairs = series.table.select("chunk", a, u).mapInArrow(summarise, PAIR_SCHEMA)
-    entering = carries(pairs, series.n_chunks, start, fanout)
-    carry_of = entering.reader("carry")
+    entering = carries(pairs, series.n_chunks, start)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        previous, state = None, None
         for chunk in each_chunk(batches):
-            z, _, _ = scan_rows(matrix(chunk[a]), matrix(chunk[u]), carry_of(chunk))
+            if starts_run(chunk["chunk"], previous, run_chunks):
+                state = entering(chunk["chunk"])
+            z, _, _ = scan_rows(matrix(chunk[a]), matrix(chunk[u]), state)
+            previous, state = chunk["chunk"], z[-1]
             yield row_batch(chunk, keys, {into: vectors(z)})
 
     out = [T.StructField("seq", T.LongType()), *[df.schema[k] for k in keys],
            T.StructField(into, T.ArrayType(T.DoubleType()))]
-    return entering.attach(series.table, "carry").mapInArrow(finish, T.StructType(out))
+    return series.table.mapInArrow(finish, T.StructType(out))
 
 
 # ------------------------------------------------------------------------------------------------- Arrow helpers
@@ -295,9 +269,9 @@ def each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield chunk
 
 
-def pair_batch(chunk: int, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([chunk], pa.int64()), vectors(p[None, :]), vectors(q[None, :])], ["chunk", "p", "q"])
+def pair_batch(run: list[dict], p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+    ends = [pa.array([chunk["chunk"]], pa.int64()) for chunk in (run[0], run[-1])]
+    return pa.RecordBatch.from_arrays([*ends, vectors(p[None, :]), vectors(q[None, :])], ["first", "last", "p", "q"])
 
 
 def vectors(m: np.ndarray) -> pa.Array:

@@ -295,8 +295,7 @@ class EncoderModel:
         if with_gaps:
             had_seq = "seq" in df.columns
             parsed = parsed if had_seq else assign_seq(parsed, self.order_cols)
-            for d in with_gaps:
-                parsed = forward_fill(parsed, d, F.lit(D.FALLBACK_DATE).cast("date"))
+            parsed = forward_fill(parsed, with_gaps, F.lit(D.FALLBACK_DATE).cast("date"))
             parsed = parsed if had_seq else parsed.drop("seq")
         return parsed, dates
 

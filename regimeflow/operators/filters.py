@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regimeflow.functions.dates import is_native_date, parse_any, parse_compact, parse_generic
-from regimeflow.operators.ordering import number_rows
+from regimeflow.operators.quantiles import cut_at_rank, orderable
 
 HIGH_SHOCK, TIMELINE_SHOCK = 0.8, 0.75  # fixed values
 
@@ -38,10 +38,23 @@ def split_by_date(df: DataFrame, time_col: str, cutoff: str) -> tuple[DataFrame,
 
 
 def split_by_fraction(df: DataFrame, order_cols: list[str], fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """First ``int(n * fraction)`` rows in time order, and the rest; both keep ``seq``."""
-    ordered, n_rows = number_rows(df, order_cols)
+    """First ``int(n * fraction)`` rows in time order, and the rest, without sorting: both sides are filters of the scan.
+
+    The row at the cut is found by counting.  Rows equal in ``order_cols`` are told apart by their other columns; rows
+    equal in all of them are interchangeable, so of those the side before the cut gets the number that it lacks.
+    """
+    n_rows = df.count()
     cut = math.floor(n_rows * fraction)
-    return ordered.where(F.col("seq") < cut), ordered.where(F.col("seq") >= cut)
+    if cut <= 0 or cut >= n_rows:
+        return df.limit(0) if cut <= 0 else df, df if cut <= 0 else df.limit(0)
+    others = [c for c in orderable(df) if c not in order_cols]
+    before, behind, on, left = cut_at_rank(df, [*order_cols, *others], cut, n_rows)
+    if not left:
+        return df.where(before), df.where(behind | on)
+    alike = df.where(on)  # interchangeable rows; normally there is none to divide
+    first = alike.limit(left)
+    rest = alike.limit(1).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(alike.count() - left)))).drop("_copy")
+    return df.where(before).unionByName(first), df.where(behind).unionByName(rest)
 
 
 def drop_bad_dates(df: DataFrame, time_col: str, into: str = "date") -> DataFrame:

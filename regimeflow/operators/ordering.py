@@ -86,35 +86,34 @@ def sort_by_time(df: DataFrame, order_cols: list[str]) -> DataFrame:
     return df.orderBy(*order_cols)
 
 
-def forward_fill(
-    df: DataFrame, value: str, fallback: Column | None = None, seq: str = "seq", block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Replaces nulls of ``value`` by the latest non-null at or before the row; leading nulls take ``fallback``.
+def forward_fill(df: DataFrame, values: str | list[str], fallback: Column | None = None, seq: str = "seq",
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Replaces nulls of each of ``values`` by the latest non-null at or before the row; leading nulls take ``fallback``.
 
-    Each block fills itself; what enters a block is the same problem on one row per block, so it recurses on
-    a table ``block_rows`` times smaller and comes back through an equi-join on the block.
+    Blocks fill themselves for all columns in one pass and are written; what leaves a block stands in its last row.
+    What enters a block is the same problem on one row per block, so it recurses on a table ``block_rows`` times smaller
+    and comes back through an equi-join on the block, broadcast while it is small.
     """
-    filled = _fill(df, value, seq, block_rows)
-    return filled if fallback is None else filled.withColumn(value, F.coalesce(F.col(value), fallback))
+    values = [values] if isinstance(values, str) else list(values)
+    filled = _fill(df, values, seq, block_rows)
+    return filled if fallback is None else filled.withColumns({v: F.coalesce(F.col(v), fallback) for v in values})
 
 
-def _fill(df: DataFrame, value: str, seq: str, block_rows: int, level: int = 0) -> DataFrame:
-    block, carry = f"_block{level}", f"_carry{level}"
-    blocked = df.withColumn(block, F.floor(F.col(seq) / block_rows))
+def _fill(df: DataFrame, values: list[str], seq: str, block_rows: int, level: int = 0) -> DataFrame:
+    block = f"_block{level}"
     running = W.partitionBy(block).orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
-    local = blocked.withColumn(value, F.last(value, ignorenulls=True).over(running))
-    top = df.agg(F.max(seq)).first()[0]
-    if top is None or top < block_rows:
+    blocked = df.withColumn(block, F.floor(F.col(seq) / block_rows))
+    local = materialize(blocked.withColumns({v: F.last(v, ignorenulls=True).over(running) for v in values}), "filled")
+    # What stands in the last row of block b is what block b + 1 starts from.
+    carried = {v: f"_carry{level}_{i}" for i, v in enumerate(values)}
+    ends = local.where(F.col(seq) % block_rows == block_rows - 1)
+    entering = ends.select((F.col(block) + 1).alias(block), *[F.col(v).alias(c) for v, c in carried.items()])
+    n = entering.count()
+    if not n:
         return local.drop(block)
-    # The last filled value of block b is what block b + 1 starts from.
-    ends = blocked.groupBy(block).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(seq))).alias(carry))
-    entering = ends.withColumn(block, F.col(block) + 1)
-    entering = _fill(entering, carry, block, block_rows, level + 1)
-    return (
-        local.join(entering, block, "left")
-        .withColumn(value, F.coalesce(F.col(value), F.col(carry)))
-        .drop(block, carry)
-    )
+    if n > 1:
+        entering = _fill(entering, list(carried.values()), block, block_rows, level + 1)
+    return local.join(entering, block, "left").withColumns({v: F.coalesce(F.col(v), F.col(c)) for v, c in carried.items()}).drop(block, *carried.values())
 
 
 def previous_row(df: DataFrame, value: str, into: str, seq: str = "seq", block_rows: int = BLOCK_ROWS) -> DataFrame:

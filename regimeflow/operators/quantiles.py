@@ -1,168 +1,256 @@
-"""Exact order statistics of whole columns, without gathering a column in one task.
+"""Exact order statistics: of numeric columns by histograms, and the cut of a table at a rank of its order.
 
-A quantile sketch brackets each wanted rank between values of the column, counting confirms the bracket, and the
-search repeats inside it.  Every round reads the columns once, merges fixed-size state, and leaves less than one
-per cent of the rows, until few enough remain to sort.  Heavy ties end the search early, because the bracket
-values themselves are counted and then left out.
+Doubles map to whole numbers of the same order.  A round counts, for all columns and ranks at once, how many values fall
+into each of ``BUCKETS`` equal parts of the span where a rank must lie; the part that holds the rank is the next span.
+Every round is one pass with a fixed-size result, whatever the rows, and narrows a span by ten bits, so seven rounds
+settle any column; normally the first leaves so few values that the next pass sorts them.  No column is gathered in
+one task; at most ``SORT_LIMIT`` values are.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regimeflow.functions.vectors import none_if_nan
 
-SORT_LIMIT = 200_000  # rows of one column that a single task may sort
-_SKETCH_K = 4096  # rank error around 0.1 %; a miss only costs another round
-_SLACK = 2e-3
-_BATCH = 8  # column searches per job, which keeps generated code compilable
+SORT_LIMIT = 200_000  # rows of one span that a single task may sort
+_BITS = 10
+BUCKETS = 1 << _BITS
+_SPANS = 64  # spans per pass, which bounds what the driver receives
+_TOP = np.uint64(1 << 63)
 
 
 def _value(column: str) -> Column:
     return none_if_nan(F.col(column).cast("double"))
 
 
+def order_keys(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles (without NaN; both zeros are equal)."""
+    bits = np.ascontiguousarray(values + 0.0, dtype=np.float64).view(np.uint64)
+    return np.where(bits >= _TOP, ~bits, bits | _TOP)
+
+
+def key_value(key: int) -> float:
+    bits = np.array([key], np.uint64)
+    return float(np.where(bits >= _TOP, bits ^ _TOP, ~bits).view(np.float64)[0])
+
+
 @dataclass
 class _Search:
+    """The value at ``rank`` (0-based) of a column: among ``rows`` keys from ``low`` to ``high``, with ``below`` smaller ones."""
+
     column: str
-    rank: int  # 0-based among the column's values
-    rows: int  # values strictly between the bounds
-    below: int = 0  # values up to and including the lower bound
-    low: float | None = None
-    high: float | None = None
+    rank: int
+    rows: int
+    low: int
+    high: int
+    below: int = 0
     answer: float | None = None
 
-    def inside(self) -> Column:
-        value = _value(self.column)
-        keep = value.isNotNull()
-        if self.low is not None:
-            keep = keep & (value > self.low)
-        if self.high is not None:
-            keep = keep & (value < self.high)
-        return F.when(keep, value)
-
+    @property
+    def span(self) -> tuple[str, int, int]:
+        return self.column, self.low, self.high
 
-def valid_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
-    aggs = [F.count(_value(c)).alias(c) for c in columns]
-    return df.agg(*aggs).first().asDict()
+    @property
+    def shift(self) -> int:
+        return max(0, (self.high - self.low).bit_length() - _BITS)
 
 
-def _order_statistics(
-    df: DataFrame, wanted: set[tuple[str, int]], counts: dict[str, int], sort_limit: int
-) -> dict[tuple[str, int], float]:
-    searches = [_Search(c, rank, counts[c]) for c, rank in sorted(wanted)]
-    while True:
-        open_ = [s for s in searches if s.answer is None]
-        if not open_:
-            return {(s.column, s.rank): s.answer for s in searches}
-        small = [s for s in open_ if s.rows <= sort_limit]
-        large = [s for s in open_ if s.rows > sort_limit]
-        if small:
-            _sort_remaining(df, small)
-        if large:
-            _narrow(df, large)
+def value_bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, float]]:
+    """(count, least, greatest) per column."""
+    aggs = [F.struct(F.count(v), F.min(v), F.max(v)).alias(c) for c in columns for v in [_value(c)]]
+    return {c: tuple(x) for c, x in df.agg(*aggs).first().asDict().items()}
 
 
-def _by_span(searches: list[_Search]) -> list[list[_Search]]:
-    """Searches that look at the same rows, so one aggregate serves them all."""
+def _spans(searches: list[_Search]) -> list[list[_Search]]:
+    """Searches of the same span, so that one count serves them all."""
     spans: dict[tuple, list[_Search]] = {}
     for s in searches:
-        spans.setdefault((s.column, s.low, s.high), []).append(s)
+        spans.setdefault(s.span, []).append(s)
     return list(spans.values())
 
 
-def _aggregate(df: DataFrame, aggregates: list[Column], finish: list[Callable[[Column], Column]] | None = None) -> list:
-    """The value of each aggregate, in order, after an optional step on the single aggregated row."""
-    values = []
-    for at in range(0, len(aggregates), _BATCH):
-        batch = range(at, min(at + _BATCH, len(aggregates)))
-        row = df.agg(*[aggregates[i].alias(f"v{i}") for i in batch])
-        if finish:
-            row = row.select(*[finish[i](F.col(f"v{i}")).alias(f"v{i}") for i in batch])
-        values += list(row.first())
-    return values
+def _column_keys(batch: pa.RecordBatch, columns: list[str]) -> dict[str, np.ndarray]:
+    out = {}
+    for c in columns:
+        values = batch.column(c).to_numpy(zero_copy_only=False)
+        out[c] = order_keys(values[~np.isnan(values)])
+    return out
+
+
+def _narrow(df: DataFrame, groups: list[list[_Search]]) -> None:
+    """One pass: every search goes on in the part of its span that holds its rank."""
+    spans = [(g[0].column, np.uint64(g[0].low), np.uint64(g[0].high), np.uint64(g[0].shift)) for g in groups]
+    columns = list(dict.fromkeys(c for c, *_ in spans))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(spans), BUCKETS), np.int64)
+        for batch in batches:
+            keys = _column_keys(batch, columns)
+            for i, (c, low, high, shift) in enumerate(spans):
+                inside = keys[c][(keys[c] >= low) & (keys[c] <= high)]
+                counts[i] += np.bincount(((inside - low) >> shift).astype(np.int64), minlength=BUCKETS)
+        span, bucket = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(span), pa.array(bucket), pa.array(counts[span, bucket])], ["span", "bucket", "n"])
+
+    values = df.select(*[_value(c).alias(c) for c in columns])
+    found = values.mapInArrow(count, "span long, bucket long, n long").groupBy("span", "bucket").agg(F.sum("n")).collect()
+    counts = np.zeros((len(spans), BUCKETS), np.int64)
+    for span, bucket, n in found:
+        counts[span, bucket] = n
+    for group, row in zip(groups, counts):
+        upto = np.cumsum(row)
+        for s in group:
+            shift, low = s.shift, s.low
+            at = int(np.searchsorted(upto, s.rank - s.below, side="right"))
+            s.below, s.rows = s.below + int(upto[at] - row[at]), int(row[at])
+            s.low, s.high = low + (at << shift), min(s.high, low + ((at + 1) << shift) - 1)
+
+
+def _sort_remaining(df: DataFrame, groups: list[list[_Search]]) -> None:
+    """One pass: the few values of each span, sorted in one task per span."""
+    spans = [(g[0].column, np.uint64(g[0].low), np.uint64(g[0].high)) for g in groups]
+    columns = list(dict.fromkeys(c for c, *_ in spans))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            values = {c: v[~np.isnan(v)] for c, v in values.items()}
+            keys = {c: order_keys(v) for c, v in values.items()}
+            for i, (c, low, high) in enumerate(spans):
+                inside = values[c][(keys[c] >= low) & (keys[c] <= high)]
+                if len(inside):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(inside), i)), pa.array(inside)], ["span", "value"])
+
+    few = df.select(*[_value(c).alias(c) for c in columns]).mapInArrow(pick, "span long, value double")
+    places = [sorted({s.rank - s.below for s in g}) for g in groups]
+    wanted = F.create_map(*[x for i, p in enumerate(places) for x in (F.lit(i), F.array(*[F.lit(r) for r in p]))])
+    ordered = few.groupBy("span").agg(F.sort_array(F.collect_list("value")).alias("v"))  # at most the sort limit each
+    picked = ordered.select("span", F.transform(wanted[F.col("span").cast("int")], lambda r: F.get("v", r)).alias("v"))
+    for span, values in picked.collect():
+        by_place = dict(zip(places[span], values, strict=True))
+        for s in groups[span]:
+            s.answer = by_place[s.rank - s.below]
+
+
+def _order_statistics(df: DataFrame, searches: list[_Search], sort_limit: int) -> None:
+    while True:
+        for s in searches:
+            if s.answer is None and s.low == s.high:
+                s.answer = key_value(s.low)
+        open_ = _spans([s for s in searches if s.answer is None])
+        if not open_:
+            return
+        for step, groups in ((_sort_remaining, [g for g in open_ if g[0].rows <= sort_limit]), (_narrow, [g for g in open_ if g[0].rows > sort_limit])):
+            for at in range(0, len(groups), _SPANS):
+                step(df, groups[at:at + _SPANS])
 
 
-def _sort_remaining(df: DataFrame, searches: list[_Search]) -> None:
-    groups = _by_span(searches)
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], bounds: dict[str, tuple[int, float, float]] | None = None,
+                    sort_limit: int = SORT_LIMIT) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles per column, nulls and NaN skipped; None for a column without values.
 
-    def pick(group: list[_Search]) -> Callable[[Column], Column]:
-        return lambda ordered: F.array(*[F.get(ordered, F.lit(s.rank - s.below)) for s in group])
+    ``bounds``: what ``value_bounds`` gives, where it is known already.
+    """
+    if not columns:
+        return {}
+    bounds = value_bounds(df, columns) if bounds is None else bounds
+    found: dict[tuple[str, int], _Search] = {}
+    for c in columns:
+        n, least, greatest = bounds[c]
+        for p in probs if n else ():
+            low, high = (int(k) for k in order_keys(np.array([least, greatest])))
+            for rank in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))):
+                found[c, rank] = _Search(c, rank, n, low, high)
+    _order_statistics(df, list(found.values()), sort_limit)
 
-    # At most sort_limit values per list, counted before.
-    lists = [F.sort_array(F.collect_list(g[0].inside())) for g in groups]
-    for group, values in zip(groups, _aggregate(df, lists, [pick(g) for g in groups])):
-        for s, v in zip(group, values):
-            s.answer = v
+    def interpolate(c: str, p: float) -> float | None:
+        n = bounds[c][0]
+        if not n:
+            return None
+        at = p * (n - 1)
+        lo, hi = found[c, math.floor(at)].answer, found[c, math.ceil(at)].answer
+        return lo if lo == hi else lo + (hi - lo) * (at - math.floor(at))
 
+    return {c: [interpolate(c, p) for p in probs] for c in columns}
 
-def _narrow(df: DataFrame, searches: list[_Search]) -> None:
-    groups = _by_span(searches)
 
-    def bracket(group: list[_Search]) -> Callable[[Column], Column]:
-        """Column values a little under and over each wanted rank."""
-        at = {(s.rank - s.below) / max(s.rows - 1, 1) for s in group}
-        shares = {max(0.0, a - _SLACK) for a in at} | {min(1.0, a + _SLACK) for a in at}
-        shares = sorted({round(s, 6) for s in shares})
-        return lambda sketch: F.array(*[F.kll_sketch_get_quantile_double(sketch, F.lit(s)) for s in shares])
+# ------------------------------------------------------------------------------------------ a table's cut at a rank
 
-    sketches = [F.kll_sketch_agg_double(g[0].inside(), F.lit(_SKETCH_K)) for g in groups]
-    marks = [sorted(set(v)) for v in _aggregate(df, sketches, [bracket(g) for g in groups])]
+_SAMPLE, _LIST = 4000, 10_000  # values sampled to bracket a rank, and distinct values that may be listed
+_MARGIN = 0.05
 
-    def counts(group: list[_Search], values: list[float]) -> Column:
-        value = _value(group[0].column)
-        return F.array(*[c for v in values for c in (F.count_if(value < v), F.count_if(value == v))])
 
-    counted = _aggregate(df, [counts(g, v) for g, v in zip(groups, marks)])
-    for group, values, numbers in zip(groups, marks, counted):
-        ranked = [(v, numbers[2 * j], numbers[2 * j + 1]) for j, v in enumerate(values)]
-        for s in group:
-            _settle(s, ranked)
+def _below(c: Column, value) -> Column:
+    """``c < value`` with nulls first; never null."""
+    return F.lit(False) if value is None else c.isNull() | (c < F.lit(value))
 
 
-def _settle(s: _Search, marks: list[tuple[float, int, int]]) -> None:
-    """From (value, values below it, values equal to it): answers the search, or closes in on its rank."""
-    high, upper = s.high, s.below + s.rows
-    for value, less, equal in marks:
-        if s.rank < less:
-            high, upper = value, less
-            break
-        if s.rank < less + equal:
-            s.answer = value
-            return
-        s.low, s.below = value, less + equal
-    s.high, s.rows = high, upper - s.below
-
-
-def exact_quantiles(
-    df: DataFrame,
-    columns: list[str],
-    probs: list[float],
-    counts: dict[str, int] | None = None,
-    sort_limit: int = SORT_LIMIT,
-) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column, nulls and NaN skipped; None for a column without values."""
-    if not columns:
-        return {}
-    counts = valid_counts(df, columns) if counts is None else counts
-    wanted = set()
-    for c in columns:
-        for p in probs:
-            if counts[c]:
-                at = p * (counts[c] - 1)
-                wanted |= {(c, math.floor(at)), (c, math.ceil(at))}
-    stats = _order_statistics(df, wanted, counts, sort_limit) if wanted else {}
+def _above(c: Column, value) -> Column:
+    return c.isNotNull() if value is None else c > F.lit(value)
 
-    def interpolate(c: str, p: float) -> float | None:
-        if not counts[c]:
-            return None
-        at = p * (counts[c] - 1)
-        lo, hi = stats[(c, math.floor(at))], stats[(c, math.ceil(at))]
-        return lo if lo == hi else lo + (hi - lo) * (at - math.floor(at))
 
-    return {c: [interpolate(c, p) for p in probs] for c in columns}
+def _at_rank(df: DataFrame, column: str, rank: int, n: int, seed: int = 0) -> tuple[object, int, int]:
+    """(value at 0-based ``rank`` in ascending order, nulls first; smaller rows; equal rows), by sampled brackets and counts."""
+    c = F.col(column)
+    nulls = df.where(c.isNull()).count()
+    if rank < nulls:
+        return None, 0, nulls
+    low, high, below, rows = None, None, nulls, n - nulls
+    while True:
+        inside = df.where(c.isNotNull())
+        inside = inside if low is None else inside.where(c > F.lit(low))
+        inside = inside if high is None else inside.where(c < F.lit(high))
+        sample = inside.select(c.alias("v")) if rows <= _SAMPLE else inside.where(F.rand(seed) < 2 * _SAMPLE / rows).select(c.alias("v"))
+        values = sorted(r[0] for r in sample.limit(4 * _SAMPLE).collect())
+        if rows <= _LIST or not values:
+            counted = inside.groupBy(c.alias("v")).count().orderBy("v").collect()  # a bracket of few rows
+            for value, equal in counted:
+                if rank < below + equal:
+                    return value, below, equal
+                below += equal
+            raise RuntimeError(f"the table changed while a rank of {column!r} was sought")
+        share = (rank - below) / rows
+        marks = sorted({values[min(len(values) - 1, max(0, int((share + m) * len(values))))] for m in (-_MARGIN, 0, _MARGIN)})
+        counts = inside.agg(*[x for m in marks for x in (F.count_if(c < F.lit(m)), F.count_if(c == F.lit(m)))]).first()
+        end, base = below + rows, below
+        for i, m in enumerate(marks):
+            less, equal = base + counts[2 * i], counts[2 * i + 1]
+            if rank < less:
+                high, end = m, less
+                break
+            if rank < less + equal:
+                return m, less, equal
+            low, below = m, less + equal
+        rows, seed = end - below, seed + 1
+
+
+def orderable(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))]
+
+
+def cut_at_rank(df: DataFrame, order_cols: list[str], rank: int, n: int) -> tuple[Column, Column, Column, int]:
+    """The cut of ``df`` after ``rank`` rows in the order of ``order_cols``: (before, behind, on the cut, how many rows on
+    the cut still belong before it).
+
+    The conditions compare columns with constants, so that they reach the scan; no row is moved.  The rows before the
+    cut in one column are counted, those equal to it are told apart by the next.
+    """
+    before, behind, on = F.lit(False), F.lit(False), F.lit(True)
+    left = rank
+    for name in order_cols:
+        c = F.col(name)
+        value, smaller, equal = _at_rank(df.where(on), name, left, n)
+        before, behind = before | (on & _below(c, value)), behind | (on & _above(c, value))
+        on, left, n = on & c.eqNullSafe(F.lit(value)), left - smaller, equal
+        if n == 1 or left == 0 and n == 1:
+            break
+    return before, behind, on, left

@@ -25,7 +25,7 @@ from regimeflow.operators import chunks as C
 PARAM_NAMES = ["A_log", "W_in", "b_in", "W_dt", "b_dt", "W_B", "W_C", "W_out", "b_out"]
 WEIGHT_STD, A_LOG_RANGE, GATE_BIAS, A_EPS = 0.1, (-1.0, -0.1), 0.5, 1e-8
 D_STATE, MIN_INNER = 16, 32
-SLICE_ROWS = 32_768  # rows of a chunk held in wide form at a time
+SLICE_BYTES = 64 << 20  # of a chunk's rows in wide form at a time
 
 PARAM_SCHEMA = "name string, shape array<int>, data array<double>, m array<double>, v array<double>, t int"
 Params = dict[str, np.ndarray]
@@ -152,6 +152,12 @@ def backward_rows(a: np.ndarray, e: np.ndarray, entering: np.ndarray | None = No
 FEATURES = "features"
 
 
+def slice_rows(params: Params) -> int:
+    """Rows whose intermediates (hidden layer, its gradient, inputs, residuals, states) fit into ``SLICE_BYTES``."""
+    (inner, width), states = params["W_in"].shape, len(params["A_log"])
+    return max(1, SLICE_BYTES // (8 * (4 * inner + 4 * width + 16 * states)))
+
+
 def pack_features(df: DataFrame, order_cols: list[str], keep: list[str], width: int, chunk_rows: int | None = None,
                   n_rows: int | None = None) -> C.ChunkedSeries:
     """The feature column and kept columns as a chunked series; a known row count sizes the partitions."""
@@ -161,7 +167,7 @@ def pack_features(df: DataFrame, order_cols: list[str], keep: list[str], width:
         setting = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         partitions = C.partitions_for(n_rows, row_bytes, setting)
     rows = chunk_rows or C.chunk_rows_for(row_bytes)
-    return C.pack_rows(df, order_cols, [FEATURES, *[k for k in keep if k != FEATURES]], rows, partitions)
+    return C.pack_rows(df, order_cols, [FEATURES, *[k for k in keep if k != FEATURES]], rows, partitions, C.run_chunks_for(rows, row_bytes))
 
 
 def _inputs(chunk: dict) -> np.ndarray:
@@ -192,49 +198,48 @@ def backward_slices(p: Params, x: np.ndarray, z_in: np.ndarray, size: int):
 
 
 def state_pairs(series: C.ChunkedSeries, params: Params) -> DataFrame:
-    """The forward ``(p, q)`` of every chunk."""
-    shared = series.table.sparkSession.sparkContext.broadcast(params)
-
-    size = SLICE_ROWS
+    """The forward ``(p, q)`` of every run."""
+    shared, size, run_chunks = series.table.sparkSession.sparkContext.broadcast(params), slice_rows(params), series.run_chunks
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in C.each_chunk(batches):
+        for run in C.runs(C.each_chunk(batches), run_chunks):
             width = len(shared.value["A_log"])
             product, z = np.ones(width), np.zeros(width)
-            for _, _, f, states, _ in forward_slices(shared.value, _inputs(chunk), z, size):
-                product, z = product * f["a"].prod(axis=0), states[-1]
-            yield C.pair_batch(chunk["chunk"], product, z)
+            for chunk in run:
+                for _, _, f, states, _ in forward_slices(shared.value, _inputs(chunk), z, size):
+                    product, z = product * f["a"].prod(axis=0), states[-1]
+            yield C.pair_batch(run, product, z)
 
     return series.table.select("chunk", FEATURES).mapInArrow(summarise, C.PAIR_SCHEMA)
 
 
-def state_carry(series: C.ChunkedSeries, params: Params, z0: np.ndarray | None = None,
-                fanout: int = C.FANOUT) -> C.LocalCarry | C.TableCarry:
-    """The state entering each chunk."""
+def state_carry(series: C.ChunkedSeries, params: Params, z0: np.ndarray | None = None) -> C.Carry:
+    """The state entering each run."""
     width = len(params["A_log"])
     start = np.zeros(width) if z0 is None else np.asarray(z0, dtype=np.float64)
     if series.n_chunks <= 1:
-        return C.local_carry(series.table.sparkSession.sparkContext, start[None, :])
-    return C.carries(state_pairs(series, params), series.n_chunks, start.tolist(), fanout)
+        return C.known_carry(series.table.sparkSession.sparkContext, start)
+    return C.carries(state_pairs(series, params), series.n_chunks, start)
 
 
 def predict(series: C.ChunkedSeries, params: Params, keep: list[str] | tuple[str, ...] = (),
-            z0: np.ndarray | None = None, with_recon: bool = False, fanout: int = C.FANOUT) -> DataFrame:
+            z0: np.ndarray | None = None, with_recon: bool = False) -> DataFrame:
     """Per row: seq, kept columns, state ``z``, gate ``delta``, state ``velocity``, ``recon_error`` (and ``recon``).
 
     The carry into a chunk is the state before its first row, so velocity needs no lookback across chunks.
     """
     keep = list(keep)
     shared = series.table.sparkSession.sparkContext.broadcast(params)
-    entering = state_carry(series, params, z0, fanout)
-    z_in_of = entering.reader("z_in")
-
-    size = SLICE_ROWS
+    entering, size, run_chunks = state_carry(series, params, z0), slice_rows(params), series.run_chunks
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, previous, state = shared.value, None, None
         for chunk in C.each_chunk(batches):
-            p = shared.value
-            for at, x, f, z, before in forward_slices(p, _inputs(chunk), z_in_of(chunk), size):
+            if C.starts_run(chunk["chunk"], previous, run_chunks):
+                state = entering(chunk["chunk"])
+            previous = chunk["chunk"]
+            for at, x, f, z, before in forward_slices(p, _inputs(chunk), state, size):
+                state = z[-1]
                 velocity = np.linalg.norm(z - _shifted(z, before), axis=1)
                 if chunk["first_seq"] + at == 0:
                     velocity[0] = 0.0
@@ -251,15 +256,14 @@ def predict(series: C.ChunkedSeries, params: Params, keep: list[str] | tuple[str
     fields += [T.StructField(c, T.DoubleType()) for c in ("delta", "velocity", "recon_error")]
     if with_recon:
         fields.append(T.StructField("recon", T.ArrayType(T.DoubleType())))
-    chunks = entering.attach(series.table, "z_in")
-    read = list(dict.fromkeys(["chunk", "first_seq", "n", FEATURES, *keep, "z_in"]))
-    return chunks.select(*read).mapInArrow(rows, T.StructType(fields))
+    read = list(dict.fromkeys(["chunk", "first_seq", "n", FEATURES, *keep]))
+    return series.table.select(*read).mapInArrow(rows, T.StructType(fields))
 
 
 def gate_projection(series: C.ChunkedSeries, params: Params, keep: list[str]) -> DataFrame:
     """Per row the gate ``delta``, the decay ``a`` and the injection ``u``."""
     shared = series.table.sparkSession.sparkContext.broadcast(params)
-    size = SLICE_ROWS
+    size = slice_rows(params)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in C.each_chunk(batches):
@@ -297,53 +301,60 @@ def sum_gradients(partials: DataFrame, n_parts: int) -> tuple[float, int, np.nda
     return sum(r["squares"] for r in rows), sum(r["n"] for r in rows), grad
 
 
-def gradient(series: C.ChunkedSeries, params: Params, exact: bool = False,
-             fanout: int = C.FANOUT) -> tuple[float, Params]:
+def gradient(series: C.ChunkedSeries, params: Params, exact: bool = False) -> tuple[float, Params]:
     """(loss, gradient of all parameters) of the whole series.
 
     Three narrow passes: forward pairs; states and backward pairs; gradients with both carries.  A series of one
     chunk needs only the last.
     """
     sc = series.table.sparkSession.sparkContext
-    shared = sc.broadcast(params)
+    shared, size, run_chunks = sc.broadcast(params), slice_rows(params), series.run_chunks
     n_rows, width = series.n_rows, len(params["A_log"])
-    entering = state_carry(series, params, fanout=fanout)
-    z_in_of = entering.reader("z_in")
-    chunks = entering.attach(series.table, "z_in").select("chunk", FEATURES, "z_in")
-
-    size = SLICE_ROWS
+    entering = state_carry(series, params)
+    chunks = series.table.select("chunk", FEATURES)
 
     def backward_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in C.each_chunk(batches):
-            p, product, y = shared.value, np.ones(width), np.zeros(width)
-            for _, x, f, z, _ in backward_slices(p, _inputs(chunk), z_in_of(chunk), size):
-                _, decay, alone = backward_rows(f["a"], emission_error(p, x, z, n_rows)["e"])
-                product, y = product * decay, decay * y + alone
-            yield C.pair_batch(chunk["chunk"], product, y)
+        p = shared.value
+        for run in C.runs(C.each_chunk(batches), run_chunks):
+            state, run_p, run_q = entering(run[0]["chunk"]), np.ones(width), np.zeros(width)
+            for chunk in run:
+                product, y, leaving = np.ones(width), np.zeros(width), None
+                for _, x, f, z, _ in backward_slices(p, _inputs(chunk), state, size):
+                    leaving = z[-1] if leaving is None else leaving
+                    _, decay, alone = backward_rows(f["a"], emission_error(p, x, z, n_rows)["e"])
+                    product, y = product * decay, decay * y + alone
+                run_p, run_q, state = run_p * product, run_q + run_p * y, leaving
+            yield C.pair_batch(run, run_p, run_q)
 
     if series.n_chunks <= 1:
-        leaving = C.local_carry(sc, np.zeros((1, width)))
+        back = C.known_carry(sc, np.zeros(width))
     else:
-        pairs = C.reversed_pairs(chunks.mapInArrow(backward_pairs, C.PAIR_SCHEMA), series.n_chunks)
-        leaving = C.carries(pairs, series.n_chunks, [0.0] * width, fanout).mirrored(series.n_chunks)
-    y_in_of = leaving.reader("y_in")
-
-    def chunk_gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squares, rows, total = 0.0, 0, None
-        for chunk in C.each_chunk(batches):
-            p, y = shared.value, y_in_of(chunk)
-            for _, x, f, z, before in backward_slices(p, _inputs(chunk), z_in_of(chunk), size):
-                g = emission_error(p, x, z, n_rows)
-                dz, decay, alone = backward_rows(f["a"], g["e"], y)
-                y = decay * y + alone
-                flat = flatten_params(parameter_gradient(p, x, f, g, z, _shifted(z, before), dz, exact))
-                total = flat if total is None else total + flat
-                squares, rows = squares + g["squares"], rows + len(x)
+        back = C.carries(chunks.mapInArrow(backward_pairs, C.PAIR_SCHEMA), series.n_chunks, np.zeros(width), backward=True)
+
+    def run_gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, squares, rows, total = shared.value, 0.0, 0, None
+        for run in C.runs(C.each_chunk(batches), run_chunks):
+            states = [entering(run[0]["chunk"])]  # entering each chunk of the run
+            for chunk in run[:-1]:
+                for *_, z, _ in forward_slices(p, _inputs(chunk), states[-1], size):
+                    last = z[-1]
+                states.append(last)
+            y = back(run[0]["chunk"])
+            for chunk, state in zip(reversed(run), reversed(states), strict=True):
+                for _, x, f, z, before in backward_slices(p, _inputs(chunk), state, size):
+                    g = emission_error(p, x, z, n_rows)
+                    dz, decay, alone = backward_rows(f["a"], g["e"], y)
+                    y = decay * y + alone
+                    flat = flatten_params(parameter_gradient(p, x, f, g, z, _shifted(z, before), dz, exact))
+                    total = flat if total is None else total + flat
+                    squares, rows = squares + g["squares"], rows + len(x)
         if rows:
             yield gradient_batch(squares, rows, total)
 
-    partials = number_tasks(leaving.attach(chunks, "y_in").mapInArrow(chunk_gradients, GRADIENT_SCHEMA))
-    squares, rows, flat = sum_gradients(partials, series.n_chunks)
+    squares, rows, flat = sum_gradients(number_tasks(chunks.mapInArrow(run_gradients, GRADIENT_SCHEMA)), series.n_chunks)
+    for held in (entering, back):
+        held.release()
+    shared.unpersist()
     return squares / (rows * params["b_out"].size), unflatten_params(flat, params)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,7 @@ from regimeflow.operators.quantiles import exact_quantiles
 CATEGORY_FLOOR, CATEGORY_CAP = 0.01, 50
 ZSCORE_EPS, REDUCTION_EPS = 1e-8, 1e-10
 MISSING = "MISSING"
+QUARTILES = [0.25, 0.5, 0.75]
 _HASH_BUCKETS = 4096
 
 
@@ -36,7 +39,7 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         aggs.append(F.struct(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
                              F.min(v).alias("min"), F.max(v).alias("max")).alias(c))
     row = df.agg(*aggs).first()
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], {c: row[c]["count"] for c in columns})
+    quartiles = exact_quantiles(df, columns, QUARTILES, {c: (row[c]["count"], row[c]["min"], row[c]["max"]) for c in columns})
     rows = [
         (c, row[c]["count"], row[c]["mean"], row[c]["std"], row[c]["min"], *quartiles[c], row[c]["max"])
         for c in columns
@@ -45,6 +48,29 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def date_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+
+
+def describe_dates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per date or timestamp column: count, mean, min, exact quartiles, max; to the microsecond."""
+    columns = columns or date_columns(df)
+    schema = "column string, count long, mean timestamp_ntz, min timestamp_ntz, q25 timestamp_ntz, q50 timestamp_ntz, q75 timestamp_ntz, max timestamp_ntz"
+    if not columns:
+        return df.sparkSession.createDataFrame([], schema)
+    # Whole microseconds of the wall clock, as doubles: exact for the next 200 years.
+    origin = F.lit("1970-01-01").cast("timestamp_ntz")
+    clock = df.select(*[F.timestamp_diff("MICROSECOND", origin, F.col(c).cast("timestamp_ntz")).cast("double").alias(c) for c in columns])
+    row = clock.agg(*[F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max")).alias(c) for c in columns]).first()
+    quartiles = exact_quantiles(clock, columns, QUARTILES, {c: (row[c]["count"], row[c]["min"], row[c]["max"]) for c in columns})
+
+    def moment(micros: float | None) -> datetime | None:
+        return None if micros is None else datetime(1970, 1, 1) + timedelta(microseconds=round(micros))
+
+    rows = [(c, row[c]["count"], *map(moment, (row[c]["mean"], row[c]["min"], *quartiles[c], row[c]["max"]))) for c in columns]
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def _long_values(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = [F.struct(F.lit(c).alias("column"), as_category(F.col(c)).alias("value")) for c in columns]
     return df.select(F.inline(F.array(*pairs)))
@@ -100,11 +126,12 @@ def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def moment_aggregates(columns: list[str]) -> list[Column]:
-    """Per column one struct: values present, finite values, their mean and population variance."""
+    """Per column one struct: values present, the least and the greatest; finite values, their mean and population variance."""
     aggs = []
     for c in columns:
         v = finite(F.col(c))
-        aggs.append(F.struct(F.count(none_if_nan(F.col(c).cast("double"))).alias("present"), F.count(v).alias("n"),
+        given = none_if_nan(F.col(c).cast("double"))
+        aggs.append(F.struct(F.count(given).alias("present"), F.min(given).alias("low"), F.max(given).alias("high"), F.count(v).alias("n"),
                              F.avg(v).alias("mean"), F.var_pop(v).alias("var")).alias(f"moments_{c}"))
     return aggs
 
@@ -114,8 +141,8 @@ def scalers_from(df: DataFrame, columns: list[str], n_rows: int, moments: dict)
 
     The filled column is never built: its moments follow from those of the valid values and the fill.
     """
-    counts = {c: moments[f"moments_{c}"]["present"] for c in columns}
-    quantiles = exact_quantiles(df, columns, [0.5], counts)
+    bounds = {c: tuple(moments[f"moments_{c}"][x] for x in ("present", "low", "high")) for c in columns}
+    quantiles = exact_quantiles(df, columns, [0.5], bounds)
     fitted = {}
     for c in columns:
         s = moments[f"moments_{c}"]

@@ -150,8 +150,7 @@ def split_by_date_infer(spark, sf_dir):
 
 @query
 def split_by_fraction(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
-    train, infer = filters.split_by_fraction(line, LINE_ORDER, 0.95)
+    train, infer = filters.split_by_fraction(table(spark, sf_dir, "lineitem"), LINE_ORDER, 0.95)
     return train.withColumn("split", F.lit("train")).union(infer.withColumn("split", F.lit("infer")))
 
 
@@ -233,6 +232,12 @@ def describe(spark, sf_dir):
     return out.select("column", "count", *[rounded(c, 4).alias(c) for c in out.columns[2:]])
 
 
+@query
+def describe_dates(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"), gap("o_orderdate", "o_orderkey").alias("moment"))
+    return stats.describe_dates(orders)
+
+
 @query
 def value_freq(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(
@@ -566,7 +571,8 @@ def trained_full(spark, sf_dir) -> TR.Trained:
 @lru_cache(maxsize=4)
 def trained_windowed(spark, sf_dir) -> TR.Trained:
     encoded, model = encoded_events(spark, sf_dir)
-    return TR.train_windowed(TR.pack_windows(encoded, EVENT_ORDER), S.init_params(model.n_features, 4), 2, TR.Adam(lr=1e-2))
+    series = S.pack_features(encoded, EVENT_ORDER, [], model.n_features, n_rows=model.fitted_rows)
+    return TR.train_windowed(TR.pack_windows(series), S.init_params(model.n_features, 4), 2, TR.Adam(lr=1e-2))
 
 
 @query

@@ -97,7 +97,7 @@ class ShockDetector(Estimator):
         params = S.init_params(encoder.n_features, self.latent_dim, self.d_inner, self.seed)
         optimizer = TR.Adam(lr=self.lr)
         if self.windowed and series.n_rows > self.window_size:
-            windows = TR.pack_windows(encoded, self.order_cols, self.window_size, self.stride, self.windows_per_step)
+            windows = TR.pack_windows(series, self.window_size, self.stride, self.windows_per_step)
             trained = TR.train_windowed(windows, params, self.n_iter, optimizer, self.exact_grad)
         else:
             trained = TR.train_full(series, params, self.n_iter, optimizer, self.patience, exact_grad=self.exact_grad)

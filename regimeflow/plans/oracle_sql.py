@@ -46,8 +46,9 @@ ORACLES["split_by_date_infer"] = "SELECT * FROM orders WHERE o_orderdate >= TIME
 ORACLES["row_index"] = f"""
 SELECT {LINE_ORDER}, row_number() OVER (ORDER BY {LINE_ORDER}) - 1 AS seq FROM lineitem"""
 ORACLES["split_by_fraction"] = f"""
-WITH o AS ({ORACLES['row_index']})
-SELECT *, CASE WHEN seq < (SELECT floor(count(*) * 0.95e0) FROM lineitem) THEN 'train' ELSE 'infer' END AS split FROM o"""
+WITH o AS (
+  SELECT *, row_number() OVER (ORDER BY {LINE_ORDER}, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS seq FROM lineitem)
+SELECT * EXCLUDE (seq), CASE WHEN seq < (SELECT floor(count(*) * 0.95e0) FROM lineitem) THEN 'train' ELSE 'infer' END AS split FROM o"""
 TEXT_DATES = """
 SELECT *, CASE WHEN event_id % 7 < 3 OR ts < TIMESTAMP '2024-01-01 02:00:00' THEN 'n/a'
                ELSE strftime(ts, '%Y%m%d') END AS day FROM events"""
@@ -91,6 +92,18 @@ ORACLES["describe"] = " UNION ALL ".join(
     f"{r(f'min({c})', 4)} AS min, {r(f'quantile_cont({c}::DOUBLE, 0.25)', 4)} AS q25, {r(f'quantile_cont({c}::DOUBLE, 0.5)', 4)} AS q50, "
     f"{r(f'quantile_cont({c}::DOUBLE, 0.75)', 4)} AS q75, {r(f'max({c})', 4)} AS max FROM lineitem" for c in _NUMERIC)
 
+def _micros(x: str) -> str:
+    return f"make_timestamp(round({x})::BIGINT)"
+
+
+ORACLES["describe_dates"] = f"""
+WITH d AS (
+  SELECT 'day' AS "column", epoch_us(o_orderdate::DATE::TIMESTAMP)::DOUBLE AS v FROM orders
+  UNION ALL SELECT 'moment', epoch_us({gap('o_orderdate', 'o_orderkey')}::TIMESTAMP)::DOUBLE FROM orders)
+SELECT "column", count(v) AS count, {_micros('avg(v)')} AS mean, {_micros('min(v)')} AS min, {_micros('quantile_cont(v, 0.25)')} AS q25,
+       {_micros('quantile_cont(v, 0.5)')} AS q50, {_micros('quantile_cont(v, 0.75)')} AS q75, {_micros('max(v)')} AS max
+FROM d GROUP BY "column\""""
+
 ORACLES["value_freq"] = f"""
 WITH v AS (
   SELECT 'o_orderstatus' AS "column", coalesce({gap('o_orderstatus', 'o_orderkey', 13)}, 'MISSING') AS value FROM orders

@@ -63,6 +63,16 @@ def test_forward_fill_crosses_blocks(spark, block):
     assert got.v.tolist() == pd.Series(values, dtype=float).ffill().fillna(-1.0).tolist()
 
 
+def test_forward_fill_of_many_columns_is_one_shuffle(spark, monkeypatch):
+    df = spark.range(300).select(F.col("id").alias("seq"), *[F.when(F.col("id") % k == 0, F.col("id")).alias(f"v{k}") for k in (7, 90, 400)])
+    plans, original = [], ordering.materialize
+    monkeypatch.setattr(ordering, "materialize", lambda d, label: (plans.append(d._jdf.queryExecution().executedPlan().toString()), original(d, label))[1])
+    got = ordering.forward_fill(df.repartition(3), ["v7", "v90", "v400"], block_rows=32).orderBy("seq").toPandas()
+    for k in (7, 90, 400):
+        assert got[f"v{k}"].tolist() == [i - i % k for i in range(300)]
+    assert plans[0].count("hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("block", [3, 50, 1000])
 def test_previous_row(spark, block):
     df = spark.range(130).select(F.col("id").alias("seq"), (F.col("id") * 2).alias("v"))
@@ -89,6 +99,30 @@ def test_splits(spark, days):
         filters.split_by_date(shuffled, "nope", "20010101")
 
 
+@pytest.mark.parametrize("fraction", [0.0, 0.001, 0.37, 0.5, 0.999, 1.0])
+def test_split_by_fraction_cuts_anywhere(spark, monkeypatch, fraction):
+    """Against a sort: nulls first, a value of a third of the rows, ties told apart by other columns, repeated rows."""
+    from regimeflow.operators import quantiles as Q
+    monkeypatch.setattr(Q, "_SAMPLE", 40)
+    monkeypatch.setattr(Q, "_LIST", 30)
+    rng = np.random.default_rng(4)
+    rows = [(None if rng.random() < 0.1 else 5.0 if rng.random() < 0.4 else float(rng.integers(0, 300)), f"k{rng.integers(0, 9)}", int(rng.integers(0, 4))) for _ in range(900)]
+    df = spark.createDataFrame(rows, "t double, k string, v int").repartition(3)
+    train, rest = filters.split_by_fraction(df, ["t"], fraction)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0.0, r[1], r[2]))
+    cut = int(900 * fraction)
+    key = lambda r: (r[0] is not None, r[0] or 0.0, r[1], r[2])
+    assert sorted(map(tuple, train.collect()), key=key) == order[:cut] and sorted(map(tuple, rest.collect()), key=key) == order[cut:]
+
+
+def test_split_by_fraction_moves_no_rows(spark, tmp_path):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("t"), F.col("id").alias("v"))
+    df.write.parquet(str(tmp_path / "t"))
+    for side in filters.split_by_fraction(spark.read.parquet(str(tmp_path / "t")), ["t"], 0.95):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan and "PushedFilters: [" in plan and "PushedFilters: []" not in plan
+
+
 @pytest.mark.parametrize("cast", ["string", "date"])
 def test_split_by_date_takes_the_column_type(spark, cast):
     df = spark.createDataFrame([(20001231,), (20010101,), (None,)], "d int")
@@ -125,8 +159,8 @@ def test_seeded_sample_is_exact_and_repeatable(spark):
     assert sampling.seeded_sample(df, 5000, ["id"]).count() == 5000
 
 
-@pytest.mark.parametrize("chunk_rows,fanout", [(10_000, 4096), (64, 4096), (16, 3)])
-def test_affine_scan(spark, chunk_rows, fanout):
+@pytest.mark.parametrize("chunk_rows,run_chunks", [(10_000, None), (64, None), (16, 3), (16, 1)])
+def test_affine_scan(spark, chunk_rows, run_chunks):
     rng = np.random.default_rng(2)
     a, u = rng.uniform(0.0, 1.0, (700, 3)), rng.normal(size=(700, 3))
     y, want = np.array([1.0, -2.0, 0.5]), []
@@ -135,7 +169,7 @@ def test_affine_scan(spark, chunk_rows, fanout):
         want.append(y)
     rows = [(i, a[i].tolist(), u[i].tolist()) for i in rng.permutation(700).tolist()]
     df = spark.createDataFrame(rows, "row long, a array<double>, u array<double>")
-    got = C.affine_scan(df, ["row"], "a", "u", chunk_rows=chunk_rows, fanout=fanout, start=[1.0, -2.0, 0.5])
+    got = C.affine_scan(df, ["row"], "a", "u", chunk_rows=chunk_rows, run_chunks=run_chunks, start=[1.0, -2.0, 0.5])
     got = got.orderBy("seq").toPandas()
     assert (got.seq == got.row).all()
     np.testing.assert_allclose(np.array(got.z.tolist()), np.array(want), rtol=0, atol=1e-12)

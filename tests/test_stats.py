@@ -22,6 +22,29 @@ def test_exact_quantiles(spark, limit):
     assert got["none"] == [None] * len(probs)
 
 
+def test_quantiles_of_any_double(spark):
+    """Infinities, denormals, both zeros and values over all exponents, narrowed to single keys."""
+    rng = np.random.default_rng(2)
+    wide = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), [np.inf, -np.inf, 0.0, -0.0, 5e-324, -5e-324, 1.7e308]])
+    df = spark.createDataFrame([(float(v),) for v in wide], "v double")
+    got = exact_quantiles(df, ["v"], [0.0, 0.3, 0.5, 0.9, 1.0], sort_limit=0)["v"]
+    order = np.sort(wide)
+    for p, g in zip([0.0, 0.3, 0.5, 0.9, 1.0], got):
+        at = p * (len(order) - 1)
+        assert g == pytest.approx(order[int(np.floor(at))] + (order[int(np.ceil(at))] - order[int(np.floor(at))]) * (at % 1) if at % 1 else order[int(at)], rel=1e-12)
+
+
+def test_describe_dates_matches_pandas(spark):
+    days = pd.Series(pd.to_datetime("2020-01-01") + pd.to_timedelta(np.random.default_rng(3).integers(0, 10**15, 40), unit="us"))
+    df = spark.createDataFrame([(d.to_pydatetime(), d.date(), None) for d in days], "t timestamp_ntz, d date, none date")
+    got = stats.describe_dates(df).toPandas().set_index("column")
+    assert got.loc["none", "count"] == 0 and pd.isna(got.loc["none", "q50"])
+    for c, want in (("t", days), ("d", days.dt.floor("D"))):
+        want = want.describe()
+        for ours, theirs in (("mean", "mean"), ("min", "min"), ("q25", "25%"), ("q50", "50%"), ("q75", "75%"), ("max", "max")):
+            assert abs(got.loc[c, ours] - want[theirs]) <= pd.Timedelta("1us")
+
+
 def test_scaler_of_filled_column(spark):
     values = [1.0, 2.0, None, 10.0, float("nan"), 7.0]
     df = spark.createDataFrame([(v, 3.0, None) for v in values], "x double, flat double, empty double")
