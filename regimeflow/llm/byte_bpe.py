@@ -2,9 +2,10 @@
 
 Spark folds the merges.  Tasks split their texts into pieces and keep each distinct piece of a block of texts once, as
 an array of byte tokens.  Higher-order functions then fold every distinct piece: each step looks up the rank of all
-adjacent pairs in a literal map and merges the first pair of least rank, until none has a rank.  The map is three
+adjacent pairs in a literal map and merges the first pair of least rank, until none has a rank.  The map is two
 literal arrays, a row-displaced table: the row of the left token starts at ``shift[left]``, the entry of the right
-token is ``right`` further on and names its owner.  Decoding concatenates the binary pieces of the ids.
+token is ``right`` further on and names its owner.  Decoding concatenates the binary pieces of the ids; ids and bytes of
+a text are gathered from those of its pieces by array operations.
 
 No shuffle: pieces are distinct per block (at most ``BLOCK_CHARS`` code points of text, or one longer text), so the
 fold costs the sum of the blocks' vocabularies and the plan stays narrow whatever the table's size.  Pieces over
@@ -32,9 +33,10 @@ from pyspark.sql import functions as F
 
 from regimeflow.llm import pretokens
 from regimeflow.llm.common import text_or_empty
-from regimeflow.llm.rank_map import NO_RANK, RankMap
+from regimeflow.llm.rank_map import RankMap
 
 BLOCK_CHARS, LONG_PIECE = 8 << 20, 128
+RANK_BITS = 31
 CACHE_DOCS, CACHE_PIECES = 8192, 200_000
 Ranks = dict[bytes, int]
 
@@ -56,33 +58,33 @@ def byte_level(ranks: Ranks) -> tuple[RankMap, np.ndarray]:
     return RankMap(rows, max(ranks.values()) + 1), np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
 
-def _literal(values: np.ndarray) -> Column:
-    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<int>")
-
-
-def _literal_text(values: list[str], at: list[int] | None = None) -> Column:
-    """A constant array of texts; with ``at`` each stands at its place."""
-    if at is not None:
-        spread = [""] * (max(at) + 1)
-        for i, v in zip(at, values, strict=True):
-            spread[i] = v
-        values = spread
-    return F.split(F.lit(",".join(values)), ",")
+def _literal(values: np.ndarray, kind: str) -> Column:
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")
 
 
 def fold_merges(ids: Column, ranks: RankMap) -> Column:
-    """The fold: an array of byte tokens becomes the array of merged tokens."""
-    owner, rank_at, shift = map(_literal, (ranks.owner, ranks.rank_at, ranks.shift))
+    """The fold: an array of byte tokens becomes the array of merged tokens.
+
+    An entry of the literal map is its owner and its rank in one number.  Less the left token it is the rank, or far
+    larger (the sign bit goes) where another token owns the place, so the least of a piece is the rank to merge at.
+    """
+    entries = np.where(ranks.owner >= 0, (ranks.owner.astype(np.int64) << RANK_BITS) | ranks.rank_at, -1)
+    last = int(np.flatnonzero(ranks.owner >= 0).max(initial=-1)) + 1
+    table, shift = _literal(entries[:last], "bigint"), _literal(ranks.shift, "int")
 
     def rank(left: Column, right: Column) -> Column:
-        at = F.get(shift, left) + right
-        return F.when(F.get(owner, at) == left, F.get(rank_at, at)).otherwise(F.lit(NO_RANK))
+        return (F.get(table, F.get(shift, left) + right) - F.shiftleft(left.cast("bigint"), RANK_BITS)).bitwiseAND(F.lit((1 << 63) - 1))
 
     def merge(state: Column, _: Column) -> Column:
         pairs = F.transform(state, lambda x, i: rank(x, F.get(state, i + 1)))
-        best = F.transform(F.array(pairs), lambda p: F.struct(F.array_position(p, F.array_min(p)).cast("int").alias("at"), F.array_min(p).alias("rank")))
-        return F.transform(best, lambda b: F.when(b["rank"] == NO_RANK, state).otherwise(
-            F.concat(F.slice(state, 1, b["at"] - 1), F.array(b["rank"]), F.slice(state, b["at"] + 2, F.size(state)))))[0]
+
+        def merged(p: Column, least: Column) -> Column:
+            at = F.array_position(p, least).cast("int")
+            return F.when(least < (1 << RANK_BITS), F.concat(
+                F.slice(state, 1, at - 1), F.array(least.cast("int")), F.slice(state, at + 2, F.size(state)))).otherwise(state)
+
+        # arrays of one: what they hold is worked out once
+        return F.transform(F.array(pairs), lambda p: F.transform(F.array(F.array_min(p)), lambda least: merged(p, least))[0])[0]
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(2)) - 1), ids, merge)
 
@@ -198,7 +200,8 @@ def frequent_pieces(docs: DataFrame, ranks_path: str, table: RankMap, byte_ids:
         split, "keys array<string>, coded array<array<int>>, words array<array<int>>, merged array<boolean>")
     each = held.select(F.explode(F.arrays_zip("words", "merged")).alias("p")).where(~F.col("p.merged")).select(F.col("p.words").alias("piece"))
     common = each.groupBy("piece").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "piece").limit(CACHE_PIECES)
-    rows = common.select("piece", fold_merges(F.col("piece"), table).alias("ids")).toArrow()
+    spread = common.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # the limit leaves one task
+    rows = spread.select("piece", fold_merges(F.col("piece"), table).alias("ids")).toArrow()
     byte_of = np.zeros(int(byte_ids.max()) + 1, np.uint8)
     byte_of[byte_ids] = np.arange(256)
     pieces, ids = rows.column("piece").combine_chunks(), rows.column("ids").combine_chunks()
@@ -230,20 +233,57 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "doc
 
     blocks = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).mapInArrow(
         split, f"keys array<{name}>, coded array<array<int>>, words array<array<int>>, merged array<boolean>")
-    id_hex = _literal_text([i.to_bytes(4, "little").hex() for i in range(len(table.shift))])
-    piece_hex = _literal_text([t.hex() for t, _ in sorted(ranks.items(), key=lambda x: x[1])], list(sorted(ranks.values())))
-
-    def joined(of: Column, parts: Column) -> Column:
-        return F.array_join(F.transform(of, lambda i: F.get(parts, i)), "")
-
-    def text_of(block: Column) -> Column:
-        """Ids and bytes of every text: those of its pieces, joined (as hexadecimal, which Spark can join)."""
-        return F.transform(F.arrays_zip("keys", "coded"), lambda d: F.struct(
-            d["keys"].alias("key"), F.unhex(joined(d["coded"], block["ids"])).alias("ids"), F.unhex(joined(d["coded"], block["plain"])).alias("decoded")))
-
-    ids = F.zip_with("words", "merged", lambda w, done: F.when(done, w).otherwise(fold_merges(w, table)))
-    pieces = F.transform(F.array(ids), lambda every: F.struct(
-        F.transform(every, lambda w: joined(w, id_hex)).alias("ids"), F.transform(every, lambda w: joined(w, piece_hex)).alias("plain")))
-    texts = F.flatten(F.transform(pieces, text_of))  # arrays of one: each level is worked out once
-    out = blocks.select(F.explode(texts).alias("t"))
-    return out.select(F.col("t.key").alias(key), (F.octet_length("t.ids") / 4).cast("long").alias("n_tokens"), F.col("t.ids").alias("ids"), F.col("t.decoded").alias("decoded"))
+    kind = docs.schema[key].dataType.simpleString()
+    folded = blocks.select("keys", "coded", F.zip_with("words", "merged", lambda w, done: F.when(done, w).otherwise(fold_merges(w, table))).alias("ids"))
+
+    def put_together(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield _texts(*(batch.column(c)[i].values for c in ("keys", "coded", "ids")), token_bytes(ranks_path))
+
+    out = folded.mapInArrow(put_together, f"key {kind}, n_tokens long, ids binary, decoded binary")
+    return out.withColumnRenamed("key", key)
+
+
+Bytes = tuple[np.ndarray, np.ndarray, np.ndarray]  # all tokens' bytes; where each begins; how many it has
+
+
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> Bytes:
+    ranks = read_ranks(path)
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, rank in ranks.items():
+        size[rank] = len(token)
+    blob = b"".join(token for token, _ in sorted(ranks.items(), key=lambda x: x[1]))
+    return np.frombuffer(blob, np.uint8), np.cumsum(size) - size, size
+
+
+def _gathered(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the stretches ``first`` .. ``first + count`` of the values one after the other, where each ends)."""
+    end = np.cumsum(count)
+    total = int(end[-1]) if len(end) else 0
+    at = np.repeat((first - (end - count)).astype(np.int64), count)
+    at += np.arange(total)
+    return values[at], end
+
+
+def _texts(keys: pa.Array, coded: pa.Array, words: pa.Array, tokens: Bytes) -> pa.RecordBatch:
+    """Ids and bytes of the texts of one block: those of its pieces, one after the other."""
+    sizes, piece_ids = words.value_lengths().to_numpy().astype(np.int64), words.flatten().to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    plain, ends = _gathered(tokens[0], tokens[1][piece_ids], tokens[2][piece_ids])  # the distinct pieces, decoded
+    ends = np.concatenate(([0], ends))
+    plain_at = ends[starts]
+    plain_size = ends[starts + sizes] - plain_at
+    which, per_text = coded.flatten().to_numpy(), coded.value_lengths().to_numpy()
+    edge = np.concatenate(([0], np.cumsum(per_text)))
+
+    def column(values: np.ndarray, first: np.ndarray, count: np.ndarray, item: int) -> tuple[pa.Array, np.ndarray]:
+        data, end = _gathered(values, first[which], count[which])
+        offsets = np.concatenate(([0], end))[edge] * item
+        array = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        return array, np.diff(offsets) // item
+
+    ids, n_tokens = column(piece_ids.astype("<u4"), starts, sizes, 4)
+    decoded, _ = column(plain, plain_at, plain_size, 1)
+    return pa.RecordBatch.from_arrays([keys, pa.array(n_tokens), ids, decoded], ["key", "n_tokens", "ids", "decoded"])

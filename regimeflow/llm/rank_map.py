@@ -7,6 +7,7 @@ from itertools import chain
 import numpy as np
 
 NO_RANK = 1 << 30
+SLACK = 3  # places per entry
 Rows = dict[int, list[tuple[int, int]]]
 
 
@@ -16,15 +17,17 @@ class RankMap:
 
     def __init__(self, rows: Rows, n_tokens: int):
         entries_in_all = sum(map(len, rows.values()))
-        owner = np.full(4 * entries_in_all + n_tokens, -1, np.int32)
+        room = SLACK * entries_in_all
+        owner = np.full(room + n_tokens, -1, np.int32)
         rank_at = np.zeros_like(owner)
         shift = np.zeros(n_tokens, np.int32)
-        places = np.random.default_rng(0).integers(0, 4 * entries_in_all + 1, (n_tokens, 64))
+        places = np.random.default_rng(0).integers(0, room + 1, (n_tokens, 64))
         for left, entries in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):  # large rows while there is room
             columns = np.array([e[0] for e in entries])
             at = _first_fit(owner, columns, places[left])
             owner[columns + at], rank_at[columns + at], shift[left] = left, [e[1] for e in entries], at
-        self.owner, self.rank_at, self.shift = owner, rank_at, shift
+        used = len(owner) - int(np.argmax(owner[::-1] >= 0))
+        self.owner, self.rank_at, self.shift = owner[:used + n_tokens], rank_at[:used + n_tokens], shift
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         at = self.shift[left] + right
