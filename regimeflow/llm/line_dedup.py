@@ -9,8 +9,8 @@ merge-joined against the runs, and its own lines are removed where the runs hold
 documents; ``LineRuns.admit`` is the incremental form, where only earlier batches count.
 
 Edge cases: a null or empty text is one empty line.  Lines shorter than ``min_chars`` code points (after stripping)
-always stay.  Rows equal in doc_id and text count as one document and are treated alike; a null doc_id sorts below
-every other.  An empty table gives no rows.  Extra columns pass through; added columns get trailing
+always stay.  Rows of one doc_id count as one document, whatever their texts, and each row loses its own lines; rows
+without doc_id count as one document below every other.  An empty table gives no rows.  Extra columns pass through; added columns get trailing
 underscores where the table already has the name.
 """
 
@@ -63,7 +63,7 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """Adds the run of a batch (``hashed_lines`` rows) and compacts every level that is full."""
-        once = lines.select("_h1", "_h2", "_doc", "_text").distinct()
+        once = lines.select("_h1", "_h2", "_doc").distinct()
         run = once.groupBy("_h1", "_h2").agg(F.count("*").alias("_docs"), F.max("_doc").cast("long").alias("_last"))
         self._put(run, 0)
 

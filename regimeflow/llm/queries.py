@@ -57,15 +57,15 @@ def op4_topk(spark, sf_dir):
 
 ORACLES["op4_topk"] = """
 WITH v AS (
-  SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS q
+  SELECT row_number() OVER () AS rid, vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 scored AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  SELECT a.rid, a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM scored
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) <= 20
 """
 
 
@@ -104,21 +104,22 @@ def op8_line_dedup(spark, sf_dir):
 # The class of white space written out: space and the code points 9 to 13.
 ORACLES["op8_line_dedup"] = """
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  SELECT rid, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
+  FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)),
 keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines),
 common AS (
-  SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+  SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 40
+  GROUP BY k HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INTEGER) >= 5),
 marked AS (
-  SELECT keyed.*, common.k IS NOT NULL AND keyed.doc_id <> common.last AS gone
+  SELECT keyed.*, common.k IS NOT NULL AND keyed.doc_id IS DISTINCT FROM common.last AS gone
   FROM keyed LEFT JOIN common USING (k))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY rid, doc_id
 """
 
 

@@ -11,8 +11,8 @@ Every query meets every candidate block through a join on the block number.  The
 dimensions and the mass of each; blocks have at most a few thousand vectors on average, whatever the table.
 
 Edge cases: null vectors, null or non-finite components and null ids take no part; shorter vectors count as filled up
-with zeros; rows sharing the query's id are never its results; repeated rows are candidates each; ties go to the
-smaller id.  Fewer than k candidates give all of them; an empty table gives no rows; extra columns are ignored.
+with zeros; rows sharing the query's id are never its results; repeated rows are candidates each and queries each, also
+where they share an id; ties go to the smaller id.  Fewer than k candidates give all of them; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,9 +76,9 @@ class _Best:
         order = np.lexsort((v, -s), axis=1)[:, :self.k]
         self.score[rows], self.vec[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)
 
-    def frame(self) -> pd.DataFrame:
+    def frame(self, block: int) -> pd.DataFrame:
         q, j = np.nonzero(np.isfinite(self.score))
-        return pd.DataFrame({"query_id": self.ids[q], "vec_id": self.vec[q, j], "score": self.score[q, j].astype(np.int64)})
+        return pd.DataFrame({"qb": np.full(len(q), block), "row": q, "query_id": self.ids[q], "vec_id": self.vec[q, j], "score": self.score[q, j].astype(np.int64)})
 
 
 def _cell(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, best: _Best, dims: int) -> None:
@@ -158,13 +158,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, vector: str = "embed
             for qb, st, q_ids, q, ids, columns in zip(*(frame[x] for x in ("qb", "stripe", "q_ids", "q", "ids", "columns")), strict=True):
                 if (qb, st) != at:
                     if best is not None:
-                        yield best.frame()
+                        yield best.frame(at[0])
                     at, best = (qb, st), _Best(np.frombuffer(q_ids, np.int64), k)
                     qm = np.frombuffer(q, np.float64).reshape(width, -1)
                 _cell(qm, np.frombuffer(columns, np.float64).reshape(width, -1), np.frombuffer(ids, np.int64), best, dims)
         if best is not None:
-            yield best.frame()
+            yield best.frame(at[0])
 
-    found = cells.select("qb", "stripe", "q_ids", "q", "ids", "columns").mapInPandas(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = cells.select("qb", "stripe", "q_ids", "q", "ids", "columns").mapInPandas(run, "qb long, row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("qb", "row").orderBy(F.desc("score"), "vec_id"))  # a query row, not an id
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
