@@ -2,9 +2,9 @@
 
 Doubles map to whole numbers of the same order.  A round counts, for all columns and ranks at once, how many values fall
 into each of ``BUCKETS`` equal parts of the span where a rank must lie; the part that holds the rank is the next span.
-Every round is one pass with a fixed-size result, whatever the rows, and narrows a span by ten bits, so seven rounds
-settle any column; normally the first leaves so few values that the next pass sorts them.  No column is gathered in
-one task; at most ``SORT_LIMIT`` values are.
+Every round is one pass with a fixed-size result, whatever the rows, and narrows a span by ten bits at least, so seven
+rounds settle any column.  Normally the first one does: a part of one value is the answer, and one of few is sorted in
+the next pass.  No column is gathered in one task; at most ``SORT_LIMIT`` values are.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from regimeflow.functions.vectors import none_if_nan
 
-SORT_LIMIT = 200_000  # rows of one span that a single task may sort
+SORT_LIMIT = 50_000  # rows of one span that a single task may sort
 _BITS = 10
 BUCKETS = 1 << _BITS
 _SPANS = 64  # spans per pass, which bounds what the driver receives
@@ -87,32 +87,44 @@ def _column_keys(batch: pa.RecordBatch, columns: list[str]) -> dict[str, np.ndar
 
 
 def _narrow(df: DataFrame, groups: list[list[_Search]]) -> None:
-    """One pass: every search goes on in the part of its span that holds its rank."""
+    """One pass: every search goes on between the least and the greatest key of the part that holds its rank."""
     spans = [(g[0].column, np.uint64(g[0].low), np.uint64(g[0].high), np.uint64(g[0].shift)) for g in groups]
     columns = list(dict.fromkeys(c for c, *_ in spans))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(spans), BUCKETS), np.int64)
+        least, most = np.full(counts.shape, ~np.uint64(0)), np.zeros(counts.shape, np.uint64)
         for batch in batches:
-            keys = _column_keys(batch, columns)
+            keys = {c: np.unique(k, return_counts=True) for c, k in _column_keys(batch, columns).items()}
             for i, (c, low, high, shift) in enumerate(spans):
-                inside = keys[c][(keys[c] >= low) & (keys[c] <= high)]
-                counts[i] += np.bincount(((inside - low) >> shift).astype(np.int64), minlength=BUCKETS)
+                key, n = keys[c]
+                begin, end = np.searchsorted(key, low), np.searchsorted(key, high, side="right")
+                if begin == end:
+                    continue
+                key, n = key[begin:end], n[begin:end]
+                bucket = ((key - low) >> shift).astype(np.int64)
+                first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                at, last = bucket[first], np.append(first[1:], len(key)) - 1
+                counts[i, at] += np.add.reduceat(n, first)
+                least[i, at], most[i, at] = np.minimum(least[i, at], key[first]), np.maximum(most[i, at], key[last])
         span, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(span), pa.array(bucket), pa.array(counts[span, bucket])], ["span", "bucket", "n"])
+        ends = [pa.array((m[span, bucket] ^ _TOP).view(np.int64)) for m in (least, most)]
+        yield pa.RecordBatch.from_arrays([pa.array(span), pa.array(bucket), pa.array(counts[span, bucket]), *ends], ["span", "bucket", "n", "low", "high"])
 
     values = df.select(*[_value(c).alias(c) for c in columns])
-    found = values.mapInArrow(count, "span long, bucket long, n long").groupBy("span", "bucket").agg(F.sum("n")).collect()
-    counts = np.zeros((len(spans), BUCKETS), np.int64)
-    for span, bucket, n in found:
-        counts[span, bucket] = n
-    for group, row in zip(groups, counts):
-        upto = np.cumsum(row)
+    counted = values.mapInArrow(count, "span long, bucket long, n long, low long, high long")
+    found: dict[int, list] = {}
+    for span, *row in counted.groupBy("span", "bucket").agg(F.sum("n"), F.min("low"), F.max("high")).collect():
+        found.setdefault(span, []).append(row)
+    for i, group in enumerate(groups):
+        parts = sorted(found[i])
         for s in group:
-            shift, low = s.shift, s.low
-            at = int(np.searchsorted(upto, s.rank - s.below, side="right"))
-            s.below, s.rows = s.below + int(upto[at] - row[at]), int(row[at])
-            s.low, s.high = low + (at << shift), min(s.high, low + ((at + 1) << shift) - 1)
+            below = s.below
+            for _, n, low, high in parts:
+                if s.rank < below + n:
+                    s.below, s.rows, s.low, s.high = below, n, low + int(_TOP), high + int(_TOP)
+                    break
+                below += n
 
 
 def _sort_remaining(df: DataFrame, groups: list[list[_Search]]) -> None:
@@ -201,6 +213,16 @@ def _above(c: Column, value) -> Column:
 def _at_rank(df: DataFrame, column: str, rank: int, n: int, seed: int = 0) -> tuple[object, int, int]:
     """(value at 0-based ``rank`` in ascending order, nulls first; smaller rows; equal rows), by sampled brackets and counts."""
     c = F.col(column)
+
+    def listed(rows: DataFrame, below: int) -> tuple[object, int, int]:
+        for value, equal in rows.groupBy(c.alias("v")).count().orderBy(F.col("v").asc_nulls_first()).collect():  # few rows
+            if rank < below + equal:
+                return value, below, equal
+            below += equal
+        raise RuntimeError(f"the table changed while a rank of {column!r} was sought")
+
+    if n <= _LIST:
+        return listed(df, 0)
     nulls = df.where(c.isNull()).count()
     if rank < nulls:
         return None, 0, nulls
@@ -209,15 +231,12 @@ def _at_rank(df: DataFrame, column: str, rank: int, n: int, seed: int = 0) -> tu
         inside = df.where(c.isNotNull())
         inside = inside if low is None else inside.where(c > F.lit(low))
         inside = inside if high is None else inside.where(c < F.lit(high))
-        sample = inside.select(c.alias("v")) if rows <= _SAMPLE else inside.where(F.rand(seed) < 2 * _SAMPLE / rows).select(c.alias("v"))
-        values = sorted(r[0] for r in sample.limit(4 * _SAMPLE).collect())
-        if rows <= _LIST or not values:
-            counted = inside.groupBy(c.alias("v")).count().orderBy("v").collect()  # a bracket of few rows
-            for value, equal in counted:
-                if rank < below + equal:
-                    return value, below, equal
-                below += equal
-            raise RuntimeError(f"the table changed while a rank of {column!r} was sought")
+        if rows <= _LIST:
+            return listed(inside, below)
+        values: list = []
+        while not values:
+            some = inside.where(F.rand(seed) < 2 * _SAMPLE / rows).select(c)
+            values, seed = sorted(r[0] for r in some.limit(4 * _SAMPLE).collect()), seed + 1
         share = (rank - below) / rows
         marks = sorted({values[min(len(values) - 1, max(0, int((share + m) * len(values))))] for m in (-_MARGIN, 0, _MARGIN)})
         counts = inside.agg(*[x for m in marks for x in (F.count_if(c < F.lit(m)), F.count_if(c == F.lit(m)))]).first()
@@ -230,7 +249,7 @@ def _at_rank(df: DataFrame, column: str, rank: int, n: int, seed: int = 0) -> tu
             if rank < less + equal:
                 return m, less, equal
             low, below = m, less + equal
-        rows, seed = end - below, seed + 1
+        rows = end - below
 
 
 def orderable(df: DataFrame) -> list[str]:
@@ -251,6 +270,6 @@ def cut_at_rank(df: DataFrame, order_cols: list[str], rank: int, n: int) -> tupl
         value, smaller, equal = _at_rank(df.where(on), name, left, n)
         before, behind = before | (on & _below(c, value)), behind | (on & _above(c, value))
         on, left, n = on & c.eqNullSafe(F.lit(value)), left - smaller, equal
-        if n == 1 or left == 0 and n == 1:
+        if n == 1:
             break
     return before, behind, on, left
