@@ -19,7 +19,9 @@ added.  Repeated rows are scanned each; an empty table gives no rows; extra colu
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -48,6 +50,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def _outside(matches: Iterator[re.Match], taken: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """Matches that overlap no taken span: of the spans that begin before a match ends, none may end inside or after it."""
+    spans = sorted((a, b) for _, a, b in taken)
+    begins, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+    for m in matches:
+        before = bisect_left(begins, m.end())
+        if not before or reach[before - 1] <= m.start():
+            yield m
+
+
 def _steps(token: str) -> np.ndarray:
     """Index of every transition of a token in a flattened matrix, the start included."""
     code = _CODE[np.frombuffer(token.encode("ascii"), np.uint8)]
@@ -67,8 +79,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs:
                 spans = base_spans(t)
                 values = [m[2] for m in ASSIGN.finditer(t) if len(m[2]) >= MIN_LENGTH]
                 values += [t[a:b] for kind, a, b in spans if kind != "assign"]
-                taken = [(a, b) for _, a, b in spans]
-                words = [m[0] for m in ORDINARY.finditer(t) if not _doubtful(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken)]
+                words = [m[0] for m in _outside(ORDINARY.finditer(t), spans) if not _doubtful(m[0])]
                 for label, tokens in ((1, values), (0, words)):
                     if tokens:
                         total[label] += np.bincount(np.concatenate([_steps(w) for w in tokens]), minlength=N * N)
@@ -94,10 +105,8 @@ def _doubtful(token: str) -> bool:
 def model_spans(text: str, ratios: np.ndarray, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Tokens outside the taken spans that are likelier random than ordinary."""
     out = []
-    for m in CANDIDATE.finditer(text):
+    for m in _outside(CANDIDATE.finditer(text), taken):
         a, b = m.span()
-        if any(x < b and a < y for _, x, y in taken):
-            continue
         score = float(ratios[_steps(m[0])].sum())
         if score >= MIN_RATIO and score >= MIN_MEAN * (b - a):
             out.append(("markov", a, b))

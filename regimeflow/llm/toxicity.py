@@ -20,6 +20,7 @@ columns of the table pass through unchanged where ``filter_toxic`` returns them.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import product
 
@@ -39,16 +40,24 @@ FOLDS = 5
 # Seed words of the closed classes, in the languages of the corpus.
 THREATS = ("kill", "hurt", "destroy", "beat", "burn", "attack", "töten", "schlagen", "vernichten", "tuer", "frapper", "matar", "golpear")
 TARGETS = ("you", "your", "they", "them", "he", "she", "people", "du", "dich", "sie", "ihr", "tu", "toi", "vous", "ils", "tú", "usted", "ellos")
-NEGATIONS = ("not", "no", "never", "isn", "aren", "wasn", "don", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "ni")
+NEGATIONS = ("not", "no", "never", "cannot", "without", "nicht", "kein", "keine", "keinen", "nie", "niemals", "ohne", "pas", "jamais", "sans",
+             "nunca", "ni", "tampoco", "sin")  # and every contraction in n't
 REPORTS = ("said", "says", "called", "quoted", "claimed", "wrote", "sagte", "nannte", "dit", "appelé", "dijo", "llamó")
 REACH = 3  # words that a negation covers
 
 WORD, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP = range(7)
 CLOSED = {**dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(NEGATIONS, NEGATION), **dict.fromkeys(REPORTS, REPORT)}
 CHANNELS = [(what, how) for what in ("insult", "threat") for how in ("plain", "targeted", "negated", "reported")]
-_TOKEN = re.compile(r"\w+|[.!?;:\n|]")
+_TOKEN = re.compile(r"\w+n['\u2019]t\b|\w+|[.!?;:\n|]")
 _WORD = re.compile(r"\w+")
-_STOPS = frozenset(".!?;:\n|")
+_STOP = re.compile(r"[.!?;:\n|]")
+_CONTRACTED = ("n't", "n\u2019t")
+
+
+def lowered(text: str) -> str:
+    """Lower case, a code point for a code point, so that offsets are those of the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
 
 
 class Transducer:
@@ -110,7 +119,7 @@ def learn_terms(rows: DataFrame) -> dict[str, tuple[float, bool]]:
         for frame in frames:
             sketches, held = [], []
             for text in frame["text"]:
-                words = _WORD.findall(text.lower())
+                words = _WORD.findall(lowered(text))
                 threes = (" ".join(words[i:i + 3]) for i in range(max(len(words) - 2, 1)))
                 sketches.append(min(xxhash.xxh64_intdigest(t) for t in threes) - (1 << 63))
                 once = set(words)
@@ -135,7 +144,10 @@ class Grammar:
 
     def __init__(self, terms: dict[str, tuple[float, bool]], weights: np.ndarray | None = None):
         self.terms = terms
-        self.lexicon = {**{t: (THREAT, 1.0, True) for t in THREATS}, **{t: (INSULT, w, p) for t, (w, p) in terms.items()}}
+        # a threat stays one when labels mark it, and takes the weight that they give it
+        threats = {t: (THREAT, terms[t][0] if t in terms else 1.0, True) for t in THREATS}
+        self.lexicon = {**{t: (INSULT, w, p) for t, (w, p) in terms.items()}, **threats}
+        self.longest = max(map(len, self.lexicon))
         self.weights = weights
         self._find = None
 
@@ -150,14 +162,16 @@ class Grammar:
                 self._find.add_word(t, len(t))
             self._find.make_automaton()
         sums, clauses = np.zeros(len(CHANNELS)), []
-        low = text.lower()
-        done = -1
+        low = lowered(text)
+        stops, done = None, -1
         for end, size in self._find.iter(low):
             start = end - size + 1
             if start < done or (start and (low[start - 1].isalnum() or low[start - 1] == "_")):
                 continue
-            begin = max(low.rfind(s, 0, start) for s in _STOPS) + 1
-            stop = min((x for x in (low.find(s, start) for s in _STOPS) if x >= 0), default=len(low))
+            if stops is None:  # clause ends, found once
+                stops = [-1, *(m.start() for m in _STOP.finditer(low)), len(low)]
+            at = bisect_left(stops, start)
+            begin, stop = stops[at - 1] + 1, stops[at]
             weight = self._clause(low[begin:stop], sums)
             if weight:
                 clauses.append((begin, stop, weight))
@@ -178,12 +192,16 @@ class Grammar:
 
     def _symbol(self, token: str) -> tuple[int, float]:
         best = None
-        for n in range(len(token), 0, -1):
+        for n in range(min(len(token), self.longest), 0, -1):
             entry = self.lexicon.get(token[:n])
             if entry and (entry[2] or n == len(token)):
                 best = entry
                 break
-        return (best[0], best[1]) if best else (CLOSED.get(token, WORD), 0.0)
+        if best:
+            return best[0], best[1]
+        if token.endswith(_CONTRACTED):
+            return NEGATION, 0.0
+        return (STOP if _STOP.match(token) else CLOSED.get(token, WORD)), 0.0
 
     def score(self, sums: np.ndarray) -> float:
         if self.weights is None:
