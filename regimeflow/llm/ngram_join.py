@@ -5,17 +5,17 @@ path in one large prefix tree.  The tree is dealt to tasks by ranges of the orde
 threshold differ in at most ``d`` shingles (``d`` follows from the sizes), so cut into more than ``d`` ranges they agree
 on a whole range: the *pieces* of their paths there are equal.  Shingles that a sample shows to be frequent stand last
 in the order, in a range of their own that is not used.  Equal pieces (and size class) bring documents
-together; the least document of such a meeting leads it.  Each leader's meeting is a prefix tree of the members' sets,
+together; the least node of such a meeting leads it.  Each leader's meeting is a prefix tree of the members' sets,
 which the leader's set descends: overlap counted on a shared edge holds for everything below it, and a subtree is left
 as soon as the shingles that remain on either side cannot reach the threshold.  Members without a link to the leader are
 taken through the tree of the whole meeting, too, except where they are connected already: so no link between
 different texts is lost, and copies are never expanded into pairs.
 
-Equal sets are one node from the start.  Meetings are worked through in parts of at most ``PART`` members.
+Equal sets are one node from the start, numbered by Spark.  Meetings are worked through in parts of at most ``PART`` members.
 
 Edge cases: texts without words (null, empty) have an empty set and link with nothing; with fewer words than the shingle
-width the whole sequence is one shingle.  doc_id identifies a document: rows that repeat it are one node, rows
-without one are their own component (null).  An empty table gives no rows; extra columns are ignored.
+width the whole sequence is one shingle.  Every row is a document: rows that repeat a doc_id with another text link for
+themselves, each with the least doc_id that its own text reaches; rows without one are their own component (null).  An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -139,23 +139,25 @@ def frequent_shingles(docs: DataFrame, width: int, text: str) -> np.ndarray:
 
 
 def described(docs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
-    """doc_id, set size, 128-bit key of the set, keys of its pieces."""
+    """doc_id, hash of the text, set size, 128-bit key of the set, keys of its pieces."""
     held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width, text))  # at most MAX_FREQUENT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, texts in _batches(batch.column(0), batch.column(1), BATCH_BYTES):
+            pairs = pa.StructArray.from_arrays([batch.column(0), batch.column(2)], ["doc", "text_hash"])
+            for keys, texts in _batches(pairs, batch.column(1), BATCH_BYTES):
                 sets = sets_of(texts, width)
                 whole = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 key_at = np.frombuffer(b"".join(whole), "<i8").reshape(-1, 2)
                 found = [pieces(s, percent, held.value).view(np.int64) for s in sets]
                 at = np.concatenate(([0], np.cumsum([len(p) for p in found])))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(key_at[:, 0]), pa.array(key_at[:, 1]),
-                    pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(found)))], ["doc", "n", "h1", "h2", "pieces"])
+                    *pa.array(keys, pairs.type).flatten(), pa.array([len(s) for s in sets], pa.int64()), pa.array(key_at[:, 0]), pa.array(key_at[:, 1]),
+                    pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(found)))], ["doc", "text_hash", "n", "h1", "h2", "pieces"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(run, "doc long, n long, h1 long, h2 long, pieces array<long>")
+    body = text_or_empty(text)
+    rows = docs.select(F.col(key).cast("long").alias("doc"), body.alias("text"), F.xxhash64(body).alias("text_hash"))
+    return rows.mapInArrow(run, "doc long, text_hash long, n long, h1 long, h2 long, pieces array<long>")
 
 
 # ------------------------------------------------------------------------------------------------------ the prefix tree
@@ -231,11 +233,13 @@ def _groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFr
         yield rest
 
 
-def _texts_of(meetings: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """node and text of every document that meets another; the one time that texts are shuffled."""
+def _texts_of(meetings: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """node and text of every node that meets another; the one time that texts are shuffled."""
     involved = meetings.select("node").union(meetings.select(F.col("leader"))).distinct()
-    once = docs.select(F.col(key).cast("long").alias("node"), text_or_empty(text).alias("text"))
-    return save(once.join(involved.hint("merge"), "node", "left_semi"), "met-texts")
+    wanted = nodes.select("node", "doc", "text_hash").join(involved, "node", "left_semi").distinct()
+    body = text_or_empty(text)
+    once = docs.select(F.col(key).cast("long").alias("doc"), body.alias("text"), F.xxhash64(body).alias("text_hash"))
+    return save(once.join(wanted.hint("merge"), ["doc", "text_hash"]).select("node", "text"), "met-texts")
 
 
 def _against_leader(meetings: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -306,20 +310,35 @@ def _among_members(tested: DataFrame, texts: DataFrame, width: int, percent: int
     return rows.select(*by, "node", "text", "component", "asks").mapInPandas(run, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, ``n_shingles``, ``component_id`` (least document reachable by links) of every row."""
+def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc, text_hash (of the text, by which rows of one doc are told apart), n, group, component of every row.
+
+    ``group`` is a number shared by the rows that links connect (null: empty set or no doc), ``component`` their least doc.
+    """
     rows = save(described(docs, width, percent, text, key), "sets")
     known = rows.where((F.col("n") > 0) & F.col("doc").isNotNull())
-    first = known.groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
-    nodes = save(known.alias("k").join(first.alias("f"), (F.col("k.h1") == F.col("f.h1")) & (F.col("k.h2") == F.col("f.h2")) & (F.col("doc") == F.col("rep")), "left_semi")
-                 .select(F.col("doc").alias("node"), "pieces"), "nodes")
+    # numbers need only be distinct; written, so that every later pass reads the same ones
+    first = save(known.groupBy("h1", "h2").agg(F.min("doc").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "numbers")
+    nodes = save(known.alias("k").join(first.alias("f"), (F.col("k.h1") == F.col("f.h1")) & (F.col("k.h2") == F.col("f.h2")) & (F.col("doc") == F.col("rep")))
+                 .select("node", "doc", "text_hash", "pieces"), "nodes")
     piece = nodes.select("node", F.explode("pieces").alias("piece"))
     meeting = piece.groupBy("piece").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where(F.col("leader") < F.col("last"))
     meetings = save(piece.join(meeting.select("piece", "leader"), "piece").where(F.col("node") != F.col("leader")).select("leader", "node").distinct(), "meetings")
-    texts = _texts_of(meetings, docs, text, key)
+    texts = _texts_of(meetings, nodes, docs, text, key)
     tested = save(_against_leader(meetings, texts, width, percent), "tested")
     more = _among_members(tested, texts, width, percent)
     links = tested.where("linked").select(F.col("leader").alias("u"), F.col("node").alias("v")).union(more)
-    comp = components(links, "u", "v")
-    named = rows.select("doc", "n", "h1", "h2").join(first, ["h1", "h2"], "left").join(comp, F.col("rep") == F.col("node"), "left")
-    return named.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc")).alias("component_id"))
+    comp = components(links, "u", "v").withColumnRenamed("component", "group")
+    comp = comp.union(comp.select("group", "group").distinct())  # the least node stands only in the other column
+    least = comp.join(first, "node").groupBy("group").agg(F.min("rep").alias("component"))
+    linked_ = comp.join(least, "group")
+    named = first.join(linked_, "node", "left").select("h1", "h2", F.coalesce("group", "node").alias("group"), F.coalesce("component", "rep").alias("component"))
+    found = rows.select("doc", "text_hash", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    own = (F.col("n") > 0) & F.col("doc").isNotNull()
+    return found.select("doc", "text_hash", "n", F.when(own, F.col("group")).alias("group"), F.when(own, F.col("component")).otherwise(F.col("doc")).alias("component"))
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key``, ``n_shingles``, ``component_id`` (least document reachable by links) of every row."""
+    found = jaccard_groups(docs, width, percent, text, key)
+    return found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
