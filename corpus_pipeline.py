@@ -8,8 +8,8 @@
 5. ``byte_bpe``: every document is encoded; its text is what the decoded ids say, next to ids and counts.
 
 Each stage treats nulls, empty texts, ties, repeated rows and empty tables as its operator states.  All but the last
-return the columns of ``documents``, ``n_chars`` following the text; rows that repeat a doc_id fall to one row where
-groups do (stage 3), rows without doc_id are groups of their own.
+return the columns of ``documents``, ``n_chars`` following the text.  Stage 3 takes every row as a document: rows that
+repeat a doc_id fall to one only where their texts are linked, rows without doc_id or words are linked with nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from regimeflow.llm import byte_bpe, decontaminate, line_dedup, ngram_join, toxicity
 from regimeflow.llm.common import documents, save, table
@@ -48,16 +47,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group: the one whose id names the group."""
     ship_package(spark)
     docs = docs.select(*COLUMNS)
-    near = ngram_join.jaccard_components(docs, NEAR_WIDTH, NEAR_PERCENT)
-    copies = near.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
-    # Rows repeating an id: the first in the order of their columns stays.
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
-    twice = kept.groupBy("doc_id").count().where((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
+    rows = save(ngram_join.jaccard_groups(docs, NEAR_WIDTH, NEAR_PERCENT).where(F.col("group").isNotNull()).select("doc", "text_hash", "component", "group"), "near")
+    # Of the rows of a group those of its least doc_id stay, and of these the ones of the least text hash.
+    least = rows.where("doc = component").groupBy("group").agg(F.min("text_hash").alias("least"))
+    away = rows.join(least, "group").where("doc <> component or text_hash <> least").select("doc", "text_hash").distinct()
+    there = (F.col("doc_id") == F.col("doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_hash"))
+    kept = docs.join(away, there, "left_anti")
+    twice = save(rows.where("doc = component").groupBy("doc", "text_hash").count().where("count > 1").drop("count"), "repeated")
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, "doc_id", "left_semi").withColumn("_nth", first).where("_nth = 1").select(*COLUMNS)
-    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(again)
+    # Rows with one doc_id and one text: the first in the order of their other columns stays, found with partial sums.
+    again = kept.join(twice, there, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row"))
+    return kept.join(twice, there, "left_anti").unionByName(again.select("doc_id", "text", "row.*"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
