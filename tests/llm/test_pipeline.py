@@ -48,7 +48,35 @@ def test_stages(spark, sf_dir):
     once = list({r["doc_id"]: (r["doc_id"], r["text"]) for r in lines if r["doc_id"] is not None}.values())
     want = {i for i, (_, c) in brute.jaccard_components(once, 5, 80).items() if i == c}
     left = [r["doc_id"] for r in after["ngram_join"]]
-    assert sorted(i for i in left if i is not None) == sorted(want)
+    assert sorted({i for i in left if i is not None}) == sorted(want)
+    words = [r["doc_id"] for r in after["ngram_join"] if r["doc_id"] is not None and (r["text"] or "").split()]
+    assert len(words) == len(set(words))
     clean = {r["doc_id"] for r in after["decontaminate"]}
     assert 5000 not in clean and set(left) - clean == {5000}
     assert {(r["doc_id"], r["text"] or "") for r in after["byte_bpe"]} == {(r["doc_id"], r["text"] or "") for r in after["decontaminate"]}
+
+
+def test_near_copies_by_row(spark, sf_dir):
+    """Rows of one doc_id: linked texts fall to one row, other texts stay."""
+    rng = random.Random(12)
+    a, b, c = (brute.sentence(rng, 80) for _ in range(3))
+    rows = [(1, a, "en", "s", 1), (1, a, "de", "s", 1), (1, a, None, "s", 1), (1, b, "en", "s", 1), (2, a + " x", "en", "s", 1), (3, b, "en", "s", 1),
+            (1, "y " + a, "en", "s", 1), (4, c, "en", "s", 1), (4, "", "en", "s", 1), (4, None, "en", "s", 1), (None, a, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()]
+    assert len(kept) == 6 and set(rows[7:]) | {rows[3]} <= set(kept)
+    (one,) = set(kept) - {*rows[7:], rows[3]}
+    assert one in (rows[2], rows[6])  # of the group of a: one row of doc 1
+
+
+def test_stages_take_empty_tables(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    empty = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        for folder in (sf_dir, str(tmp_path)):
+            out = stage(spark, empty, folder)
+            assert out.count() == 0 and (name == "byte_bpe" or out.columns == corpus_pipeline.COLUMNS)
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 20")
+    assert corpus_pipeline.drop_toxic(spark, some, str(tmp_path)).count() == some.count()
+    assert corpus_pipeline.drop_benchmark(spark, some, str(tmp_path)).count() == some.count()
