@@ -57,6 +57,19 @@ def split_by_fraction(df: DataFrame, order_cols: list[str], fraction: float = 0.
     return df.where(before).unionByName(first), df.where(behind).unionByName(rest)
 
 
+def after_key(df: DataFrame, order_cols: list[str], key: list[str | None]) -> Column:
+    """Whether a row comes after the row with this order key (its columns as text; nulls come first)."""
+    behind, alike = F.lit(False), F.lit(True)
+    for c, text in zip(order_cols, key, strict=True):
+        if text is None:
+            larger, equal = F.col(c).isNotNull(), F.col(c).isNull()
+        else:
+            value = F.lit(text).cast(df.schema[c].dataType)
+            larger, equal = F.col(c) > value, F.col(c) == value
+        behind, alike = behind | (alike & larger), alike & equal
+    return F.coalesce(behind, F.lit(False))
+
+
 def drop_bad_dates(df: DataFrame, time_col: str, into: str = "date") -> DataFrame:
     parsed = df.withColumn(into, parse_any(F.col(time_col), df.schema[time_col].dataType))
     return parsed.where(F.col(into).isNotNull())

@@ -223,10 +223,11 @@ def state_carry(series: C.ChunkedSeries, params: Params, z0: np.ndarray | None =
 
 
 def predict(series: C.ChunkedSeries, params: Params, keep: list[str] | tuple[str, ...] = (),
-            z0: np.ndarray | None = None, with_recon: bool = False) -> DataFrame:
+            z0: np.ndarray | None = None, with_recon: bool = False, continued: bool = False) -> DataFrame:
     """Per row: seq, kept columns, state ``z``, gate ``delta``, state ``velocity``, ``recon_error`` (and ``recon``).
 
-    The carry into a chunk is the state before its first row, so velocity needs no lookback across chunks.
+    The carry into a chunk is the state before its first row, so velocity needs no lookback across chunks.  The first row
+    has velocity 0 unless the series is ``continued``: then ``z0`` is the state of the row before it.
     """
     keep = list(keep)
     shared = series.table.sparkSession.sparkContext.broadcast(params)
@@ -241,7 +242,7 @@ def predict(series: C.ChunkedSeries, params: Params, keep: list[str] | tuple[str
             for at, x, f, z, before in forward_slices(p, _inputs(chunk), state, size):
                 state = z[-1]
                 velocity = np.linalg.norm(z - _shifted(z, before), axis=1)
-                if chunk["first_seq"] + at == 0:
+                if not continued and chunk["first_seq"] + at == 0:
                     velocity[0] = 0.0
                 _, recon = emit(p, z)
                 out = {"z": C.vectors(z), "delta": pa.array(f["dt"]), "velocity": pa.array(velocity),
@@ -260,6 +261,11 @@ def predict(series: C.ChunkedSeries, params: Params, keep: list[str] | tuple[str
     return series.table.select(*read).mapInArrow(rows, T.StructType(fields))
 
 
+def end_state(predicted: DataFrame, n_rows: int) -> np.ndarray:
+    """State after the last row, from the written output of :func:`predict`: what a series that goes on starts from."""
+    return np.array(predicted.where(F.col("seq") == n_rows - 1).select("z").first()["z"], dtype=np.float64)
+
+
 def gate_projection(series: C.ChunkedSeries, params: Params, keep: list[str]) -> DataFrame:
     """Per row the gate ``delta``, the decay ``a`` and the injection ``u``."""
     shared = series.table.sparkSession.sparkContext.broadcast(params)

@@ -18,7 +18,7 @@ from regimeflow.operators import encoder as E
 from regimeflow.operators import filters, ordering, regimes, sampling, scoring, stats, timeline
 from regimeflow.operators import ssm as S
 from regimeflow.operators import training as TR
-from regimeflow.plans import reports
+from regimeflow.plans import reports, run
 from regimeflow.plans.detector import ShockDetector, ShockModel
 from regimeflow.scratch import materialize, scratch_path
 
@@ -436,10 +436,13 @@ def affine_scan(spark, sf_dir):
     return z.select("event_id", "seq", *[rounded(F.col("z")[i]).alias(f"z_{i}") for i in range(2)])
 
 
-def fixed_series(spark, sf_dir) -> C.ChunkedSeries:
+def fixed_events(spark, sf_dir) -> DataFrame:
     x = [(F.col("value") - 50) / 50, (F.col("user_id") % 10 - 4.5) / 3]
-    events = table(spark, sf_dir, "events").select(*EVENT_ORDER, "event_type", F.array(*x).cast("array<float>").alias("features"))
-    return S.pack_features(events, EVENT_ORDER, [*EVENT_ORDER, "event_type"], 2)
+    return table(spark, sf_dir, "events").select(*EVENT_ORDER, "event_type", F.array(*x).cast("array<float>").alias("features"))
+
+
+def fixed_series(spark, sf_dir) -> C.ChunkedSeries:
+    return S.pack_features(fixed_events(spark, sf_dir), EVENT_ORDER, [*EVENT_ORDER, "event_type"], 2)
 
 
 def fixed_signals(spark, sf_dir) -> DataFrame:
@@ -460,6 +463,17 @@ def ssm_predict(spark, sf_dir):
                       *[rounded(F.col(c)[i]).alias(f"{c}_{i}") for c in ("z", "recon") for i in range(2)])
 
 
+@query
+def ssm_continued(spark, sf_dir):
+    """The first three fifths of the series, then the rest from the state in which they end: as if never cut."""
+    first, rest = filters.split_by_fraction(fixed_events(spark, sf_dir), EVENT_ORDER, 0.6)
+    head = S.pack_features(first, EVENT_ORDER, ["event_id"], 2)
+    done = materialize(S.predict(head, FIXED_PARAMS, ["event_id"]), "head")
+    tail = S.predict(S.pack_features(rest, EVENT_ORDER, ["event_id"], 2), FIXED_PARAMS, ["event_id"], S.end_state(done, head.n_rows), continued=True)
+    both = done.union(tail.withColumn("seq", F.col("seq") + head.n_rows))
+    return both.select("event_id", "seq", *[rounded(F.col("z")[i]).alias(f"z_{i}") for i in range(2)], *[rounded(c).alias(c) for c in ("velocity", "recon_error")])
+
+
 @query
 def recon_error(spark, sf_dir):
     series = fixed_series(spark, sf_dir)
@@ -666,6 +680,15 @@ def report_bundle(spark, sf_dir):
     return out
 
 
+@query
+def whole_run(spark, sf_dir):
+    """Fit on the first 95 %, score both parts, the later one going on; a row per part."""
+    done = run.run_events(spark, f"{sf_dir}/events.parquet", scratch_path(spark, "run"), event_detector(), continued=True)
+    parts = [df.agg(F.count("*").alias("n_rows"), F.min("shock_score").alias("lowest"), F.max("shock_score").alias("highest")).select(F.lit(n).alias("part"), "*")
+             for n, df in (("train", done.train), ("val", done.later))]
+    return parts[0].union(parts[1])
+
+
 @query
 def cluster_projection(spark, sf_dir):
     return reports.cluster_projection(event_scores(spark, sf_dir))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import json
 
 import numpy as np
@@ -11,14 +12,15 @@ from pyspark.sql import functions as F
 
 from regimeflow.operators import ssm as S
 from regimeflow.operators import training as TR
-from regimeflow.operators.encoder import MIN_ROWS_FOR_STRATEGY, OHE_THRESHOLD, ColumnEncoder, EncoderModel
+from regimeflow.operators.encoder import MIN_ROWS_FOR_STRATEGY, OHE_THRESHOLD, SELECTIVE, ColumnEncoder, EncoderModel
+from regimeflow.operators.filters import after_key
 from regimeflow.operators.ordering import top_shocks
 from regimeflow.operators.regimes import K_MAX, TEMPERATURE, Regimes, fit_regimes, select_k
 from regimeflow.operators.scoring import SIGNALS, W_DELTA, W_RECON, W_VELOCITY, signal_breakdown
-from regimeflow.operators.stats import loss_summary, regime_summary, window_losses
+from regimeflow.operators.stats import CATEGORY_CAP, CATEGORY_FLOOR, loss_summary, regime_summary, window_losses
 from regimeflow.scratch import materialize
 
-CONFIG_FIELDS = ("order_cols", "time_col", "group_col", "weights", "best_k", "temperature", "batch_stats", "untrained_rows")
+CONFIG_FIELDS = ("order_cols", "time_col", "group_col", "weights", "best_k", "temperature", "batch_stats", "untrained_rows", "end_state", "end_key")
 
 
 class ShockDetector(Estimator):
@@ -29,6 +31,7 @@ class ShockDetector(Estimator):
     group_col:        another column carried to the output.
     windowed:         train on row windows instead of the whole series (ignores ``patience``).
     windows_per_step: windows per optimizer step; 1 is the sequential order.
+    text_strategy, category_floor, category_cap: as for :class:`ColumnEncoder`.
     warm_start:       start the regimes from the centroids of the K search instead of from K seeded rows.
     """
 
@@ -58,6 +61,9 @@ class ShockDetector(Estimator):
         seed: int = 42,
         chunk_rows: int | None = None,
         warm_start: bool = True,
+        text_strategy: str = SELECTIVE,
+        category_floor: float = CATEGORY_FLOOR,
+        category_cap: int = CATEGORY_CAP,
     ):
         super().__init__()
         self.order_cols = list(order_cols)
@@ -84,10 +90,12 @@ class ShockDetector(Estimator):
         self.seed = seed
         self.chunk_rows = chunk_rows
         self.warm_start = warm_start
+        self.text_strategy = text_strategy
+        self.category_floor, self.category_cap = category_floor, category_cap
 
     def encoder(self) -> ColumnEncoder:
         return ColumnEncoder(self.order_cols, self.time_col, self.ohe_threshold, self.min_rows_for_strategy,
-                             self.exclude, self.compat_dates, self.batch_stats)
+                             self.exclude, self.compat_dates, self.batch_stats, self.text_strategy, self.category_floor, self.category_cap)
 
     def _fit(self, dataset: DataFrame) -> ShockModel:
         encoder = self.encoder().fit(dataset)
@@ -102,6 +110,8 @@ class ShockDetector(Estimator):
         else:
             trained = TR.train_full(series, params, self.n_iter, optimizer, self.patience, exact_grad=self.exact_grad)
         states = materialize(S.predict(series, trained.params).select("seq", "z"), "states")
+        last = dataset.agg(F.max(F.struct(*self.order_cols)).alias("key")).select("key.*")
+        end_key = [None if v is None else str(v) for v in last.select(*[F.col(c).cast("string") for c in last.columns]).first()]
         chosen = select_k(states, ["seq"], "z", self.max_k, self.seed)
         # The sample's centroids are a start close to the end: far fewer passes over all rows than from K random rows.
         regimes = fit_regimes(states, chosen.best_k, ["seq"], "z", seed=self.seed, temperature=self.temperature,
@@ -110,7 +120,8 @@ class ShockDetector(Estimator):
                           trained.norm_history(dataset.sparkSession), S.params_table(dataset.sparkSession, trained.params, optimizer.moments()),
                           dict(order_cols=self.order_cols, time_col=self.time_col, group_col=self.group_col,
                                weights=list(self.weights), best_k=chosen.best_k, temperature=self.temperature,
-                               batch_stats=self.batch_stats, untrained_rows=trained.untrained_rows))
+                               batch_stats=self.batch_stats, untrained_rows=trained.untrained_rows,
+                               end_state=S.end_state(states, series.n_rows).tolist(), end_key=end_key))
 
 
 class ShockModel(Model):
@@ -122,8 +133,9 @@ class ShockModel(Model):
         self.encoder, self.ssm_params, self.regimes = encoder, params, regimes
         self.silhouettes, self.losses, self.norms, self.params_table = silhouettes, losses, norms, params_table
         self.config = config
+        self.start: np.ndarray | None = None
         for name in CONFIG_FIELDS:
-            setattr(self, name, config[name])
+            setattr(self, name, config.get(name))
 
     @property
     def spark(self) -> SparkSession:
@@ -132,6 +144,22 @@ class ShockModel(Model):
     def _carried(self, df: DataFrame) -> list[str]:
         return [c for c in (self.time_col, self.group_col) if c and c in df.columns]
 
+    def continued(self, state: np.ndarray | None = None) -> ShockModel:
+        """This model, its recurrence going on from ``state`` (default: the state after the last fitted row).
+
+        Its input should hold the rows that follow, as :meth:`rows_after` selects them from a longer table.
+        """
+        start = self.end_state if state is None else state
+        if start is None:
+            raise ValueError("the model was saved without its end state")
+        out = copy.copy(self)
+        out.start = np.asarray(start, dtype=np.float64)
+        return out
+
+    def rows_after(self, df: DataFrame) -> DataFrame:
+        """The rows that come after the last fitted one in the order columns; a filter that reaches the scan."""
+        return df.where(after_key(df, self.order_cols, self.end_key))
+
     def signals(self, df: DataFrame, z0: np.ndarray | None = None) -> DataFrame:
         """Latent state, gate, velocity and reconstruction error per row, written once.
 
@@ -141,6 +169,8 @@ class ShockModel(Model):
         keep = self._carried(df)
         columns = list(dict.fromkeys([*self.order_cols, *keep]))
         series = S.pack_features(encoded.select(S.FEATURES, *columns), self.order_cols, keep, self.encoder.n_features)
+        if z0 is None and self.start is not None:
+            return materialize(S.predict(series, self.ssm_params, keep, self.start, continued=True), "signals")
         return materialize(S.predict(series, self.ssm_params, keep, z0), "signals")
 
     def _transform(self, dataset: DataFrame) -> DataFrame:

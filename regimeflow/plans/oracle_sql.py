@@ -350,6 +350,12 @@ SELECT event_id, row_number() OVER w - 1 AS seq,
        {r('coalesce(sqrt(pow(value - lag(value) OVER w, 2) + pow((user_id - lag(user_id) OVER w)::DOUBLE, 2)), 0)')} AS velocity
 FROM events WINDOW w AS (ORDER BY ts, event_id)"""
 
+ORACLES["ssm_continued"] = f"""
+WITH RECURSIVE {RECURRENCE}
+SELECT event_id, seq, {r('z0')} AS z_0, {r('z1')} AS z_1,
+       {r('coalesce(sqrt(pow(z0 - lag(z0) OVER w, 2) + pow(z1 - lag(z1) OVER w, 2)), 0)')} AS velocity, {r(_ERROR)} AS recon_error
+FROM pred WINDOW w AS (ORDER BY seq)"""
+
 SCORED = f"""
 {RECURRENCE},
 sig AS (SELECT *, {_ERROR} AS err, coalesce(sqrt(pow(z0 - lag(z0) OVER w, 2) + pow(z1 - lag(z1) OVER w, 2)), 0) AS vel

@@ -45,9 +45,12 @@ def silhouette_table(model: ShockModel) -> DataFrame:
     return model.silhouettes.select(F.col("k").alias("K"), F.col("score").alias("silhouette_score"), "best").orderBy("K")
 
 
-def write_report(model: ShockModel, scored: DataFrame, out: str, include_silhouette: bool = False) -> dict[str, str]:
+def write_report(model: ShockModel, scored: DataFrame, out: str, include_silhouette: bool = False,
+                 top_n: int = TOP_N, components: int = 2) -> dict[str, str]:
     """Writes the report tables under ``out`` as CSV folders with a header; returns their paths.
 
+    ``top_n`` shocks are listed; the layout has ``components`` dimensions (at most ``MAX_COMPONENTS``).
+
     The full result and the projection are written by all tasks; the rest is report-sized and goes to one file.
     """
     paths = {}
@@ -57,12 +60,12 @@ def write_report(model: ShockModel, scored: DataFrame, out: str, include_silhoue
         write_delimited(table.coalesce(1) if single else table, paths[name])
 
     write("report", scored, single=False)
-    write("top_shocks", model.top_shocks(scored, TOP_N))
+    write("top_shocks", model.top_shocks(scored, top_n))
     write("regime_summary", model.regime_summary(scored))
     if include_silhouette:
         write("silhouette_scores", silhouette_table(model))
     if len(state_columns(scored)) >= 2:
-        projection = cluster_projection(scored)
+        projection = cluster_projection(scored, components)
         write("clusters", projection, single=False)
         write("cluster_centres", cluster_centres(projection))
     if model.time_col in scored.columns:

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from regimeflow.functions.vectors import distance
 from regimeflow.operators import ssm as S
 from regimeflow.plans import reports
+from regimeflow.operators.filters import after_key
 from regimeflow.plans.detector import ShockDetector, ShockModel, fit_transform
+from regimeflow.plans.run import run_events
 from tests import brute
 from tests.fixtures import event_frame
 
@@ -140,3 +142,46 @@ def test_projection_keeps_distances_to_the_mean_plane(fitted):
 def test_distance_helper(spark):
     df = spark.createDataFrame([([1.0, 2.0], [4.0, 6.0])], "a array<double>, b array<double>")
     assert df.select(distance(F.col("a"), F.col("b"))).first()[0] == 5.0
+
+
+@pytest.mark.parametrize("windowed", [False, True])
+def test_later_rows_go_on_from_the_fitted_end(spark, tmp_path, windowed):
+    frame = event_frame(150).sort_values("Day").reset_index(drop=True)
+    frame["row"] = frame.index
+    df = spark.createDataFrame(frame).repartition(4)
+    order = ["Day", "row"]
+    head = df.where("row < 90")
+    model = ShockDetector(order, "Day", latent_dim=4, max_k=4, n_iter=2, exclude=("SourceURL", "row"), windowed=windowed, window_size=32).fit(head)
+    model.save(str(tmp_path / "m"))
+    model = ShockModel.load(spark, str(tmp_path / "m"))
+    later = model.rows_after(df)
+    assert sorted(r["row"] for r in later.select("row").collect()) == list(range(90, 150))
+    columns = ["z", "delta", "velocity", "recon_error"]
+    whole = model.signals(df).orderBy("seq").select(*columns).toPandas()
+    parts = [model.signals(head).orderBy("seq").select(*columns).toPandas(), model.continued().signals(later).orderBy("seq").select(*columns).toPandas()]
+    for c in columns:
+        got = np.concatenate([np.stack(p[c].to_numpy()) if c == "z" else p[c].to_numpy() for p in parts])
+        np.testing.assert_allclose(got, np.stack(whole[c].to_numpy()) if c == "z" else whole[c].to_numpy(), atol=1e-10)
+    np.testing.assert_allclose(model.end_state, whole["z"][89], atol=1e-10)
+
+
+def test_rows_after_a_key_with_nulls(spark):
+    rows = [(None, None), (None, 1), (1, None), (1, 1), (1, 2), (2, None), (2, 0)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    for i, key in enumerate(rows):
+        got = df.where(after_key(df, ["a", "b"], [None if v is None else str(v) for v in key])).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(rows[i + 1:], key=str)
+
+
+def test_whole_run(spark, tmp_path):
+    spark.createDataFrame(event_frame(200)).repartition(3).write.parquet(str(tmp_path / "in.parquet"))
+    out = str(tmp_path / "out")
+    done = run_events(spark, str(tmp_path / "in.parquet"), out, detector(category_cap=3, text_strategy="all"), top_n=5, components=3)
+    assert (done.train.count(), done.later.count()) == (190, 10)
+    assert done.train.agg(F.max("Day")).first()[0] <= done.later.agg(F.min("Day")).first()[0]
+    assert "silhouette_scores" in done.reports["train"] and "silhouette_scores" not in done.reports["val"]
+    read = spark.read.option("header", True)
+    assert [read.csv(done.reports[p]["top_shocks"]).count() for p in ("train", "val")] == [5, 5]
+    assert "pc_3" in read.csv(done.reports["train"]["clusters"]).columns
+    assert ShockModel.load(spark, f"{out}/model").end_state == done.model.end_state
+    assert max(len(p.categories) for p in done.model.encoder.plans) <= 3
