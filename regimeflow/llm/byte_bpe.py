@@ -12,7 +12,7 @@ fold costs the sum of the blocks' vocabularies and the plan stays narrow whateve
 ``LONG_PIECE`` bytes, where re-scanning all pairs would be quadratic, are merged with a heap instead.
 
 Pieces that most blocks share are folded once beforehand: the ``CACHE_PIECES`` most frequent pieces of about
-``CACHE_DOCS`` documents, drawn by hash.  This is a cache of bounded size; it changes no result.
+``CACHE_DOCS`` documents, drawn by hash (a share of those as frequent as the last that has room).  This is a cache of bounded size; it changes no result.
 
 Edge cases: a null or empty text has no tokens and decodes to nothing.  Order, repeated rows and ties need no rule: the
 result depends on the text alone.  An empty table gives no rows.  Extra columns are ignored; the output has the
@@ -32,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regimeflow.llm import pretokens
-from regimeflow.llm.common import text_or_empty
+from regimeflow.llm.common import save, text_or_empty
 from regimeflow.llm.rank_map import RankMap
 
 BLOCK_CHARS, LONG_PIECE = 8 << 20, 128
 RANK_BITS = 31
-CACHE_DOCS, CACHE_PIECES = 8192, 200_000
+CACHE_DOCS, CACHE_PIECES, SAMPLE_CHARS = 24_576, 500_000, 1 << 20
 Ranks = dict[bytes, int]
 
 
@@ -185,7 +185,10 @@ def _split_block(keys: pa.Array, texts: list[str], byte_ids: np.ndarray, ranks_p
 
 
 def frequent_pieces(docs: DataFrame, ranks_path: str, table: RankMap, byte_ids: np.ndarray, text: str, key: str) -> Cache:
-    """The cache: pieces of sampled documents by the number of those that hold them, folded; at most ``CACHE_PIECES``."""
+    """The cache: pieces of sampled documents by the number of sample blocks that hold them, folded; about ``CACHE_PIECES``.
+
+    Keys of pieces are made in tasks, so that the driver holds numbers alone.
+    """
     n = docs.count()
     if n < CACHE_DOCS:
         return NO_CACHE
@@ -193,24 +196,42 @@ def frequent_pieces(docs: DataFrame, ranks_path: str, table: RankMap, byte_ids:
     some = docs.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
 
     def split(batches):
-        for keys, texts in _blocks(batches, 0):  # every document is a block of its own
+        for keys, texts in _blocks(batches, SAMPLE_CHARS):
             yield _split_block(keys, texts, byte_ids, ranks_path)
 
     held = some.select(F.lit("").alias("key"), text_or_empty(text).alias("text")).mapInArrow(
         split, "keys array<string>, coded array<array<int>>, words array<array<int>>, merged array<boolean>")
     each = held.select(F.explode(F.arrays_zip("words", "merged")).alias("p")).where(~F.col("p.merged")).select(F.col("p.words").alias("piece"))
-    common = each.groupBy("piece").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "piece").limit(CACHE_PIECES)
-    spread = common.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # the limit leaves one task
-    rows = spread.select("piece", fold_merges(F.col("piece"), table).alias("ids")).toArrow()
+    counted = save(each.groupBy("piece").agg(F.count("*").alias("n")), "pieces")
+    # A row per count of blocks: the count from which on all pieces have room, and the share of those one below.
+    edge, part, room = 0, 0.0, CACHE_PIECES
+    for times, pieces in sorted(((r["n"], r["pieces"]) for r in counted.groupBy("n").agg(F.count("*").alias("pieces")).collect()), reverse=True):
+        if pieces > room:
+            edge, part = times, room / pieces
+            break
+        room -= pieces
+    drawn = F.pmod(F.xxhash64("piece"), F.lit(1 << 20)) < int(part * (1 << 20))
+    common = counted.where((F.col("n") > edge) | ((F.col("n") == edge) & drawn)).select("piece")
     byte_of = np.zeros(int(byte_ids.max()) + 1, np.uint8)
     byte_of[byte_ids] = np.arange(256)
-    pieces, ids = rows.column("piece").combine_chunks(), rows.column("ids").combine_chunks()
-    raw, size = byte_of[pieces.flatten().to_numpy()].tobytes(), pieces.value_lengths().to_numpy()
-    end = np.cumsum(size)
-    texts = [raw[e - s:e].decode("utf-8", "surrogatepass") for e, s in zip(end.tolist(), size.tolist(), strict=True)]
-    sizes = np.array([len(t) for t in texts], np.int64)
-    code_end = np.cumsum(sizes)
-    keys = pretokens.span_keys(pretokens.codes("".join(texts)), code_end - sizes, code_end)
+
+    def keyed(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pieces = batch.column(0)
+            raw, size = byte_of[pieces.flatten().to_numpy()].tobytes(), pieces.value_lengths().to_numpy()
+            end = np.cumsum(size)
+            texts = [raw[e - s:e].decode("utf-8", "surrogatepass") for e, s in zip(end.tolist(), size.tolist(), strict=True)]
+            sizes = np.array([len(t) for t in texts], np.int64)
+            code_end = np.cumsum(sizes)
+            found = pretokens.span_keys(pretokens.codes("".join(texts)), code_end - sizes, code_end).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(1)], ["key", "ids"])
+
+    spread = common.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # small files are read by few tasks
+    rows = spread.select("piece", fold_merges(F.col("piece"), table).alias("ids")).mapInArrow(keyed, "key long, ids array<int>").toArrow()
+    keys = rows.column("key").to_numpy().view(np.uint64)
+    ids = rows.column("ids").combine_chunks()
     order = np.argsort(keys)
     lengths = ids.value_lengths().to_numpy().astype(np.int64)
     begin = np.cumsum(lengths) - lengths
