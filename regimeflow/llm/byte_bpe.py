@@ -35,7 +35,7 @@ from regimeflow.llm import pretokens
 from regimeflow.llm.common import save, text_or_empty
 from regimeflow.llm.rank_map import RankMap
 
-BLOCK_CHARS, LONG_PIECE = 8 << 20, 128
+BLOCK_CHARS, LONG_PIECE = 5 << 20, 128
 RANK_BITS = 31
 CACHE_DOCS, CACHE_PIECES, SAMPLE_CHARS = 24_576, 500_000, 1 << 20
 Ranks = dict[bytes, int]
