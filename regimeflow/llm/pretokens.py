@@ -8,6 +8,7 @@ import numpy as np
 import tiktoken
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+PLANE = 0x800  # code points classified at once: a worker that has just started stays small; surrogates are whole planes
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")  # fixed values of the public pattern, after an apostrophe
 _MUL = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -15,11 +16,13 @@ _MUL = np.uint64(0x9E3779B97F4A7C15 | 1)
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
     """Class of every code point: letter, number, white space or other, by the Unicode tables of the tokenizer library."""
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
     out = np.zeros(0x110000, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
         matched = tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-        out[codes(bytes(matched.encode_ordinary(every)).decode())] = kind
+        for at in range(0, 0x110000, PLANE):
+            if not 0xD800 <= at < 0xE000:
+                some = "".join(map(chr, range(at, at + PLANE)))
+                out[codes(bytes(matched.encode_ordinary(some)).decode())] = kind
     return out
 
 
