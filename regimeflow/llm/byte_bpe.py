@@ -37,6 +37,7 @@ from regimeflow.llm.rank_map import RankMap
 
 BLOCK_CHARS, LONG_PIECE = 5 << 20, 128
 RANK_BITS = 31
+GATHERED, SLICE_ROWS = 1 << 16, 256
 CACHE_DOCS, CACHE_PIECES, SAMPLE_CHARS = 24_576, 500_000, 1 << 20
 Ranks = dict[bytes, int]
 
@@ -120,13 +121,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.
     keys, texts, size, kind = [], [], 0, None
     for batch in batches:
         kind = batch.column(0).type
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if texts and size + len(text) > limit:
-                yield pa.array(keys, kind), texts
-                keys, texts, size = [], [], 0
-            keys.append(key)
-            texts.append(text)
-            size += len(text)
+        for part in (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS)):
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if texts and size + len(text) > limit:
+                    yield pa.array(keys, kind), texts
+                    keys, texts, size = [], [], 0
+                keys.append(key)
+                texts.append(text)
+                size += len(text)
     if texts:
         yield pa.array(keys, kind), texts
 
@@ -282,10 +284,14 @@ def token_bytes(path: str) -> Bytes:
 def _gathered(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the stretches ``first`` .. ``first + count`` of the values one after the other, where each ends)."""
     end = np.cumsum(count)
-    total = int(end[-1]) if len(end) else 0
-    at = np.repeat((first - (end - count)).astype(np.int64), count)
-    at += np.arange(total)
-    return values[at], end
+    out = np.empty(int(end[-1]) if len(end) else 0, values.dtype)
+    for a in range(0, len(count), GATHERED):  # places are 64-bit numbers, of which only some are held at once
+        some = slice(a, a + GATHERED)
+        done = int(end[a] - count[a])
+        at = np.repeat((first[some] - (end[some] - count[some] - done)).astype(np.int64), count[some])
+        at += np.arange(len(at))
+        out[done:done + len(at)] = values[at]
+    return out, end
 
 
 def _texts(keys: pa.Array, coded: pa.Array, words: pa.Array, tokens: Bytes) -> pa.RecordBatch:
