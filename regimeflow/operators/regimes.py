@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regimeflow.functions.vectors import distance_weights, distances_to, nearest_index, normalised
@@ -20,7 +20,8 @@ MAX_ITER, SHIFT_TOL, TEMPERATURE = 200, 1e-7, 3.0
 K_MIN, K_MAX, MAX_CLUSTERS = 2, 10, 1_000
 DEFAULT_REGIMES = 3
 
-MERGE_TASKS = 256
+MERGE_TASKS, MERGE_COLUMNS = 256, 2_000
+ANCHOR_CELLS, ANCHOR_SUMS = 1 << 20, 1 << 20  # distances formed at once; sums that a task adds up
 
 
 def initial_centroids(df: DataFrame, k: int, keys: list[str], vec: str = "z", seed: int = 42) -> np.ndarray:
@@ -53,7 +54,13 @@ def _added_up(df: DataFrame, columns: list[str], measure, size: int, tasks: int
         yield pa.RecordBatch.from_arrays([vectors(sums.reshape(1, -1))], ["sums"])
 
     partials = df.select(*columns).mapInArrow(partial, "sums array<double>")
-    if (tasks or df.rdd.getNumPartitions()) > MERGE_TASKS:
+    many = (tasks or df.rdd.getNumPartitions()) > MERGE_TASKS
+    if many and size > MERGE_COLUMNS:  # too many for an aggregate each: a row per place
+        total = np.zeros(size)
+        for place, value in partials.select(F.posexplode("sums").alias("place", "v")).groupBy("place").agg(F.sum("v")).collect():
+            total[place] = value
+        return total
+    if many:
         partials = partials.agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(size)]).alias("sums"))
     rows = [r["sums"] for r in partials.collect() if r["sums"] is not None]
     return np.sum(rows, axis=0) if rows else np.zeros(size)
@@ -206,6 +213,67 @@ def silhouette(df: DataFrame, labels: list[str], vec: str = "z") -> DataFrame:
     return spark.createDataFrame(list(zip(labels, means)), "labeling string, score double")
 
 
+def euclidean_silhouette(df: DataFrame, label: str, keys: list[str], vec: str = "z", per_cluster: int = 200, seed: int = 42) -> DataFrame:
+    """``(labeling, score, standard_error, anchors)``: the mean silhouette with Euclidean distances, estimated.
+
+    Unlike the squared form of :func:`silhouette` it does not follow from sums per cluster.  So of every cluster the
+    ``per_cluster`` rows of least seeded hash are anchors (all, if fewer); each anchor's silhouette is exact, against all
+    rows, in one pass.  The score weighs the clusters' means by their sizes; its standard error is that of a stratified
+    sample without replacement, 0 where every row is an anchor.  Rows with a null label or vector take no part; a singleton
+    scores 0; fewer than two clusters score -1.
+    """
+    spark = df.sparkSession
+    rows = df.where(F.col(label).isNotNull() & F.col(vec).isNotNull()).select(F.col(vec).alias("z"), F.col(label).alias("label"), *[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)])
+    held = sorted((tuple(r) for r in rows.groupBy("label").count().limit(MAX_CLUSTERS + 1).collect()))
+    if len(held) > MAX_CLUSTERS:
+        raise ValueError(f"{label!r} has more than {MAX_CLUSTERS} labels")
+    schema = "labeling string, score double, standard_error double, anchors long"
+    if len(held) < 2:
+        return spark.createDataFrame([(label, -1.0, 0.0, 0)], schema)
+    codes, n = {v: i for i, (v, _) in enumerate(held)}, np.array([c for _, c in held], dtype=np.float64)
+    if np.minimum(n, per_cluster).sum() * len(n) > ANCHOR_SUMS:
+        raise ValueError(f"{len(n)} clusters of {per_cluster} anchors are too many sums; take fewer anchors")
+    names = [f"key_{i}" for i in range(len(keys))]
+    # Rows far above the rank are left out by a bound on the hash, so a large cluster is not sorted; without it, if too few are left.
+    hashed = rows.withColumn("h", sample_key(seed, *names))
+    likely = (per_cluster + 10 * per_cluster ** 0.5 + 20) / n
+    bound = F.element_at(F.create_map(*[F.lit(x) for v, p in zip(codes, likely) for x in (v, format(min(int(p * 16 ** 12), 16 ** 12 - 1), "012x") + ("g" if p >= 1 else ""))]), F.col("label"))
+    order = Window.partitionBy("label").orderBy("h", *names)
+
+    def drawn(some: DataFrame) -> list:
+        return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_cluster).select("z", "label").collect()
+
+    picked = drawn(hashed.where(F.col("h") < bound))
+    if len(picked) < np.minimum(n, per_cluster).sum():
+        picked = drawn(hashed)
+    anchors, own = np.array([r["z"] for r in picked], dtype=np.float64), np.array([codes[r["label"]] for r in picked])
+    step = max(1, ANCHOR_CELLS // len(anchors))
+
+    def distances(batch: pa.RecordBatch) -> np.ndarray:
+        z, at = matrix(batch.column(0)).astype(np.float64), np.array([codes[v] for v in batch.column(1).to_pylist()])
+        sums = np.zeros((len(anchors), len(n)))
+        for a in range(0, len(z), step):
+            member = np.equal.outer(at[a:a + step], np.arange(len(n))).astype(np.float64)
+            sums += np.sqrt(squared_distances(z[a:a + step], anchors)).T @ member
+        return sums.ravel()
+
+    total = _added_up(rows, ["z", "label"], distances, len(anchors) * len(n)).reshape(len(anchors), len(n))
+    each = np.arange(len(anchors))
+    others = total / n
+    others[each, own] = np.inf
+    nearest = others.min(axis=1)
+    within = total[each, own] / np.maximum(n[own] - 1, 1)
+    widest = np.maximum(nearest, within)
+    s = np.where((n[own] > 1) & (widest > 0), (nearest - within) / np.where(widest > 0, widest, 1), 0.0)
+    score = variance = 0.0
+    for c, size in enumerate(n):
+        part, share = s[own == c], size / n.sum()
+        score += share * part.mean()
+        if 1 < len(part) < size:
+            variance += share ** 2 * part.var(ddof=1) / len(part) * (1 - len(part) / size)
+    return spark.createDataFrame([(label, float(score), float(np.sqrt(variance)), len(anchors))], schema)
+
+
 @dataclass
 class KSelection:
     table: DataFrame  # k, score, best

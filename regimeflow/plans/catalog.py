@@ -37,6 +37,7 @@ FIXED_PARAMS = {
     "W_C": np.array([[0.5, -0.6], [0.4, 0.8]]),
     "W_out": np.array([[0.9, 0.1], [-0.2, 0.7]]), "b_out": np.array([0.05, -0.05]),
 }
+FIXED_CENTROIDS = np.array([[-0.5, 0.2], [0.1, 0.6], [0.5, -0.4]])
 
 
 def query(fn: Query) -> Query:
@@ -436,9 +437,12 @@ def affine_scan(spark, sf_dir):
     return z.select("event_id", "seq", *[rounded(F.col("z")[i]).alias(f"z_{i}") for i in range(2)])
 
 
+def fixed_features() -> Column:
+    return F.array((F.col("value") - 50) / 50, (F.col("user_id") % 10 - 4.5) / 3).cast("array<float>")
+
+
 def fixed_events(spark, sf_dir) -> DataFrame:
-    x = [(F.col("value") - 50) / 50, (F.col("user_id") % 10 - 4.5) / 3]
-    return table(spark, sf_dir, "events").select(*EVENT_ORDER, "event_type", F.array(*x).cast("array<float>").alias("features"))
+    return table(spark, sf_dir, "events").select(*EVENT_ORDER, "event_type", fixed_features().alias("features"))
 
 
 def fixed_series(spark, sf_dir) -> C.ChunkedSeries:
@@ -532,7 +536,7 @@ def kmeans_fit(spark, sf_dir):
     vecs, _ = seed_rows(spark, sf_dir)
     fitted = regimes.fit_regimes(vecs, 5, ["vec_id"])
     return stats.regime_sizes(fitted.assign(vecs), fitted.k).join(
-        fitted.table().select("regime", F.posexplode("centroid").alias("dim", "value")), "regime")
+        fitted.table().select("regime", F.posexplode("centroid").alias("dim", "value")), "regime").withColumn("value", rounded("value"))
 
 
 @query
@@ -560,6 +564,13 @@ def silhouette(spark, sf_dir):
     return regimes.silhouette(vecs.select("z", "label"), ["label"])
 
 
+@query
+def silhouette_euclidean(spark, sf_dir):
+    vecs, _ = seed_rows(spark, sf_dir, 1)
+    out = regimes.euclidean_silhouette(vecs, "label", ["vec_id"], per_cluster=40)
+    return out.withColumns({c: rounded(c) for c in ("score", "standard_error")})
+
+
 @query
 def select_k(spark, sf_dir):
     vecs, _ = seed_rows(spark, sf_dir, 1)
@@ -697,3 +708,49 @@ def cluster_projection(spark, sf_dir):
 @query
 def cluster_centres(spark, sf_dir):
     return reports.cluster_centres(reports.cluster_projection(event_scores(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------------------ a whole model of fixed parameters
+
+class FixedFeatures:
+    """Stands in for a fitted encoder: the two features of :func:`fixed_events`."""
+
+    n_features = 2
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(S.FEATURES, fixed_features())
+
+
+def fixed_model(spark) -> ShockModel:
+    none = spark.createDataFrame([], "epoch int, step int, n_windows long, loss double")
+    weights = [scoring.W_DELTA, scoring.W_VELOCITY, scoring.W_RECON]
+    return ShockModel(FixedFeatures(spark), FIXED_PARAMS, regimes.Regimes(spark, FIXED_CENTROIDS), none, none, none, none,
+                      dict(order_cols=EVENT_ORDER, time_col="ts", group_col="event_type", weights=weights))
+
+
+@query
+def fixed_model_scores(spark, sf_dir):
+    """What ``transform`` returns, every column, from a model that another engine can restate."""
+    scored = fixed_model(spark).transform(table(spark, sf_dir, "events"))
+    return scored.select("seq", "regime", "ts", "event_type", *[rounded(c).alias(c) for c in scored.columns if c not in ("seq", "regime", "ts", "event_type")])
+
+
+@query
+def fixed_model_report(spark, sf_dir):
+    """The report files of that model, read again: a row per row of each."""
+    model = fixed_model(spark)
+    scored = materialize(model.transform(table(spark, sf_dir, "events")), "scores")
+    paths = reports.write_report(model, scored, scratch_path(spark, "fixed"))
+
+    def rows(name: str, label: str, score: str, other: Column, digits: int = 6) -> DataFrame:
+        held = spark.read.option("header", True).csv(paths[name])
+        return held.select(F.lit(name).alias("file"), F.col(label).alias("label"), F.col("regime").cast("int").alias("regime"),
+                           rounded(score, digits).alias("shock_score"), rounded(other, digits).alias("other"))
+
+    parts = [rows("report", "event_type", "shock_score", F.col("delta")), rows("top_shocks", "event_type", "shock_score", F.col("recon_error")),
+             rows("regime_summary", "count", "avg_shock", F.col("avg_recon_err"), 4),
+             rows("shock_timeline", "date", "shock_score", F.col("high_shock").cast("boolean").cast("int"))]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])

@@ -415,6 +415,40 @@ flat AS (SELECT k, unnest(z) AS v, unnest(range(0, len(z)))::INTEGER AS dim FROM
 means AS (SELECT k, dim, avg(v) AS v, count(*) AS n FROM flat GROUP BY k, dim),
 old AS (SELECT k, unnest(c) AS v, unnest(range(0, len(c)))::INTEGER AS dim FROM seeds)
 SELECT old.k AS regime, coalesce(n, 0) AS size, dim, {r('coalesce(means.v, old.v)')} AS value FROM old LEFT JOIN means USING (k, dim)"""
+LLOYD_STEPS = 60  # further steps leave a settled clustering as it is
+
+
+def lloyd(ks: list[int]) -> str:
+    """Lloyd steps of a clustering per K, chained by recursion; ``settled`` has the centroids of the last one."""
+    return f"""
+{seeds(max(ks))},
+walk(step, kk, k, c) AS (
+  SELECT 0, kk, k, c FROM seeds JOIN (SELECT unnest({ks}) AS kk) ON k < kk
+  UNION ALL
+  SELECT * FROM (
+    WITH near AS (SELECT kk, vec_id, min_by(k, (list_distance(z, c), k)) AS k FROM walk, vecs GROUP BY kk, vec_id),
+    flat AS (SELECT kk, k, unnest(z) AS v, generate_subscripts(z, 1) AS dim FROM near JOIN vecs USING (vec_id)),
+    means AS (SELECT kk, k, dim, avg(v) AS v FROM flat GROUP BY kk, k, dim),
+    moved AS (SELECT kk, k, list(v ORDER BY dim) AS c FROM means GROUP BY kk, k)
+    SELECT step + 1, kk, k, coalesce(moved.c, walk.c) FROM walk LEFT JOIN moved USING (kk, k) WHERE step < {LLOYD_STEPS})),
+settled AS MATERIALIZED (SELECT kk, k, c FROM walk WHERE step = {LLOYD_STEPS}),
+assigned AS MATERIALIZED (SELECT kk, vec_id, min_by(k, (list_distance(z, c), k)) AS k FROM settled, vecs GROUP BY kk, vec_id)"""
+
+
+ORACLES["kmeans_fit"] = f"""
+WITH RECURSIVE {lloyd([5])},
+sizes AS (SELECT k, count(*) AS size FROM assigned GROUP BY k)
+SELECT k AS regime, coalesce(size, 0) AS size, generate_subscripts(c, 1)::INTEGER - 1 AS dim, {r('unnest(c)')} AS value FROM settled LEFT JOIN sizes USING (k)"""
+ORACLES["select_k"] = f"""
+WITH RECURSIVE {lloyd(list(range(2, 11)))},
+size AS (SELECT kk, k, count(*) AS n FROM assigned GROUP BY kk, k),
+pairs AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.z, b.z) ** 2 AS d FROM vecs a, vecs b),
+sums AS (SELECT kk, a, k AS other, sum(d) AS s FROM pairs JOIN assigned ON vec_id = b GROUP BY kk, a, k),
+m AS (SELECT sums.kk, a, max(CASE WHEN other = own.k THEN s / nullif(n - 1, 0) END) AS within,
+             min(CASE WHEN other <> own.k THEN s / n END) AS nearest, max(CASE WHEN other = own.k THEN n END) AS mine
+      FROM sums JOIN assigned own ON own.vec_id = a AND own.kk = sums.kk JOIN size ON size.kk = sums.kk AND size.k = other GROUP BY sums.kk, a),
+score AS (SELECT kk, {r('avg(CASE WHEN mine > 1 THEN (nearest - within) / greatest(nearest, within) ELSE 0 END)')} AS score FROM m GROUP BY kk)
+SELECT kk::INTEGER AS k, score, kk = (SELECT min(kk) FROM score WHERE score = (SELECT max(score) FROM score)) AS best FROM score"""
 ORACLES["regime_assign"] = f"WITH {seeds(5)} SELECT vec_id, k AS regime FROM nearest"
 ORACLES["regime_proba"] = f"""
 WITH {seeds(5)},
@@ -432,6 +466,21 @@ m AS (SELECT vec_id, d.label, max(CASE WHEN other = d.label THEN s / nullif(n -
 SELECT 'label' AS labeling,
        {r('avg(CASE WHEN own > 1 THEN (nearest - within) / greatest(nearest, within) ELSE 0 END)')} AS score FROM m"""
 
+ORACLES["silhouette_euclidean"] = f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS z, label FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+size AS (SELECT label, count(*)::DOUBLE AS n FROM v GROUP BY label),
+anchor AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) <= 40),
+d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.z, b.z)) AS s FROM anchor a, v b GROUP BY a.vec_id, a.label, b.label),
+m AS (SELECT vec_id, d.label, max(CASE WHEN other = d.label THEN s / nullif(n - 1, 0) END) AS within,
+             min(CASE WHEN other <> d.label THEN s / n END) AS nearest, max(CASE WHEN other = d.label THEN n END) AS n
+      FROM d JOIN size ON size.label = other GROUP BY vec_id, d.label),
+c AS (SELECT label, n, count(*) AS k, avg(CASE WHEN n > 1 THEN (nearest - within) / greatest(nearest, within) ELSE 0 END) AS mean,
+             var_samp(CASE WHEN n > 1 THEN (nearest - within) / greatest(nearest, within) ELSE 0 END) AS spread FROM m GROUP BY label, n),
+t AS (SELECT sum(n) AS n FROM size)
+SELECT 'label' AS labeling, {r('sum(c.n / t.n * mean)')} AS score,
+       {r('sqrt(sum(CASE WHEN k > 1 AND k < c.n THEN pow(c.n / t.n, 2) * spread / k * (1 - k / c.n) ELSE 0 END))')} AS standard_error, sum(k)::BIGINT AS anchors
+FROM c, t"""
+
 ORACLES["column_types"] = """
 SELECT t.name AS "column", t.dtype, (SELECT count(*) FROM events) AS n_rows, 6::INTEGER AS n_columns
 FROM (VALUES ('event_id', 'bigint'), ('ts', 'timestamp_ntz'), ('user_id', 'bigint'), ('event_type', 'string'), ('value', 'double'), ('props', 'string')) t(name, dtype)"""
@@ -451,3 +500,26 @@ x AS (SELECT min_by(loss, epoch) AS a, max_by(loss, epoch) AS b, min(loss) AS lo
 SELECT {r('a')} AS initial, {r('b')} AS final, {r('low')} AS min, {r('(a - b) / (a + 1e-10) * 100')} AS reduction_pct, n AS n_epochs FROM x"""
 ORACLES["window_losses"] = f"SELECT epoch, {r('sum(loss * n_windows) / sum(n_windows)')} AS loss FROM ({LOSS_ROWS}) GROUP BY epoch"
 ORACLES["param_norms"] = f"SELECT vec_id::VARCHAR AS name, {r('sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))')} AS norm FROM embeddings"
+
+# ------------------------------------------------------------------------------ a whole model of fixed parameters
+
+CENTROIDS = [[-0.5, 0.2], [0.1, 0.6], [0.5, -0.4]]
+_AWAY = [f"sqrt(pow(z0 - {e(a)}, 2) + pow(z1 - {e(b)}, 2))" for a, b in CENTROIDS]
+MODEL_ROWS = f"""
+{SCORED},
+away AS (SELECT *, {', '.join(f"exp(-3e0 * {d}) AS w{k}" for k, d in enumerate(_AWAY))} FROM scored),
+result AS MATERIALIZED (
+  SELECT seq, z0, z1, score AS shock_score, dt AS delta, err AS recon_error, ts, event_type, {', '.join(f"w{k} / (w0 + w1 + w2) AS p{k}" for k in range(3))},
+         (CASE WHEN w0 >= w1 AND w0 >= w2 THEN 0 WHEN w1 >= w2 THEN 1 ELSE 2 END)::INTEGER AS regime FROM away)"""
+ORACLES["fixed_model_scores"] = f"""
+WITH RECURSIVE {MODEL_ROWS}
+SELECT seq, {r('z0')} AS z_0, {r('z1')} AS z_1, {r('shock_score')} AS shock_score, regime, {r('delta')} AS delta, {r('recon_error')} AS recon_error,
+       {', '.join(f"{r(f'p{k}')} AS regime_{k}_prob" for k in range(3))}, ts, event_type FROM result"""
+ORACLES["fixed_model_report"] = f"""
+WITH RECURSIVE {MODEL_ROWS},
+top AS (SELECT * FROM result ORDER BY shock_score DESC, seq LIMIT 20)
+SELECT 'report' AS file, event_type AS label, regime, {r('shock_score')} AS shock_score, {r('delta')} AS other FROM result
+UNION ALL SELECT 'top_shocks', event_type, regime, {r('shock_score')}, {r('recon_error')} FROM top
+UNION ALL SELECT 'regime_summary', count(*)::VARCHAR, regime, round_even(avg(shock_score), 4)::DOUBLE, round_even(avg(recon_error), 4)::DOUBLE FROM result GROUP BY regime
+UNION ALL SELECT 'shock_timeline', strftime(date, '%Y-%m-%d'), regime, {r('shock_score')}, (CASE WHEN shock_score > 0.75e0 THEN 1 ELSE 0 END)::DOUBLE
+FROM ({daily('SELECT ts::DATE AS date, shock_score, regime FROM result')})"""

@@ -130,3 +130,37 @@ def test_frozen_statistics_make_scores_comparable(spark):
     whole = {r.seq: r.shock_score for r in scoring.score(with_velocity, stats=frozen).collect()}
     part = scoring.score(with_velocity.where("seq < 10"), stats=frozen).collect()
     assert all(r.shock_score == whole[r.seq] for r in part)
+
+
+def plain_euclidean(z, label):
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+    out = []
+    for i, own in enumerate(label):
+        mean = {c: d[i, label == c].sum() / ((label == c).sum() - (c == own)) for c in set(label)}
+        a, b = mean[own], min(v for c, v in mean.items() if c != own)
+        out.append((b - a) / max(a, b))
+    return float(np.mean(out))
+
+
+def test_euclidean_silhouette_covers_the_exact_value(spark):
+    rng = np.random.default_rng(3)
+    label = rng.choice([0, 0, 0, 1, 2], 600)
+    z = rng.normal(size=(600, 3)) + 2.0 * label[:, None]
+    exact = plain_euclidean(z, label)
+    df = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, z))] + [(600, None, [0.0] * 3), (601, 1, None)],
+                               "id int, label int, z array<double>").repartition(3)
+    whole = R.euclidean_silhouette(df, "label", ["id"], per_cluster=600).first()
+    assert abs(whole["score"] - exact) < 1e-9 and whole["standard_error"] == 0 and whole["anchors"] == 600
+    off = [(abs(r["score"] - exact), r["standard_error"]) for r in (
+        R.euclidean_silhouette(df, "label", ["id"], per_cluster=40, seed=seed).first() for seed in range(12))]
+    assert all(e > 0 for _, e in off) and sum(d <= 2 * e for d, e in off) >= 9 and all(d <= 4 * e for d, e in off)
+    assert R.euclidean_silhouette(df.where("label = 1"), "label", ["id"]).first()["score"] == -1.0
+
+
+def test_many_sums_are_merged_by_place(spark, monkeypatch):
+    monkeypatch.setattr(R, "MERGE_TASKS", 1)
+    monkeypatch.setattr(R, "MERGE_COLUMNS", 2)
+    df = spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(20)], "id int, label int, z array<double>").repartition(4)
+    z, label = np.array([[float(i), 1.0] for i in range(20)]), np.arange(20) % 2
+    got = R.euclidean_silhouette(df, "label", ["id"]).first()["score"]
+    assert abs(got - plain_euclidean(z, label)) < 1e-9
