@@ -38,7 +38,7 @@ from regimeflow.llm.rank_map import RankMap
 BLOCK_CHARS, LONG_PIECE = 5 << 20, 128
 RANK_BITS = 31
 GATHERED, SLICE_ROWS = 1 << 16, 256
-CACHE_DOCS, CACHE_PIECES, SAMPLE_CHARS = 24_576, 500_000, 1 << 20
+CACHE_DOCS, CACHE_PIECES, SAMPLE_CHARS = 12_288, 300_000, 1 << 20
 Ranks = dict[bytes, int]
 
 
