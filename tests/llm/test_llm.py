@@ -109,7 +109,9 @@ def test_byte_bpe(docs, rows):
 def test_byte_bpe_cache_changes_nothing(docs, monkeypatch):
     plain = {r["doc_id"]: bytes(r["ids"]) for r in byte_bpe.encode(docs, RANKS).collect()}
     monkeypatch.setattr(byte_bpe, "CACHE_DOCS", 40)
-    assert {r["doc_id"]: bytes(r["ids"]) for r in byte_bpe.encode(docs, RANKS).collect()} == plain
+    for pieces in (byte_bpe.CACHE_PIECES, 60, 0):  # room for all, for some of those equally frequent, for none
+        monkeypatch.setattr(byte_bpe, "CACHE_PIECES", pieces)
+        assert {r["doc_id"]: bytes(r["ids"]) for r in byte_bpe.encode(docs, RANKS).collect()} == plain
 
 
 def test_pieces_are_those_of_the_pattern():
