@@ -26,8 +26,10 @@ class RankMap:
             columns = np.array([e[0] for e in entries])
             at = _first_fit(owner, columns, places[left])
             owner[columns + at], rank_at[columns + at], shift[left] = left, [e[1] for e in entries], at
-        used = len(owner) - int(np.argmax(owner[::-1] >= 0))
-        self.owner, self.rank_at, self.shift = owner[:used + n_tokens], rank_at[:used + n_tokens], shift
+        places_needed = int(shift.max(initial=0)) + n_tokens  # a place for every right token behind every row's start
+        more = max(places_needed - len(owner), 0)
+        self.owner = np.pad(owner, (0, more), constant_values=-1)[:places_needed]
+        self.rank_at, self.shift = np.pad(rank_at, (0, more))[:places_needed], shift
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         at = self.shift[left] + right

@@ -510,3 +510,18 @@ def test_empty_tables(spark, nothing):
 
 def test_digest_of_ids_is_of_little_endian_integers():
     assert hashlib.sha256(np.array([1, 2], "<u4").tobytes()).hexdigest() == hashlib.sha256(b"\x01\0\0\0\x02\0\0\0").hexdigest()
+
+
+def test_rank_map_has_a_place_for_every_pair():
+    from regimeflow.llm.rank_map import NO_RANK, RankMap
+
+    rng = np.random.default_rng(5)
+    for n in (3, 40, 400):
+        pairs = {(int(a), int(b)) for a, b in rng.integers(0, n, (3 * n, 2))}
+        rows: dict[int, list[tuple[int, int]]] = {}
+        for rank, (a, b) in enumerate(sorted(pairs)):
+            rows.setdefault(a, []).append((b, rank))
+        want = {p: rank for rank, p in enumerate(sorted(pairs))}
+        left, right = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n)))
+        got = RankMap(rows, n).ranks(left, right)
+        assert all(g == want.get((a, b), NO_RANK) for a, b, g in zip(left.tolist(), right.tolist(), got.tolist()))
