@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from regimeflow.operators import chunks as C
 from regimeflow.operators import filters, ordering, sampling
+from regimeflow.plans import catalog
 from tests.fixtures import event_frame
 
 
@@ -189,3 +190,14 @@ def test_matrix_refuses_rows_that_would_shift_others():
         with pytest.raises(ValueError):
             matrix(pa.array(values, pa.list_(pa.float64())))
     assert matrix(pa.array([[1.0, 2.0], [3.0, 4.0]])).shape == (2, 2)
+
+
+def test_split_query_numbers_the_rows(spark, tmp_path):
+    """Places are dense and follow the order, ties told apart by the other columns; the first 95 % are for training."""
+    keys = [(day, order, line) for day in (3, 1, 2) for order in (7, 5) for line in range(10)]
+    rows = [(order, 1, 1, line, float(q), 1.0, 0.0, 0.0, "A", "F", day) for day, order, line in keys for q in (2, 1)]
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    spark.createDataFrame(rows, names).repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(catalog.split_by_fraction(spark, str(tmp_path)).collect(), key=lambda r: r["seq"])
+    assert [r["seq"] for r in got] == list(range(120)) and [r["split"] for r in got] == ["train"] * 114 + ["infer"] * 6
+    assert [(r["l_shipdate"], r["l_orderkey"], r["l_linenumber"], r["l_quantity"]) for r in got] == sorted((r[10], r[0], r[3], r[4]) for r in rows)
