@@ -28,6 +28,7 @@ CHUNK_ROWS = 65_536
 PACKED_ROWS, PACKED_BYTES = 1 << 20, 32 << 20  # bounds of a chunk that is worked through in slices
 MIN_PARTITION_ROWS, PARTITION_BYTES = 8192, 256 << 20
 RUN_BYTES = 256 << 20  # packed chunks that one task may hold at a time
+NARROW = 128  # values of a step below which steps are composed rather than walked
 PAIR_SCHEMA = "first long, last long, p array<double>, q array<double>"
 
 
@@ -220,6 +221,21 @@ def run_scan(a: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return q, p
 
 
+def window_states(a: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """States from zero along axis 1 of independent runs ``(run, step, dim)``, as :func:`run_scan` gives them.
+
+    Few runs leave a loop over steps next to nothing to do each, so spans of 1, 2, 4, ... steps are composed instead.
+    """
+    if a.shape[0] * a.shape[2] > NARROW:
+        return run_scan(a, u)[0]
+    p, q, span = a.copy(), u.copy(), 1
+    while span < a.shape[1]:
+        q[:, span:] += p[:, span:] * q[:, :-span]
+        p[:, span:] *= p[:, :-span].copy()
+        span *= 2
+    return q
+
+
 def affine_scan(df: DataFrame, order_cols: list[str], a: str, u: str, into: str = "z", chunk_rows: int = CHUNK_ROWS,
                 start: list[float] | None = None, run_chunks: int | None = None) -> DataFrame:
     """``z_t = a_t * z_{t-1} + u_t`` over the whole ordered table; returns ``seq``, ``order_cols`` and ``z``."""

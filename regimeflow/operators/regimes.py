@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,9 @@ K_MIN, K_MAX, MAX_CLUSTERS = 2, 10, 1_000
 DEFAULT_REGIMES = 3
 
 MERGE_TASKS, MERGE_COLUMNS = 256, 2_000
+# Lloyd steps over undecided rows: how many steps' movement is reckoned with, when it is worth a pass to find them, and
+# how many must be decided; the lead that covers rounding.
+REACH, NEAR, SHRINK, NARROW_ROWS, MOSTLY, LEAD_EPS = 16.0, 0.1, 4.0, 50_000, 0.5, 1e-9
 ANCHOR_CELLS, ANCHOR_SUMS = 1 << 20, 1 << 20  # distances formed at once; sums that a task adds up
 
 
@@ -66,27 +69,36 @@ def _added_up(df: DataFrame, columns: list[str], measure, size: int, tasks: int
     return np.sum(rows, axis=0) if rows else np.zeros(size)
 
 
-def lloyd_steps(df: DataFrame, starts: list[np.ndarray], vec: str = "z", tasks: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """One step of several clusterings in one pass: (new centroids, sizes) each.  An empty regime keeps its centroid."""
-    dims = starts[0].shape[1]
-    ends = np.cumsum([len(c) * (dims + 1) for c in starts])
+def _regime_sums(df: DataFrame, centres: list[np.ndarray], vec: str, tasks: int | None = None) -> list[np.ndarray]:
+    """Per clustering a row per regime: totals per dimension, then the size.  One pass serves all."""
+    dims = centres[0].shape[1]
+    ends = np.cumsum([len(c) * (dims + 1) for c in centres])
 
     def measure(batch: pa.RecordBatch) -> np.ndarray:
-        z = matrix(batch.column(0)).astype(np.float64)
-        parts = []
-        for centroids in starts:
-            label = squared_distances(z, centroids).argmin(axis=1)
-            member = np.equal.outer(np.arange(len(centroids)), label).astype(np.float64)
-            parts.append(np.column_stack([member @ z, member.sum(axis=1)]).ravel())  # totals per dimension, then the size
-        return np.concatenate(parts)
+        return _sums_of(matrix(batch.column(0)).astype(np.float64), centres)
 
     merged = _added_up(df, [vec], measure, int(ends[-1]), tasks)
-    out = []
-    for centroids, part in zip(starts, np.split(merged, ends[:-1])):
-        sums = part.reshape(-1, dims + 1)
-        sizes = sums[:, -1].astype(np.int64)
-        out.append((np.where(sizes[:, None] > 0, sums[:, :-1] / np.maximum(sizes, 1)[:, None], centroids), sizes))
-    return out
+    return [part.reshape(-1, dims + 1) for part in np.split(merged, ends[:-1])]
+
+
+def _sums_of(z: np.ndarray, centres: list[np.ndarray]) -> np.ndarray:
+    parts = []
+    for centroids in centres:
+        label = squared_distances(z, centroids).argmin(axis=1)
+        member = np.equal.outer(np.arange(len(centroids)), label).astype(np.float64)
+        parts.append(np.column_stack([member @ z, member.sum(axis=1)]).ravel())
+    return np.concatenate(parts)
+
+
+def _moved(sums: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(new centroids, sizes); an empty regime keeps its centroid."""
+    sizes = sums[:, -1].astype(np.int64)
+    return np.where(sizes[:, None] > 0, sums[:, :-1] / np.maximum(sizes, 1)[:, None], centroids), sizes
+
+
+def lloyd_steps(df: DataFrame, starts: list[np.ndarray], vec: str = "z", tasks: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One step of several clusterings in one pass: (new centroids, sizes) each.  An empty regime keeps its centroid."""
+    return [_moved(sums, c) for sums, c in zip(_regime_sums(df, starts, vec, tasks), starts)]
 
 
 def lloyd_step(df: DataFrame, centroids: np.ndarray, vec: str = "z", tasks: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +106,110 @@ def lloyd_step(df: DataFrame, centroids: np.ndarray, vec: str = "z", tasks: int
     return lloyd_steps(df, [centroids], vec, tasks)[0]
 
 
+@dataclass
+class _Level:
+    """``rows`` that can change their regime while no centroid is further than its ``reach`` from where it was (``around``), and
+    the sums of all other rows (``fixed``).  The lowest level holds all rows and always applies."""
+
+    rows: DataFrame
+    tasks: int
+    around: dict[int, np.ndarray] = field(default_factory=dict)
+    reach: dict[int, float] = field(default_factory=dict)
+    fixed: dict[int, np.ndarray] = field(default_factory=dict)
+    tried: dict[int, float] = field(default_factory=dict)
+
+    def applies(self, found: dict[int, np.ndarray], moving: list[int]) -> bool:
+        return all(_furthest(found[k], self.around[k]) <= self.reach[k] for k in moving if k in self.reach)
+
+    def worth_narrowing(self, reach: dict[int, float], found: dict[int, np.ndarray]) -> bool:
+        def limit(k: int) -> float:
+            most = self.reach[k] / SHRINK if k in self.reach else NEAR * _least_gap(found[k])
+            return min(most, self.tried[k] / SHRINK) if k in self.tried else most
+
+        return all(r <= limit(k) for k, r in reach.items())
+
+    def narrowed(self, reach: dict[int, float], found: dict[int, np.ndarray], vec: str) -> _Level | None:
+        """The level of rows that are undecided within ``reach``, written once; None where these are most of the rows."""
+        ks = list(reach)
+        centres, reaches = [found[k] for k in ks], [reach[k] for k in ks]
+        dims = centres[0].shape[1]
+        ends = np.cumsum([len(c) * (dims + 1) for c in centres])
+
+        def decided(batch: pa.RecordBatch) -> np.ndarray:
+            z = matrix(batch.column(0)).astype(np.float64)
+            held = z[~_undecided(z, centres, reaches)]
+            return np.append(_sums_of(held, centres), [len(held), len(z)])
+
+        *sums, n_decided, n = _added_up(self.rows, [vec], decided, int(ends[-1]) + 2, self.tasks)
+        if n_decided < MOSTLY * n:
+            return None
+
+        def undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield batch.filter(pa.array(_undecided(matrix(batch.column(0)).astype(np.float64), centres, reaches)))
+
+        rows = self.rows.select(vec)
+        rows = materialize(rows.mapInArrow(undecided, rows.schema), "undecided")
+        fixed = {k: self.fixed.get(k, 0.0) + part.reshape(-1, dims + 1) for k, part in zip(ks, np.split(np.array(sums), ends[:-1]))}
+        return _Level(rows, rows.rdd.getNumPartitions(), dict(zip(ks, centres)), reach, fixed)
+
+
+def _furthest(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.linalg.norm(a - b, axis=1).max())
+
+
+def _least_gap(centroids: np.ndarray) -> float:
+    """Distance of the two closest centroids."""
+    apart = np.sqrt(squared_distances(centroids, centroids))
+    return float(apart[~np.eye(len(centroids), dtype=bool)].min(initial=np.inf))
+
+
+def _undecided(z: np.ndarray, centres: list[np.ndarray], reaches: list[float]) -> np.ndarray:
+    """Rows that another centroid could come to own, in one of the clusterings, if each moves by no more than its reach.
+
+    The nearest centroid can recede and any other approach by the reach, so a lead of more than twice the reach decides.
+    """
+    out = np.zeros(len(z), dtype=bool)
+    for centroids, reach in zip(centres, reaches):
+        if len(centroids) > 1:
+            two = np.sqrt(np.partition(squared_distances(z, centroids), 1, axis=1)[:, :2])
+            out |= ~(two[:, 1] - two[:, 0] > 2 * reach + LEAD_EPS * two[:, 1])
+    return out
+
+
+def _settle(rows: DataFrame, starts: dict[int, np.ndarray], vec: str, max_iter: int, tasks: int) -> tuple[dict[int, np.ndarray], int]:
+    """Lloyd steps of several clusterings side by side until each stops moving: (centroids, steps).
+
+    A step counts every row.  But once centroids move little, most rows cannot change their regime: they enter as sums
+    taken once, and a step reads only the undecided rows.  Should a centroid go further than was reckoned with, the rows
+    below are read again, so the centroids are those of steps over all rows.
+    """
+    found, moving, done = dict(starts), list(starts), 0
+    levels = [_Level(rows, tasks)]
+    for done in range(1, max_iter + 1):
+        holds = [level.applies(found, moving) for level in levels]
+        if not all(holds):
+            levels = levels[:holds.index(False)]
+        top, reach = levels[-1], {}
+        steps = _regime_sums(top.rows, [found[k] for k in moving], vec, top.tasks)
+        for k, sums in zip(list(moving), steps):
+            updated, _ = _moved(sums + top.fixed.get(k, 0.0), found[k])
+            if np.linalg.norm(updated - found[k]) < SHIFT_TOL:
+                moving.remove(k)
+            else:
+                reach[k], found[k] = REACH * _furthest(updated, found[k]), updated
+        if not moving:
+            break
+        if steps[0][:, -1].sum() >= NARROW_ROWS and top.worth_narrowing(reach, found):
+            upper = top.narrowed(reach, found, vec)
+            if upper is None:
+                top.tried = reach
+            else:
+                levels.append(upper)
+    return found, done
+
+
 @dataclass
 class Regimes:
     """Fitted centroids; assignment and probabilities are column expressions."""
@@ -138,13 +254,8 @@ def fit_regimes(df: DataFrame, k: int, keys: list[str], vec: str = "z", max_iter
                 temperature: float = TEMPERATURE, start: np.ndarray | None = None) -> Regimes:
     """Lloyd iterations as Spark jobs over all rows, until the centroids stop moving."""
     centroids = initial_centroids(df, k, keys, vec, seed) if start is None else np.array(start, dtype=np.float64)
-    done, tasks = 0, df.rdd.getNumPartitions()
-    for done in range(1, max_iter + 1):
-        updated, _ = lloyd_step(df, centroids, vec, tasks)
-        if np.linalg.norm(updated - centroids) < SHIFT_TOL:
-            break
-        centroids = updated
-    return Regimes(df.sparkSession, centroids, temperature, done)
+    found, done = _settle(df, {k: centroids}, vec, max_iter, df.rdd.getNumPartitions())
+    return Regimes(df.sparkSession, found[k], temperature, done)
 
 
 # ---------------------------------------------------------------------------------------------------- silhouette
@@ -293,15 +404,7 @@ def select_k(df: DataFrame, keys: list[str], vec: str = "z", k_max: int = K_MAX,
     ks = list(range(K_MIN, len(seeds) + 1))
     if not ks:
         raise ValueError("choosing K needs at least two rows")
-    found = {k: seeds[:k] for k in ks}
-    moving = list(ks)
-    for _ in range(max_iter):
-        steps = lloyd_steps(rows, [found[k] for k in moving], vec, tasks)
-        settled = [k for k, (c, _) in zip(moving, steps) if np.linalg.norm(c - found[k]) < SHIFT_TOL]
-        found |= {k: c for k, (c, _) in zip(moving, steps) if k not in settled}
-        moving = [k for k in moving if k not in settled]
-        if not moving:
-            break
+    found, _ = _settle(rows, {k: seeds[:k] for k in ks}, vec, max_iter, tasks)
 
     def labels_of(batch: pa.RecordBatch) -> list[np.ndarray]:
         z = matrix(batch.column(0)).astype(np.float64)

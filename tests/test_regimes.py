@@ -164,3 +164,26 @@ def test_many_sums_are_merged_by_place(spark, monkeypatch):
     z, label = np.array([[float(i), 1.0] for i in range(20)]), np.arange(20) % 2
     got = R.euclidean_silhouette(df, "label", ["id"]).first()["score"]
     assert abs(got - plain_euclidean(z, label)) < 1e-9
+
+
+@pytest.mark.parametrize("ks", [(4,), (2, 3, 5)])
+def test_steps_read_only_rows_that_can_change(spark, monkeypatch, ks):
+    """The same centroids as steps over all rows, although late steps read few of them."""
+    monkeypatch.setattr(R, "NARROW_ROWS", 100)
+    written, original = [], R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, label: (written.append((label, out := original(df, label))), out)[1])
+    rng = np.random.default_rng(8)
+    z = np.concatenate([rng.normal(c, 1.0, (1500, 2)) for c in ((0, 0), (3, 1), (1, 4), (6, 5))])
+    df = vectors_of(spark, z)
+    found, done = R._settle(df, {k: z[:k * 1000:1000] for k in ks}, "z", 300, 4)
+    for k in ks:
+        c = z[:k * 1000:1000]
+        for _ in range(300):
+            label = R.squared_distances(z, c).argmin(axis=1)
+            moved = np.array([z[label == i].mean(axis=0) for i in range(k)])
+            if np.linalg.norm(moved - c) < R.SHIFT_TOL:
+                break
+            c = moved
+        np.testing.assert_allclose(found[k], c, rtol=0, atol=1e-9)
+    sizes = [table.count() for label, table in written if label == "undecided"]
+    assert sizes and sizes[-1] < len(z) / 4
