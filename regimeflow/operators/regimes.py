@@ -23,7 +23,7 @@ DEFAULT_REGIMES = 3
 MERGE_TASKS, MERGE_COLUMNS = 256, 2_000
 # Lloyd steps over undecided rows: how many steps' movement is reckoned with, when it is worth a pass to find them, and
 # how many must be decided; the lead that covers rounding.
-REACH, NEAR, SHRINK, NARROW_ROWS, MOSTLY, LEAD_EPS = 16.0, 0.1, 4.0, 50_000, 0.5, 1e-9
+REACH, NEAR, SHRINK, RETRY, NARROW_ROWS, MOSTLY, LEAD_EPS = 16.0, 0.1, 4.0, 1.5, 50_000, 0.5, 1e-9
 ANCHOR_CELLS, ANCHOR_SUMS = 1 << 20, 1 << 20  # distances formed at once; sums that a task adds up
 
 
@@ -124,7 +124,7 @@ class _Level:
     def worth_narrowing(self, reach: dict[int, float], found: dict[int, np.ndarray]) -> bool:
         def limit(k: int) -> float:
             most = self.reach[k] / SHRINK if k in self.reach else NEAR * _least_gap(found[k])
-            return min(most, self.tried[k] / SHRINK) if k in self.tried else most
+            return min(most, self.tried[k] / RETRY) if k in self.tried else most
 
         return all(r <= limit(k) for k, r in reach.items())
 
