@@ -239,3 +239,11 @@ def test_params_table_roundtrip(spark, case):
     back = S.params_from_table(S.params_table(spark, p))
     assert all(np.array_equal(back[n], p[n]) for n in S.PARAM_NAMES)
     assert S.params_table(spark, p).where(F.size("m") != F.size("data")).isEmpty()
+
+
+@pytest.mark.parametrize("runs,steps", [(1, 512), (3, 37), (1, 1), (60, 9)])
+def test_window_states_equal_the_loop(runs, steps):
+    rng = np.random.default_rng(runs)
+    a, u = rng.uniform(0, 1, (runs, steps, 4)), rng.normal(size=(runs, steps, 4))
+    np.testing.assert_allclose(C.window_states(a, u), C.run_scan(a, u)[0], rtol=0, atol=1e-12)
+    np.testing.assert_allclose(C.window_states(a[:, ::-1], u), C.run_scan(a[:, ::-1], u)[0], rtol=0, atol=1e-12)
