@@ -24,6 +24,7 @@ MERGE_TASKS, MERGE_COLUMNS = 256, 2_000
 # Lloyd steps over undecided rows: how many steps' movement is reckoned with, when it is worth a pass to find them, and
 # how many must be decided; the lead that covers rounding.
 REACH, NEAR, SHRINK, RETRY, NARROW_ROWS, MOSTLY, LEAD_EPS = 16.0, 0.1, 4.0, 1.5, 50_000, 0.5, 1e-9
+BLOCK_ROWS, SLICE_ROWS = 1 << 16, 1 << 13  # vectors stored together where every step reads them; vectors worked on at a time
 ANCHOR_CELLS, ANCHOR_SUMS = 1 << 20, 1 << 20  # distances formed at once; sums that a task adds up
 
 
@@ -43,6 +44,44 @@ def squared_distances(z: np.ndarray, points: np.ndarray) -> np.ndarray:
     return total
 
 
+def packed(df: DataFrame, vec: str = "z") -> DataFrame:
+    """The vectors alone, ``BLOCK_ROWS`` to a row as the bytes of their doubles: a pass moves blocks, not lists.
+
+    A null list, a null in a list or lists of different lengths raise, as in :func:`matrix`.
+    """
+    return df.select(vec).mapInArrow(lambda batches: _blocks(matrix(b.column(0)).astype(np.float64) for b in batches if b.num_rows), f"`{vec}` binary")
+
+
+def _blocks(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    held, rows = [], 0
+    for z in parts:
+        held.append(z)
+        rows += len(z)
+        if rows >= BLOCK_ROWS:
+            yield _one_block(held)
+            held, rows = [], 0
+    if rows:
+        yield _one_block(held)
+
+
+def _one_block(held: list[np.ndarray]) -> pa.RecordBatch:
+    if len({z.shape[1] for z in held}) > 1:
+        raise ValueError("vectors must be without nulls and of one length")
+    return pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], ["z"])
+
+
+def _parts(batch: pa.RecordBatch, dims: int) -> Iterator[np.ndarray]:
+    """The vectors of a batch, of a list column or of :func:`packed` blocks."""
+    values = batch.column(0)
+    if not pa.types.is_binary(values.type):
+        yield matrix(values).astype(np.float64)
+        return
+    for block in values:
+        z = np.frombuffer(block.as_buffer(), np.float64).reshape(-1, dims)
+        for at in range(0, len(z), SLICE_ROWS):
+            yield z[at:at + SLICE_ROWS]
+
+
 def _added_up(df: DataFrame, columns: list[str], measure, size: int, tasks: int | None = None) -> np.ndarray:
     """Sum over all rows of ``measure(batch)``, ``size`` numbers.
 
@@ -75,7 +114,7 @@ def _regime_sums(df: DataFrame, centres: list[np.ndarray], vec: str, tasks: int
     ends = np.cumsum([len(c) * (dims + 1) for c in centres])
 
     def measure(batch: pa.RecordBatch) -> np.ndarray:
-        return _sums_of(matrix(batch.column(0)).astype(np.float64), centres)
+        return sum(_sums_of(z, centres) for z in _parts(batch, dims))
 
     merged = _added_up(df, [vec], measure, int(ends[-1]), tasks)
     return [part.reshape(-1, dims + 1) for part in np.split(merged, ends[:-1])]
@@ -136,20 +175,26 @@ class _Level:
         ends = np.cumsum([len(c) * (dims + 1) for c in centres])
 
         def decided(batch: pa.RecordBatch) -> np.ndarray:
-            z = matrix(batch.column(0)).astype(np.float64)
-            held = z[~_undecided(z, centres, reaches)]
-            return np.append(_sums_of(held, centres), [len(held), len(z)])
+            total = np.zeros(int(ends[-1]) + 2)
+            for z in _parts(batch, dims):
+                held = z[~_undecided(z, centres, reaches)]
+                total += np.append(_sums_of(held, centres), [len(held), len(z)])
+            return total
 
         *sums, n_decided, n = _added_up(self.rows, [vec], decided, int(ends[-1]) + 2, self.tasks)
         if n_decided < MOSTLY * n:
             return None
 
         def undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if blocks:
+                yield from _blocks(z[_undecided(z, centres, reaches)] for batch in batches for z in _parts(batch, dims))
+                return
             for batch in batches:
                 if batch.num_rows:
                     yield batch.filter(pa.array(_undecided(matrix(batch.column(0)).astype(np.float64), centres, reaches)))
 
         rows = self.rows.select(vec)
+        blocks = rows.dtypes[0][1] == "binary"
         rows = materialize(rows.mapInArrow(undecided, rows.schema), "undecided")
         fixed = {k: self.fixed.get(k, 0.0) + part.reshape(-1, dims + 1) for k, part in zip(ks, np.split(np.array(sums), ends[:-1]))}
         return _Level(rows, rows.rdd.getNumPartitions(), dict(zip(ks, centres)), reach, fixed)
@@ -264,15 +309,17 @@ def _mean_silhouettes(df: DataFrame, columns: list[str], labels_of, sizes: list[
     """Mean silhouette of several labelings over all rows, with squared Euclidean distances, in two passes.
 
     The mean squared distance from a row to a cluster follows from the cluster's size, sum and sum of squared
-    norms, so nothing larger than those is shared.  ``labels_of(batch)`` gives one code array per labeling.
+    norms, so nothing larger than those is shared.  ``labels_of(batch, z)`` gives one code array per labeling of the vectors ``z``.
     """
     ends = np.cumsum([k * (dims + 2) for k in sizes])
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
-        z = matrix(batch.column(0)).astype(np.float64)
+        return sum(moments_of(batch, z) for z in _parts(batch, dims))
+
+    def moments_of(batch: pa.RecordBatch, z: np.ndarray) -> np.ndarray:
         norm = (z * z).sum(axis=1)
         parts = []
-        for k, label in zip(sizes, labels_of(batch)):
+        for k, label in zip(sizes, labels_of(batch, z)):
             member = np.equal.outer(np.arange(k), label).astype(np.float64)
             parts.append(np.column_stack([member @ z, member @ norm, member.sum(axis=1)]).ravel())
         return np.concatenate(parts)
@@ -280,10 +327,12 @@ def _mean_silhouettes(df: DataFrame, columns: list[str], labels_of, sizes: list[
     clusters = [m.reshape(-1, dims + 2) for m in np.split(_added_up(df, columns, moments, int(ends[-1]), tasks), ends[:-1])]
 
     def scores(batch: pa.RecordBatch) -> np.ndarray:
-        z = matrix(batch.column(0)).astype(np.float64)
+        return sum(scores_of(batch, z) for z in _parts(batch, dims))
+
+    def scores_of(batch: pa.RecordBatch, z: np.ndarray) -> np.ndarray:
         norm, at = (z * z).sum(axis=1), np.arange(len(z))
         out = [float(len(z))]
-        for m, own in zip(clusters, labels_of(batch)):
+        for m, own in zip(clusters, labels_of(batch, z)):
             n = m[:, -1]
             total = np.maximum(norm[:, None] * n - 2 * z @ m[:, :-2].T + m[:, -2], 0.0)
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -317,7 +366,7 @@ def silhouette(df: DataFrame, labels: list[str], vec: str = "z") -> DataFrame:
             raise ValueError(f"{c!r} has more than {MAX_CLUSTERS} labels")
         codes[c] = {v: i for i, v in enumerate(values)}
 
-    def labels_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    def labels_of(batch: pa.RecordBatch, z: np.ndarray) -> list[np.ndarray]:
         return [np.array([codes[c][v] for v in batch.column(c).to_pylist()]) for c in labels]
 
     means = _mean_silhouettes(df, [vec, *labels], labels_of, [len(codes[c]) for c in labels], len(first[0]), None)
@@ -398,16 +447,16 @@ def select_k(df: DataFrame, keys: list[str], vec: str = "z", k_max: int = K_MAX,
     All K are clustered side by side, one pass per Lloyd step; a K that has converged leaves the following passes.
     """
     spark = df.sparkSession
-    rows = materialize(df.select(vec, *keys), "k-search")  # every step reads it
-    tasks = rows.rdd.getNumPartitions()
+    rows = materialize(df.select(vec, *keys), "k-search")
     seeds = np.array([r[vec] for r in rows.orderBy(sample_key(seed, *keys), *keys).limit(k_max).select(vec).collect()], dtype=np.float64)
     ks = list(range(K_MIN, len(seeds) + 1))
     if not ks:
         raise ValueError("choosing K needs at least two rows")
+    rows = materialize(packed(rows, vec), "k-search-blocks")  # every step reads it
+    tasks = rows.rdd.getNumPartitions()
     found, _ = _settle(rows, {k: seeds[:k] for k in ks}, vec, max_iter, tasks)
 
-    def labels_of(batch: pa.RecordBatch) -> list[np.ndarray]:
-        z = matrix(batch.column(0)).astype(np.float64)
+    def labels_of(batch: pa.RecordBatch, z: np.ndarray) -> list[np.ndarray]:
         return [squared_distances(z, found[k]).argmin(axis=1) for k in ks]
 
     scores = dict(zip(ks, _mean_silhouettes(rows, [vec], labels_of, ks, seeds.shape[1], tasks)))

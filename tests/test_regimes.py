@@ -187,3 +187,30 @@ def test_steps_read_only_rows_that_can_change(spark, monkeypatch, ks):
         np.testing.assert_allclose(found[k], c, rtol=0, atol=1e-9)
     sizes = [table.count() for label, table in written if label == "undecided"]
     assert sizes and sizes[-1] < len(z) / 4
+
+
+def test_k_search_steps_read_blocks(spark, monkeypatch):
+    """Blocks of many vectors, cut anywhere, give the steps and the silhouettes of single rows; no step reads lists."""
+    monkeypatch.setattr(R, "NARROW_ROWS", 100)
+    monkeypatch.setattr(R, "SLICE_ROWS", 300)
+    read, original = [], R._regime_sums
+    monkeypatch.setattr(R, "_regime_sums", lambda df, *more: (read.append(df.dtypes), original(df, *more))[1])
+    rng = np.random.default_rng(9)
+    z = np.concatenate([rng.normal(c, 0.8, (700, 2)) for c in ((0, 0), (3, 1), (1, 4))])
+    df = vectors_of(spark, z)
+    chosen = R.select_k(df, [c for c in df.columns if c != "z"], "z", 4)
+    assert read and all(kinds == [("z", "binary")] for kinds in read)
+    seeds = R.initial_centroids(df, 4, [c for c in df.columns if c != "z"])
+    scores = {r["k"]: r["score"] for r in chosen.table.collect()}
+    for k in (2, 3, 4):
+        c = seeds[:k]
+        for _ in range(200):
+            label = R.squared_distances(z, c).argmin(axis=1)
+            moved = np.array([z[label == i].mean(axis=0) for i in range(k)])
+            if np.linalg.norm(moved - c) < R.SHIFT_TOL:
+                break
+            c = moved
+        labelled = spark.createDataFrame([(v.tolist(), int(i)) for v, i in zip(z, label)], "z array<double>, label int")
+        assert abs(R.silhouette(labelled, ["label"]).first()["score"] - scores[k]) <= 1e-6
+        if k == chosen.best_k:
+            np.testing.assert_allclose(chosen.centroids, c, rtol=0, atol=1e-9)
