@@ -496,6 +496,31 @@ def test_substring_dedup_looks_past_a_lead_of_another_context(spark):
     assert want == {(r["doc_id"], r["ref_doc_id"]) for r in out}
 
 
+def test_substring_dedup_finds_passages_whose_parts_stand_earlier(spark):
+    """Parts too short to be a passage stand in earlier documents; the passage itself in two, with one word changed."""
+    ship_package(spark)
+    rng = random.Random(23)
+
+    def fresh(tag, n):
+        return [f"{tag}{rng.randrange(1 << 40)}" for _ in range(n)]
+
+    rows, want = [], set()
+    for d in range(1000, 1080, 2):
+        passage = fresh("p", 60)
+        copy = list(passage)
+        copy[30] = "changed"
+        rows += [(d, " ".join([*fresh("a", 20), *passage, *fresh("b", 20)])), (d + 1, " ".join([*fresh("c", 20), *copy, *fresh("d", 20)]))]
+        want.add((d + 1, d))
+        for k in range(5):
+            rows.append(((d - 1000) * 5 + k - 5000, " ".join([*fresh("e", 30), *passage[5 * k:5 * k + 40], *fresh("f", 30)])))
+    out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert want == {(r["doc_id"], r["ref_doc_id"]) for r in out}
+
+
+def test_least_run_of_near_equal_stretches():
+    assert substring_dedup.least_run(46, 5, 0.8) == 21 and substring_dedup.least_run(46, 5, 1.0) == 46
+
+
 def test_empty_tables(spark, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
