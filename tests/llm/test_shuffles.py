@@ -1,7 +1,11 @@
 """The widest tables of the operators on pairs go through one shuffle only, since disk is what they run out of."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
+from regimeflow import scratch
 from regimeflow.llm import ngram_join, substring_dedup
 
 
@@ -33,3 +37,31 @@ def test_pieces_are_shuffled_once(docs, monkeypatch):
     plans = written_plans(monkeypatch, ngram_join)
     assert ngram_join.jaccard_components(docs).where("component_id = 0").count() == 12
     assert plans["meetings"].count("hashpartitioning(piece") == 1
+
+
+def test_stretches_travel_as_text(docs, monkeypatch):
+    kinds, original = {}, substring_dedup.save
+    monkeypatch.setattr(substring_dedup, "save", lambda df, label: kinds.setdefault(label, dict(df.dtypes)) and original(df, label))
+    found = substring_dedup.repeated_passages(docs).where("doc_id = 2").collect()
+    assert kinds["stretches"]["part"] == "binary"
+    assert [(r["start_word"], r["n_words"], r["ref_doc_id"], r["ref_start_word"], r["ref_n_words"]) for r in found if r["ref_doc_id"] == 0] == [(0, 100, 0, 0, 100)]
+
+
+def test_the_shuffles_of_a_written_table_go_with_the_write(spark):
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    spark.conf.set(scratch.FILE_CLEANUP, "false")
+
+    def files():
+        return {x for x in local.getAllFiles().mkString("\n").split("\n") if x.endswith(".data")}
+
+    try:
+        before = files()
+        rows = spark.range(1000, numPartitions=3).withColumn("k", F.col("id") % 7).repartition(4, "k")
+        assert len(scratch.materialize(rows, "cleaned").collect()) == 1000
+        until = time.monotonic() + 10  # they are removed without waiting
+        while files() - before and time.monotonic() < until:
+            time.sleep(0.1)
+        assert not files() - before
+        assert spark.conf.get(scratch.FILE_CLEANUP) == "false"
+    finally:
+        spark.conf.unset(scratch.FILE_CLEANUP)
