@@ -36,7 +36,6 @@ from regimeflow.llm.common import save, text_or_empty
 from regimeflow.llm.rank_map import RankMap
 
 BLOCK_CHARS, LONG_PIECE = 5 << 20, 128
-RANK_BITS = 31
 GATHERED, SLICE_ROWS = 1 << 16, 256
 CACHE_DOCS, CACHE_PIECES, SAMPLE_CHARS = 12_288, 300_000, 1 << 20
 Ranks = dict[bytes, int]
@@ -66,22 +65,24 @@ def _literal(values: np.ndarray, kind: str) -> Column:
 def fold_merges(ids: Column, ranks: RankMap) -> Column:
     """The fold: an array of byte tokens becomes the array of merged tokens.
 
-    An entry of the literal map is its owner and its rank in one number.  Less the left token it is the rank, or far
-    larger (the sign bit goes) where another token owns the place, so the least of a piece is the rank to merge at.
+    An entry of the literal map is its owner and its rank in one number.  With the left token's bits turned it is the
+    rank, or far larger (the sign bit goes) where another token owns the place, so the least of a piece is the rank to
+    merge at.  Every plan carries the map and every print of a plan spells it out, so numbers are as short as ranks allow.
     """
-    entries = np.where(ranks.owner >= 0, (ranks.owner.astype(np.int64) << RANK_BITS) | ranks.rank_at, -1)
+    bits = max(int(ranks.rank_at.max(initial=0)).bit_length(), 1)
+    entries = np.where(ranks.owner >= 0, (ranks.owner.astype(np.int64) << bits) | ranks.rank_at, -1)
     last = int(np.flatnonzero(ranks.owner >= 0).max(initial=-1)) + 1
     table, shift = _literal(entries[:last], "bigint"), _literal(ranks.shift, "int")
 
     def rank(left: Column, right: Column) -> Column:
-        return (F.get(table, F.get(shift, left) + right) - F.shiftleft(left.cast("bigint"), RANK_BITS)).bitwiseAND(F.lit((1 << 63) - 1))
+        return F.get(table, F.get(shift, left) + right).bitwiseXOR(F.shiftleft(left.cast("bigint"), bits)).bitwiseAND(F.lit((1 << 63) - 1))
 
     def merge(state: Column, _: Column) -> Column:
         pairs = F.transform(state, lambda x, i: rank(x, F.get(state, i + 1)))
 
         def merged(p: Column, least: Column) -> Column:
             at = F.array_position(p, least).cast("int")
-            return F.when(least < (1 << RANK_BITS), F.concat(
+            return F.when(least < (1 << bits), F.concat(
                 F.slice(state, 1, at - 1), F.array(least.cast("int")), F.slice(state, at + 2, F.size(state)))).otherwise(state)
 
         # arrays of one: what they hold is worked out once
@@ -230,7 +231,9 @@ def frequent_pieces(docs: DataFrame, ranks_path: str, table: RankMap, byte_ids:
             found = pretokens.span_keys(pretokens.codes("".join(texts)), code_end - sizes, code_end).astype(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(1)], ["key", "ids"])
 
-    spread = common.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # small files are read by few tasks
+    # Written first, a file per task: above an exchange the fold would be in a plan that is planned, and printed, again and
+    # again while it runs, and each print of the literal map takes tens of megabytes of the driver's heap.
+    spread = save(common.repartition(docs.sparkSession.sparkContext.defaultParallelism), "common-pieces")
     rows = spread.select("piece", fold_merges(F.col("piece"), table).alias("ids")).mapInArrow(keyed, "key long, ids array<int>").toArrow()
     keys = rows.column("key").to_numpy().view(np.uint64)
     ids = rows.column("ids").combine_chunks()

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from regimeflow import scratch
-from regimeflow.llm import ngram_join, substring_dedup
+from regimeflow.llm import byte_bpe, ngram_join, substring_dedup
+from regimeflow.llm.queries import BYTE_RANKS, tokenizer_file
 
 
 def written_plans(monkeypatch, module) -> dict[str, str]:
@@ -65,3 +66,14 @@ def test_the_shuffles_of_a_written_table_go_with_the_write(spark):
         assert spark.conf.get(scratch.FILE_CLEANUP) == "false"
     finally:
         spark.conf.unset(scratch.FILE_CLEANUP)
+
+
+def test_no_exchange_below_the_fold_of_frequent_pieces(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"some words are in all texts, {i} of them or {i * i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    path, plans = tokenizer_file(BYTE_RANKS), []
+    plain = {r["doc_id"]: r["ids"] for r in byte_bpe.encode(texts, path).collect()}
+    original = type(texts).toArrow
+    monkeypatch.setattr(byte_bpe, "CACHE_DOCS", 20)
+    monkeypatch.setattr(type(texts), "toArrow", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or original(df))
+    assert {r["doc_id"]: r["ids"] for r in byte_bpe.encode(texts, path).collect()} == plain
+    assert len(plans) == 1 and "Exchange" not in plans[0]
