@@ -517,6 +517,36 @@ def test_substring_dedup_finds_passages_whose_parts_stand_earlier(spark):
     assert want == {(r["doc_id"], r["ref_doc_id"]) for r in out}
 
 
+def test_substring_dedup_finds_passages_of_a_crowd_that_its_first_does_not_hold(spark):
+    """A phrase too short to be a passage stands in many documents; with the words behind or before it, two share a passage."""
+    ship_package(spark)
+    rng = random.Random(24)
+
+    def fresh(tag, n):
+        return [f"{tag}{rng.randrange(1 << 40)}" for _ in range(n)]
+
+    rows, want = [], set()
+    for g in range(0, 2400, 60):
+        phrase, more = fresh("p", 40), fresh("q", 10)
+        rows += [(g + k, " ".join([*fresh("a", 40), *phrase, *fresh("b", 40)])) for k in range(40)]
+        passage = [*phrase, *more] if g % 120 else [*more, *phrase]
+        rows += [(g + k, " ".join([*fresh("c", 40), *passage, *fresh("d", 40)])) for k in (41, 42)]
+        want.add((g + 42, g + 41))
+    out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert want == {(r["doc_id"], r["ref_doc_id"]) for r in out}
+    assert all(abs(r["start_word"] - 40) <= 5 and r["n_words"] >= 50 for r in out)
+
+
+def test_runs_of_shingles_have_one_key():
+    assert substring_dedup.whole_run(46, 0.8) == 41 and substring_dedup.whole_run(46, 1.0) == 46
+    a = np.random.default_rng(1).integers(1, 1 << 60, 90).astype(np.uint64)
+    for span in (1, 5, 41, 46):
+        keys = substring_dedup._run_keys(np.concatenate((a, a[::-1], a)), span)
+        size = 90 - span + 1
+        assert len(keys) == 270 - span + 1 and (keys[:size] == keys[180:]).all() and len(np.unique(keys[:size])) == size
+        assert len(substring_dedup._run_keys(a[:span - 1], span)) == 0
+
+
 def test_least_run_of_near_equal_stretches():
     assert substring_dedup.least_run(46, 5, 0.8) == 21 and substring_dedup.least_run(46, 5, 1.0) == 46
 
