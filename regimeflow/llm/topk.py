@@ -1,14 +1,16 @@
 """Exact top-k inner products by columnar branch and bound.
 
 Vectors are cut into blocks and stored vertically: one row per block holds the ids and, dimension by dimension, all
-components.  A cell is a block of queries against a block of candidates.  Scores accumulate over blocks of dimensions,
+components, in as few bytes as the largest needs.  A cell is a block of queries against a block of candidates.  Scores accumulate over blocks of dimensions,
 largest mass first; after each, a candidate survives for a query only if its partial score plus the bound on what is
 left (product of the remaining norms, by Cauchy and Schwarz) reaches the query's k-th best score so far.  Once few
 pairs survive they are compacted into a list and finished one by one.  A query block passes over a *stripe* of candidate
 blocks in one task and carries its k best along, so the bound is tight from the second block on.
 
-Every query meets every candidate block through a join on the block number.  The driver learns counts, the number of
-dimensions and the mass of each; blocks have at most a few thousand vectors on average, whatever the table.
+A task holds one stripe, and a group of query blocks comes to it one by one, so every query meets every candidate.  There
+are about as many (stripe, group) pairs as half the shuffle partitions, however many blocks there are; of both numbers those are taken that
+shuffle the fewest bytes, with stripes of at most ``STRIPE_BYTES``.  The driver learns counts, the number of dimensions
+and the mass of each, and plans so many tasks; blocks have at most a few thousand vectors on average, whatever the table.
 
 Edge cases: null vectors, null or non-finite components and null ids take no part; shorter vectors count as filled up
 with zeros; rows sharing the query's id are never its results; repeated rows are candidates each and queries each, also
@@ -19,8 +21,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from math import sqrt
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +34,8 @@ from regimeflow.llm.common import save
 
 K, SCALE = 20, 64
 CANDIDATES, QUERIES, STRIPE, DIMS = 8192, 1024, 4, 16
+STRIPE_BYTES, FOUND_BYTES, LEAST_TASKS = 1 << 26, 12, 16  # a stripe's components; a result in the shuffle; tasks, should blocks allow
+SINGLE = 1 << 20  # squared norms below which single precision is exact: no sum of products is larger
 SPARSE = 0.05  # share of surviving pairs below which they are compacted
 
 
@@ -42,7 +49,12 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & ~x.cast("double").isin(bad))
 
 
-def _pack(rows: DataFrame, block: Column, order: list[int], wanted: str) -> DataFrame:
+def _kind(largest: float) -> np.dtype:
+    """The narrowest type that holds all whole numbers up to the largest (and less by one below zero)."""
+    return next((np.dtype(t) for t in (np.int8, np.int16, np.int32) if largest <= np.iinfo(t).max), np.dtype(np.float64))
+
+
+def _pack(rows: DataFrame, block: Column, order: list[int], kind: np.dtype, wanted: str) -> DataFrame:
     """One row per block: ids (ascending) and components, dimension after dimension in the given order."""
     width = len(order)
 
@@ -51,7 +63,7 @@ def _pack(rows: DataFrame, block: Column, order: list[int], wanted: str) -> Data
         m = np.zeros((len(frame), width))
         for i, v in enumerate(frame["v"]):
             m[i, :len(v)] = v
-        columns = np.ascontiguousarray(m[:, order].T)
+        columns = np.ascontiguousarray(m[:, order].T.astype(kind))
         return pd.DataFrame({"b": [int(frame["b"].iloc[0])], "ids": [frame["id"].to_numpy(np.int64).tobytes()], "columns": [columns.tobytes()]})
 
     packed = rows.withColumn("b", block.cast("long")).groupBy("b").applyInPandas(pack, "b long, ids binary, columns binary")
@@ -81,13 +93,21 @@ class _Best:
         return pd.DataFrame({"qb": np.full(len(q), block), "row": q, "query_id": self.ids[q], "vec_id": self.vec[q, j], "score": self.score[q, j].astype(np.int64)})
 
 
-def _cell(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, best: _Best, dims: int) -> None:
-    """q, c: one row per dimension.  Adds the block's candidates to ``best``."""
+def _norms_left(m: np.ndarray, dims: int) -> np.ndarray:
+    """Norms of what is left of every vector after 0, dims, 2 dims, ... dimensions."""
+    squares = m.astype(np.float64)
+    squares *= squares
+    return np.sqrt(np.cumsum(squares[::-1], axis=0)[::-1])[::dims].astype(m.dtype)
+
+
+def _cell(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, best: _Best, dims: int, left_q: np.ndarray, left_c: np.ndarray) -> None:
+    """q, c: one row per dimension; ``left``: their ``_norms_left``.  Adds the block's candidates to ``best``.
+
+    Scores are whole numbers, so a bound that is half a point too high leaves nothing out.
+    """
     width, n = c.shape
-    left_q = np.sqrt(np.cumsum((q * q)[::-1], axis=0)[::-1])
-    left_c = np.sqrt(np.cumsum((c * c)[::-1], axis=0)[::-1])
     own_row = np.flatnonzero(np.isin(best.ids, c_ids))
-    score = np.zeros((q.shape[1], n))
+    score = np.zeros((q.shape[1], n), q.dtype)
     bound = best.bound()
     at = 0
     while at < width:
@@ -95,24 +115,31 @@ def _cell(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, best: _Best, dims: in
         score += q[at:stop].T @ c[at:stop]
         at = stop
         if at < width and np.isfinite(bound).any():
-            alive = score + np.outer(left_q[at], left_c[at]) * (1 + 1e-9) + 1e-6 >= bound[:, None]
-            if alive.mean() <= SPARSE:
+            alive = score + np.outer(left_q[at // dims] * q.dtype.type(1 + 1e-6), left_c[at // dims]) >= (bound - 0.5)[:, None].astype(q.dtype)
+            if np.count_nonzero(alive) <= SPARSE * alive.size:
                 row, col = np.nonzero(alive)
                 other = best.ids[row] != c_ids[col]
                 row, col = row[other], col[other]
-                value = score[row, col]
+                value = score[row, col].astype(np.float64)
                 while at < width and len(row):
                     stop = min(at + dims, width)
                     value = value + np.einsum("ij,ij->j", q[at:stop, row], c[at:stop, col])
                     at = stop
                     if at < width:
-                        stay = value + left_q[at, row] * left_c[at, col] * (1 + 1e-9) + 1e-6 >= bound[row]
+                        stay = value + left_q[at // dims, row].astype(np.float64) * left_c[at // dims, col] * (1 + 1e-6) + 0.5 >= bound[row]
                         row, col, value = row[stay], col[stay], value[stay]
                 _add_pairs(best, row, value, c_ids[col])
                 return
     for r in own_row:
         score[r, c_ids == best.ids[r]] = -np.inf
+    if np.isfinite(bound).all():
+        reach = score >= bound[:, None].astype(q.dtype)
+        if np.count_nonzero(reach) <= SPARSE * reach.size:
+            row, col = np.nonzero(reach)
+            _add_pairs(best, row, score[row, col].astype(np.float64), c_ids[col])
+            return
     k = min(best.k, n)
+    score = score.astype(np.float64)
     if n > 1 << 14 or np.abs(score[np.isfinite(score)]).max(initial=0) >= 1 << 38:
         take = np.lexsort((np.broadcast_to(np.arange(n), score.shape), -score), axis=1)[:, :k]
     else:  # candidates stand in the order of their ids: among equal scores the first
@@ -133,38 +160,60 @@ def _add_pairs(best: _Best, row: np.ndarray, value: np.ndarray, vec: np.ndarray)
     best.add(s, v, rows)
 
 
+def shares(n_blocks: int, q_blocks: int, stripe: int, c_bytes: float, q_bytes: float, tasks: int) -> tuple[int, int]:
+    """Numbers of stripes and of groups of query blocks: about ``tasks`` pairs that shuffle the fewest bytes.
+
+    Queries go to every stripe (and come back with results), candidates to every group.
+    """
+    stripes = round(sqrt(tasks * c_bytes / max(q_bytes, 1)))
+    stripes = max(min(stripes, -(-n_blocks // stripe), tasks), min(-int(-c_bytes // STRIPE_BYTES), n_blocks), 1)
+    return stripes, max(min(tasks // stripes, q_blocks), 1)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, vector: str = "embedding", key: str = "vec_id", scale: int = SCALE,
           candidates: int = CANDIDATES, queries: int = QUERIES, stripe: int = STRIPE, dims: int = DIMS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of every row that ``is_query``, by quantized inner product."""
     rows = save(vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(
         F.col(key).cast("long").alias("id"), quantized(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")), "vectors")
     n, asking = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
-    mass = {r[0]: r[1] for r in rows.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.sum(F.col("x") * F.col("x"))).collect()}
-    order = sorted(mass, key=lambda d: (-mass[d], d))
+    of_dim = rows.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.sum(F.col("x") * F.col("x")).alias("mass"), F.max(F.abs("x")).alias("most"))
+    mass = {r["d"]: (r["mass"], r["most"]) for r in of_dim.collect()}
+    order = sorted(mass, key=lambda d: (-mass[d][0], d))
+    norm = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0] or 0.0
+    kind, real = _kind(max((most for _, most in mass.values()), default=0)), np.dtype(np.float32 if norm < SINGLE else np.float64)
     n_blocks, q_blocks = max(1, -(-n // candidates)), max(1, -(-asking // queries))
     dealt = lambda b, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(b))
-    c_blocks = _pack(rows.select("id", "v"), dealt(n_blocks, 0), order, "candidate-blocks")
-    asked = _pack(rows.where("asks").select("id", "v"), dealt(q_blocks, 1), order, "query-blocks")
-    every = asked.select(F.col("b").alias("qb"), F.col("ids").alias("q_ids"), F.col("columns").alias("q"),
-                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("b"))
-    n_stripes = -(-n_blocks // stripe)
-    cells = every.join(c_blocks, "b").withColumn("stripe", F.pmod(F.col("b"), F.lit(n_stripes)))
-    cells = cells.repartition(q_blocks * n_stripes, "qb", "stripe").sortWithinPartitions("qb", "stripe", "b")
+    c_blocks = _pack(rows.select("id", "v"), dealt(n_blocks, 0), order, kind, "candidate-blocks")
+    asked = _pack(rows.where("asks").select("id", "v"), dealt(q_blocks, 1), order, kind, "query-blocks")
     width = max(len(order), 1)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, best = None, None
-        for frame in frames:
-            for qb, st, q_ids, q, ids, columns in zip(*(frame[x] for x in ("qb", "stripe", "q_ids", "q", "ids", "columns")), strict=True):
-                if (qb, st) != at:
-                    if best is not None:
-                        yield best.frame(at[0])
-                    at, best = (qb, st), _Best(np.frombuffer(q_ids, np.int64), k)
-                    qm = np.frombuffer(q, np.float64).reshape(width, -1)
-                _cell(qm, np.frombuffer(columns, np.float64).reshape(width, -1), np.frombuffer(ids, np.int64), best, dims)
-        if best is not None:
-            yield best.frame(at[0])
-
-    found = cells.select("qb", "stripe", "q_ids", "q", "ids", "columns").mapInPandas(run, "qb long, row long, query_id long, vec_id long, score long")
+    wide = kind.itemsize * width
+    setting = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_stripes, n_groups = shares(n_blocks, q_blocks, stripe, n * wide, asking * (wide + k * FOUND_BYTES), max(setting // 2, LEAST_TASKS))
+    number = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long")))
+    held = c_blocks.select(F.pmod("b", F.lit(n_stripes)).alias("stripe"), number(n_groups).alias("part"), F.lit(False).alias("asks"), "b", "ids", "columns")
+    coming = asked.select(number(n_stripes).alias("stripe"), F.pmod("b", F.lit(n_groups)).alias("part"), F.lit(True).alias("asks"), "b", "ids", "columns")
+    unit = F.col("stripe") * n_groups + F.col("part")
+    cells = held.unionByName(coming).withColumn("unit", unit).repartitionById(n_stripes * n_groups, unit.cast("int")).sortWithinPartitions("unit", "asks", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task sees the blocks of a stripe first, then the query blocks one by one."""
+        at, stripe_blocks = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                unit, asks, b = (batch.column(x)[i].as_py() for x in range(3))
+                ids, columns = (np.frombuffer(batch.column(x)[i].as_buffer(), t) for x, t in ((3, np.int64), (4, kind)))
+                columns = columns.reshape(width, -1) if len(columns) else np.zeros((width, len(ids)), kind)
+                if unit != at:
+                    at, stripe_blocks = unit, []
+                if not asks:
+                    stripe_blocks.append((ids.copy(), columns.copy(), _norms_left(columns.astype(real), dims)))
+                    continue
+                q, best = columns.astype(real), _Best(ids, k)
+                left = _norms_left(q, dims)
+                for c_ids, c, left_c in stripe_blocks:
+                    _cell(q, c.astype(real), c_ids, best, dims, left, left_c)
+                yield pa.RecordBatch.from_pandas(best.frame(b), preserve_index=False)
+
+    found = cells.select("unit", "asks", "b", "ids", "columns").mapInArrow(run, "qb long, row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("qb", "row").orderBy(F.desc("score"), "vec_id"))  # a query row, not an id
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
