@@ -160,6 +160,43 @@ def test_ngram_join(docs, rows, width, percent):
     assert any(c != i for i, (_, c) in got.items())
 
 
+def test_overlaps_name_the_sets_that_are_linked():
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(120)]
+    near = ngram_join.Overlaps(sets)
+    for one in sets:
+        for percent in (30, 80):
+            want = [i for i, two in enumerate(sets) if len(one) + len(two) and ngram_join.linked(len(one), len(two), len(np.intersect1d(one, two)), percent)]
+            assert [i for i in near.near(one, percent) if len(one) + len(sets[i])] == want
+    assert ngram_join.Overlaps([]).near(sets[0], 80) == []
+
+
+def test_linked_sets_meet_without_their_most_frequent_pieces():
+    rng = np.random.default_rng(13)
+
+    def left(one, often, rank):
+        keys, spare = ngram_join.pieces_and_spares(one, 80, often)
+        out = []
+        for number in np.unique(spare):
+            of_list = sorted(keys[spare == number].tolist(), key=rank)
+            out += of_list[int(number) % (ngram_join.MOST_SPARE + 1):]
+        return set(out), len(keys)
+
+    dropped = met = 0
+    for n in rng.integers(2, 900, 250).tolist():
+        one = np.unique(rng.integers(1, (1 << 64) - 1, n, np.uint64))
+        away = int(rng.integers(1, max(len(one) // 9, 1) + 1))
+        two = np.unique(np.concatenate((rng.permutation(one)[away:], rng.integers(1, (1 << 64) - 1, rng.integers(0, away + 1), np.uint64))))
+        if not ngram_join.linked(len(one), len(two), len(np.intersect1d(one, two)), 80) or np.array_equal(one, two):
+            continue
+        salt = int(rng.integers(1, 1 << 62))
+        for often in (np.zeros(0, np.uint64), np.sort(rng.permutation(one)[:int(rng.integers(0, len(one) + 1))])):
+            (a, whole), (b, _) = (left(x, often, lambda key: hash((key, salt))) for x in (one, two))
+            assert a & b
+            dropped, met = dropped + whole - len(a), met + 1
+    assert met > 200 and dropped > 5 * met
+
+
 def test_ngram_join_chain_of_near_copies(spark, monkeypatch):
     """Copies that drift apart: the first and the last are not linked, their component is one."""
     monkeypatch.setattr(ngram_join, "PART", 3)
